@@ -79,7 +79,9 @@ def with_text_features(docs: DataFrame) -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size("_lines").cast("long").alias("n_lines"),
         covered.cast("long").alias("n_repeat_words"),
-        F.regexp_count(text, F.lit(r"[0-9]")).cast("long").alias("n_digits"),
+        F.regexp_count(text, F.lit(r"[#*$%&|<>]+")).cast("long").alias("n_symbol_runs"),
+        F.regexp_count(text, F.lit(r"\p{L}")).cast("long").alias("n_letters"),
+        F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
         F.size(F.filter("_words", lambda w: F.lower(w).isin(*FUNCTION_WORDS))).cast("long").alias("n_function_words"),
     )
     return base.withColumn("q", features).drop("_words", "_windows", "_pairs", "_places", "_lines")
@@ -90,21 +92,26 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Each rule's vote on ``q``: 1 good, -1 bad, 0 abstains.  A document without words gets bad votes alone."""
+    """Each rule's vote on ``q``: 1 good, -1 bad, 0 abstains.  A document without words gets bad votes where it gets any."""
     q = F.col("q")
     words = q["n_words"]
     per_word = lambda name: q[name] / F.greatest(words, F.lit(1))
-    mean_length = per_word("word_chars")
-    repeat, lines = per_word("n_repeat_words"), F.greatest(q["n_lines"], F.lit(1))
-    dup = q["n_dup_lines"] / lines
+    empty = words == 0
+    mean_length, symbols, runs = per_word("word_chars"), per_word("n_symbols"), per_word("n_symbol_runs")
+    repeat = per_word("n_repeat_words")
+    dup = q["n_dup_lines"] / F.greatest(q["n_lines"], F.lit(1))
+    letters = q["n_letters"] / F.greatest(q["word_chars"], F.lit(1))
+    capitals = q["n_capitals"] / F.greatest(q["n_letters"], F.lit(1))
     return {
-        "length": _vote(words < 15, words >= 40),
-        "word_length": _vote((mean_length < 2.0) | (mean_length > 14), mean_length.between(3, 10)),
-        "symbols": _vote((per_word("n_symbols") > 0.15) | (words == 0), per_word("n_symbols") < 0.03),
-        "digits": _vote((per_word("n_digits") > 1.5) | (words == 0), per_word("n_digits") < 0.3),
-        "repeated_windows": _vote((repeat > 0.15) | (words == 0), repeat < 0.05),
-        "repeated_lines": _vote((dup > 0.3) | (words == 0), dup < 0.1),
-        "function_words": _vote(per_word("n_function_words") < 0.01, per_word("n_function_words") > 0.05),
+        "length": _vote(words < 10, words >= 30),
+        "word_length": _vote((mean_length < 2.0) | (mean_length > 15), mean_length.between(3, 10)),
+        "symbols": _vote(empty | (symbols > 0.2), symbols < 0.02),
+        "symbol_runs": _vote(empty | (runs > 0.15), runs < 0.02),
+        "letters": _vote(empty | (letters < 0.7), letters > 0.85),
+        "capitals": _vote((words >= 10) & (capitals > 0.5), (words > 0) & (capitals < 0.2)),
+        "repeated_windows": _vote(empty | (repeat > 0.2), repeat < 0.05),
+        "repeated_lines": _vote(empty | (dup > 0.3), dup < 0.1),
+        "function_words": F.when(per_word("n_function_words") > 0.05, 1).otherwise(0),
     }
 
 
@@ -115,45 +122,54 @@ def base_failed() -> Column:
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Prior probability of good quality and, for each rule, how often a good and a bad document get its good vote."""
+    """Prior probability of good quality and, for each rule, how likely a good and a bad document get each vote (bad,
+    none, good).  That a rule abstains counts as well."""
 
     prior: float
-    good_given_good: tuple[float, ...]
-    good_given_bad: tuple[float, ...]
+    given_good: tuple[tuple[float, float, float], ...]
+    given_bad: tuple[tuple[float, float, float], ...]
 
     def posterior(self, votes: list[Column]) -> Column:
         odds = F.lit(math.log(self.prior / (1 - self.prior)))
-        for vote, a, b in zip(votes, self.good_given_good, self.good_given_bad):
-            odds = odds + F.when(vote == 1, math.log(a / b)).when(vote == -1, math.log((1 - a) / (1 - b))).otherwise(0.0)
+        for vote, good, bad in zip(votes, self.given_good, self.given_bad):
+            weights = [math.log(g / b) for g, b in zip(good, bad)]
+            odds = odds + F.when(vote == -1, weights[0]).when(vote == 1, weights[2]).otherwise(weights[1])
         return 1 / (1 + F.exp(-odds))
 
 
 def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> LabelModel:
-    """Expectation-maximisation on (votes, count).  Rules are held to be better than chance: a good vote is likelier on
-    good documents than on bad ones, by bounds on both rates; with no patterns the start values stay."""
+    """Expectation-maximisation on (votes, count).  Rules are held to be better than chance: a good document gets a bad
+    vote with a probability of 0.1 at most, and a bad one gets it twice as often at least.  With no patterns the start
+    values stay."""
     width = len(patterns[0][0]) if patterns else 0
-    a, b, prior = [0.9] * width, [0.4] * width, 0.8
+    good, bad, prior = [[0.02, 0.18, 0.8]] * width, [[0.4, 0.3, 0.3]] * width, 0.85
     for _ in range(rounds if patterns else 0):
-        good = [[1.0, 1.0] for _ in range(width)]  # one pseudo-count of each vote
-        bad = [[1.0, 1.0] for _ in range(width)]
+        of_good = [[0.5, 1.0, 1.0] for _ in range(width)]  # pseudo-counts
+        of_bad = [[1.0, 1.0, 1.0] for _ in range(width)]
         total = weight = 0.0
         for votes, n in patterns:
             x, y = math.log(prior), math.log(1 - prior)
             for j, v in enumerate(votes):
-                if v:
-                    x += math.log(a[j] if v > 0 else 1 - a[j])
-                    y += math.log(b[j] if v > 0 else 1 - b[j])
+                x += math.log(good[j][v + 1])
+                y += math.log(bad[j][v + 1])
             p = 1 / (1 + math.exp(min(700, y - x)))
             total += n
             weight += n * p
             for j, v in enumerate(votes):
-                if v:
-                    good[j][v > 0] += n * p
-                    bad[j][v > 0] += n * (1 - p)
-        a = [min(0.999, max(0.6, g[1] / sum(g))) for g in good]
-        b = [min(0.5, max(0.001, x[1] / sum(x))) for x in bad]
+                of_good[j][v + 1] += n * p
+                of_bad[j][v + 1] += n * (1 - p)
+        good = [_at_most([c / sum(x) for c in x], 0.1) for x in of_good]
+        bad = [_at_least([c / sum(x) for c in x], 2 * g[0]) for x, g in zip(of_bad, good)]
         prior = min(0.98, max(0.5, weight / max(total, 1)))
-    return LabelModel(prior, tuple(a), tuple(b))
+    return LabelModel(prior, tuple(map(tuple, good)), tuple(map(tuple, bad)))
+
+
+def _at_most(votes: list[float], bound: float) -> list[float]:
+    return votes if votes[0] <= bound else [bound, *[v * (1 - bound) / (1 - votes[0]) for v in votes[1:]]]
+
+
+def _at_least(votes: list[float], bound: float) -> list[float]:
+    return votes if votes[0] >= bound else [bound, *[v * (1 - bound) / (1 - votes[0]) for v in votes[1:]]]
 
 
 def rate_quality(docs: DataFrame, threshold: float = 0.5, keep_text: bool = True) -> DataFrame:

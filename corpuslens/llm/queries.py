@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from corpuslens.llm.language_id import op7_language_id
 from corpuslens.llm.mixing import OP8_SQL, op8_mixing
 from corpuslens.llm.packing import op1_packing
 from corpuslens.llm.pii import op2_pii
+from corpuslens.llm.quality_classifier import op6_quality_classifier
 from corpuslens.llm.quality_rules import op5_quality_rules
 
 
 def queries() -> dict:
-    found = (op1_packing, op2_pii, op5_quality_rules, op8_mixing)
+    found = (op1_packing, op2_pii, op5_quality_rules, op6_quality_classifier, op7_language_id, op8_mixing)
     return {f.__name__: f for f in found}
 
 
