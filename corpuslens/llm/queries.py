@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpuslens.llm.jaccard_join import op4_jaccard_join
 from corpuslens.llm.language_id import op7_language_id
 from corpuslens.llm.mixing import OP8_SQL, op8_mixing
 from corpuslens.llm.packing import op1_packing
@@ -13,7 +14,7 @@ from corpuslens.llm.vector_search import op10_vector_search
 
 
 def queries() -> dict:
-    found = (op1_packing, op2_pii, op5_quality_rules, op6_quality_classifier, op7_language_id, op8_mixing, op9_token_counts, op10_vector_search)
+    found = (op1_packing, op2_pii, op4_jaccard_join, op5_quality_rules, op6_quality_classifier, op7_language_id, op8_mixing, op9_token_counts, op10_vector_search)
     return {f.__name__: f for f in found}
 
 
