@@ -9,14 +9,15 @@ from corpuslens.llm.packing import op1_packing
 from corpuslens.llm.pii import op2_pii
 from corpuslens.llm.quality_classifier import op6_quality_classifier
 from corpuslens.llm.quality_rules import op5_quality_rules
+from corpuslens.llm.substring_dedup import OP3_SQL, op3_substring_dedup
 from corpuslens.llm.token_counts import op9_token_counts
 from corpuslens.llm.vector_search import op10_vector_search
 
 
 def queries() -> dict:
-    found = (op1_packing, op2_pii, op4_jaccard_join, op5_quality_rules, op6_quality_classifier, op7_language_id, op8_mixing, op9_token_counts, op10_vector_search)
+    found = (op1_packing, op2_pii, op3_substring_dedup, op4_jaccard_join, op5_quality_rules, op6_quality_classifier, op7_language_id, op8_mixing, op9_token_counts, op10_vector_search)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": OP8_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op8_mixing": OP8_SQL}
