@@ -45,8 +45,9 @@ def draw(seed: int) -> Column:
 
 
 def plan_mix(
-    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 8, cut: bool = True
-) -> DataFrame:
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 8, cut: bool = True,
+    with_row: bool = False,
+) -> DataFrame:
     """doc_id, source, size, source_size, target, ``whole`` (full repetitions) and ``extra`` (words of one more) of every row.
 
     Every document of a source is repeated as often as the target holds the whole source.  The rest is drawn: in
@@ -56,9 +57,11 @@ def plan_mix(
     so a source with a third of all rows is spread like any other.
 
     Null texts have size 0, null sources are one source, ranked last; rows that repeat are drawn row by row; an empty
-    table gives no rows.  Only doc_id, source and text are read."""
-    sized = docs.select("doc_id", "source", word_count().alias("size"), draw(seed).alias("place"))
-    sized = stored(sized, "mix-sizes").withColumn("bin", (F.col("place") / F.lit(2**40 // _BINS)).cast("int"))
+    table gives no rows.  Only doc_id, source and text are read, and (``with_row``) all columns returned in ``row``; texts are
+    not shuffled but for those of the bins in which a rest ends."""
+    bin_of = (F.col("place") / F.lit(2**40 // _BINS)).cast("int")
+    numbers = ["doc_id", "source", word_count().alias("size"), draw(seed).alias("place")]
+    sized = stored(docs.select(*numbers), "mix-sizes").withColumn("bin", bin_of)
     bins = sized.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
     targets = targets.withColumn(
@@ -75,14 +78,15 @@ def plan_mix(
     targets = docs.sparkSession.read.parquet(path)
     if targets.count() <= _BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    planned = sized.join(targets, F.col("source").eqNullSafe(F.col("target_source")))
+    every = docs.select(*numbers, F.struct(*docs.columns).alias("row")).withColumn("bin", bin_of) if with_row else sized
+    planned = every.join(targets, F.col("source").eqNullSafe(F.col("target_source")))
     end_bin = F.coalesce("end_bin", F.lit(_BINS))
     ordered = Window.partitionBy("source").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("rest") - F.coalesce("end_before", F.lit(0)) - F.coalesce(F.sum("size").over(ordered), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), left))
     if not cut:
         part = F.when(2 * part >= F.col("size"), F.col("size")).otherwise(0)
-    columns = ["doc_id", "source", "size", "source_size", "target", "whole"]
+    columns = ["doc_id", "source", "size", "source_size", "target", "whole", *(["row"] if with_row else [])]
     clear = planned.filter(F.col("bin") != end_bin)
     clear = clear.select(*columns, F.when(F.col("bin") < end_bin, F.col("size")).otherwise(0).alias("extra"))
     return clear.unionByName(planned.filter(F.col("bin") == end_bin).select(*columns, part.alias("extra")))
@@ -91,23 +95,12 @@ def plan_mix(
 def mix_sources(
     docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 8
 ) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as whole repetitions say; rows that get none are left out."""
-    plan = plan_mix(docs, weights, max_epochs, seed, cut=False)
-    times = plan.select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
-        (F.col("whole") + F.when(F.col("extra") > 0, 1).otherwise(0)).cast("int").alias("_times"),
-    )
-    # Rows that agree in doc_id, source and size are interchangeable: their repetitions are dealt out by rank.
-    same = ["_id", "_source", "_size"]
-    times = times.groupBy(*same).agg(F.sort_array(F.collect_list("_times"), asc=False).alias("_all"))
-    rows = docs.withColumn("_n", word_count())
-    keyed = rows.join(
-        times,
-        rows["doc_id"].eqNullSafe(times["_id"]) & rows["source"].eqNullSafe(times["_source"]) & (rows["_n"] == times["_size"]),
-    )
-    rank = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.lit(1)))
-    keyed = keyed.withColumn("_t", F.when(F.size("_all") == 1, F.col("_all")[0]).otherwise(F.get("_all", rank - 1)))
-    return keyed.filter("_t > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_t")))).select(*docs.columns)
+    """The mix itself: the rows of ``docs``, each as often as ``plan_mix`` says, in whole documents; rows that get none
+    and rows without words are left out."""
+    plan = plan_mix(docs, weights, max_epochs, seed, cut=False, with_row=True)
+    times = (F.col("whole") + F.when(F.col("extra") > 0, 1).otherwise(0)).cast("int")
+    repeated = plan.select("row", times.alias("times")).filter("times > 0")
+    return repeated.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

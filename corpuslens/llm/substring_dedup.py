@@ -325,9 +325,9 @@ def remove_repeats(
     everything = source if history is None else source.unionByName(keyed(history))
     proposed = index.matches().groupBy("doc").agg(F.collect_list("found").alias("found"))
     window, gram, buckets = index.window, index.gram, index.buckets
-    # The exchange of the texts by doc is used twice: here, and where words are removed.
+    # With the same columns on both ways, the exchange of the texts by doc is made once for this and for the removal.
     by_doc = everything.repartition(index.partitions, "doc")
-    marked = by_doc.join(proposed, "doc").select("doc", "text_key", "text", "found")
+    marked = by_doc.join(proposed, "doc").select("doc", "text_key", "text", "found", "doc_id")
     marked = marked.mapInArrow(lambda b: _mark_windows(b, window, gram, buckets), _MARKS)
     settled = marked.repartition(index.partitions, "bucket").mapInArrow(_settle_windows, "doc long, text_key long, found binary")
     # Grouped and joined by doc alone, so that the texts stay where they are; rows of one doc_id are told apart afterwards.
