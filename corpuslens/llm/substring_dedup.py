@@ -28,15 +28,11 @@ from corpuslens.llm._vectors import Texts, rolled, sliding_min
 
 _U = np.uint64
 _LAST = 2**63 - 1  # stands for a null doc_id: smaller than none
-_RUN = "bucket int, prints binary, owners binary, docs binary, doc long, found binary"
-_RUN_ARROW = pa.schema(
-    [("bucket", pa.int32()), ("prints", pa.binary()), ("owners", pa.binary()), ("docs", pa.binary()), ("doc", pa.int64()), ("found", pa.binary())]
-)
-_MARKS = "bucket int, windows binary, checks binary, places binary, owners binary, docs binary, texts binary, doc long, text_key long, found binary"
-_MARKS_ARROW = pa.schema(
-    [("bucket", pa.int32()), *[(c, pa.binary()) for c in ("windows", "checks", "places", "owners", "docs", "texts")],
-     ("doc", pa.int64()), ("text_key", pa.int64()), ("found", pa.binary())]
-)
+_RUN = "bucket int, prints binary, owners binary, docs binary, texts binary, counts binary, found binary"
+_RUN_ARROW = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("prints", "owners", "docs", "texts", "counts", "found")]])
+_MARKS = "bucket int, windows binary, checks binary, places binary, docs binary, texts binary, counts binary, found binary"
+_MARKS_ARROW = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("windows", "checks", "places", "docs", "texts", "counts", "found")]])
+_SHARED = 2**32 - 1  # an owner: several documents of the batch
 
 
 def _table(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
@@ -72,8 +68,71 @@ def _by_owner(owners: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.
     return zip(at.tolist(), np.split(values[order], first[1:]))
 
 
-def _write_run(batches, window: int, gram: int, buckets: int):
+def _halves(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as their lower and their upper halves; small numbers' upper halves compress to nothing."""
+    return np.ascontiguousarray(numbers.astype("<u4").view("<u2").reshape(-1, 2).T).tobytes()
+
+
+def _whole(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, "<u2").reshape(2, -1).T).view("<u4").ravel()
+
+
+#: Values by document, dealt to parts of the documents: doc, text_key, number of values, and the values one after another.
+_LISTS = "part int, docs binary, texts binary, counts binary, found binary"
+_LISTS_ARROW = pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("docs", "texts", "counts", "found")]])
+
+
+def _lists(docs: np.ndarray, texts: np.ndarray, values: np.ndarray, parts: int) -> list[tuple]:
+    """Rows of _LISTS: a row for each part, not for each document."""
+    out = []
+    for part, at in _by_owner(docs % parts, np.arange(len(docs))):
+        at = at[np.lexsort((texts[at], docs[at]))]
+        doc, text = docs[at], texts[at]
+        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])]))
+        counts = np.diff(np.append(first, len(doc)))
+        out.append((part, doc[first].tobytes(), text[first].tobytes(), _halves(counts), values[at].tobytes()))
+    return out
+
+
+def _assemble(batches, kind):
+    """(doc, text_key, found): all values of each document of this partition, once."""
+    docs, texts, values = [], [], []
+    for batch in batches:
+        for doc, text, count, found in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+            count = _whole(count)
+            docs.append(np.repeat(np.frombuffer(doc, np.int64), count))
+            texts.append(np.repeat(np.frombuffer(text, np.int64), count))
+            values.append(np.frombuffer(found, kind))
+    if not docs:
+        return
+    docs, texts, values = map(np.concatenate, (docs, texts, values))
+    order = np.lexsort((values, texts, docs))
+    docs, texts, values = docs[order], texts[order], values[order]
+    new = np.concatenate([[True], (docs[1:] != docs[:-1]) | (texts[1:] != texts[:-1])])
+    once = new | np.concatenate([[True], values[1:] != values[:-1]])
+    docs, texts, values, new = docs[once], texts[once], values[once], new[once]
+    first = np.flatnonzero(new)
+    found = np.split(values, first[1:])
+    for start in range(0, len(first), 5000):
+        at = first[start : start + 5000]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(docs[at]), pa.array(texts[at]), pa.array([x.tobytes() for x in found[start : start + 5000]], pa.binary())],
+            ["doc", "text_key", "found"],
+        )
+
+
+#: Bytes of text whose windows a task holds at once.
+_CHUNK = 8 << 20
+
+
+def _chunks(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        for a, b in slices(batch.column("text"), _CHUNK):
+            yield batch.slice(a, b - a)
+
+
+def _write_run(batches, window: int, gram: int, buckets: int):
+    for batch in _chunks(batches):
         docs = np.array(batch.column(0).to_pylist(), np.int64)
         prints, owners = [], []
         for a, b in slices(batch.column(1), 1 << 20):
@@ -92,38 +151,46 @@ def _write_run(batches, window: int, gram: int, buckets: int):
         last = np.append(first[1:], len(prints)) - 1
         shared = docs[owners[first]] != docs[owners[last]]  # two documents of this batch at least
         is_shared = np.repeat(shared, last - first + 1)
-        rows = [
-            (doc % buckets, None, None, None, int(docs[doc]), np.unique(own).tobytes())
-            for doc, own in _by_owner(owners[is_shared], prints[is_shared])
-        ]
-        # One entry for each fingerprint; the owner 2**32 - 1 says that several documents have it.
+        of = docs[owners[is_shared]]
+        rows = [(p, None, None, *rest) for p, *rest in _lists(of, np.zeros_like(of), prints[is_shared], buckets)]
+        # One entry for each fingerprint, with its owner or the mark that several documents have it.
         once = prints[first]
-        who = np.where(shared, 2**32 - 1, owners[first]).astype(np.uint32)
+        who = np.where(shared, _SHARED, owners[first]).astype(np.uint32)
         for bucket, at in _by_owner((once % _U(buckets)).astype(np.int64), np.arange(len(once))):
-            single = who[at] != 2**32 - 1
+            single = who[at] != _SHARED
             held, inner = np.unique(who[at][single], return_inverse=True)
-            own = np.full(len(at), 2**32 - 1, np.uint32)
+            own = np.full(len(at), _SHARED, np.uint32)
             own[single] = inner
-            rows.append((bucket, once[at].tobytes(), own.tobytes(), docs[held].tobytes(), None, None))
+            rows.append((bucket, once[at].tobytes(), _halves(own), docs[held].tobytes(), None, None, None))
         yield _table(_RUN_ARROW, rows)
 
 
-def _merge_runs(batches):
-    """(doc, found): fingerprints of a document that another one has as well."""
+_SEVERAL = -(2**62)
+
+
+def _entries(prints: bytes, owners: bytes, docs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of a run's bucket and the doc of each, or _SEVERAL."""
+    own, doc = _whole(owners), np.append(np.frombuffer(docs, np.int64), 0)
+    return np.frombuffer(prints, np.uint64), np.where(own == _SHARED, np.int64(_SEVERAL), doc[np.minimum(own, len(doc) - 1)])
+
+
+def _passed_on(batch: pa.RecordBatch, columns: list[int]) -> Iterator[pa.RecordBatch]:
+    """Rows that hold settled lists go on as they are."""
+    settled = batch.column(1).is_null()
+    if settled.true_count:
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(settled), *[batch.column(c).filter(settled) for c in columns]], schema=_LISTS_ARROW)
+
+
+def _merge_runs(batches, parts: int):
+    """Lists of the fingerprints of each document that another one has as well."""
     prints, owners = [], []
     for batch in batches:
-        known = batch.column(1).is_valid().to_pylist()
-        for i, valid in enumerate(known):
-            if not valid:
-                continue
-            p, o, d = (batch.column(c)[i].as_py() for c in (1, 2, 3))
-            o, d = np.frombuffer(o, np.uint32), np.append(np.frombuffer(d, np.int64), -1)
-            prints.append(np.frombuffer(p, np.uint64))
-            owners.append(np.where(o == 2**32 - 1, np.int64(-(2**62)), d[np.minimum(o, len(d) - 1)]))
-        direct = [not v for v in known]
-        if any(direct):
-            mask = pa.array(direct)
-            yield pa.RecordBatch.from_arrays([batch.column(4).filter(mask), batch.column(5).filter(mask)], ["doc", "found"])
+        for p, o, d in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            if p is not None:
+                found = _entries(p, o, d)
+                prints.append(found[0])
+                owners.append(found[1])
+        yield from _passed_on(batch, [3, 4, 5, 6])
     if not prints:
         return
     prints, owners = np.concatenate(prints), np.concatenate(owners)
@@ -131,16 +198,14 @@ def _merge_runs(batches):
     prints, owners = prints[order], owners[order]
     first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
     size = np.diff(np.append(first, len(prints)))
-    last = first + size - 1
-    shared = np.repeat((owners[first] != owners[last]) | (owners[first] == -(2**62)), size) & (owners != -(2**62))
-    rows = [(doc, own.tobytes()) for doc, own in _by_owner(owners[shared], prints[shared])]
-    for start in range(0, len(rows), 20_000):
-        docs, found = zip(*rows[start : start + 20_000])
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.binary())], ["doc", "found"])
+    shared = np.repeat((owners[first] != owners[first + size - 1]) | (owners[first] == _SEVERAL), size) & (owners != _SEVERAL)
+    of = owners[shared]
+    if len(of):
+        yield _table(_LISTS_ARROW, _lists(of, np.zeros_like(of), prints[shared], parts))
 
 
 def _mark_windows(batches, window: int, gram: int, buckets: int):
-    for batch in batches:
+    for batch in _chunks(batches):
         docs, keys = (np.array(batch.column(i).to_pylist(), np.int64) for i in (0, 1))
         parts = []
         for a, b in slices(batch.column(2), 1 << 20):
@@ -150,7 +215,7 @@ def _mark_windows(batches, window: int, gram: int, buckets: int):
             for i, found in enumerate(batch.column(3).slice(a, b - a).to_pylist()):
                 own = slice(bounds[i], bounds[i + 1])
                 if bounds[i] < bounds[i + 1]:
-                    prints = np.frombuffer(b"".join(found), np.uint64)
+                    prints = np.frombuffer(found, np.uint64)
                     wanted.append(bounds[i] + np.flatnonzero(np.isin(w.print[own], prints)))
             wanted = w.at[np.concatenate(wanted)] if wanted else np.empty(0, np.int64)
             if len(wanted):
@@ -164,54 +229,40 @@ def _mark_windows(batches, window: int, gram: int, buckets: int):
         new = np.concatenate([[True], (content[1:] != content[:-1]) | (check[1:] != check[:-1])])
         first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
         later = docs[owner] > docs[owner[first]]  # a smaller doc_id of this batch has the window
-        rows = [
-            (doc % buckets, *[None] * 6, int(docs[doc]), int(keys[doc]), found.tobytes())
-            for doc, found in _by_owner(owner[later], place[later])
-        ]
+        lists = _lists(docs[owner[later]], keys[owner[later]], place[later], buckets)
+        rows = [(part, None, None, None, *rest) for part, *rest in lists]
         content, check, place, owner = (x[~later] for x in (content, check, place, owner))
         for bucket, at in _by_owner((content % _U(buckets)).astype(np.int64), np.arange(len(content))):
-            at = at[np.argsort(owner[at], kind="stable")]
-            held, inner = np.unique(owner[at], return_inverse=True)
-            blobs = (content[at], check[at], place[at], inner.astype(np.uint32), docs[held], keys[held])
-            rows.append((bucket, *[x.tobytes() for x in blobs], None, None, None))
-        for start in range(0, len(rows), 20_000):
-            yield _table(_MARKS_ARROW, rows[start : start + 20_000])
+            at = at[np.lexsort((place[at], owner[at]))]
+            held, counts = np.unique(owner[at], return_counts=True)
+            rows.append(
+                (bucket, content[at].tobytes(), check[at].tobytes(), _halves(place[at]), docs[held].tobytes(), keys[held].tobytes(), _halves(counts), None)
+            )
+        yield _table(_MARKS_ARROW, rows)
 
 
-def _settle_windows(batches):
-    """(doc, text_key, found): first words of the windows that a document with a smaller doc_id has."""
-    names, parts = ["doc", "text_key", "found"], []
+def _settle_windows(batches, lists: int):
+    """Lists of the first words of each document's windows that a document with a smaller doc_id has."""
+    parts = []
     for batch in batches:
-        known = batch.column(1).is_valid().to_pylist()
-        for i, valid in enumerate(known):
-            if valid:
-                content, check, place, own, doc, key = (batch.column(c)[i].as_py() for c in range(1, 7))
-                own = np.frombuffer(own, np.uint32)
+        for content, check, place, doc, key, count in zip(*(batch.column(i).to_pylist() for i in range(1, 7))):
+            if content is not None:
+                count = _whole(count)
                 parts.append(
-                    (np.frombuffer(content, np.uint64), np.frombuffer(check, np.uint32), np.frombuffer(place, np.uint32),
-                     np.frombuffer(doc, np.int64)[own], np.frombuffer(key, np.int64)[own])
+                    (np.frombuffer(content, np.uint64), np.frombuffer(check, np.uint32), _whole(place),
+                     np.repeat(np.frombuffer(doc, np.int64), count), np.repeat(np.frombuffer(key, np.int64), count))
                 )
-        direct = [not v for v in known]
-        if any(direct):
-            mask = pa.array(direct)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in (7, 8, 9)], names)
+        yield from _passed_on(batch, [4, 5, 6, 7])
     if not parts:
         return
     content, check, place, doc, key = (np.concatenate(x) for x in zip(*parts))
+    del parts
     order = np.lexsort((doc, check, content))
-    content, check, place, doc, key = (x[order] for x in (content, check, place, doc, key))
+    content, check, doc = content[order], check[order], doc[order]
     new = np.concatenate([[True], (content[1:] != content[:-1]) | (check[1:] != check[:-1])])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    later = doc > doc[first]
-    place, doc, key = place[later], doc[later], key[later]
-    order = np.lexsort((key, doc))
-    place, doc, key = place[order], doc[order], key[order]
-    cuts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(doc) else np.empty(0, int)
-    rows = [(int(doc[a]), int(key[a]), p.tobytes()) for a, p in zip(cuts, np.split(place, cuts[1:]))] if len(doc) else []
-    for start in range(0, len(rows), 20_000):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows[start : start + 20_000]), (pa.int64(), pa.int64(), pa.binary()))], names
-        )
+    later = doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+    if later.any():
+        yield _table(_LISTS_ARROW, _lists(doc[later], key[order][later], place[order][later], lists))
 
 
 def _remove(batches, window: int):
@@ -222,7 +273,7 @@ def _remove(batches, window: int):
             n = len(words)
             if found:
                 step = np.zeros(n + 1, np.int64)
-                starts = np.unique(np.frombuffer(b"".join(found), np.uint32)).astype(np.int64)
+                starts = np.unique(np.frombuffer(b"".join(found), "<u4")).astype(np.int64)
                 np.add.at(step, starts, 1)
                 np.add.at(step, starts + window, -1)
                 gone = np.cumsum(step[:n]) > 0
@@ -242,7 +293,7 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, path: str | None = None, window: int = 13, gram: int = 5, buckets: int | None = None):
         self.spark, self.path, self.window, self.gram = spark, path or scratch(spark, "fingerprints"), window, gram
         self.partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.buckets = buckets or max(256, 4 * self.partitions)
+        self.buckets = buckets or self.partitions
         self.runs: list[str] = []
 
     def append(self, docs: DataFrame) -> None:
@@ -263,7 +314,9 @@ class FingerprintIndex:
 
     def matches(self) -> DataFrame:
         """(doc, found): for every document the fingerprints that other documents of any run have as well."""
-        return self._dealt().mapInArrow(_merge_runs, "doc long, found binary")
+        parts = self.partitions
+        lists = self._dealt().mapInArrow(lambda b: _merge_runs(b, parts), _LISTS)
+        return assembled(lists, parts, "<u8").select("doc", "found")
 
     def compact(self) -> None:
         """Merges all runs into one: for each bucket one sorted array without repeated entries."""
@@ -274,27 +327,29 @@ class FingerprintIndex:
         self.runs = [path]
 
 
+def assembled(lists: DataFrame, parts: int, kind: str) -> DataFrame:
+    return lists.repartition(parts, "part").mapInArrow(lambda b: _assemble(b, kind), "doc long, text_key long, found binary")
+
+
 def _compacted(batches):
     held: dict[int, list] = {}
     for batch in batches:
-        for bucket, p, o, d, doc, found in zip(*(c.to_pylist() for c in batch.columns)):
-            if p is None:
-                yield _table(_RUN_ARROW, [(bucket, p, o, d, doc, found)])
-                continue
-            o, d = np.frombuffer(o, np.uint32), np.append(np.frombuffer(d, np.int64), -1)
-            held.setdefault(bucket, []).append(
-                (np.frombuffer(p, np.uint64), np.where(o == 2**32 - 1, np.int64(-(2**62)), d[np.minimum(o, len(d) - 1)]))
-            )
+        settled = batch.column(1).is_null()
+        if settled.true_count:
+            yield batch.filter(settled)
+        for bucket, p, o, d in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if p is not None:
+                held.setdefault(bucket, []).append(_entries(p, o, d))
     for bucket, runs in held.items():
         prints, owners = (np.concatenate(x) for x in zip(*runs))
         order = np.lexsort((owners, prints))
         prints, owners = prints[order], owners[order]
         new = np.concatenate([[True], (prints[1:] != prints[:-1]) | (owners[1:] != owners[:-1])])
         prints, owners = prints[new], owners[new]
-        docs, inner = np.unique(owners[owners != -(2**62)], return_inverse=True)
-        own = np.full(len(prints), 2**32 - 1, np.uint32)
-        own[owners != -(2**62)] = inner
-        yield _table(_RUN_ARROW, [(bucket, prints.tobytes(), own.tobytes(), docs.tobytes(), None, None)])
+        docs, inner = np.unique(owners[owners != _SEVERAL], return_inverse=True)
+        own = np.full(len(prints), _SHARED, np.uint32)
+        own[owners != _SEVERAL] = inner
+        yield _table(_RUN_ARROW, [(bucket, prints.tobytes(), _halves(own), docs.tobytes(), None, None, None)])
 
 
 def remove_repeats(
@@ -323,16 +378,15 @@ def remove_repeats(
         part = source if low is None else source.filter(F.col("doc") >= low)
         index.append(part if high is None else part.filter(F.col("doc") < high))
     everything = source if history is None else source.unionByName(keyed(history))
-    proposed = index.matches().groupBy("doc").agg(F.collect_list("found").alias("found"))
-    window, gram, buckets = index.window, index.gram, index.buckets
+    window, gram, parts = index.window, index.gram, index.partitions
     # With the same columns on both ways, the exchange of the texts by doc is made once for this and for the removal.
-    by_doc = everything.repartition(index.partitions, "doc")
-    marked = by_doc.join(proposed, "doc").select("doc", "text_key", "text", "found", "doc_id")
-    marked = marked.mapInArrow(lambda b: _mark_windows(b, window, gram, buckets), _MARKS)
-    settled = marked.repartition(index.partitions, "bucket").mapInArrow(_settle_windows, "doc long, text_key long, found binary")
+    by_doc = everything.repartition(parts, "doc")
+    marked = by_doc.join(index.matches(), "doc").select("doc", "text_key", "text", "found", "doc_id")
+    marked = marked.mapInArrow(lambda b: _mark_windows(b, window, gram, parts), _MARKS)
+    settled = marked.repartition(parts, "bucket").mapInArrow(lambda b: _settle_windows(b, parts), _LISTS)
     # Grouped and joined by doc alone, so that the texts stay where they are; rows of one doc_id are told apart afterwards.
-    removed = settled.groupBy("doc").agg(F.collect_list(F.struct("text_key", "found")).alias("marks"))
-    joined = source.repartition(index.partitions, "doc").join(removed, "doc", "left")
+    removed = assembled(settled, parts, "<u4").groupBy("doc").agg(F.collect_list(F.struct("text_key", "found")).alias("marks"))
+    joined = source.repartition(parts, "doc").join(removed, "doc", "left")
     mine = F.filter("marks", lambda m: m["text_key"] == F.col("text_key"))
     joined = joined.withColumn("found", F.transform(mine, lambda m: m["found"]))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string, kept_text string"
