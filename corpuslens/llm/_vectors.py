@@ -23,19 +23,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-@lru_cache(maxsize=16)
-def _powers(base: int, size: int) -> np.ndarray:
-    out = np.ones(size, np.uint64)
-    done = 1
-    while done < size:
-        n = min(done, size - done)
-        out[done : done + n] = out[:n] * _U(pow(base, done, 1 << 64))
-        done += n
-    return out
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, size: int) -> np.ndarray:
-    return _powers(base, 1 << max(16, (size - 1).bit_length()))[:size]
+    """The first powers of ``base``; of each base only the longest array asked for is held."""
+    held = _POWERS.get(base)
+    if held is None or len(held) < size:
+        held = np.ones(max(1 << 16, size), np.uint64)
+        done = 1
+        while done < len(held):
+            n = min(done, len(held) - done)
+            held[done : done + n] = held[:n] * _U(pow(base, done, 1 << 64))
+            done += n
+        _POWERS[base] = held
+    return held[:size]
 
 
 @lru_cache(maxsize=4)
