@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -52,16 +54,23 @@ def ship(spark: SparkSession) -> None:
     context._corpuslens_shipped = True
 
 
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the system, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit("")).alias("text")
 
 
-def slices(column: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most so many bytes of text each, or of one row if that alone is longer."""
+def slices(column: pa.Array, most_bytes: int, most_rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most so many bytes of text and rows each, or of one row if that alone is longer."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     start = total = 0
     for row, size in enumerate(sizes.tolist()):
-        if row > start and total + size > most_bytes:
+        if row > start and (total + size > most_bytes or row - start >= most_rows):
             yield start, row
             start, total = row, 0
         total += size

@@ -118,7 +118,7 @@ def fit_language_model(labelled: DataFrame, most_per_language: int = 400, per_la
 
     def run(batches):
         for batch in batches:
-            for a, b in slices(batch.column(0), 1 << 20):
+            for a, b in slices(batch.column(0), 1 << 20, 512):
                 counts = trigram_counts(batch.column(0).slice(a, b - a))
                 sparse = [np.flatnonzero(x) for x in counts]
                 yield pa.RecordBatch.from_arrays(
@@ -148,7 +148,7 @@ def predict_language(docs: DataFrame, model: CentroidModel) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for a, b in slices(batch.column(1), 1 << 20):
+            for a, b in slices(batch.column(1), 1 << 20, 512):
                 texts = batch.column(1).slice(a, b - a)
                 names, score, rejected = model.predict(trigram_counts(texts))
                 known = [has_letter(x) for x in texts.to_pylist()]

@@ -162,7 +162,7 @@ def fit_quality(labelled: DataFrame, most_per_label: int = 2500) -> QualityNetwo
     def contexts(batches):
         total = np.zeros((_ROWS, _WIDTH), np.float32)
         for batch in batches:
-            for a, b in slices(batch.column(0), 1 << 20):
+            for a, b in slices(batch.column(0), 1 << 20, 512):
                 total += context_sums(batch.column(0).slice(a, b - a), index)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["sums"])
 
@@ -173,7 +173,7 @@ def fit_quality(labelled: DataFrame, most_per_label: int = 2500) -> QualityNetwo
 
     def features(batches):
         for batch in batches:
-            for a, b in slices(batch.column(0), 1 << 20):
+            for a, b in slices(batch.column(0), 1 << 20, 512):
                 x = pooled(batch.column(0).slice(a, b - a), vectors)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(2).slice(a, b - a), pa.array([r.tobytes() for r in x]), batch.column(1).slice(a, b - a)],
@@ -197,7 +197,7 @@ def score_quality(docs: DataFrame, model: QualityNetwork, threshold: float = 0.7
 
     def run(batches):
         for batch in batches:
-            for a, b in slices(batch.column(1), 1 << 20):
+            for a, b in slices(batch.column(1), 1 << 20, 512):
                 score = model.score(pooled(batch.column(1).slice(a, b - a), model.vectors))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(score.astype(float)), pa.array((score >= threshold).astype(np.int32))],
