@@ -154,7 +154,7 @@ def _search_block(index: pa.Table, queries: pa.Table, quantizer: Quantizer, keep
 
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 256, probes: int = 160, rerank: int = 200,
-    sample_rows: int = 16384, block_rows: int = 4096,
+    sample_rows: int = 16384, block_rows: int = 16384,
 ) -> DataFrame:
     """The ``k`` nearest rows of ``vectors`` (vec_id, v) to each of ``queries`` (query_id, v): query_id, rank, vec_id, score.
 
