@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm._common import ship, slices, table
+from corpuslens.llm._common import ship, slices, stored, table
 from corpuslens.llm._vectors import WHITE, Texts, mix
 from corpuslens.llm.language_id import bounded_sample, id_hash
 
@@ -150,14 +150,16 @@ def fit_network(vectors, features, labels, hidden: int = 32, epochs: int = 150,
     return model
 
 
-def fit_quality(labelled: DataFrame, most_per_label: int = 2500) -> QualityNetwork:
-    """Fits on a bounded sample of ``labelled`` (doc_id, text, quality 0 or 1): ``most_per_label`` whole texts of each."""
-    spark = labelled.sparkSession
+def fit_quality(docs: DataFrame, labels: DataFrame, most_per_label: int = 1000) -> QualityNetwork:
+    """Fits on a bounded sample of the texts of ``docs`` with ``labels`` (doc_id once, quality 0 or 1): ``most_per_label`` of
+    each label.  Ids are sampled before texts are read; twice as many ids as that bound are broadcast at most."""
+    spark = docs.sparkSession
     ship(spark)
     index = index_vectors()
-    sample = bounded_sample(labelled.filter(F.col("quality").isin(0, 1)), "quality", most_per_label)
-    sample = sample.select(F.coalesce("text", F.lit("")).alias("text"), F.col("quality").cast("int").alias("quality"), "doc_id")
-    sample = sample.repartition(4, "doc_id").sortWithinPartitions("doc_id", "text")
+    ids = bounded_sample(labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()), "quality", most_per_label)
+    ids = F.broadcast(stored(ids.select("doc_id", F.col("quality").cast("int").alias("quality")), "labelled"))
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").select("text", "quality", "doc_id")
+    sample = stored(sample.repartition(4, "doc_id").sortWithinPartitions("doc_id", "text"), "labelled-texts")
 
     def contexts(batches):
         total = np.zeros((_ROWS, _WIDTH), np.float32)
@@ -180,7 +182,7 @@ def fit_quality(labelled: DataFrame, most_per_label: int = 2500) -> QualityNetwo
                     ["doc_id", "x", "quality"],
                 )
 
-    kind = labelled.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = sample.mapInArrow(features, f"doc_id {kind}, x binary, quality int").collect()
     rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["x"]))
     width = pooled(pa.array([""]), vectors).shape[1]
@@ -211,6 +213,5 @@ def score_quality(docs: DataFrame, model: QualityNetwork, threshold: float = 0.7
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").filter(id_hash() % 4 != 2).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    learn = docs.select("doc_id", "text").join(labels, "doc_id")
-    found = score_quality(docs, fit_quality(learn))
+    found = score_quality(docs, fit_quality(docs, labels))
     return found.withColumn("held_out", F.coalesce(id_hash() % 4 == 2, F.lit(False)))

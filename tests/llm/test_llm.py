@@ -41,7 +41,7 @@ def docs(spark):
 
 def test_row_operators_keep_every_row(awkward, nothing):
     model = fit_language_model(awkward.filter("lang is not null"))
-    network = quality_classifier.fit_quality(awkward.selectExpr("doc_id", "text", "cast(doc_id % 2 as int) quality").filter("doc_id is not null"))
+    network = quality_classifier.fit_quality(awkward, awkward.selectExpr("doc_id", "cast(doc_id % 2 as int) quality").distinct())
     for f in (
         pii.detect_pii, pii.mask_pii, rate_quality, mixing.plan_mix, jaccard_join.jaccard_components, substring_dedup.remove_repeats,
         lambda d: predict_language(d, model), lambda d: quality_classifier.score_quality(d, network),
@@ -52,7 +52,7 @@ def test_row_operators_keep_every_row(awkward, nothing):
 
 def test_fitting_on_nothing(awkward, nothing):
     assert {r["lang_pred"] for r in predict_language(awkward, fit_language_model(nothing)).collect()} == {"und"}
-    network = quality_classifier.fit_quality(nothing.selectExpr("doc_id", "text", "1 quality"))
+    network = quality_classifier.fit_quality(nothing, nothing.selectExpr("doc_id", "1 quality"))
     assert all(0 <= r["score"] <= 1 for r in quality_classifier.score_quality(awkward, network).collect())
 
 
