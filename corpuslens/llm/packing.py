@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm._common import ship, slices, table, text_or_empty
+from corpuslens.llm._common import release, ship, slices, table, text_or_empty
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -122,7 +122,7 @@ def _pack(batches, capacity, window_sequences, end_id, vocabulary, linear, quadr
 
     for batch in batches:
         doc_ids, texts = batch.column(0), batch.column(1)
-        for a, b in slices(texts, 4 << 20):
+        for a, b in slices(texts, 1 << 20):
             out = []
             for d, ids in zip(doc_ids.slice(a, b - a).to_pylist(), encode(texts.slice(a, b - a).to_pylist())):
                 ids = np.array([*ids, end_id], np.uint32)
@@ -139,6 +139,7 @@ def _pack(batches, capacity, window_sequences, end_id, vocabulary, linear, quadr
                 found += flush(window_sequences)
             if found:
                 yield emit(found)
+        release()
     if held:
         yield emit(flush(-(-held_tokens // capacity)))
 
