@@ -5,10 +5,11 @@ call the provider for it, and its results are written before the next is admitte
 
 from __future__ import annotations
 
+import time as clock
 from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from datetime import datetime, time, timedelta
+from datetime import datetime, time, timedelta, timezone
 from zoneinfo import ZoneInfo
 
 import pandas as pd
@@ -52,9 +53,20 @@ class Limiter:
         self._recent.extend((now, tokens_each) for _ in range(requests))
         self._today += requests
 
-    def exhaust_day(self, now: datetime) -> None:
+    def report_429(self, axis: str, now: datetime) -> None:
+        """A refusal on the day's quota (rpd) ends the day; one on another is left to the window."""
         self._roll(now)
-        self._today = self.rpd
+        if axis == "rpd":
+            self._today = self.rpd
+
+    def wait_seconds(self, now: datetime) -> float:
+        """Until a request may be sent, as far as requests go."""
+        self._roll(now)
+        if self._today >= self.rpd:
+            return (self._resets - now).total_seconds()
+        if len(self._recent) >= self.rpm:
+            return (self._recent[len(self._recent) - self.rpm][0] + timedelta(seconds=60) - now).total_seconds()
+        return 0.0
 
 
 class Slots:
@@ -75,42 +87,52 @@ class Slots:
             left -= min(left, len(open_))
         return wanted - left
 
+    def wait_seconds(self, now: datetime) -> float:
+        return min((x.wait_seconds(now) for x in self.limiters), default=0.0)
+
 
-Provider = Callable[[str], tuple[str | None, int, int]]  # prompt -> (reply, or null if it failed; tokens in; tokens out)
+#: prompt -> (reply, or null if it failed; tokens in; tokens out; what went wrong, which may be left out)
+Provider = Callable[[str], tuple]
+RESULTS = "article_id string, success boolean, label string, confidence double, rationale string, raw_response string, error string, prompt_tokens long, output_tokens long, job_id string, called_at string"
 
 
 def call_provider(batch: DataFrame, provider: Provider, prompt: str, tasks: int = 2) -> DataFrame:
-    """(article_id, success, label, confidence, rationale, prompt_tokens, output_tokens): one call for each row."""
+    """Results without job_id and called_at: one call for each row."""
 
     def run(frames):
         for frame in frames:
             replies = [provider(x) for x in frame["prompt"]]
-            yield pd.DataFrame({"article_id": frame["article_id"], "reply": [r[0] for r in replies], "prompt_tokens": [r[1] for r in replies], "output_tokens": [r[2] for r in replies]})
+            yield pd.DataFrame({"article_id": frame["article_id"], "reply": [r[0] for r in replies], "prompt_tokens": [r[1] for r in replies], "output_tokens": [r[2] for r in replies], "error": [r[3] if len(r) > 3 else None for r in replies]})
 
     asked = F.concat(F.lit(prompt + "\n\n제목: "), F.coalesce("title", F.lit("")), F.lit("\n본문: "), F.coalesce("body_internal", F.lit("")))
-    answered = batch.select("article_id", asked.alias("prompt")).repartition(tasks).mapInPandas(run, "article_id string, reply string, prompt_tokens long, output_tokens long")
+    answered = batch.select("article_id", asked.alias("prompt")).repartition(tasks).mapInPandas(run, "article_id string, reply string, prompt_tokens long, output_tokens long, error string")
     parsed = answered.withColumn("x", parse_reply(F.col("reply")))
-    return parsed.select("article_id", F.col("reply").isNotNull().alias("success"), "x.label", "x.confidence", "x.rationale", "prompt_tokens", "output_tokens")
+    return parsed.select("article_id", F.col("reply").isNotNull().alias("success"), "x.label", "x.confidence", "x.rationale", F.col("reply").alias("raw_response"), "error", "prompt_tokens", "output_tokens")
 
 
 def classify(
     spark: SparkSession, articles: DataFrame, results_path: str, job_id: str, provider: Provider, slots: Slots, prompt: str,
-    now: Callable[[], datetime], tokens_each: int = 1000, progress: Callable[[int], None] | None = None,
+    now: Callable[[], datetime] = lambda: datetime.now(timezone.utc), tokens_each: int = 1000, progress: Callable[[int], None] | None = None,
+    sleep: Callable[[float], None] = clock.sleep,
 ) -> str:
-    """Writes results until nothing is pending (success) or no slot has room (cancelled).  Failed calls of this run aren't
-    repeated in it, but come again when the job is resumed."""
+    """Writes results until nothing is pending (success) or no slot has room (cancelled).  Where a slot has room again within the
+    hour, it is waited for, a minute at most, and asked once more.  Failed calls of this run aren't repeated in it, but come again
+    when the job is resumed."""
     from corpuslens.operators.store import pending
 
-    schema = "article_id string, success boolean, label string, confidence double, rationale string, prompt_tokens long, output_tokens long, job_id string"
-    spark.createDataFrame([], schema).write.mode("append").parquet(results_path)
-    todo = pending(articles, spark.read.schema(schema).parquet(results_path), job_id).cache()
+    spark.createDataFrame([], RESULTS).write.mode("append").parquet(results_path)
+    todo = pending(articles, spark.read.schema(RESULTS).parquet(results_path), job_id).cache()
     left, done = todo.count(), 0
     ordered = todo.orderBy("date", "article_id")
     while done < left:
         n = slots.admit(now(), left - done, tokens_each)
+        if not n and 0 < (wait := slots.wait_seconds(now())) < 3600:
+            sleep(min(wait + 1, 60))
+            n = slots.admit(now(), left - done, tokens_each)
         if not n:
             return "cancelled"
-        call_provider(ordered.offset(done).limit(n), provider, prompt).withColumn("job_id", F.lit(job_id)).write.mode("append").parquet(results_path)
+        answered = call_provider(ordered.offset(done).limit(n), provider, prompt)
+        answered.withColumns({"job_id": F.lit(job_id), "called_at": F.lit(now().isoformat())}).write.mode("append").parquet(results_path)
         done += n
         if progress:
             progress(done)

@@ -124,3 +124,9 @@ def in_range(articles: DataFrame, date_from: str | None = None, date_to: str | N
 
 def read_news_api(*_: object) -> DataFrame:
     raise NotImplementedError("search services are not available in this version")
+
+
+def read_raters(spark: SparkSession, first: str, second: str, key: str = "article_id", label: str = "label") -> DataFrame:
+    """(a, b): labels of two CSV files, matched by key; what only one of them has is left out."""
+    one, two = (spark.read.csv(p, header=True, multiLine=True, escape='"', inferSchema=False).select(F.col(key).alias("key"), F.col(label).alias(n)) for p, n in ((first, "a"), (second, "b")))
+    return one.join(two, "key").select("a", "b")

@@ -73,8 +73,9 @@ def test_quota_and_resume(spark, tmp_path):
     assert limiter.room(at, 10) == 0 and limiter.room(at + timedelta(seconds=61), 10) == 1
     schema = "article_id string, date string, title string, body_internal string"
     articles = spark.createDataFrame([(str(i), "d", "t", "b") for i in range(5)], schema)
-    run = lambda slots: classify(spark, articles, str(tmp_path / "r"), "j", lambda p: ('{"label": "x"}', 1, 1), slots, "p", lambda: at)
-    assert run(Slots([Limiter(rpm=2), Limiter(rpm=1)])) == "cancelled"
+    run = lambda slots: classify(spark, articles, str(tmp_path / "r"), "j", lambda p: ('{"label": "x"}', 1, 1), slots, "p", lambda: at, sleep=waited.append)
+    waited = []
+    assert run(Slots([Limiter(rpm=2), Limiter(rpm=1)])) == "cancelled" and waited == [60]
     assert run(Slots([Limiter()])) == "success"
     assert spark.read.parquet(str(tmp_path / "r")).groupBy("article_id").count().filter("count = 1").count() == 5
 

@@ -1,0 +1,135 @@
+"""A project from ingest to package, and the settings and providers around it."""
+
+import codecs
+from datetime import datetime, timedelta, timezone
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpuslens.operators.classify import Limiter, Slots
+from corpuslens.operators.projects import IngestParams, Label, LabelSchema, Projects
+from corpuslens.sources import files, providers, settings
+
+ROWS = """title,date,body,publisher,keywords,url
+First title here,20240101,<p>A body that is long enough to stay</p>,P1,"a, b",u1
+First title here!,20240101,Another body that is long enough,P2,a,u2
+[AD] Buy,2024-01-02,A body that is long enough to stay,P1,c,u3
+Short,2024-01-03,tiny,,c,u4
+Last one,2024-02-01,A body that is long enough to stay too,P2,,u5
+"""
+
+
+@pytest.fixture(scope="module")
+def project(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("projects")
+    (folder / "in.csv").write_text(ROWS)
+    projects = Projects(spark, str(folder / "root"))
+    assert len(projects.init()) == 7 and projects.init() == [] and projects.missing() == []
+    projects.put_project("p", "A name")
+    return projects, folder
+
+
+def test_project_from_ingest_to_package(project):
+    projects, folder = project
+    made = projects.get("projects", "p")["created_at"]
+    projects.put_project("p", "Renamed")
+    assert projects.get("projects", "p")["created_at"] == made and projects.get("projects", "p")["name"] == "Renamed"
+    assert projects.status("p")["step"] == 0
+    ingest = lambda **x: projects.get("ingest_runs", projects.run_ingest(IngestParams("p", **x)))
+    first = ingest(source="csv", input_path=str(folder / "in.csv"), date_to="2024-01-31")
+    assert (first["status"], first["raw_count"], first["in_range_count"], first["inserted_count"]) == ("success", 5, 4, 4)
+    again = ingest(source="csv", input_path=str(folder / "in.csv"))
+    assert (again["in_range_count"], again["inserted_count"]) == (5, 1)
+    assert ingest(source="news_search", input_path="x")["status"] == "failed" and ingest(source="nothing", input_path="x")["status"] == "failed"
+    assert projects.status("p")["step"] == 1 and projects.articles("p").select("ingest_seq").distinct().count() == 5
+
+    run = projects.get("clean_runs", projects.run_clean("p"))
+    assert [run[c] for c in ("input_count", "output_count", "dedup_primary", "dedup_fallback", "dropped_short", "dropped_advert", "dropped_other")] == [5, 2, 0, 1, 1, 1, 0]
+    assert projects.get("clean_runs", projects.run_clean("p"))["input_count"] == 2 and projects.articles("p").count() == 5
+    kept = projects.articles("p", active_only=True)
+    assert {r["body_internal"] for r in kept.collect()} == {"A body that is long enough to stay", "A body that is long enough to stay too"}
+
+    with pytest.raises(ValueError, match="label_schemas"):
+        projects.put_prompt("v", "s", "Classify.")
+    schema = LabelSchema("s", "S", "single_label", [Label("yes", "fits", ["x"]), Label("no")])
+    projects.put("label_schemas", **schema.row())
+    assert LabelSchema.of(projects.get("label_schemas", "s")) == schema
+    with pytest.raises(ValueError):
+        LabelSchema("s", "S", "other", [])
+    projects.put_prompt("v", "s", "Classify.")
+    at = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    answer = lambda prompt: ('{"label": "yes"}', 100, 20, None)
+    job = projects.run_job("p", "s", "v", "gemini", "m-flash", answer, Slots([Limiter()]), now=lambda: at)
+    row = projects.get("llm_jobs", job)
+    assert (row["status"], row["n_processed"], row["n_errors"], row["prompt_tokens"], row["candidates_tokens"]) == ("success", 2, 0, 200, 40)
+    assert abs(row["estimated_cost_usd"] - (200 * 0.15 + 40 * 0.6) / 1e6) < 1e-12
+    assert projects.status("p") == {"ingest": "done", "clean": "done", "classify": "done", "analyse": "pending", "step": 3}
+
+    found = projects.analyse("p", job, str(folder / "out"))
+    assert [tuple(r) for r in found.monthly.collect()] == [("2024-01", 1), ("2024-02", 1)]
+    assert [tuple(r) for r in found.labels_monthly.collect()] == [("2024-01", "yes", 1), ("2024-02", "yes", 1)]
+    assert found.descriptive.head()["total"] == 5 and found.by_publisher.agg(F.sum("n")).head()[0] == 2
+    assert projects.status("p")["step"] == 4 and projects.counts("p") == {"total": 5, "active": 2, "classified": 2, "artifacts": 2}
+    assert projects.activity("p").head()["kind"] == "classify" and projects.history("ingest_runs", "p").count() == 4
+    assert "body_internal" not in projects.spark.read.parquet(str(folder / "out" / "articles.parquet")).columns
+
+    projects.export_package("p", str(folder / "p.zip"), str(folder / "work"))
+    other = Projects(projects.spark, str(folder / "other"))
+    other.init()
+    assert other.import_package(str(folder / "p.zip"), str(folder / "unpacked"), "q", "New") == {"project_id": "q", "articles": 5, "warnings": []}
+    assert other.get("projects", "q")["name"] == "New" and other.articles("q").filter("project_id <> 'q'").isEmpty()
+
+
+def test_rows_are_checked(project):
+    projects, _ = project
+    for row in ({"project_id": "x"}, {"project_id": "p", "colour": 1}):
+        with pytest.raises(ValueError):
+            projects.put("projects", **row)
+    assert projects.get("projects", "x") is None
+
+
+def test_job_that_fails_is_marked(project):
+    projects, _ = project
+    projects.put("label_schemas", **LabelSchema("s2", "S", "multi_label", []).row())
+    projects.put_prompt("v2", "s2", "x")
+    with pytest.raises(ZeroDivisionError):
+        projects.run_job("p", "s2", "v2", "gemini", "m", lambda p: ("x", 1, 1), Slots([Limiter()]), job_id="bad", now=lambda: 1 / 0)
+    assert projects.get("llm_jobs", "bad")["status"] == "failed"
+
+
+def test_waiting():
+    at = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    limiter = Limiter(rpm=1, rpd=2)
+    assert limiter.wait_seconds(at) == 0
+    limiter.record(at, 1, 10)
+    assert limiter.wait_seconds(at + timedelta(seconds=20)) == 40
+    limiter.report_429("rpm", at)
+    limiter.report_429("rpd", at)
+    assert limiter.wait_seconds(at) == 8 * 3600
+
+
+def test_answers():
+    good = b'{"candidates": [{"content": {"parts": [{"text": "x"}]}}], "usageMetadata": {"promptTokenCount": 3}}'
+    assert providers.answer_of(200, good) == ("x", 3, 0, None)
+    assert [providers.answer_of(*x)[3] for x in ((429, b""), (500, b""), (200, b"{}"))] == ["rate_limit_429", "http_500", "no_candidates"]
+    assert providers.provider("gemini", "http://127.0.0.1:9/", "k")("p")[0] is None
+    with pytest.raises(ValueError):
+        providers.provider("other")
+
+
+def test_settings(tmp_path):
+    file = tmp_path / ".env"
+    assert settings.read_settings(file) == {}
+    file.write_bytes(codecs.BOM_UTF8 + b"# no\nA = 'b'\nGEMINI_KEY_1=old\nGEMINI_KEY_9=x\n")
+    assert settings.read_settings(file)["A"] == "b" and settings.read_keys(file) == {1: "old"}
+    settings.save_keys(file, {2: "new", 3: " "})
+    assert settings.read_keys(file) == {2: "new"} and settings.read_settings(file)["A"] == "b"
+    file.write_bytes("A=b".encode("utf-16"))
+    assert settings.read_settings(file) == {"A": "b"}
+
+
+def test_raters(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("article_id,label\n1,x\n2,y\n3,x\n")
+    (tmp_path / "b.csv").write_text("article_id,label\n2,y\n1,z\n")
+    found = files.read_raters(spark, str(tmp_path / "a.csv"), str(tmp_path / "b.csv"))
+    assert sorted(map(tuple, found.collect())) == [("x", "z"), ("y", "y")]
