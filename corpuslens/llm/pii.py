@@ -145,10 +145,6 @@ def masked(text: str, spans: list[tuple]) -> str:
     return "".join([*out, text[free:]])
 
 
-
-    return to_arrow_type(kind)
-
-
 def _has_proposal(text: str) -> bool:
     return "@" in text or _DIGIT.search(text) is not None
 
