@@ -91,6 +91,19 @@ def week_of(date: Column) -> Column:
     return F.concat(F.substring(date, 1, 4), F.lit("-W"), F.coalesce(F.lpad(number.cast("string"), 2, "0"), F.lit("00")))
 
 
+def next_reset(at: Column, zone: str = "America/Los_Angeles") -> Column:
+    """The first midnight of ``zone`` after ``at``; both are wall clock times in UTC."""
+    local = F.to_date(F.from_utc_timestamp(at, zone))
+    return F.to_utc_timestamp(F.date_add(local, 1).cast("timestamp"), zone)
+
+
+def escape_html(c: Column) -> Column:
+    out = empty(c)
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
 def mask_key(c: Column) -> Column:
     shown = F.least(F.lit(4), F.floor(F.length(c) / 4).cast("int"))
     long = F.concat(F.substring(c, F.lit(1), shown), F.lit("****"), F.right(c, F.lit(2)))
@@ -104,6 +117,20 @@ def cost_usd(model: Column, prompt: Column, output: Column) -> Column:
     return F.when(F.lower(model).contains("flash"), flash).otherwise(other)
 
 
+_ANSWER = "candidates array<struct<content: struct<parts: array<struct<text: string>>>>>, usageMetadata struct<promptTokenCount: long, candidatesTokenCount: long>"
+
+
+def extract_answer(c: Column) -> Column:
+    """The first candidate's text and the token counts of a provider's raw JSON answer; without a candidate the text is null."""
+    found = F.from_json(c, _ANSWER)
+    first = F.get(found["candidates"], F.lit(0))
+    usage = lambda name: F.coalesce(found["usageMetadata"][name], F.lit(0)).alias
+    return F.struct(
+        F.when(first.isNotNull(), empty(F.get(first["content"]["parts"], F.lit(0))["text"])).alias("text"),
+        usage("promptTokenCount")("prompt_tokens"), usage("candidatesTokenCount")("output_tokens"),
+    )
+
+
 _REPLY = "label string, classification string, category string, confidence string, rationale string, reason string, explanation string"
 
 

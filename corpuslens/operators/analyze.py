@@ -35,6 +35,25 @@ def period_counts(df: DataFrame, period: Column) -> DataFrame:
     return df.groupBy(period.alias("period")).agg(F.count("*").alias("n")).orderBy("period")
 
 
+def label_periods(labelled: DataFrame, period: Column) -> DataFrame:
+    """(period, label, n) of articles with labels; null and empty labels are one."""
+    return labelled.groupBy(period.alias("period"), t.or_unknown(F.col("label")).alias("label")).agg(F.count("*").alias("n")).orderBy("period", "label")
+
+
+def progress(calls: DataFrame, job: str, order: list[str]) -> DataFrame:
+    """Adds what each job had processed, and got wrong, with each of its calls, and how many percent of all this was."""
+    so_far = Window.partitionBy(job).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    done = calls.withColumn("processed", F.count("*").over(so_far)).withColumn("errors", F.count_if(~F.col("success")).over(so_far))
+    return done.withColumn("percent", 100 * F.col("processed") / F.count("*").over(Window.partitionBy(job)))
+
+
+def overview(articles: DataFrame, results: DataFrame) -> DataFrame:
+    """total, active and classified: articles, active ones, and results on these articles; one row."""
+    counts = articles.agg(F.count("*").alias("total"), F.count_if("is_active").alias("active")).withColumn("one", F.lit(1))
+    known = results.join(articles.select("article_id"), "article_id", "left_semi").agg(F.count("*").alias("classified"))
+    return counts.join(known.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 def cross_tab(df: DataFrame, row: Column, column: Column) -> DataFrame:
     """Long form with zeros: every row label with every column label that occurs.  Both label sets are small by nature."""
     counts = df.groupBy(row.alias("row_label"), column.alias("col_label")).agg(F.count("*").alias("n"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import text as t
 from corpuslens.operators import analyze, clean, store
-from corpuslens.operators.classify import Provider, Slots, classify
+from corpuslens.operators.classify import RESULTS, Provider, Slots, classify
 from corpuslens.sources import exports, files
 
 SCHEMA_VERSION = "1.0"
@@ -274,7 +274,7 @@ class Projects:
         if job_id:
             labelled = self.results(job_id).filter("success").select("article_id", "label").join(live.select("article_id", "date", "publisher"), "article_id")
             label = t.or_unknown(F.col("label"))
-            found["labels_monthly"] = labelled.groupBy(month.alias("period"), label.alias("label")).agg(F.count("*").alias("n")).orderBy("period", "label")
+            found["labels_monthly"] = analyze.label_periods(labelled, month)
             found["by_publisher"] = analyze.cross_tab(labelled, label, t.or_unknown(F.col("publisher")))
             found["by_month"] = analyze.cross_tab(labelled, label, month)
         if output:
@@ -308,11 +308,10 @@ class Projects:
     def counts(self, project_id: str) -> dict[str, int]:
         """Articles, active ones, results on this project's articles, and artifacts."""
         articles = self.articles(project_id)
-        total = articles.agg(F.count("*").alias("total"), F.count_if("is_active").alias("active")).head()
         jobs = [r["job_id"] for r in self.table("llm_jobs").filter(F.col("project_id") == project_id).select("job_id").collect()]
         paths = [f"{self.root}/llm_results/{j}" for j in jobs if "_SUCCESS" in self._list(f"llm_results/{j}")]
-        classified = self.spark.read.parquet(*paths).join(articles, "article_id", "left_semi").count() if paths else 0
-        return {"total": total["total"], "active": total["active"], "classified": classified, "artifacts": self.table("artifacts").filter(F.col("project_id") == project_id).count()}
+        results = self.spark.read.parquet(*paths) if paths else self.spark.createDataFrame([], RESULTS)
+        return analyze.overview(articles, results).head().asDict() | {"artifacts": self.table("artifacts").filter(F.col("project_id") == project_id).count()}
 
     def history(self, name: str, project_id: str) -> DataFrame:
         return self.table(name).filter(F.col("project_id") == project_id).orderBy(F.desc("started_at"))

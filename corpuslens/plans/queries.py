@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import text as t
 from corpuslens.operators import analyze, clean, stats, store
+from corpuslens.sources import files
 
 _FOUND: dict = {}
 _SQL: dict[str, str] = {}
@@ -321,6 +322,74 @@ def upsert_latest(spark, sf_dir):
     return merged.withColumn("updated_at", F.col("updated_at.ts"))
 
 
+@query(f"""WITH {ARTICLES}, {RESULTS} SELECT substr(date, 1, 7) AS period, coalesce(nullif(label, ''), 'unknown') AS label, count(*) AS n
+ FROM results JOIN articles USING (article_id) GROUP BY 1, 2""")
+def label_months(spark, sf_dir):
+    return analyze.label_periods(_labelled(spark, sf_dir), t.month_of(F.col("date")))
+
+
+_RAW_DATE = "CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN replace({d}, '-', '/') WHEN 2 THEN replace({d}, '-', '') WHEN 3 THEN concat(' ', {d}) ELSE 'n.d.' END"
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 4 THEN 'n.d.' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date FROM orders")
+def normalize_dates(spark, sf_dir):
+    raw = F.expr(_RAW_DATE.format(d="date_format(o_orderdate, 'yyyy-MM-dd')"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", t.normalize_date(raw).alias("date"))
+
+
+@query("SELECT c_custkey, CASE WHEN length(c_name) < 8 THEN '****' ELSE substr(c_name, 1, least(4, length(c_name) // 4)) || '****' || right(c_name, 2) END AS masked FROM customer")
+def mask_keys(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select("c_custkey", t.mask_key(F.col("c_name")).alias("masked"))
+
+
+@query("""SELECT page_id, replace(replace(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS escaped FROM pages""")
+def escape_pages(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", t.escape_html(F.col("html")).alias("escaped"))
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(concat(p_name, ', ', p_brand, ',, ', p_type), ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS words FROM part")
+def keyword_parse(spark, sf_dir):
+    joined = F.concat("p_name", F.lit(", "), "p_brand", F.lit(",, "), "p_type")
+    return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(t.keywords(joined), "|").alias("words"))
+
+
+@query("SELECT event_id, strftime(date_trunc('day', ts - INTERVAL 8 HOUR) + INTERVAL 32 HOUR, '%Y-%m-%d %H:%M:%S') AS resets FROM events")
+def quota_resets(spark, sf_dir):
+    """The events are of one winter month, in which the zone is eight hours behind."""
+    resets = t.next_reset(F.col("ts").cast("timestamp"))
+    return _table(spark, sf_dir, "events").select("event_id", F.date_format(resets, "yyyy-MM-dd HH:mm:ss").alias("resets"))
+
+
+_ANSWERS = """CASE WHEN turn % 3 = 2 THEN '{"candidates": []}' ELSE concat('{"candidates": [{"content": {"parts": [{"text": "t', conv_id, '"}]}}], "usageMetadata": {"promptTokenCount": ', turn, '}}') END"""
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN concat('t', conv_id) END AS text, CASE WHEN turn % 3 < 2 THEN turn ELSE 0 END AS prompt_tokens, CAST(0 AS BIGINT) AS output_tokens FROM conversations""")
+def answer_extraction(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").withColumn("x", t.extract_answer(F.expr(_ANSWERS)))
+    return rows.select("conv_id", "turn", "x.text", "x.prompt_tokens", "x.output_tokens")
+
+
+@query(f"""WITH x AS ({_CALLS.replace('SELECT ', 'SELECT turn, ', 1)}) SELECT model AS job_id, conv_id, turn, count(*) OVER w AS processed, count(*) FILTER (NOT success) OVER w AS errors,
+ 100 * (count(*) OVER w) / CAST(count(*) OVER (PARTITION BY model) AS DOUBLE) AS percent FROM x WINDOW w AS (PARTITION BY model ORDER BY conv_id, turn ROWS UNBOUNDED PRECEDING)""")
+def job_progress(spark, sf_dir):
+    _table(spark, sf_dir, "conversations").createOrReplaceTempView("conversations")
+    calls = spark.sql(_CALLS.replace("SELECT ", "SELECT turn, ", 1)).withColumnRenamed("model", "job_id")
+    return analyze.progress(calls, "job_id", ["conv_id", "turn"]).select("job_id", "conv_id", "turn", "processed", "errors", "percent")
+
+
+@query(f"WITH {ARTICLES} SELECT article_id, date FROM articles WHERE date BETWEEN '2024-03-01' AND '2024-06-30' AND trim(title) <> ''")
+def ingest_in_range(spark, sf_dir):
+    rows = articles(spark, sf_dir).filter(t.strip(F.col("title")) != "").withColumn("undated_kept", F.lit(True))
+    return files.in_range(rows, "2024-03-01", "2024-06-30").select("article_id", "date")
+
+
+@query(f"""WITH {ARTICLES}, {RESULTS} SELECT (SELECT count(*) FROM articles) AS total, (SELECT count(*) FROM articles WHERE is_active) AS active,
+ (SELECT count(*) FROM results WHERE article_id IN (SELECT article_id FROM articles)) AS classified""")
+def project_counts(spark, sf_dir):
+    found = articles(spark, sf_dir)
+    return analyze.overview(found, results(spark, sf_dir))
+
+
 def queries() -> dict:
     return dict(_FOUND)
 
