@@ -40,8 +40,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch, where the session sets no other limit: long texts otherwise make batches of up to 64 MB, held
+#: by the executor's JVM and by the Python worker at once.
+_BATCH_BYTES = 8_000_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once, so that Python workers can import it whatever their path."""
+    """Sends this package to the executors once, so that Python workers can import it whatever their path, and bounds the
+    batches that they get."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) is None:
+        spark.conf.set(limit, str(_BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_corpuslens_shipped", False):
         return
