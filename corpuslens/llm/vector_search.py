@@ -5,7 +5,8 @@ byte for each slice of the vector.  A query looks through the lists nearest to i
 (unquantised) residual to all code words; the best by these sums are ranked anew by exact distance in double precision.
 
 Lists are cut into blocks of bounded size, so that a list with a third of all rows is many blocks; each block passes on
-a bounded number of candidates per query before anything is shuffled by query."""
+a bounded number of candidates per query before anything is shuffled by query.  Queries are dealt to chunks of bounded
+size as well: a task meets one block of rows with one chunk of queries."""
 
 from __future__ import annotations
 
@@ -154,13 +155,13 @@ def _search_block(index: pa.Table, queries: pa.Table, quantizer: Quantizer, keep
 
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 256, probes: int = 160, rerank: int = 200,
-    sample_rows: int = 16384, block_rows: int = 16384,
+    sample_rows: int = 16384, block_rows: int = 16384, chunk_queries: int = 16384,
 ) -> DataFrame:
     """The ``k`` nearest rows of ``vectors`` (vec_id, v) to each of ``queries`` (query_id, v): query_id, rank, vec_id, score.
 
     The quantizer is fitted on a sample of about ``sample_rows`` rows; every usable row is indexed.  A query looks through
     its ``probes`` nearest lists and as many more as hold ``rerank`` rows, so that it gets all candidates where
-    there are fewer than ``k``.  Vectors null, zero, of another length than most, or with null or non-finite components
+    there are fewer than ``k``.  A task holds about ``block_rows`` codes and ``chunk_queries`` queries.  Vectors null, zero, of another length than most, or with null or non-finite components
     take no part, neither do null ids; a query's own id isn't a candidate; of repeated ids each query and candidate
     counts once.  Ties go to the smaller id.  An empty table gives no rows."""
     spark = vectors.sparkSession
@@ -206,11 +207,17 @@ def search(
 
     asked = usable(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("v").cast("array<double>").alias("v")), "v")
     asked = asked.filter(F.col("query_id").isNotNull() & (F.size("v") == width)).groupBy("query_id").agg(F.min("v").alias("v"))
+    chunks = max(1, -(-asked.count() // chunk_queries))
     sent = asked.mapInArrow(choose, "query_id long, v array<double>, block int, probes array<int>")
+    sent = sent.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
     of_list = F.create_map(*[F.lit(x) for at, b in blocks.items() for x in (at, b[0])])
     parts = F.create_map(*[F.lit(x) for at, b in blocks.items() for x in (at, len(b))])
     placed = index.withColumn("block", (of_list[F.col("list")] + F.pmod(F.xxhash64("vec_id"), parts[F.col("list")]).cast("int")).cast("int"))
-    found = placed.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(
+    if chunks > 1:
+        placed = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    else:
+        placed = placed.withColumn("chunk", F.lit(0))
+    found = placed.groupBy("block", "chunk").cogroup(sent.groupBy("block", "chunk")).applyInArrow(
         lambda a, b: _search_block(a, b, quantizer, rerank), "query_id long, vec_id long, estimate double"
     )
     best = F.row_number().over(Window.partitionBy("query_id").orderBy("estimate", "vec_id"))

@@ -235,6 +235,10 @@ def test_vector_search(spark):
         order = [i for i in np.lexsort((ids, apart)) if ids[i] != query][:10]
         hits += [len(set(ids[order]) & set(group["vec_id"])) / 10]
     assert np.mean(hits) >= 0.9
+    some = spark.read.parquet(f"{DATA}/embeddings.parquet").selectExpr("vec_id", "embedding v")
+    asked = some.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    whole, dealt = ({tuple(r) for r in vector_search.search(some, asked, chunk_queries=n).collect()} for n in (16384, 7))
+    assert whole == dealt and len({r[0] for r in whole}) > 7
     odd = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [2.0, 0.0]), (6, [2.0, 0.0]), (7, [1.0]), (None, [1.0, 1.0])]
     rows = spark.createDataFrame(odd, "vec_id long, v array<float>")
     got = vector_search.search(rows, rows.withColumnRenamed("vec_id", "query_id").filter("query_id < 5")).collect()
