@@ -90,17 +90,17 @@ def _titles(spark, sf_dir):
     return articles(spark, sf_dir).select(F.col("ingest_seq").alias("id"), (F.col("ingest_seq") % 30).cast("string").alias("block"), F.col("ingest_seq").alias("seq"), "title")
 
 
-_GREEDY = f"""WITH RECURSIVE {ARTICLES}, titles AS (SELECT ingest_seq AS id, ingest_seq % 30 AS block, lower({_NORMAL.format('title')}) AS x FROM articles),
+_GREEDY = f"""titles AS (SELECT id, block, lower({_NORMAL.format('title')}) AS x FROM candidates),
 grams AS (SELECT id, block, CASE WHEN x = '' THEN [] WHEN length(x) < 3 THEN [x] ELSE list_distinct(list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3))) END AS g FROM titles),
 links AS (SELECT a.id AS early, b.id AS late FROM grams a JOIN grams b ON a.block = b.block AND a.id < b.id
  WHERE len(a.g) > 0 AND len(b.g) > 0 AND len(list_intersect(a.g, b.g)) / CAST(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)) AS DOUBLE) >= 0.85),
 lists AS (SELECT g.id, g.block, coalesce(list(l.early) FILTER (l.early IS NOT NULL), []) AS before, row_number() OVER (PARTITION BY g.block ORDER BY g.id) AS rn FROM grams g LEFT JOIN links l ON l.late = g.id GROUP BY g.id, g.block),
 scan AS (SELECT block, rn, CASE WHEN true THEN [id] END AS kept FROM lists WHERE rn = 1
- UNION ALL SELECT l.block, l.rn, CASE WHEN len(list_intersect(s.kept, l.before)) > 0 THEN s.kept ELSE list_append(s.kept, l.id) END FROM scan s JOIN lists l ON l.block = s.block AND l.rn = s.rn + 1)
-SELECT unnest(kept) AS id FROM scan s WHERE rn = (SELECT max(rn) FROM lists l WHERE l.block = s.block)"""
+ UNION ALL SELECT l.block, l.rn, CASE WHEN len(list_intersect(s.kept, l.before)) > 0 THEN s.kept ELSE list_append(s.kept, l.id) END FROM scan s JOIN lists l ON l.block = s.block AND l.rn = s.rn + 1),
+greedy AS (SELECT unnest(kept) AS id FROM scan s WHERE rn = (SELECT max(rn) FROM lists l WHERE l.block = s.block))"""
 
 
-@query(_GREEDY)
+@query(f"WITH RECURSIVE {ARTICLES}, candidates AS (SELECT ingest_seq AS id, ingest_seq % 30 AS block, title FROM articles), {_GREEDY} SELECT id FROM greedy")
 def fuzzy_dedup(spark, sf_dir):
     return clean.fuzzy_kept(_titles(spark, sf_dir))
 
@@ -115,7 +115,11 @@ def filter_disposition(spark, sf_dir):
     return docs.select("doc_id", F.coalesce(clean.filter_reason(F.col("title"), F.col("text"), 400), F.lit("kept")).alias("disposition"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {ARTICLES}, live AS (SELECT *, {_NORMAL.format("regexp_replace(coalesce(body_internal, ''), '<[^>]+>', '', 'g')")} AS body, row_number() OVER
+ (PARTITION BY lower({_STRIP.format('title')}), date, lower({_STRIP.format('publisher')}) ORDER BY ingest_seq) AS place FROM articles WHERE is_active),
+candidates AS (SELECT ingest_seq AS id, date AS block, title FROM live WHERE place = 1), {_GREEDY}
+ SELECT CASE WHEN place > 1 THEN 'dup_primary' WHEN ingest_seq NOT IN (SELECT id FROM greedy) THEN 'dup_fallback' WHEN {_STRIP.format('title')} = '' THEN 'no_title' WHEN length({_STRIP.format('body')}) < 20 THEN 'short'
+ WHEN regexp_matches(title || ' ' || body, '(?i)\\[(광고|AD|스폰서|Sponsored)\\]') THEN 'advert' ELSE 'kept' END AS disposition, count(*) AS n FROM live GROUP BY 1""")
 def clean_pipeline(spark, sf_dir):
     return clean.dispositions(articles(spark, sf_dir)).groupBy("disposition").agg(F.count("*").alias("n"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -22,19 +23,43 @@ ARCHIVE_HEADINGS = {
 }
 
 
-def encoding_of(spark: SparkSession, path: str) -> str:
-    """From the byte order mark of the first file; UTF-8 without one.  Spark takes the mark off itself."""
-    head = spark.read.format("binaryFile").load(path).select(F.hex(F.substring("content", 1, 3)).alias("h")).limit(1).collect()
-    mark = head[0]["h"] if head else ""
-    return "UTF-16LE" if mark.startswith("FFFE") else "UTF-16BE" if mark.startswith("FEFF") else "UTF-8"
+#: Bytes of a file that are read to find its encoding and headings.
+_HEAD_BYTES = 1 << 16
+# Byte order marks; what has none is UTF-8.
+_MARKS = ((b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE"), (b"\xef\xbb\xbf", "UTF-8"))
+
+
+def _head(spark: SparkSession, file: str) -> bytes:
+    """The first bytes of a file, whatever file system it is on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        return bytes(stream.readNBytes(_HEAD_BYTES))
+    finally:
+        stream.close()
+
+
+def format_of(head: bytes) -> tuple[str, tuple[str, ...] | None]:
+    """Encoding by the byte order mark, and the headings; None where they don't end within what was read."""
+    mark, encoding = next((x for x in _MARKS if head.startswith(x[0])), (b"", "UTF-8"))
+    text = head[len(mark) :].decode(encoding, "ignore")
+    rows = csv.reader(io.StringIO(text, newline=""))
+    headings = next(rows, [])
+    ended = len(head) < _HEAD_BYTES or next(rows, None) is not None
+    return encoding, tuple(headings) if ended else None
 
 
 def read_csv(spark: SparkSession, path: str, columns: dict[str, str] | None = None) -> DataFrame:
-    """Strings alone: nothing is inferred.  Files with other headings are read one by one and matched by name."""
-    files = [r["path"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path").orderBy("path").collect()]
+    """Strings alone: nothing is inferred.  Files of one encoding with the same headings are one scan; scans are matched by
+    name.  The driver reads only the head of each file."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path").orderBy("path").collect()
+    scans: dict[tuple, list[str]] = {}
+    for file in (r["path"] for r in listed):
+        encoding, headings = format_of(_head(spark, file))
+        scans.setdefault((encoding, headings if headings is not None else file), []).append(file)
     out = None
-    for file in files:
-        raw = spark.read.csv(file, header=True, multiLine=True, escape='"', inferSchema=False, encoding=encoding_of(spark, file))
+    for (encoding, _), files in scans.items():
+        raw = spark.read.csv(files, header=True, multiLine=True, escape='"', inferSchema=False, encoding=encoding)
         out = raw if out is None else out.unionByName(raw, allowMissingColumns=True)
     if out is None:
         raise FileNotFoundError(path)

@@ -38,6 +38,15 @@ def test_greedy_is_not_transitive(spark):
         assert sorted(r["id"] for r in way(df, 0.7).collect()) == [1, 3, 4, 5]
 
 
+def test_greedy_ways_agree_on_copies(spark):
+    """Copies of a title, titles close to each other and titles without a letter, in two blocks."""
+    base = "the quick brown fox jumps over the lazy dog"
+    rows = [(i, "ab"[i % 2], 100 - i // 3, "" if i % 13 == 0 else base[: 43 - i % 7] + "!" * (i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, block string, seq int, title string")
+    found = [sorted(r["id"] for r in way(df, 0.85).collect()) for way in (clean.fuzzy_kept, clean.fuzzy_kept_fold)]
+    assert found[0] == found[1] and len(found[0]) < 20
+
+
 def test_filters(spark):
     rows = [(" ", "x" * 30), ("t", "short"), ("[ad] t", "x" * 30), ("t", "x" * 30)]
     df = spark.createDataFrame(rows, "t string, b string").select(clean.filter_reason(F.col("t"), F.col("b")).alias("r"))
@@ -84,7 +93,13 @@ def test_csv_and_package(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_bytes('﻿title,date,body\n"a ""q""\nb",20221030,x\n,2022,y\n'.encode())
     (tmp_path / "in" / "b.csv").write_text("date,title,url\n,t2,u\n")
+    (tmp_path / "in" / "c.csv").write_text("date,title,url\n20240102,t3,u\n")
+    (tmp_path / "in" / "d.csv").write_bytes("title,date\n제목,2024-01-03\n".encode("utf-16"))
+    assert files.format_of(b"a," * (1 << 15)) == ("UTF-8", None) and files.format_of(b"") == ("UTF-8", ())
     found = files.read_csv(spark, str(tmp_path / "in"))
+    more = {("t3", "2024-01-02"), ("제목", "2024-01-03")}
+    assert more < {(r["title"], r["date"]) for r in found.collect()}
+    found = found.filter("date < '2024'")
     assert sorted((r["title"], r["date"]) for r in found.collect()) == [('a "q"\nb', "2022-10-30"), ("t2", "")]
     assert files.in_range(found, "2022-11-01").count() == 1
     exports.write_package({"articles": found.drop("keywords")}, {"name": 'a "b"'}, str(tmp_path / "p.zip"), str(tmp_path / "w"))
