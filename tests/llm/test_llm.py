@@ -7,6 +7,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpuslens.llm import jaccard_join, mixing, packing, pii, quality_classifier, queries, substring_dedup, token_counts, vector_search
@@ -156,6 +157,50 @@ def test_jaccard_join(spark, docs):
     assert found == components(texts)
 
 
+def test_jaccard_join_of_unequal_sizes_in_large_groups(spark):
+    """17 and 20 shingles, 16 in common; the two keys that both emit are each in a group of 27."""
+    rng = np.random.default_rng(4)
+
+    def described(words):
+        sets = jaccard_join.shingle_sets(pa.array([" ".join(w) for w in words]), 5)
+        return [(w, x, set(jaccard_join.join_keys(x, np.empty(0, np.uint64))[0].tolist())) for w, x in zip(words, sets)]
+
+    def words(n):
+        return [f"w{i}" for i in rng.integers(0, 2**40, n)]
+
+    def alone(shared, row):
+        """The words of the shingles that are alone in the segments of the shared keys, or None."""
+        found = []
+        for i in range(16):
+            ((_, own, _),) = described([row[i : i + 5]])
+            place, parity = jaccard_join.segment_parities(own, 4)
+            key = int(jaccard_join.mix(parity + jaccard_join.mix(place * np.uint64(64) + np.uint64(5)))[0])
+            if key in shared:
+                found.append((row[i : i + 5], key))
+        return found if len(found) == len(shared) else None
+
+    for _ in range(100):
+        common = [words(20) for _ in range(1000)]
+        small, large = described([w + words(1) for w in common]), described([w + words(4) for w in common])
+        found = [(a, b, alone(a[2] & b[2], w)) for w, a, b in zip(common, small, large) if len(a[2] & b[2]) == 2]
+        found = [x for x in found if x[2]]
+        if found:
+            break
+    a, b, shingles = found[0]
+    assert (len(a[1]), len(b[1]), len(np.intersect1d(a[1], b[1]))) == (17, 20, 16)
+    texts = [a[0], b[0]]
+    for own, key in shingles:
+        fillers = []
+        while len(fillers) < 25:
+            fillers += [w for w, _, keys in described([own + words(15) for _ in range(200)]) if key in keys]
+        texts += fillers[:25]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(df).collect()}
+    assert found == {i: 0 if i == 1 else i for i in range(len(texts))}
+    leave = spark.range(1, 3000).selectExpr("id AS n").selectExpr("n", f"{jaccard_join._MAY_LEAVE} AS keys")
+    assert all(r["keys"] == jaccard_join.spare(-(-3 * r["n"] // 4)) for r in leave.collect())
+
+
 def test_sketch_bounds_difference():
     rng = np.random.default_rng(1)
     for n in (1, 3, 10, 100, 1000):
