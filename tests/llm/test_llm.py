@@ -201,6 +201,22 @@ def test_jaccard_join_of_unequal_sizes_in_large_groups(spark):
     assert all(r["keys"] == jaccard_join.spare(-(-3 * r["n"] // 4)) for r in leave.collect())
 
 
+def test_jaccard_join_of_null_ids(spark, awkward):
+    found = jaccard_join.jaccard_components(awkward).collect()
+    assert [r["component_id"] for r in found if r["doc_id"] is None] == [4]
+    base = [f"w{i}" for i in range(80)]
+    texts = [" ".join(w for i, w in enumerate(base) if i != 2 * k) for k in range(40)]  # one large group
+    other = " ".join(f"v{i}" for i in range(80))
+    rows = [*((None, x) for x in texts), (None, other), (None, other + " x"), (None, other), (3, texts[0] + " x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard_join.jaccard_components(df).collect()
+    groups = defaultdict(list)
+    for r in found:
+        groups[r["component"]].append(r["component_id"])
+    assert sorted(groups.values(), key=len) == [[None] * 3, [3] * 41]
+    assert sorted(r["doc_id"] or 0 for r in jaccard_join.one_of_each(df).collect()) == [0, 3]
+
+
 def test_sketch_bounds_difference():
     rng = np.random.default_rng(1)
     for n in (1, 3, 10, 100, 1000):
