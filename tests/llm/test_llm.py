@@ -106,6 +106,17 @@ def test_pii(spark, docs):
     assert pii.masked("a x@y.zz b", pii.find_spans("a x@y.zz b")) == "a [EMAIL] b"
 
 
+def test_account_numbers_of_the_whole_registry():
+    numbers = [
+        "NO93 8601 1117 947", "HR12 1001 0051 8630 0016 0", "BG80 BNBG 9661 1020 3456 78", "SI56 2633 0001 2039 086", "SK31 1200 0000 1987 4263 7541",
+        "GR16 0110 1250 0000 0001 2300 695", "HU42 1177 3016 1111 1018 0000 0000", "MT84 MALT 0110 0001 2345 MTLC AST0 01S",
+    ]
+    for number in numbers:
+        text = f"iban {number}, thanks"
+        assert ("iban", 5, 5 + len(number)) in [s[:3] for s in pii.find_spans(text)]
+        assert pii.masked(text, pii.find_spans(text)) == "iban [IBAN], thanks"
+
+
 @pytest.mark.parametrize("name", queries.oracle_sql())
 def test_same_rows_as_sql(spark, name):
     db = duckdb.connect()
