@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm._common import ship, slices, table
-from corpuslens.llm.packing import fast_encoder
+from corpuslens.llm.packing import added_ids, fast_encoder
 
 RULES = ("first_byte", "majority", "split")
 
@@ -28,9 +28,12 @@ def token_lengths(vocabulary: str) -> np.ndarray:
 
     with open(public_tokenizers.path(vocabulary), encoding="utf-8") as file:
         ids = json.load(file)["model"]["vocab"]
-    out = np.zeros(max(ids.values()) + 1, np.int64)
+    added = added_ids(vocabulary)
+    out = np.zeros(max([*ids.values(), *added.values()]) + 1, np.int64)
     for token, number in ids.items():
         out[number] = len(token)
+    for token, number in added.items():
+        out[number] = len(token.encode())
     return out
 
 
@@ -55,7 +58,7 @@ def attribute(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, rule: st
 
 def count_tokens(
     docs: DataFrame, fields: tuple[str, ...] = ("text",), by_line: bool = True, rule: str = "first_byte",
-    vocabulary: str = "byte_bpe_50k.json",
+    vocabulary: str = "byte_bpe_50k.json", added_tokens: bool = False,
 ) -> DataFrame:
     """(doc_id, field, section, start, end, n_tokens, doc_tokens): a row for each section of every row of ``docs``.
 
@@ -63,14 +66,15 @@ def count_tokens(
     one section, or (``by_line``) a section for each of its lines with the line feed that ends it; start and end are
     code points in the field, end exclusive and without the joining line feed.  Null fields count as empty; an empty field
     is one section.  Null and repeated doc_ids are counted row by row, other columns are ignored, and an empty table
-    gives no rows.  The n_tokens of a row's sections add up to its doc_tokens under every rule."""
+    gives no rows.  The n_tokens of a row's sections add up to its doc_tokens under every rule.
+    With ``added_tokens`` the string of an added token of the vocabulary is that token, else ordinary text."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
 
     def run(batches):
-        encode, lengths = fast_encoder(vocabulary), token_lengths(vocabulary)
+        encode, lengths = fast_encoder(vocabulary, added_tokens), token_lengths(vocabulary)
         for batch in batches:
             for a, b in slices(batch.column(1), 1 << 20):
                 ids = batch.column(0).slice(a, b - a).to_pylist()
@@ -108,5 +112,5 @@ def count_tokens(
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document; a token that crosses lines counts for the line of its first byte."""
-    found = count_tokens(table(spark, sf_dir, "documents"))
+    found = count_tokens(table(spark, sf_dir, "documents"), added_tokens=True)
     return found.select("doc_id", F.col("section").alias("line"), "start", "end", F.col("n_tokens").cast("long").alias("n_tokens"), "doc_tokens")

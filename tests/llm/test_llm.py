@@ -90,6 +90,26 @@ def test_packing(spark, docs, awkward, nothing):
     assert packing.pack_documents(nothing).count() == 0
 
 
+def test_added_tokens(spark, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # in its default settings
+    texts = {1: "a <|endoftext|> b", 2: "<|endoftext|>", 3: "x  <|endoftext|><|endoftext|>\n\n y\n<|endoftext|", 4: "漢字 \n<|endoftext|>ß"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    ids = {d: coder.encode(x, add_special_tokens=False).ids for d, x in texts.items()}
+    assert ids[1] == [64, 220, 50256, 275]
+    for rows in (queries.queries()["op1_packing"](spark, str(tmp_path)), corpus_pipeline.packing(spark, df, "")):
+        found = {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in rows.collect()}
+        assert found == {d: (len(x) + 1, zlib.crc32(np.array([*x, 1], "<u4").tobytes())) for d, x in ids.items()}
+    found = {(r["doc_id"], r["line"]): (r["n_tokens"], r["doc_tokens"]) for r in queries.queries()["op9_token_counts"](spark, str(tmp_path)).collect()}
+    assert found[1, 0] == (4, 4) and found[2, 0] == (1, 1)
+    first = len(coder.encode("漢字 \n", add_special_tokens=False).ids)
+    assert (found[4, 0], found[4, 1]) == ((first, len(ids[4])), (len(ids[4]) - first, len(ids[4])))
+
+
 def test_pii(spark, docs):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     odd = ["a@b@c.d", "x@y.z.@q.rr", "1.2.3.4.5.6.7.300", "@a.b", "a@b", "+1 2 3 45678 9--", "0000000000000 1", "..@.", "4111-1111-1111-1111 1"]
