@@ -25,19 +25,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder below the shared checkpoint folder; one of our own only where the session names none."""
+    """A new folder below the shared checkpoint folder, deleted when the driver's JVM ends.  Only a local session that names
+    none gets one of its own: on a cluster a folder of one machine would lose what the others write."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.gettempdir()}/corpuslens-scratch-{os.getuid()}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(place)  # what isn't there can't be marked for deletion
+    store.deleteOnExit(place)
+    return f"{path}/t"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*stored_frames: DataFrame) -> None:
+    """Deletes tables made by ``stored`` that no later plan reads, before the driver ends."""
+    for df in stored_frames:
+        delete(df.sparkSession, df._corpuslens_path)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The frame written once to shared storage and read again: later plans start there, whatever executor is lost."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._corpuslens_path = path
+    return out
+
+
+#: Tasks of one shuffle at most; a larger input has larger tasks.
+_MOST_TASKS = 1 << 16
+
+
+def tasks_for(df: DataFrame, bytes_each: int) -> int:
+    """Shuffle partitions for work on all of ``df``: so many that each has about ``bytes_each`` of its input files, and the
+    session's number at least.  Inputs of unknown size count as nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    total = 0
+    while leaves.hasNext():
+        size = int(leaves.next().stats().sizeInBytes())
+        total += size if size < 1 << 60 else 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(_MOST_TASKS, -(-total // bytes_each)))
 
 
 #: Bytes of an Arrow batch, where the session sets no other limit: long texts otherwise make batches of up to 64 MB, held

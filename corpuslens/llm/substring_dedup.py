@@ -2,13 +2,13 @@
 
 A window of 13 words holds nine runs of five words; the smallest of their hashes is the window's fingerprint.  Equal
 windows have equal fingerprints, wherever they start, and windows side by side mostly share theirs, so the index holds
-about a fifth of an entry for each word.  Every batch of documents adds an immutable run: for each bucket of hashes a
-sorted array of fingerprints with the documents that have them.  All runs are merge-joined by bucket; compaction
-writes several as one.
+about a fifth of an entry for each word.  Every batch of documents adds an immutable run: for each bucket of hashes
+sorted arrays of fingerprints with the documents that have them.  Runs beyond a number are compacted: merged in
+order of their fingerprints into one.  The runs that are left are merge-joined by bucket.
 
 Fingerprints found in two or more documents only propose.  The windows they stand for are then verified by 96 further bits
 of two independent hashes of all 13 words, and a word is removed if a window that covers it also starts in a
-document with a smaller doc_id.
+document with a smaller doc_id.  So results are exact up to collisions of these 96 bits.
 
 What several documents of one batch share is settled there: of such a fingerprint or window one entry per batch is
 sent on, so a passage in a third of all documents gives as many entries as there are batches, not documents."""
@@ -23,16 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm._common import scratch, ship, slices, table
+from corpuslens.llm._common import delete, scratch, ship, slices, table, tasks_for
 from corpuslens.llm._vectors import Texts, rolled, sliding_min
 
 _U = np.uint64
-_LAST = 2**63 - 1  # stands for a null doc_id: smaller than none
 _RUN = "bucket int, prints binary, owners binary, docs binary, texts binary, counts binary, found binary"
 _RUN_ARROW = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("prints", "owners", "docs", "texts", "counts", "found")]])
 _MARKS = "bucket int, windows binary, checks binary, places binary, docs binary, texts binary, counts binary, found binary"
 _MARKS_ARROW = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("windows", "checks", "places", "docs", "texts", "counts", "found")]])
 _SHARED = 2**32 - 1  # an owner: several documents of the batch
+#: What an owner is: several documents of a batch, a document with a doc_id, one without (``doc`` is then its text_key).
+_SEVERAL, _OWN, _NONE = 0, 1, 2
 
 
 def _table(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
@@ -82,19 +83,28 @@ _LISTS = "part int, docs binary, texts binary, counts binary, found binary"
 _LISTS_ARROW = pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("docs", "texts", "counts", "found")]])
 
 
+def _first(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
 def _lists(docs: np.ndarray, texts: np.ndarray, values: np.ndarray, parts: int) -> list[tuple]:
     """Rows of _LISTS: a row for each part, not for each document."""
     out = []
     for part, at in _by_owner(docs % parts, np.arange(len(docs))):
         at = at[np.lexsort((texts[at], docs[at]))]
         doc, text = docs[at], texts[at]
-        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])]))
+        first = np.flatnonzero(_first(doc, text))
         counts = np.diff(np.append(first, len(doc)))
         out.append((part, doc[first].tobytes(), text[first].tobytes(), _halves(counts), values[at].tobytes()))
     return out
 
 
-def _assemble(batches, kind):
+def _assemble(batches):
     """(doc, text_key, found): all values of each document of this partition, once."""
     docs, texts, values = [], [], []
     for batch in batches:
@@ -102,14 +112,14 @@ def _assemble(batches, kind):
             count = _whole(count)
             docs.append(np.repeat(np.frombuffer(doc, np.int64), count))
             texts.append(np.repeat(np.frombuffer(text, np.int64), count))
-            values.append(np.frombuffer(found, kind))
+            values.append(np.frombuffer(found, "<u4"))
     if not docs:
         return
     docs, texts, values = map(np.concatenate, (docs, texts, values))
     order = np.lexsort((values, texts, docs))
     docs, texts, values = docs[order], texts[order], values[order]
-    new = np.concatenate([[True], (docs[1:] != docs[:-1]) | (texts[1:] != texts[:-1])])
-    once = new | np.concatenate([[True], values[1:] != values[:-1]])
+    new = _first(docs, texts)
+    once = new | _first(values)
     docs, texts, values, new = docs[once], texts[once], values[once], new[once]
     first = np.flatnonzero(new)
     found = np.split(values, first[1:])
@@ -131,47 +141,81 @@ def _chunks(batches) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
+def _starts_of_groups(prints: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(_first(prints))
+
+
+def _shared(kinds: np.ndarray, docs: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each group of equal fingerprints whether two owners have it, one of them with a doc_id: what only documents
+    without a doc_id have removes nothing."""
+    own = kinds == _OWN
+    least = np.minimum.reduceat(np.where(own, docs, np.iinfo(np.int64).max), first)
+    most = np.maximum.reduceat(np.where(own, docs, np.iinfo(np.int64).min), first)
+    some, none = (np.logical_or.reduceat(kinds == k, first) for k in (_OWN, _NONE))
+    return np.logical_or.reduceat(kinds == _SEVERAL, first) | (some & (none | (least != most)))
+
+
 def _write_run(batches, window: int, gram: int, buckets: int):
     for batch in _chunks(batches):
         docs = np.array(batch.column(0).to_pylist(), np.int64)
+        kinds = np.where(np.array(batch.column(1).to_pylist(), bool), _NONE, _OWN).astype(np.uint8)
         prints, owners = [], []
-        for a, b in slices(batch.column(1), 1 << 20):
-            w = Windows(batch.column(1).slice(a, b - a), window, gram)
-            new = np.ones(len(w.at), bool)
+        for a, b in slices(batch.column(2), 1 << 20):
+            w = Windows(batch.column(2).slice(a, b - a), window, gram)
             doc = w.doc[w.at]
-            new[1:] = (w.print[1:] != w.print[:-1]) | (doc[1:] != doc[:-1])
+            new = _first(w.print, doc)
             prints.append(w.print[new])
             owners.append(doc[new] + a)
         if not prints or not sum(map(len, prints)):
             continue
         prints, owners = np.concatenate(prints), np.concatenate(owners)
-        order = np.lexsort((docs[owners], prints))
+        order = np.lexsort((docs[owners], kinds[owners], prints))
         prints, owners = prints[order], owners[order]
-        first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
-        last = np.append(first[1:], len(prints)) - 1
-        shared = docs[owners[first]] != docs[owners[last]]  # two documents of this batch at least
-        is_shared = np.repeat(shared, last - first + 1)
-        of = docs[owners[is_shared]]
-        rows = [(p, None, None, *rest) for p, *rest in _lists(of, np.zeros_like(of), prints[is_shared], buckets)]
-        # One entry for each fingerprint, with its owner or the mark that several documents have it.
-        once = prints[first]
-        who = np.where(shared, _SHARED, owners[first]).astype(np.uint32)
-        for bucket, at in _by_owner((once % _U(buckets)).astype(np.int64), np.arange(len(once))):
-            single = who[at] != _SHARED
-            held, inner = np.unique(who[at][single], return_inverse=True)
-            own = np.full(len(at), _SHARED, np.uint32)
-            own[single] = inner
-            rows.append((bucket, once[at].tobytes(), _halves(own), docs[held].tobytes(), None, None, None))
+        first = _starts_of_groups(prints)
+        size = np.diff(np.append(first, len(prints)))
+        shared = _shared(kinds[owners], docs[owners], first)
+        is_shared = np.repeat(shared, size)
+        of = owners[is_shared]
+        rows = [(p, None, None, *rest) for p, *rest in _lists(docs[of], kinds[of].astype(np.int64), _proposed(prints[is_shared]), buckets)]
+        # One entry for each fingerprint and owner, or one with the mark that several documents have it.
+        once = ~is_shared
+        once[first] = True
+        who = np.where(is_shared, _SHARED, owners).astype(np.uint32)[once]
+        entries = prints[once]
+        for bucket, at in _by_owner((entries % _U(buckets)).astype(np.int64), np.arange(len(entries))):
+            rows.append((bucket, *_packed(entries[at], who[at], docs, kinds), None, None))
         yield _table(_RUN_ARROW, rows)
 
 
-_SEVERAL = -(2**62)
+def _proposed(prints: np.ndarray) -> np.ndarray:
+    """What lists hold of a fingerprint: 32 bits are enough to propose, as windows are verified."""
+    return prints.astype(np.uint32)
+
+
+def _packed(prints: np.ndarray, who: np.ndarray, docs: np.ndarray, kinds: np.ndarray) -> tuple:
+    """prints, owners, docs and texts (here: the kinds of the docs, or null if all have doc_ids) of a run's bucket."""
+    single = who != _SHARED
+    held, inner = np.unique(who[single], return_inverse=True)
+    own = np.full(len(who), _SHARED, np.uint32)
+    own[single] = inner
+    kind = kinds[held]
+    return prints.tobytes(), _halves(own), docs[held].tobytes(), kind.tobytes() if (kind != _OWN).any() else None
 
 
-def _entries(prints: bytes, owners: bytes, docs: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of a run's bucket and the doc of each, or _SEVERAL."""
+def _entries(prints: bytes, owners: bytes, docs: bytes, kinds: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints of a run's bucket, ascending, with the doc and the kind of each owner."""
     own, doc = _whole(owners), np.append(np.frombuffer(docs, np.int64), 0)
-    return np.frombuffer(prints, np.uint64), np.where(own == _SHARED, np.int64(_SEVERAL), doc[np.minimum(own, len(doc) - 1)])
+    kind = np.full(len(doc), _OWN, np.uint8) if kinds is None else np.append(np.frombuffer(kinds, np.uint8), 0)
+    several, at = own == _SHARED, np.minimum(own, len(doc) - 1)
+    return np.frombuffer(prints, np.uint64), np.where(several, 0, doc[at]), np.where(several, _SEVERAL, kind[at]).astype(np.uint8)
+
+
+def _merged(runs: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of several runs in order of their fingerprints.  Each is sorted, so the stable sort, which looks for ascending
+    stretches and merges them, is a merge."""
+    prints, docs, kinds = (np.concatenate(x) for x in zip(*runs))
+    order = np.argsort(prints, kind="stable")
+    return prints[order], docs[order], kinds[order]
 
 
 def _passed_on(batch: pa.RecordBatch, columns: list[int]) -> Iterator[pa.RecordBatch]:
@@ -183,40 +227,38 @@ def _passed_on(batch: pa.RecordBatch, columns: list[int]) -> Iterator[pa.RecordB
 
 def _merge_runs(batches, parts: int):
     """Lists of the fingerprints of each document that another one has as well."""
-    prints, owners = [], []
+    runs = []
     for batch in batches:
-        for p, o, d in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-            if p is not None:
-                found = _entries(p, o, d)
-                prints.append(found[0])
-                owners.append(found[1])
+        runs += [_entries(*x) for x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))) if x[0] is not None]
         yield from _passed_on(batch, [3, 4, 5, 6])
-    if not prints:
+    if not runs:
         return
-    prints, owners = np.concatenate(prints), np.concatenate(owners)
-    order = np.lexsort((owners, prints))
-    prints, owners = prints[order], owners[order]
-    first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
-    size = np.diff(np.append(first, len(prints)))
-    shared = np.repeat((owners[first] != owners[first + size - 1]) | (owners[first] == _SEVERAL), size) & (owners != _SEVERAL)
-    of = owners[shared]
-    if len(of):
-        yield _table(_LISTS_ARROW, _lists(of, np.zeros_like(of), prints[shared], parts))
+    prints, docs, kinds = _merged(runs)
+    first = _starts_of_groups(prints)
+    shared = np.repeat(_shared(kinds, docs, first), np.diff(np.append(first, len(prints)))) & (kinds != _SEVERAL)
+    if shared.any():
+        yield _table(_LISTS_ARROW, _lists(docs[shared], kinds[shared].astype(np.int64), _proposed(prints[shared]), parts))
+
+
+def _later(new: np.ndarray, docs: np.ndarray, none: np.ndarray) -> np.ndarray:
+    """Which rows lie behind a row of their group that has a smaller doc_id; groups are sorted by ``none``, then doc."""
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return ~none[first] & (none | (docs > docs[first]))
 
 
 def _mark_windows(batches, window: int, gram: int, buckets: int):
     for batch in _chunks(batches):
-        docs, keys = (np.array(batch.column(i).to_pylist(), np.int64) for i in (0, 1))
+        docs, keys = (np.array(batch.column(i).to_pylist(), np.int64) for i in (0, 2))
+        nones = np.array(batch.column(1).to_pylist(), bool)
         parts = []
-        for a, b in slices(batch.column(2), 1 << 20):
-            w = Windows(batch.column(2).slice(a, b - a), window, gram)
+        for a, b in slices(batch.column(3), 1 << 20):
+            w = Windows(batch.column(3).slice(a, b - a), window, gram)
             bounds = np.searchsorted(w.doc[w.at], np.arange(b - a + 1))
             wanted = []
-            for i, found in enumerate(batch.column(3).slice(a, b - a).to_pylist()):
+            for i, found in enumerate(batch.column(4).slice(a, b - a).to_pylist()):
                 own = slice(bounds[i], bounds[i + 1])
                 if bounds[i] < bounds[i + 1]:
-                    prints = np.frombuffer(found, np.uint64)
-                    wanted.append(bounds[i] + np.flatnonzero(np.isin(w.print[own], prints)))
+                    wanted.append(bounds[i] + np.flatnonzero(np.isin(_proposed(w.print[own]), np.frombuffer(found, "<u4"))))
             wanted = w.at[np.concatenate(wanted)] if wanted else np.empty(0, np.int64)
             if len(wanted):
                 doc = w.doc[wanted]
@@ -224,11 +266,9 @@ def _mark_windows(batches, window: int, gram: int, buckets: int):
         if not parts:
             continue
         content, check, place, owner = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((docs[owner], check, content))
+        order = np.lexsort((docs[owner], nones[owner], check, content))
         content, check, place, owner = content[order], check[order], place[order], owner[order]
-        new = np.concatenate([[True], (content[1:] != content[:-1]) | (check[1:] != check[:-1])])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        later = docs[owner] > docs[owner[first]]  # a smaller doc_id of this batch has the window
+        later = _later(_first(content, check), docs[owner], nones[owner])  # a smaller doc_id of this batch has the window
         lists = _lists(docs[owner[later]], keys[owner[later]], place[later], buckets)
         rows = [(part, None, None, None, *rest) for part, *rest in lists]
         content, check, place, owner = (x[~later] for x in (content, check, place, owner))
@@ -257,10 +297,10 @@ def _settle_windows(batches, lists: int):
         return
     content, check, place, doc, key = (np.concatenate(x) for x in zip(*parts))
     del parts
-    order = np.lexsort((doc, check, content))
-    content, check, doc = content[order], check[order], doc[order]
-    new = np.concatenate([[True], (content[1:] != content[:-1]) | (check[1:] != check[:-1])])
-    later = doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+    none = doc == key  # a null doc_id's doc is its text_key; a doc_id that equals its text's hash has a chance of 2**-64
+    order = np.lexsort((doc, none, check, content))
+    content, check, doc, none = content[order], check[order], doc[order], none[order]
+    later = _later(_first(content, check), doc, none)
     if later.any():
         yield _table(_LISTS_ARROW, _lists(doc[later], key[order][later], place[order][later], lists))
 
@@ -287,48 +327,59 @@ def _remove(batches, window: int):
         )
 
 
+#: Bytes of input for each task that merges runs or windows, where that gives more tasks than the session's number.
+_BYTES_A_TASK = 8 << 20
+
+
 class FingerprintIndex:
-    """Immutable runs below one folder.  ``append`` adds a batch's run, ``compact`` writes all runs as one."""
+    """Immutable runs below one folder.  ``append`` adds a batch's run and compacts the older ones where there are more than
+    ``most_runs``; ``matches`` merge-joins those that are left.  ``buckets`` is set by the first batch and stays."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, window: int = 13, gram: int = 5, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, path: str | None = None, window: int = 13, gram: int = 5, buckets: int | None = None, most_runs: int = 2):
         self.spark, self.path, self.window, self.gram = spark, path or scratch(spark, "fingerprints"), window, gram
-        self.partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.buckets = buckets or self.partitions
+        self.buckets, self.most_runs = buckets, most_runs
         self.runs: list[str] = []
+        self._written = 0
 
     def append(self, docs: DataFrame) -> None:
-        """``docs``: doc (not null) and text."""
+        """``docs``: doc (not null), none (whether doc stands for a null) and text."""
+        self.buckets = self.buckets or tasks_for(docs, _BYTES_A_TASK)
         window, gram, buckets = self.window, self.gram, self.buckets
-        self._write(docs.select("doc", "text").mapInArrow(lambda b: _write_run(b, window, gram, buckets), _RUN))
+        self._write(docs.select("doc", "none", "text").mapInArrow(lambda b: _write_run(b, window, gram, buckets), _RUN))
+        if len(self.runs) > self.most_runs:
+            self.compact(len(self.runs) - 1)
 
-    def _write(self, run: DataFrame) -> str:
-        path = f"{self.path}/run-{len(self.runs):06d}-{abs(hash(tuple(self.runs))):x}"
+    def _write(self, run: DataFrame) -> None:
+        path = f"{self.path}/run-{self._written:06d}"
         run.write.parquet(path)
+        self._written += 1
         self.runs.append(path)
-        return path
 
-    def _dealt(self) -> DataFrame:
-        if not self.runs:
+    def _dealt(self, runs: list[str]) -> DataFrame:
+        if not runs:
             return self.spark.createDataFrame([], _RUN)
-        return self.spark.read.schema(_RUN).parquet(*self.runs).repartition(self.partitions, "bucket")
+        return self.spark.read.schema(_RUN).parquet(*runs).repartition(self.buckets or 1, "bucket")
 
     def matches(self) -> DataFrame:
-        """(doc, found): for every document the fingerprints that other documents of any run have as well."""
-        parts = self.partitions
-        lists = self._dealt().mapInArrow(lambda b: _merge_runs(b, parts), _LISTS)
-        return assembled(lists, parts, "<u8").select("doc", "found")
-
-    def compact(self) -> None:
-        """Merges all runs into one: for each bucket one sorted array without repeated entries."""
-        if len(self.runs) < 2:
+        """(doc, none, found): for every document the 32 lower bits of the fingerprints that other documents of any run have too."""
+        parts = self.buckets or 1
+        lists = self._dealt(self.runs).mapInArrow(lambda b: _merge_runs(b, parts), _LISTS)
+        return assembled(lists, parts).select("doc", (F.col("text_key") == _NONE).alias("none"), "found")
+
+    def compact(self, oldest: int | None = None) -> None:
+        """Merges the oldest runs (all, if no number is given) into one, without repeated entries, and deletes them."""
+        old = self.runs[:oldest]
+        if len(old) < 2:
             return
-        merged = self._dealt().mapInArrow(_compacted, _RUN)
-        path = self._write(merged)
-        self.runs = [path]
+        newer = self.runs[len(old) :]
+        self._write(self._dealt(old).mapInArrow(_compacted, _RUN))
+        self.runs = [self.runs[-1], *newer]
+        for path in old:
+            delete(self.spark, path)
 
 
-def assembled(lists: DataFrame, parts: int, kind: str) -> DataFrame:
-    return lists.repartition(parts, "part").mapInArrow(lambda b: _assemble(b, kind), "doc long, text_key long, found binary")
+def assembled(lists: DataFrame, parts: int) -> DataFrame:
+    return lists.repartition(parts, "part").mapInArrow(_assemble, "doc long, text_key long, found binary")
 
 
 def _compacted(batches):
@@ -337,56 +388,64 @@ def _compacted(batches):
         settled = batch.column(1).is_null()
         if settled.true_count:
             yield batch.filter(settled)
-        for bucket, p, o, d in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if p is not None:
-                held.setdefault(bucket, []).append(_entries(p, o, d))
+        for bucket, *entries in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if entries[0] is not None:
+                held.setdefault(bucket, []).append(_entries(*entries))
     for bucket, runs in held.items():
-        prints, owners = (np.concatenate(x) for x in zip(*runs))
-        order = np.lexsort((owners, prints))
-        prints, owners = prints[order], owners[order]
-        new = np.concatenate([[True], (prints[1:] != prints[:-1]) | (owners[1:] != owners[:-1])])
-        prints, owners = prints[new], owners[new]
-        docs, inner = np.unique(owners[owners != _SEVERAL], return_inverse=True)
-        own = np.full(len(prints), _SHARED, np.uint32)
-        own[owners != _SEVERAL] = inner
-        yield _table(_RUN_ARROW, [(bucket, prints.tobytes(), _halves(own), docs.tobytes(), None, None, None)])
+        prints, docs, kinds = _merged(runs)
+        order = np.lexsort((docs, kinds, prints))  # only owners of one fingerprint still change places
+        prints, docs, kinds = prints[order], docs[order], kinds[order]
+        new = _first(prints, docs, kinds)
+        prints, docs, kinds = prints[new], docs[new], kinds[new]
+        owned = kinds != _SEVERAL
+        owner = np.full(len(docs), _SHARED, np.uint32)
+        by_doc = np.lexsort((kinds[owned], docs[owned]))
+        fresh = _first(docs[owned][by_doc], kinds[owned][by_doc])
+        inner = np.empty(len(by_doc), np.uint32)
+        inner[by_doc] = (np.cumsum(fresh) - 1).astype(np.uint32)
+        owner[owned] = inner
+        held_docs, held_kinds = (x[owned][by_doc][fresh] for x in (docs, kinds))
+        yield _table(_RUN_ARROW, [(bucket, *_packed(prints, owner, held_docs, held_kinds), None, None)])
 
 
 def remove_repeats(
-    docs: DataFrame, index: FingerprintIndex | None = None, history: DataFrame | None = None, batches: int = 2
+    docs: DataFrame, index: FingerprintIndex | None = None, history: DataFrame | None = None, batches: int = 3
 ) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text of every row of ``docs`` (doc_id, text).
 
     ``index`` holds the runs of earlier batches and ``history`` their documents, which are read again only where a
-    fingerprint matches; ``docs`` is added to the index in ``batches`` runs by ranges of doc_id.  Null texts have no words.
-    A null doc_id is smaller than none, so its words can be removed but remove no others; rows with one doc_id don't
-    remove each other's words.  Windows are judged on the input, not on what is left.  Other columns are ignored; an empty
-    table gives no rows."""
+    fingerprint matches; ``docs`` is added to the index in ``batches`` runs by ranges of doc_id, and older runs are
+    compacted on the way.  Null texts have no words.  A null doc_id is smaller than none, so its words can be removed
+    but remove no others; rows with one doc_id don't remove each other's words (they share a task, as a doc_id is meant
+    for one row; rows without one are spread by their text).  Windows are judged on the input, not on what is left.
+    Other columns are ignored, whatever their names; an empty table gives no rows."""
     spark = docs.sparkSession
     ship(spark)
     index = index or FingerprintIndex(spark)
 
     def keyed(rows: DataFrame) -> DataFrame:
         text = F.coalesce("text", F.lit(""))
-        doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-        return rows.select("doc_id", doc.alias("doc"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+        key, doc = F.xxhash64(text), F.col("doc_id").cast("long")
+        return rows.select("doc_id", F.coalesce(doc, key).alias("doc"), doc.isNull().alias("none"), key.alias("text_key"), text.alias("text"))
 
     source = keyed(docs)
-    cuts = source.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.05) if batches > 1 else []
-    bounds = [None, *sorted({int(c) for c in cuts}), None]
+    wanted = [i / batches for i in range(1, batches)]
+    cuts = source.filter("not none").approxQuantile("doc", wanted, 0.05) if wanted else []
+    bounds = [None, *sorted({min(int(c), 2**63 - 1) for c in cuts}), None]
     for low, high in zip(bounds[:-1], bounds[1:]):
         part = source if low is None else source.filter(F.col("doc") >= low)
         index.append(part if high is None else part.filter(F.col("doc") < high))
     everything = source if history is None else source.unionByName(keyed(history))
-    window, gram, parts = index.window, index.gram, index.partitions
+    window, gram, parts = index.window, index.gram, index.buckets
     # With the same columns on both ways, the exchange of the texts by doc is made once for this and for the removal.
-    by_doc = everything.repartition(parts, "doc")
-    marked = by_doc.join(index.matches(), "doc").select("doc", "text_key", "text", "found", "doc_id")
+    by_doc = everything.repartition(parts, "doc", "none")
+    marked = by_doc.join(index.matches(), ["doc", "none"]).select("doc", "none", "text_key", "text", "found", "doc_id")
     marked = marked.mapInArrow(lambda b: _mark_windows(b, window, gram, parts), _MARKS)
     settled = marked.repartition(parts, "bucket").mapInArrow(lambda b: _settle_windows(b, parts), _LISTS)
     # Grouped and joined by doc alone, so that the texts stay where they are; rows of one doc_id are told apart afterwards.
-    removed = assembled(settled, parts, "<u4").groupBy("doc").agg(F.collect_list(F.struct("text_key", "found")).alias("marks"))
-    joined = source.repartition(parts, "doc").join(removed, "doc", "left")
+    removed = assembled(settled, parts).withColumn("none", F.col("doc") == F.col("text_key"))
+    removed = removed.groupBy("doc", "none").agg(F.collect_list(F.struct("text_key", "found")).alias("marks"))
+    joined = source.repartition(parts, "doc", "none").join(removed, ["doc", "none"], "left")
     mine = F.filter("marks", lambda m: m["text_key"] == F.col("text_key"))
     joined = joined.withColumn("found", F.transform(mine, lambda m: m["found"]))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -394,6 +453,7 @@ def remove_repeats(
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, by ``remove_repeats``: null and empty texts have no words, an empty table gives no rows."""
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
