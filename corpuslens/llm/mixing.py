@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm._common import scratch, stored, table
 
-_BINS = 4096
+#: Hash bins at least, and the rows that a bin holds on average at most.
+_BINS, _BIN_ROWS = 4096, 16384
 #: Sources whose targets are broadcast at most; beyond it they are joined by a shuffle.
 _BROADCAST_SOURCES = 10_000
 
 
 def word_count(name: str = "text") -> Column:
     text = F.coalesce(F.col(name), F.lit(""))
-    parts = F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")
+    # \z and not $, which also matches before a final line separator of Unicode
+    parts = F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", ""), r"[\x20\x09-\x0D]+")
     return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.size(parts)).otherwise(0).cast("long")
 
 
@@ -39,8 +41,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_e
 
 
 def draw(seed: int) -> Column:
-    """A seeded place in [0, 2**40) for each doc_id, the same in every run and engine; a null doc_id has its own."""
-    name = F.concat(F.lit(f"{seed}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    """A seeded place in [0, 2**40) for each doc_id, the same in every run and engine; rows without a doc_id are spread by
+    their text."""
+    own = F.concat(F.lit("null-"), F.md5(F.coalesce("text", F.lit(""))))
+    name = F.concat(F.lit(f"{seed}-"), F.coalesce(F.col("doc_id").cast("string"), own))
     return F.conv(F.substring(F.md5(name), 1, 10), 16, 10).cast("long")
 
 
@@ -59,9 +63,11 @@ def plan_mix(
     Null texts have size 0, null sources are one source, ranked last; rows that repeat are drawn row by row; an empty
     table gives no rows.  Only doc_id, source and text are read, and (``with_row``) all columns returned in ``row``; texts are
     not shuffled but for those of the bins in which a rest ends."""
-    bin_of = (F.col("place") / F.lit(2**40 // _BINS)).cast("int")
     numbers = ["doc_id", "source", word_count().alias("size"), draw(seed).alias("place")]
-    sized = stored(docs.select(*numbers), "mix-sizes").withColumn("bin", bin_of)
+    sized = stored(docs.select(*numbers), "mix-sizes")
+    n_bins = max(_BINS, 1 << (sized.count() // _BIN_ROWS).bit_length())  # a bin holds so many rows, whatever the input
+    bin_of = (F.col("place") / F.lit(2**40 // n_bins)).cast("int")
+    sized = sized.withColumn("bin", bin_of)
     bins = sized.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
     targets = targets.withColumn(
@@ -80,7 +86,7 @@ def plan_mix(
         targets = F.broadcast(targets)
     every = docs.select(*numbers, F.struct(*docs.columns).alias("row")).withColumn("bin", bin_of) if with_row else sized
     planned = every.join(targets, F.col("source").eqNullSafe(F.col("target_source")))
-    end_bin = F.coalesce("end_bin", F.lit(_BINS))
+    end_bin = F.coalesce("end_bin", F.lit(n_bins))
     ordered = Window.partitionBy("source").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("rest") - F.coalesce("end_before", F.lit(0)) - F.coalesce(F.sum("size").over(ordered), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), left))
@@ -104,6 +110,8 @@ def mix_sources(
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, by ``plan_mix``: null texts have size 0 and are taken with 0 words, null doc_ids and sources
+    stay null, an empty table gives no rows."""
     plan = plan_mix(table(spark, sf_dir, "documents"))
     taken = (F.col("whole") * F.col("size") + F.col("extra")).cast("long")
     return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
@@ -112,7 +120,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = """
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('8-' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 10) AS BIGINT) AS place
+         CAST('0x' || substr(md5('8-' || coalesce(CAST(doc_id AS VARCHAR), 'null-' || md5(coalesce(text, '')))), 1, 10) AS BIGINT) AS place
   FROM documents),
 ranked AS (
   SELECT source, s, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
