@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+_SIGN = re.compile(r"[A-Za-z0-9]")
 _NATIONAL_ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _PHONE_LOCAL = re.compile(r"(?<![0-9+(-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9-])")
 
@@ -45,18 +48,30 @@ PATTERN_SCORE = {
     "email": 0.9, "ip": 0.6, "card": 0.4, "phone": 0.6, "iban": 0.3, "national_id": 0.4, "phone_local": 0.4,
 }
 CHECKSUM_BONUS, CONTEXT_BONUS, COUNTER_MALUS = 0.5, 0.35, 0.3
+_PHONE_WORDS = (
+    "phone", "phones", "telephone", "tel", "call", "mobile", "cell", "telefon", "handy", "téléphone", "tél", "teléfono", "móvil",
+)
 CONTEXT = {
-    "email": ("mail", "contact", "kontakt", "correo", "courriel"),
+    "email": ("mail", "email", "emails", "contact", "kontakt", "correo", "courriel"),
     "ip": ("ip", "address", "host", "server", "adresse"),
-    "card": ("card", "visa", "credit", "karte", "carte", "tarjeta"),
-    "phone": ("phone", "tel", "call", "mobile", "telefon", "téléphone", "teléfono"),
+    "card": ("card", "visa", "credit", "karte", "kreditkarte", "carte", "tarjeta"),
+    "phone": _PHONE_WORDS,
     "iban": ("iban", "account", "konto", "compte", "cuenta", "bank"),
     "national_id": ("ssn", "social security", "national id", "tax id"),
-    "phone_local": ("phone", "tel", "call", "mobile", "telefon", "téléphone", "teléfono"),
+    "phone_local": _PHONE_WORDS,
 }
 COUNTER_CONTEXT = ("version", "isbn", "order no", "serial", "invoice")
 _REACH = 40
 
+
+def _words(words: tuple[str, ...]) -> re.Pattern:
+    """Any of the words, whole and in any case."""
+    return re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, words))})(?!\w)", re.IGNORECASE)
+
+
+_NEAR = {kind: _words(words) for kind, words in CONTEXT.items()}
+_COUNTER = _words(COUNTER_CONTEXT)
+
 _SPANS = "array<struct<kind string, start long, end long, score double, confirmed boolean>>"
 _SPAN = pa.struct(
     [("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("confirmed", pa.bool_())]
@@ -100,6 +115,20 @@ def _digits(text: str) -> str:
     return "".join(x for x in text if "0" <= x <= "9")
 
 
+def _accounts(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers of the length of their country whose checksum holds; the search goes on behind each one."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.start() + 1
+        size = IBAN_LENGTHS.get(m[0][:2])
+        places = [i for i, x in enumerate(m[0]) if x != " "]
+        if size and len(places) >= size:
+            end = m.start() + places[size - 1] + 1
+            if not _SIGN.match(text, end) and mod97("".join(m[0][i] for i in places[:size])):
+                yield m.start(), end
+                at = end
+
+
 def _proposals(text: str) -> Iterator[tuple[str, int, int, bool]]:
     """(kind, start, end, whether a checksum confirms it); what a base kind's own test rejects is left out."""
     for start, end in _emails(text):
@@ -114,31 +143,39 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int, bool]]:
     for m in _PHONE.finditer(text):
         if 9 <= len(_digits(m[0])) <= 15:
             yield "phone", m.start(), m.end(), False
-    for m in _IBAN.finditer(text):
-        if size := IBAN_LENGTHS.get(m[0][:2]):
-            places = [i for i, x in enumerate(m[0]) if x != " "]
-            if len(places) >= size and mod97("".join(m[0][i] for i in places[:size])):
-                yield "iban", m.start(), m.start() + places[size - 1] + 1, True
+    for start, end in _accounts(text):
+        yield "iban", start, end, True
     for m in _NATIONAL_ID.finditer(text):
         yield "national_id", m.start(), m.end(), False
     for m in _PHONE_LOCAL.finditer(text):
         yield "phone_local", m.start(), m.end(), False
 
 
+def _is_near(words: re.Pattern, text: str, start: int, end: int) -> bool:
+    """Whether one of the words begins in ``start:end``; a word that the end cuts is looked at whole."""
+    m = words.search(text, max(0, start), min(len(text), end + _REACH))
+    return bool(m) and m.start() < end
+
+
 def find_spans(text: str, threshold: float = 0.7) -> list[tuple[str, int, int, float, bool]]:
     """Spans by kind, then start.  A further kind's span is kept if its score reaches ``threshold`` and no base span
-    overlaps it."""
-    found, base = [], []
+    overlaps it.  Context words count up to 40 signs before a span or behind it, words against it only before it."""
+    found, further = [], []
     for kind, start, end, confirmed in _proposals(text):
-        near = text[max(0, start - _REACH) : start].lower()
         score = PATTERN_SCORE[kind] + CHECKSUM_BONUS * confirmed
-        score += CONTEXT_BONUS * any(w in near for w in CONTEXT[kind])
-        score -= COUNTER_MALUS * any(w in near for w in COUNTER_CONTEXT)
+        score += CONTEXT_BONUS * (_is_near(_NEAR[kind], text, start - _REACH, start) or _is_near(_NEAR[kind], text, end, end + _REACH))
+        score -= COUNTER_MALUS * _is_near(_COUNTER, text, start - _REACH, start)
+        span = kind, start, end, round(min(1.0, max(0.0, score)), 4), confirmed
         if kind in BASE_KINDS:
-            base.append((start, end))
-        elif score < threshold or any(start < e and s < end for s, e in base):
-            continue
-        found.append((kind, start, end, round(min(1.0, max(0.0, score)), 4), confirmed))
+            found.append(span)
+        elif score >= threshold:
+            further.append(span)
+    base = sorted((start, end) for _, start, end, *_ in found)
+    starts, reach = [s for s, _ in base], list(accumulate((e for _, e in base), max))
+    for span in further:
+        before = bisect_left(starts, span[2])  # base spans that start before this one ends
+        if not before or reach[before - 1] <= span[1]:
+            found.append(span)
     return sorted(found, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
@@ -194,6 +231,7 @@ def mask_pii(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, by ``detect_pii``: null texts are empty and have no spans, an empty table gives no rows."""
     found = detect_pii(table(spark, sf_dir, "documents"))
 
     def joined(spans):
