@@ -26,7 +26,7 @@ FUNCTION_WORDS = (
 
 
 def with_text_features(docs: DataFrame) -> DataFrame:
-    """Adds ``q`` (a struct of counts) to each row, without a shuffle.
+    """Adds ``q`` (a struct of counts) to each row, without a shuffle.  ``docs`` has text and no column of the names used here.
 
     Repeated windows are found by hashing each window of words in place.  Only where the number of distinct hashes is
     smaller than the number of windows are (hash, place) pairs sorted to find which windows repeat."""
@@ -172,17 +172,17 @@ def _at_least(votes: list[float], bound: float) -> list[float]:
     return votes if votes[0] >= bound else [bound, *[v * (1 - bound) / (1 - votes[0]) for v in votes[1:]]]
 
 
-def rate_quality(docs: DataFrame, threshold: float = 0.5, keep_text: bool = True) -> DataFrame:
-    """Every row of ``docs`` with ``q``, ``votes``, ``posterior``, ``base_failed`` and ``kept``.
+def rate_quality(docs: DataFrame, threshold: float = 0.5, with_row: bool = False) -> DataFrame:
+    """doc_id (or, ``with_row``, all columns of ``docs`` in the struct ``row``), ``q``, ``votes``, ``posterior``, ``base_failed``
+    and ``kept`` of every row of ``docs``.
 
-    The features are computed once and written to the shared scratch folder, with all columns of ``docs`` or
-    (``keep_text`` false) doc_id alone.  ``kept`` is false where a base test fails, else whether the posterior reaches
-    ``threshold``.  Null texts count as empty and fail; null or repeated doc_ids are rated row by row; columns of
-    ``docs`` named like one of these results or of the helper columns are replaced.  An empty table gives no rows."""
-    own = [c for c in docs.columns if c not in ("q", "votes", "posterior", "base_failed", "kept")]
+    The features are computed once and written to the shared scratch folder.  ``kept`` is false where a base test fails,
+    else whether the posterior reaches ``threshold``.  Null texts count as empty and fail; null or repeated doc_ids are
+    rated row by row; other columns are ignored, whatever their names.  An empty table gives no rows."""
     votes = rules()
-    rated = with_text_features(docs.select(*own))
-    rated = rated.select(*(own if keep_text else ["doc_id"]), "q", F.struct(*[v.cast("byte").alias(k) for k, v in votes.items()]).alias("votes"))
+    own = F.struct(*docs.columns).alias("row") if with_row else F.col("doc_id")
+    rated = with_text_features(docs.select(own, "text"))
+    rated = rated.select("row" if with_row else "doc_id", "q", F.struct(*[v.cast("byte").alias(k) for k, v in votes.items()]).alias("votes"))
     rated = stored(rated, "quality")
     counted = rated.groupBy("votes").count().collect()  # at most 3 ** len(votes) rows
     model = fit_label_model(sorted((tuple(r["votes"]), r["count"]) for r in counted))
@@ -191,7 +191,13 @@ def rate_quality(docs: DataFrame, threshold: float = 0.5, keep_text: bool = True
     return rated.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
+def accepted(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns alone."""
+    return rate_quality(docs, threshold, with_row=True).filter("kept").select("row.*")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = rate_quality(table(spark, sf_dir, "documents"), keep_text=False)
+    """One row for each document, by ``rate_quality``: null and empty texts have no words and fail, an empty table gives no rows."""
+    rated = rate_quality(table(spark, sf_dir, "documents"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return rated.select("doc_id", *[F.col("q")[c].alias(c) for c in counts], "base_failed", "kept", "posterior")
