@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm._common import ship, slices, table
@@ -101,19 +101,25 @@ def id_hash() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary"))
 
 
-def bounded_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
-    """At most about ``most`` rows of ``rows`` for each value of ``by`` (ties of the hash apart): those of smallest
-    seeded hash.  Only ids are ranked, and each task passes on ``most`` ids of a value at most."""
-    place = F.xxhash64(F.col("doc_id"), F.lit(5))
-    ranked = rows.select(F.col(by).alias("_by"), place.alias("_place"))
-    ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy("_by").orderBy("_place")))
-    last = ranked.filter(F.col("_rank") <= most).groupBy("_by").agg(F.max("_place").alias("_last"))
-    return rows.join(F.broadcast(last.limit(1000)), F.col(by) == F.col("_by")).filter(place <= F.col("_last")).drop("_by", "_last")
+def bounded_sample(rows: DataFrame, by: str, most: int, most_values: int = 1000) -> DataFrame:
+    """About ``most`` rows of ``rows`` (doc_id, ``by``, others) for each value of ``by``, all of them where there are no more:
+    those whose seeded hash (of all their columns) lies below the share of the value's rows that is wanted.  Rows that
+    repeat in full count once.  Values are counted first, which sends one row a task and value; nothing is ranked or sorted.  More than
+    ``most_values`` different values are an error, as a model can't be bounded then."""
+    counts = rows.groupBy(F.col(by).alias("value")).count().limit(most_values + 1).collect()
+    if len(counts) > most_values:
+        raise ValueError(f"{by} has more than {most_values} values")
+    share = F.lit(0.0)
+    for row in counts:
+        share = F.when(F.col(by) == F.lit(row["value"]), F.lit(min(1.0, most / row["count"]))).otherwise(share)
+    place = F.pmod(F.xxhash64(*rows.columns, F.lit(5)), F.lit(1 << 30)) / F.lit(1 << 30)
+    return rows.filter(F.col(by).isNotNull() & (place < share)).distinct()
 
 
 def fit_language_model(labelled: DataFrame, most_per_language: int = 400, per_language: int = 4) -> CentroidModel:
-    """Fits on a bounded sample of ``labelled`` (doc_id, text, lang): ``most_per_language`` whole texts of each of up to
-    1000 languages.  What reaches the driver is their hashed counts, of fixed width."""
+    """Fits on a bounded sample of ``labelled`` (doc_id, text, lang): about ``most_per_language`` whole texts of each of up to
+    1000 languages; rows without a language are left out, null texts are empty.  What reaches the driver is the hashed counts
+    of these texts, of fixed width."""
     ship(labelled.sparkSession)
 
     def run(batches):
@@ -130,8 +136,8 @@ def fit_language_model(labelled: DataFrame, most_per_language: int = 400, per_la
                     ["lang", "at", "n"],
                 )
 
-    sample = bounded_sample(labelled, "lang", most_per_language).select(F.coalesce("text", F.lit("")).alias("text"), "lang")
-    rows = sample.mapInArrow(run, "lang string, at binary, n binary").collect()
+    sample = bounded_sample(labelled.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang"), "lang", most_per_language)
+    rows = sample.select("text", "lang").mapInArrow(run, "lang string, at binary, n binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["at"], r["n"]))
     counts = np.zeros((len(rows), _BUCKETS), np.float32)
     for out, row in zip(counts, rows):
@@ -167,6 +173,8 @@ def predict_language(docs: DataFrame, model: CentroidModel) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, by ``predict_language``: texts null or without a letter are ``und``, rows without a doc_id
+    are not held out and not learnt from, an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     learn = docs.filter(F.col("lang").isNotNull() & (id_hash() % 5 != 0)).select("doc_id", "text", "lang")
     found = predict_language(docs, fit_language_model(learn))

@@ -6,6 +6,7 @@ capitals, length) is a token, too, so words never seen still say something."""
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -151,13 +152,14 @@ def fit_network(vectors, features, labels, hidden: int = 32, epochs: int = 150,
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, most_per_label: int = 1000) -> QualityNetwork:
-    """Fits on a bounded sample of the texts of ``docs`` with ``labels`` (doc_id once, quality 0 or 1): ``most_per_label`` of
-    each label.  Ids are sampled before texts are read; twice as many ids as that bound are broadcast at most."""
+    """Fits on a bounded sample of the texts of ``docs`` with ``labels`` (doc_id once, quality 0 or 1): about ``most_per_label``
+    of each label.  Ids are sampled before texts are read; about twice as many ids as that bound are broadcast.  Rows without
+    a doc_id or label are left out, null texts are empty; doc_id may be of any type."""
     spark = docs.sparkSession
     ship(spark)
     index = index_vectors()
-    ids = bounded_sample(labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()), "quality", most_per_label)
-    ids = F.broadcast(stored(ids.select("doc_id", F.col("quality").cast("int").alias("quality")), "labelled"))
+    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    ids = F.broadcast(stored(bounded_sample(known, "quality", most_per_label), "labelled"))
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").select("text", "quality", "doc_id")
     sample = stored(sample.repartition(4, "doc_id").sortWithinPartitions("doc_id", "text"), "labelled-texts")
 
@@ -184,7 +186,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most_per_label: int = 1000)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = sample.mapInArrow(features, f"doc_id {kind}, x binary, quality int").collect()
-    rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["x"]))
+    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["x"]))
     width = pooled(pa.array([""]), vectors).shape[1]
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.zeros((0, width), np.float32)
     if not rows:
@@ -211,6 +213,8 @@ def score_quality(docs: DataFrame, model: QualityNetwork, threshold: float = 0.7
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, by ``score_quality``: null texts count as empty, rows without a doc_id are not held out and
+    not learnt from, an empty table gives no rows.  Of several labels of a doc_id the largest counts."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").filter(id_hash() % 4 != 2).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     found = score_quality(docs, fit_quality(docs, labels))
