@@ -4,9 +4,13 @@ Every usable row is indexed: it goes to the list of its nearest coarse centroid,
 byte for each slice of the vector.  A query looks through the lists nearest to it, with a table of distances from its own
 (unquantised) residual to all code words; the best by these sums are ranked anew by exact distance in double precision.
 
+The number of lists grows with the square root of the rows.  How many lists a query looks through is measured: the
+true neighbours of some rows of the sample are looked up in the lists nearest to these rows, and as many are probed as
+hold the recall asked for.  Vectors that form clusters need few, isotropic ones most.
+
 Lists are cut into blocks of bounded size, so that a list with a third of all rows is many blocks; each block passes on
-a bounded number of candidates per query before anything is shuffled by query.  Queries are dealt to chunks of bounded
-size as well: a task meets one block of rows with one chunk of queries."""
+a bounded number of candidates per query before anything is shuffled by query.  Queries are dealt by their nearest
+list to chunks of bounded size: a task meets one block of rows with one chunk of queries that probe it."""
 
 from __future__ import annotations
 
@@ -78,6 +82,22 @@ def fit_quantizer(sample: np.ndarray, lists: int, slices: int, words: int = 256,
     return Quantizer(coarse, np.stack([_padded(kmeans(rest[:, i * step : (i + 1) * step], words, 8, seed + i), words) for i in range(slices)]))
 
 
+def probes_for(sample: np.ndarray, coarse: np.ndarray, k: int, recall: float, asked: int = 512, seed: int = 10) -> int:
+    """Lists to probe so that a share ``recall`` of the ``k`` nearest rows of the sample lies in them, measured on ``asked`` rows
+    of the sample, each without itself."""
+    rng = np.random.default_rng(seed)
+    own = rng.choice(len(sample), min(asked, len(sample)), replace=False)
+    apart = squared(sample[own], sample)
+    apart[np.arange(len(own)), own] = np.inf
+    k = min(k, len(sample) - 1)
+    if not k:
+        return 1
+    near = np.argpartition(apart, k - 1, axis=1)[:, :k]
+    rank = np.argsort(np.argsort(squared(sample[own], coarse), axis=1, kind="stable"), axis=1, kind="stable")
+    at = np.sort(np.take_along_axis(rank, nearest(sample, coarse)[near], axis=1).ravel())
+    return int(at[min(len(at) - 1, int(np.ceil(recall * len(at))) - 1)]) + 1
+
+
 def _padded(words: np.ndarray, n: int) -> np.ndarray:
     return words if len(words) == n else np.vstack([words, np.repeat(words[:1], n - len(words), axis=0)])
 
@@ -143,6 +163,9 @@ def _search_block(index: pa.Table, queries: pa.Table, quantizer: Quantizer, keep
         base[probes] = ((query - quantizer.coarse[probes]) ** 2).sum(axis=1)
         rows = np.flatnonzero(np.isfinite(base[lists]) & (ids != query_id))
         sums = base[lists[rows]] + constant[rows] + quantizer.table(query).ravel()[flat[rows]].sum(axis=1)
+        if len(sums) > keep:  # the sums up to the keep-th smallest, ties included
+            few = np.flatnonzero(sums <= np.partition(sums, keep - 1)[keep - 1])
+            rows, sums = rows[few], sums[few]
         best = np.argsort(sums, kind="stable")[:keep]  # ids ascend: of equal sums the smaller ids are kept
         found[0].append(np.full(len(best), query_id))
         found[1].append(ids[rows[best]])
@@ -153,44 +176,74 @@ def _search_block(index: pa.Table, queries: pa.Table, quantizer: Quantizer, keep
     )
 
 
+#: Bytes of the sample that is brought to the driver, and of the queries that are broadcast, at most.
+_SAMPLE_BYTES, _BROADCAST_BYTES = 64 << 20, 32 << 20
+
+
+def _once(rows: DataFrame, key: str) -> DataFrame:
+    """One row for each id, the one of the smallest vector; where no id repeats, nothing but ids is shuffled."""
+    if rows.groupBy(key).count().filter("count > 1").isEmpty():
+        return rows
+    return rows.groupBy(key).agg(F.min("v").alias("v"))
+
+
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 256, probes: int = 160, rerank: int = 200,
-    sample_rows: int = 16384, block_rows: int = 16384, chunk_queries: int = 16384,
+    vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None, probes: int | None = None, rerank: int = 200,
+    recall: float = 0.96, sample_rows: int = 16384, most_lists: int = 4096, block_rows: int = 16384, chunk_queries: int = 16384,
 ) -> DataFrame:
     """The ``k`` nearest rows of ``vectors`` (vec_id, v) to each of ``queries`` (query_id, v): query_id, rank, vec_id, score.
 
-    The quantizer is fitted on a sample of about ``sample_rows`` rows; every usable row is indexed.  A query looks through
-    its ``probes`` nearest lists and as many more as hold ``rerank`` rows, so that it gets all candidates where
-    there are fewer than ``k``.  A task holds about ``block_rows`` codes and ``chunk_queries`` queries.  Vectors null, zero, of another length than most, or with null or non-finite components
-    take no part, neither do null ids; a query's own id isn't a candidate; of repeated ids each query and candidate
-    counts once.  Ties go to the smaller id.  An empty table gives no rows."""
+    The quantizer is fitted on a sample of about ``sample_rows`` rows, or 32 for each list, and 64 MB at most; every usable
+    row is indexed.  Without other numbers there are as many ``lists`` as the square root of the rows, ``most_lists`` at most,
+    and ``probes`` is measured on the sample, for ``recall`` before quantisation.  A query looks through its nearest lists
+    and as many more as hold ``rerank`` rows, so that it gets all candidates where there are fewer than ``k``; ``rerank``
+    is four times ``k`` at least.  A task holds about ``block_rows`` codes and ``chunk_queries`` queries.
+
+    Vectors null, zero, or with null or non-finite components take no part, neither do null ids; a query's own id isn't a
+    candidate; of repeated ids the smallest vector counts, once.  Vectors of another length have no distance: each
+    length is searched on its own.  Ties go to the smaller id.  Other columns are ignored; an empty table gives no rows."""
     spark = vectors.sparkSession
     ship(spark)
-    schema = "query_id long, rank int, vec_id long, score double"
     rows = usable(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v")), "v").filter("vec_id is not null")
-    common = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").limit(1).collect()
-    if not common:
-        return spark.createDataFrame([], schema)
-    width, total = common[0]["width"], common[0]["count"]
-    rows = rows.filter(F.size("v") == width)
+    asked = usable(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("v").cast("array<double>").alias("v")), "v").filter("query_id is not null")
+    rows, asked = _once(rows, "vec_id"), _once(asked, "query_id")
+    widths = [{r["width"]: r["count"] for r in x.groupBy(F.size("v").alias("width")).count().collect()} for x in (rows, asked)]
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for width in sorted(set(widths[0]) & set(widths[1])):
+        own = F.size("v") == width
+        found = _search_width(rows.filter(own), asked.filter(own), width, widths[0][width], widths[1][width], k, lists, probes, max(rerank, 4 * k), recall, sample_rows, most_lists, block_rows, chunk_queries)
+        out = found if len(widths[0]) == 1 else out.unionByName(found)
+    return out
+
+
+def _search_width(rows, asked, width, total, n_asked, k, lists, probes, rerank, recall, sample_rows, most_lists, block_rows, chunk_queries) -> DataFrame:
+    spark = rows.sparkSession
+    lists = lists or max(16, min(most_lists, round(total**0.5)))
+    sample_rows = min(max(sample_rows, 32 * lists), max(1024, _SAMPLE_BYTES // (4 * width)))
     sample = rows.filter(F.rand(10) < min(1.0, sample_rows / total)).select(F.col("v").cast("array<float>").alias("v")).toPandas()
     fitted = np.array(sample["v"].tolist(), np.float64)
     if not len(fitted):
         fitted = np.array(rows.limit(1).toPandas()["v"].tolist(), np.float64)
     slices = max(s for s in range(1, min(16, width) + 1) if width % s == 0)
     quantizer = fit_quantizer(fitted, lists, slices)
+    probes = probes or probes_for(fitted, quantizer.coarse, k, recall)
     index = stored(build_index(rows, quantizer), "vector-index")
     sizes = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}
-    blocks, n_blocks = plan_blocks(sizes, block_rows)
+    blocks, _ = plan_blocks(sizes, block_rows)
     filled = np.array(sorted(sizes))
     counts = np.array([sizes[i] for i in filled])
 
+    def place(batches):
+        for batch in batches:
+            near = nearest(_matrix(batch.column(1), width), quantizer.coarse) if batch.num_rows else np.empty(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int32))], ["query_id", "v", "near"])
+
     def choose(batches):
         for batch in batches:
             own = _matrix(batch.column(1), width)
             order = np.argsort(squared(own, quantizer.coarse[filled]), axis=1, kind="stable")
-            out = ([], [], [], [])
-            for i, (query_id, near) in enumerate(zip(batch.column(0).to_pylist(), order)):
+            out = ([], [], [], [], [])
+            for i, (query_id, chunk, near) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), order)):
                 enough = int(np.searchsorted(np.cumsum(counts[near]), rerank + 1)) + 1
                 chosen = filled[near[: max(probes, enough)]].tolist()
                 of: dict[int, list[int]] = {}
@@ -198,32 +251,37 @@ def search(
                     for block in blocks[at]:
                         of.setdefault(block, []).append(at)
                 for block, probed in of.items():
-                    for column, value in zip(out, (query_id, own[i].tolist(), block, probed)):
+                    for column, value in zip(out, (query_id, own[i].tolist(), block, probed, chunk)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.list_(pa.int32())))],
-                ["query_id", "v", "block", "probes"],
+                [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.list_(pa.int32()), pa.int32()))],
+                ["query_id", "v", "block", "probes", "chunk"],
             )
 
-    asked = usable(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("v").cast("array<double>").alias("v")), "v")
-    asked = asked.filter(F.col("query_id").isNotNull() & (F.size("v") == width)).groupBy("query_id").agg(F.min("v").alias("v"))
-    chunks = max(1, -(-asked.count() // chunk_queries))
-    sent = asked.mapInArrow(choose, "query_id long, v array<double>, block int, probes array<int>")
-    sent = sent.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
-    of_list = F.create_map(*[F.lit(x) for at, b in blocks.items() for x in (at, b[0])])
-    parts = F.create_map(*[F.lit(x) for at, b in blocks.items() for x in (at, len(b))])
-    placed = index.withColumn("block", (of_list[F.col("list")] + F.pmod(F.xxhash64("vec_id"), parts[F.col("list")]).cast("int")).cast("int"))
-    if chunks > 1:
-        placed = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    else:
+    def dealt(of: dict[int, list[int]], at: str, key: str):
+        """The block (or chunk) of a row: those of its list by turns of its id's hash."""
+        first = F.create_map(*[F.lit(x) for i, b in of.items() for x in (i, b[0])])
+        parts = F.create_map(*[F.lit(x) for i, b in of.items() for x in (i, len(b))])
+        return (first[F.col(at)] + F.pmod(F.xxhash64(key), parts[F.col(at)]).cast("int")).cast("int")
+
+    asked = stored(asked.mapInArrow(place, "query_id long, v array<double>, near int"), "vector-queries")
+    chunks, n_chunks = plan_blocks({r["near"]: r["count"] for r in asked.groupBy("near").count().collect()}, chunk_queries)
+    sent = asked.select("query_id", "v", dealt(chunks, "near", "query_id").alias("chunk"))
+    sent = sent.mapInArrow(choose, "query_id long, v array<double>, block int, probes array<int>, chunk int")
+    placed = index.withColumn("block", dealt(blocks, "list", "vec_id"))
+    # A block is copied for each chunk with a query that probes it, and for no other.
+    if n_chunks == 1:
         placed = placed.withColumn("chunk", F.lit(0))
+    else:
+        placed = placed.join(stored(sent.select("block", "chunk").distinct(), "vector-blocks"), "block")
     found = placed.groupBy("block", "chunk").cogroup(sent.groupBy("block", "chunk")).applyInArrow(
         lambda a, b: _search_block(a, b, quantizer, rerank), "query_id long, vec_id long, estimate double"
     )
     best = F.row_number().over(Window.partitionBy("query_id").orderBy("estimate", "vec_id"))
-    # A repeated id has equal estimates only if its vectors are equal; so many more rows are kept before ids are made distinct.
-    kept = found.withColumn("place", best).filter(F.col("place") <= rerank).select("query_id", "vec_id").distinct()
-    pairs = kept.join(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vec_id").join(asked.withColumnRenamed("v", "q"), "query_id")
+    kept = found.withColumn("place", best).filter(F.col("place") <= rerank).select("query_id", "vec_id")
+    small = n_asked * width * 8 <= _BROADCAST_BYTES
+    target = asked.select("query_id", F.col("v").alias("q"))
+    pairs = kept.join(rows, "vec_id").join(F.broadcast(target) if small else target, "query_id")
     apart = F.aggregate(F.zip_with("q", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     scored = pairs.select("query_id", "vec_id", F.sqrt(apart).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
@@ -231,5 +289,7 @@ def search(
 
 
 def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of each row whose vec_id is divisible by 100, by ``search``: null ids and vectors that are null,
+    zero or not finite take no part, an empty table gives no rows."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     return search(rows, rows.filter(F.col("vec_id") % 100 == 0).withColumnRenamed("vec_id", "query_id"))
