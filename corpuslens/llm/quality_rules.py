@@ -200,4 +200,65 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document, by ``rate_quality``: null and empty texts have no words and fail, an empty table gives no rows."""
     rated = rate_quality(table(spark, sf_dir, "documents"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return rated.select("doc_id", *[F.col("q")[c].alias(c) for c in counts], "base_failed", "kept", "posterior")
+    return rated.select("doc_id", *[F.col("q")[c].alias(c) for c in counts], "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
+
+
+def _smoothed(weight: str, none: float) -> str:
+    """Expected counts of each rule's three votes as shares, from the weights of the patterns."""
+    one = f"{{start}} + list_sum(list_transform(range(1, len(pats) + 1), lambda i: CASE WHEN pats[i].v[j] = {{vote}} THEN pats[i].n * {weight} ELSE 0.0::DOUBLE END))"
+    votes = ", ".join(one.format(start=f"{s}::DOUBLE", vote=v) for s, v in ((none, -1), (1.0, 0), (1.0, 1)))
+    return f"list_transform(list_transform(range(1, 10), lambda j: [{votes}]), lambda x: list_transform(x, lambda y: y / (x[1] + x[2] + x[3])))"
+
+
+_ODDS = "list_sum(list_transform(range(1, 10), lambda j: ln({m}[j][{v}[j] + 2])))"
+OP5_SQL = f"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+split AS (
+  SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM texts),
+windows AS (
+  SELECT id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM split WHERE len(w) >= 5)),
+again AS (
+  SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, g) AS k FROM windows) WHERE k > 1),
+covered AS (
+  SELECT id, count(DISTINCT p) AS n FROM (SELECT id, unnest(range(i, i + 5)) AS p FROM again) GROUP BY id),
+counts AS (
+  SELECT s.id, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+    len(regexp_extract_all(text, '[#*$%&|<>]+')) AS n_runs, len(regexp_extract_all(text, '\\p{{L}}')) AS n_letters, len(regexp_extract_all(text, '\\p{{Lu}}')) AS n_capitals,
+    len(list_filter(w, lambda x: lower(x) IN ({', '.join(f"'{x}'" for x in FUNCTION_WORDS)}))) AS n_function FROM split s LEFT JOIN covered c ON s.id = c.id),
+shares AS (
+  SELECT *, n_words = 0 AS none, word_chars / greatest(n_words, 1)::DOUBLE AS size, n_symbols / greatest(n_words, 1)::DOUBLE AS symbols, n_runs / greatest(n_words, 1)::DOUBLE AS runs,
+    n_letters / greatest(word_chars, 1)::DOUBLE AS letters, n_capitals / greatest(n_letters, 1)::DOUBLE AS capitals, n_repeat_words / greatest(n_words, 1)::DOUBLE AS repeats,
+    n_dup_lines / greatest(n_lines, 1)::DOUBLE AS dup FROM counts),
+voted AS (
+  SELECT *, [CASE WHEN n_words < 10 THEN -1 WHEN n_words >= 30 THEN 1 ELSE 0 END,
+    CASE WHEN size < 2 OR size > 15 THEN -1 WHEN size BETWEEN 3 AND 10 THEN 1 ELSE 0 END,
+    CASE WHEN none OR symbols > 0.2::DOUBLE THEN -1 WHEN symbols < 0.02::DOUBLE THEN 1 ELSE 0 END,
+    CASE WHEN none OR runs > 0.15::DOUBLE THEN -1 WHEN runs < 0.02::DOUBLE THEN 1 ELSE 0 END,
+    CASE WHEN none OR letters < 0.7::DOUBLE THEN -1 WHEN letters > 0.85::DOUBLE THEN 1 ELSE 0 END,
+    CASE WHEN n_words >= 10 AND capitals > 0.5::DOUBLE THEN -1 WHEN n_words > 0 AND capitals < 0.2::DOUBLE THEN 1 ELSE 0 END,
+    CASE WHEN none OR repeats > 0.2::DOUBLE THEN -1 WHEN repeats < 0.05::DOUBLE THEN 1 ELSE 0 END,
+    CASE WHEN none OR dup > 0.3::DOUBLE THEN -1 WHEN dup < 0.1::DOUBLE THEN 1 ELSE 0 END,
+    CASE WHEN n_function / greatest(n_words, 1)::DOUBLE > 0.05::DOUBLE THEN 1 ELSE 0 END] AS v FROM shares),
+patterns AS (
+  SELECT list(struct_pack(v := v, n := n) ORDER BY v) AS pats FROM (SELECT v, count(*) AS n FROM voted GROUP BY v)),
+model(r, good, bad, prior) AS (
+  SELECT 0, list_transform(range(1, 10), lambda j: [0.02::DOUBLE, 0.18::DOUBLE, 0.8::DOUBLE]), list_transform(range(1, 10), lambda j: [0.4::DOUBLE, 0.3::DOUBLE, 0.3::DOUBLE]), 0.85::DOUBLE
+  UNION ALL
+  SELECT r + 1, good2, list_transform(range(1, 10), lambda j: CASE WHEN bad1[j][1] >= 2 * good2[j][1] THEN bad1[j]
+      ELSE [2 * good2[j][1], bad1[j][2] * (1 - 2 * good2[j][1]) / (1 - bad1[j][1]), bad1[j][3] * (1 - 2 * good2[j][1]) / (1 - bad1[j][1])] END), prior1
+  FROM (
+    SELECT *, list_transform(good1, lambda x: CASE WHEN x[1] <= 0.1::DOUBLE THEN x ELSE [0.1::DOUBLE, x[2] * 0.9::DOUBLE / (1 - x[1]), x[3] * 0.9::DOUBLE / (1 - x[1])] END) AS good2
+    FROM (
+      SELECT r, {_smoothed('p[i]', 0.5)} AS good1, {_smoothed('(1 - p[i])', 1.0)} AS bad1,
+        least(0.98::DOUBLE, greatest(0.5::DOUBLE, list_sum(list_transform(range(1, len(pats) + 1), lambda i: pats[i].n * p[i])) / list_sum(list_transform(pats, lambda x: x.n)))) AS prior1
+      FROM (
+        SELECT r, pats, list_transform(pats, lambda x: 1 / (1 + exp(least(700, ln(1 - prior) + {_ODDS.format(m='bad', v='x.v')} - ln(prior) - {_ODDS.format(m='good', v='x.v')})))) AS p
+        FROM model, patterns WHERE r < 50))))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept, round(p, 6) AS posterior
+FROM (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, 1 / (1 + exp(ln(1 - prior) + {_ODDS.format(m='bad', v='v')} - ln(prior) - {_ODDS.format(m='good', v='v')})) AS p
+  FROM voted, model WHERE r = 50)
+"""

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from corpuslens.llm.jaccard_join import op4_jaccard_join
+from corpuslens.llm.jaccard_join import OP4_SQL, op4_jaccard_join
 from corpuslens.llm.language_id import op7_language_id
 from corpuslens.llm.mixing import OP8_SQL, op8_mixing
 from corpuslens.llm.packing import op1_packing
 from corpuslens.llm.pii import op2_pii
 from corpuslens.llm.quality_classifier import op6_quality_classifier
-from corpuslens.llm.quality_rules import op5_quality_rules
+from corpuslens.llm.quality_rules import OP5_SQL, op5_quality_rules
 from corpuslens.llm.substring_dedup import OP3_SQL, op3_substring_dedup
 from corpuslens.llm.token_counts import op9_token_counts
 from corpuslens.llm.vector_search import op10_vector_search
@@ -20,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op8_mixing": OP8_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op5_quality_rules": OP5_SQL, "op8_mixing": OP8_SQL}
