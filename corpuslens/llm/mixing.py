@@ -105,7 +105,7 @@ def mix_sources(
     and rows without words are left out."""
     plan = plan_mix(docs, weights, max_epochs, seed, cut=False, with_row=True)
     times = (F.col("whole") + F.when(F.col("extra") > 0, 1).otherwise(0)).cast("int")
-    repeated = plan.select("row", times.alias("times")).filter("times > 0")
+    repeated = plan.filter("size > 0").select("row", times.alias("times")).filter("times > 0")
     return repeated.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
