@@ -111,6 +111,17 @@ class QualityNetwork:
         return 1 / (1 + np.exp(-np.clip(self.logits(features) / self.temperature, -60, 60)))
 
 
+_DECAY = 3e-4
+
+
+def gradients(w1, b1, w2, b2, x, y) -> dict[str, np.ndarray]:
+    """Of the mean log loss and half the decay of squared weights, by backpropagation."""
+    h = np.tanh(x @ w1 + b1)
+    d = (1 / (1 + np.exp(-np.clip(h @ w2 + b2, -60, 60))) - y) / len(x)
+    back = np.outer(d, w2) * (1 - h * h)
+    return {"w1": x.T @ back + _DECAY * w1, "b1": back.sum(axis=0), "w2": h.T @ d + _DECAY * w2, "b2": d.sum()}
+
+
 def fit_network(vectors, features, labels, hidden: int = 32, epochs: int = 150, seed: int = 6) -> QualityNetwork:
     """Adam on the log loss with weight decay; every fifth row sets the temperature alone."""
     width = features.shape[1]
@@ -133,11 +144,7 @@ def fit_network(vectors, features, labels, hidden: int = 32, epochs: int = 150,
         order = rng.permutation(len(x))
         for at in range(0, len(x), 128):
             rows = order[at : at + 128]
-            h = np.tanh(x[rows] @ model.w1 + model.b1)
-            p = 1 / (1 + np.exp(-np.clip(h @ model.w2 + model.b2, -60, 60)))
-            d = (p - y[rows]) / len(rows)
-            back = np.outer(d, model.w2) * (1 - h * h)
-            grads = {"w1": x[rows].T @ back + 3e-4 * model.w1, "b1": back.sum(axis=0), "w2": h.T @ d + 3e-4 * model.w2, "b2": d.sum()}
+            grads = gradients(model.w1, model.b1, model.w2, model.b2, x[rows], y[rows])
             step += 1
             for name, g in grads.items():
                 m, v = state[name]
