@@ -78,6 +78,17 @@ def _whole(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, "<u2").reshape(2, -1).T).view("<u4").ravel()
 
 
+def _thin(prints: np.ndarray, buckets: int) -> bytes:
+    """Ascending fingerprints of one bucket as the steps between their quotients, byte by byte: upper bytes are mostly zeros."""
+    steps = np.diff(prints // _U(buckets), prepend=_U(0)).astype("<u8")
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _thick(raw: bytes, bucket: int, buckets: int) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.cumsum(steps, dtype=np.uint64) * _U(buckets) + _U(bucket)
+
+
 #: Values by document, dealt to parts of the documents: doc, text_key, number of values, and the values one after another.
 _LISTS = "part int, docs binary, texts binary, counts binary, found binary"
 _LISTS_ARROW = pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("docs", "texts", "counts", "found")]])
@@ -183,7 +194,7 @@ def _write_run(batches, window: int, gram: int, buckets: int):
         who = np.where(is_shared, _SHARED, owners).astype(np.uint32)[once]
         entries = prints[once]
         for bucket, at in _by_owner((entries % _U(buckets)).astype(np.int64), np.arange(len(entries))):
-            rows.append((bucket, *_packed(entries[at], who[at], docs, kinds), None, None))
+            rows.append((bucket, *_packed(entries[at], buckets, who[at], docs, kinds), None, None))
         yield _table(_RUN_ARROW, rows)
 
 
@@ -192,22 +203,22 @@ def _proposed(prints: np.ndarray) -> np.ndarray:
     return prints.astype(np.uint32)
 
 
-def _packed(prints: np.ndarray, who: np.ndarray, docs: np.ndarray, kinds: np.ndarray) -> tuple:
+def _packed(prints: np.ndarray, buckets: int, who: np.ndarray, docs: np.ndarray, kinds: np.ndarray) -> tuple:
     """prints, owners, docs and texts (here: the kinds of the docs, or null if all have doc_ids) of a run's bucket."""
     single = who != _SHARED
     held, inner = np.unique(who[single], return_inverse=True)
     own = np.full(len(who), _SHARED, np.uint32)
     own[single] = inner
     kind = kinds[held]
-    return prints.tobytes(), _halves(own), docs[held].tobytes(), kind.tobytes() if (kind != _OWN).any() else None
+    return _thin(prints, buckets), _halves(own), docs[held].tobytes(), kind.tobytes() if (kind != _OWN).any() else None
 
 
-def _entries(prints: bytes, owners: bytes, docs: bytes, kinds: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _entries(buckets: int, bucket: int, prints: bytes, owners: bytes, docs: bytes, kinds: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Fingerprints of a run's bucket, ascending, with the doc and the kind of each owner."""
     own, doc = _whole(owners), np.append(np.frombuffer(docs, np.int64), 0)
     kind = np.full(len(doc), _OWN, np.uint8) if kinds is None else np.append(np.frombuffer(kinds, np.uint8), 0)
     several, at = own == _SHARED, np.minimum(own, len(doc) - 1)
-    return np.frombuffer(prints, np.uint64), np.where(several, 0, doc[at]), np.where(several, _SEVERAL, kind[at]).astype(np.uint8)
+    return _thick(prints, bucket, buckets), np.where(several, 0, doc[at]), np.where(several, _SEVERAL, kind[at]).astype(np.uint8)
 
 
 def _merged(runs: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -229,7 +240,7 @@ def _merge_runs(batches, parts: int):
     """Lists of the fingerprints of each document that another one has as well."""
     runs = []
     for batch in batches:
-        runs += [_entries(*x) for x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))) if x[0] is not None]
+        runs += [_entries(parts, *x) for x in zip(*(batch.column(i).to_pylist() for i in range(5))) if x[1] is not None]
         yield from _passed_on(batch, [3, 4, 5, 6])
     if not runs:
         return
@@ -372,7 +383,8 @@ class FingerprintIndex:
         if len(old) < 2:
             return
         newer = self.runs[len(old) :]
-        self._write(self._dealt(old).mapInArrow(_compacted, _RUN))
+        buckets = self.buckets
+        self._write(self._dealt(old).mapInArrow(lambda b: _compacted(b, buckets), _RUN))
         self.runs = [self.runs[-1], *newer]
         for path in old:
             delete(self.spark, path)
@@ -382,7 +394,7 @@ def assembled(lists: DataFrame, parts: int) -> DataFrame:
     return lists.repartition(parts, "part").mapInArrow(_assemble, "doc long, text_key long, found binary")
 
 
-def _compacted(batches):
+def _compacted(batches, buckets: int):
     held: dict[int, list] = {}
     for batch in batches:
         settled = batch.column(1).is_null()
@@ -390,7 +402,7 @@ def _compacted(batches):
             yield batch.filter(settled)
         for bucket, *entries in zip(*(batch.column(i).to_pylist() for i in range(5))):
             if entries[0] is not None:
-                held.setdefault(bucket, []).append(_entries(*entries))
+                held.setdefault(bucket, []).append(_entries(buckets, bucket, *entries))
     for bucket, runs in held.items():
         prints, docs, kinds = _merged(runs)
         order = np.lexsort((docs, kinds, prints))  # only owners of one fingerprint still change places
@@ -405,7 +417,7 @@ def _compacted(batches):
         inner[by_doc] = (np.cumsum(fresh) - 1).astype(np.uint32)
         owner[owned] = inner
         held_docs, held_kinds = (x[owned][by_doc][fresh] for x in (docs, kinds))
-        yield _table(_RUN_ARROW, [(bucket, *_packed(prints, owner, held_docs, held_kinds), None, None)])
+        yield _table(_RUN_ARROW, [(bucket, *_packed(prints, buckets, owner, held_docs, held_kinds), None, None)])
 
 
 def remove_repeats(
@@ -439,12 +451,12 @@ def remove_repeats(
     window, gram, parts = index.window, index.gram, index.buckets
     # With the same columns on both ways, the exchange of the texts by doc is made once for this and for the removal.
     by_doc = everything.repartition(parts, "doc", "none")
-    marked = by_doc.join(index.matches(), ["doc", "none"]).select("doc", "none", "text_key", "text", "found", "doc_id")
+    marked = by_doc.join(index.matches().repartition(parts, "doc", "none"), ["doc", "none"]).select("doc", "none", "text_key", "text", "found", "doc_id")
     marked = marked.mapInArrow(lambda b: _mark_windows(b, window, gram, parts), _MARKS)
     settled = marked.repartition(parts, "bucket").mapInArrow(lambda b: _settle_windows(b, parts), _LISTS)
     # Grouped and joined by doc alone, so that the texts stay where they are; rows of one doc_id are told apart afterwards.
     removed = assembled(settled, parts).withColumn("none", F.col("doc") == F.col("text_key"))
-    removed = removed.groupBy("doc", "none").agg(F.collect_list(F.struct("text_key", "found")).alias("marks"))
+    removed = removed.repartition(parts, "doc", "none").groupBy("doc", "none").agg(F.collect_list(F.struct("text_key", "found")).alias("marks"))
     joined = source.repartition(parts, "doc", "none").join(removed, ["doc", "none"], "left")
     mine = F.filter("marks", lambda m: m["text_key"] == F.col("text_key"))
     joined = joined.withColumn("found", F.transform(mine, lambda m: m["found"]))
