@@ -131,19 +131,25 @@ def extract_answer(c: Column) -> Column:
     )
 
 
-_REPLY = "label string, classification string, category string, confidence string, rationale string, reason string, explanation string"
+_REPLY = "label string, classification string, category string, confidence string, rationale string, reason string, explanation string, broken string"
 
 
 def parse_reply(c: Column) -> Column:
-    """label, confidence and rationale of a model's reply: the JSON object in it, else its first line that isn't blank."""
+    """label, confidence and rationale of a model's reply: of the JSON object from its first to its last brace, whatever names
+    that has.  Where there is none, where it is no single object, or where its confidence is no number, the label is
+    the first line that isn't blank."""
     end = F.length(c) - F.instr(F.reverse(c), "}") + 1
     start = F.instr(c, "{")
-    found = F.when((start > 0) & (end > start), F.from_json(F.substring(c, start, end - start + 1), _REPLY, {"allowSingleQuotes": "false"}))
-    ok = found.isNotNull() & F.coalesce(*[found[k] for k in ("label", "classification", "category", "confidence", "rationale", "reason", "explanation")]).isNotNull()
+    inner = F.when((start > 0) & (end > start), F.substring(c, start, end - start + 1))
+    # An object that is followed by another one is broken as the only item of an array.
+    one = F.size(F.from_json(F.concat(F.lit("["), inner, F.lit("]")), "array<string>", {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})) == 1
+    found = F.from_json(inner, _REPLY, {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "broken"})
+    number = found["confidence"].try_cast("double")
+    ok = F.coalesce(one & found["broken"].isNull() & (found["confidence"].isNull() | number.isNotNull()), F.lit(False))
     pick = lambda *names: F.coalesce(*[F.nullif(found[n], F.lit("")) for n in names])
     line = F.get(F.filter(F.transform(F.split(empty(c), "\n"), strip), lambda x: x != ""), F.lit(0))
     return F.struct(
         F.when(ok, pick("label", "classification", "category")).otherwise(F.substring(line, 1, 100)).alias("label"),
-        F.when(ok, found["confidence"].try_cast("double")).alias("confidence"),
+        F.when(ok, number).alias("confidence"),
         F.when(ok, pick("rationale", "reason", "explanation")).alias("rationale"),
     )

@@ -93,6 +93,8 @@ class Slots:
 
 #: prompt -> (reply, or null if it failed; tokens in; tokens out; what went wrong, which may be left out)
 Provider = Callable[[str], tuple]
+# Fixed value: what stands between the prompt and the article.
+_BETWEEN = "\n\n---\n\n기사:\n"
 RESULTS = "article_id string, success boolean, label string, confidence double, rationale string, raw_response string, error string, prompt_tokens long, output_tokens long, job_id string, called_at string"
 
 
@@ -104,7 +106,7 @@ def call_provider(batch: DataFrame, provider: Provider, prompt: str, tasks: int
             replies = [provider(x) for x in frame["prompt"]]
             yield pd.DataFrame({"article_id": frame["article_id"], "reply": [r[0] for r in replies], "prompt_tokens": [r[1] for r in replies], "output_tokens": [r[2] for r in replies], "error": [r[3] if len(r) > 3 else None for r in replies]})
 
-    asked = F.concat(F.lit(prompt + "\n\n제목: "), F.coalesce("title", F.lit("")), F.lit("\n본문: "), F.coalesce("body_internal", F.lit("")))
+    asked = F.concat(F.lit(prompt + _BETWEEN + "제목: "), F.coalesce("title", F.lit("")), F.lit("\n본문: "), F.coalesce("body_internal", F.lit("")))
     answered = batch.select("article_id", asked.alias("prompt")).repartition(tasks).mapInPandas(run, "article_id string, reply string, prompt_tokens long, output_tokens long, error string")
     parsed = answered.withColumn("x", parse_reply(F.col("reply")))
     return parsed.select("article_id", F.col("reply").isNotNull().alias("success"), "x.label", "x.confidence", "x.rationale", F.col("reply").alias("raw_response"), "error", "prompt_tokens", "output_tokens")

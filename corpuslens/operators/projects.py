@@ -180,7 +180,8 @@ class Projects:
         return rows.filter("is_active") if active_only else rows
 
     def results(self, job_id: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/llm_results/{job_id}")
+        """The last result of each article: a failed one goes when its article is classified again."""
+        return store.latest_results(self.spark.read.parquet(f"{self.root}/llm_results/{job_id}"))
 
     # Steps
 
@@ -276,7 +277,7 @@ class Projects:
             label = t.or_unknown(F.col("label"))
             found["labels_monthly"] = analyze.label_periods(labelled, month)
             found["by_publisher"] = analyze.cross_tab(labelled, label, t.or_unknown(F.col("publisher")))
-            found["by_month"] = analyze.cross_tab(labelled, label, month)
+            found["by_month"] = analyze.cross_tab(labelled, label, t.or_unknown(month))
         if output:
             exports.export_articles_parquet(every, f"{output}/articles.parquet")
             self.log_artifact(project_id, "articles", f"{output}/articles.parquet")
@@ -310,7 +311,7 @@ class Projects:
         articles = self.articles(project_id)
         jobs = [r["job_id"] for r in self.table("llm_jobs").filter(F.col("project_id") == project_id).select("job_id").collect()]
         paths = [f"{self.root}/llm_results/{j}" for j in jobs if "_SUCCESS" in self._list(f"llm_results/{j}")]
-        results = self.spark.read.parquet(*paths) if paths else self.spark.createDataFrame([], RESULTS)
+        results = store.latest_results(self.spark.read.parquet(*paths)) if paths else self.spark.createDataFrame([], RESULTS)
         return analyze.overview(articles, results).head().asDict() | {"artifacts": self.table("artifacts").filter(F.col("project_id") == project_id).count()}
 
     def history(self, name: str, project_id: str) -> DataFrame:

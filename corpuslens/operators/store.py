@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ARTICLE_COLUMNS = ("article_id", "project_id", "source", "date", "publisher", "title", "body_excerpt", "keywords", "url", "is_active")
-RESULT_COLUMNS = ("article_id", "date", "publisher", "title", "body_excerpt", "url", "label", "confidence", "rationale")
+# The columns that may leave a project.
+ARTICLE_COLUMNS = ("article_id", "source", "date", "publisher", "title", "body_excerpt", "keywords", "url", "cleaned_at", "is_active")
+RESULT_COLUMNS = ("article_id", "date", "publisher", "title", "body_excerpt", "label", "confidence", "rationale", "called_at")
 
 
 def first_write(new: DataFrame, stored: DataFrame | None, key: list[str], order: list[str]) -> DataFrame:
@@ -42,9 +43,17 @@ def safe_articles(articles: DataFrame, active_only: bool = True) -> DataFrame:
     return rows.select(*ARTICLE_COLUMNS).orderBy("date", "article_id")
 
 
+def latest_results(results: DataFrame) -> DataFrame:
+    """One row for each job and article: the last call; of calls at one time a successful one."""
+    keys = ["job_id", "article_id"]
+    row = F.max_by(F.struct(*[c for c in results.columns if c not in keys]), F.struct("called_at", "success")).alias("row")
+    return results.groupBy(*keys).agg(row).select(*keys, "row.*").select(*results.columns)
+
+
 def safe_results(results: DataFrame, articles: DataFrame, job_id: str) -> DataFrame:
-    joined = results.filter(F.col("job_id") == job_id).join(articles, "article_id")
-    return joined.select(*RESULT_COLUMNS).orderBy("date", "article_id")
+    """The last successful results of the job on active articles."""
+    last = latest_results(results.filter(F.col("job_id") == job_id)).filter("success")
+    return last.join(articles.filter("is_active"), "article_id").select(*RESULT_COLUMNS).orderBy("date", "article_id")
 
 
 def changed_files(expected: DataFrame, actual: DataFrame) -> DataFrame:

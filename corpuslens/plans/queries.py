@@ -28,39 +28,59 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The article view of the documents: dates, publishers and titles made from what they have."""
+    """The article view of the documents: dates are made from ids, titles are first lines, keywords all words between spaces."""
     return _table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("article_id"), F.lit("p1").alias("project_id"), F.col("lang").alias("source"),
         F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")), "yyyy-MM-dd").alias("date"),
-        F.col("source").alias("publisher"), F.substring("text", 1, 80).alias("title"), F.col("text").alias("body_internal"),
-        t.excerpt(F.col("text")).alias("body_excerpt"), F.slice(F.split("text", " "), 1, 20).alias("keywords"),
+        F.col("source").alias("publisher"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body_internal"),
+        t.excerpt(F.col("text")).alias("body_excerpt"), F.split("text", " ").alias("keywords"),
         F.concat(F.lit("https://example.com/"), F.col("doc_id").cast("string")).alias("url"), (F.col("doc_id") % 10 != 9).alias("is_active"),
-        F.col("doc_id").alias("ingest_seq"),
+        F.col("doc_id").alias("ingest_seq"), F.when(F.col("doc_id") % 3 == 0, F.lit("2024-03-01T00:00:00")).alias("cleaned_at"),
     )
 
 
 ARTICLES = """articles AS (SELECT CAST(doc_id AS VARCHAR) AS article_id, 'p1' AS project_id, lang AS source,
- strftime(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER), '%Y-%m-%d') AS date, source AS publisher, substr(text, 1, 80) AS title,
+ strftime(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER), '%Y-%m-%d') AS date, source AS publisher, string_split(text, chr(10))[1] AS title,
  text AS body_internal, CASE WHEN length(text) <= 200 THEN text ELSE substr(text, 1, 197) || '...' END AS body_excerpt,
- string_split(text, ' ')[1:20] AS keywords, 'https://example.com/' || CAST(doc_id AS VARCHAR) AS url, doc_id % 10 <> 9 AS is_active,
- doc_id AS ingest_seq FROM documents)"""
+ string_split(text, ' ') AS keywords, 'https://example.com/' || CAST(doc_id AS VARCHAR) AS url, doc_id % 10 <> 9 AS is_active,
+ doc_id AS ingest_seq, CASE WHEN doc_id % 3 = 0 THEN '2024-03-01T00:00:00' END AS cleaned_at FROM documents)"""
 _WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _CLASS = _WS.replace("{", "{{").replace("}", "}}")  # for str.format
 _STRIP = rf"regexp_replace({{0}}, '^{_CLASS}+|{_CLASS}+$', '', 'g')"
 _NORMAL = rf"trim(regexp_replace({{0}}, '{_CLASS}+', ' ', 'g'), ' ')"
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of one job: every seventh article's first call failed, and every second of these was called again."""
     quality = F.when(F.col("quality") == 1, "relevant").otherwise("irrelevant")
-    return _table(spark, sf_dir, "labels").select(
-        F.lit("j1").alias("job_id"), F.col("doc_id").cast("string").alias("article_id"), quality.alias("label"),
-        (F.lit(0.5) + F.col("toxic") / 4).alias("confidence"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("rationale"),
-        (F.col("doc_id") % 7 != 0).alias("success"),
-    )
+    done = F.col("doc_id") % 7 != 0
+
+    def calls(rows: DataFrame, success, at: str) -> DataFrame:
+        return rows.select(
+            F.lit("j1").alias("job_id"), F.col("doc_id").cast("string").alias("article_id"), F.when(success, quality).alias("label"),
+            F.when(success, F.lit(0.5) + F.col("toxic") / 4).alias("confidence"), F.when(success, F.concat(F.lit("r"), F.col("doc_id").cast("string"))).alias("rationale"),
+            success.alias("success"), F.lit(at).alias("called_at"),
+        )
 
+    labels = _table(spark, sf_dir, "labels")
+    return calls(labels, done, "2024-02-01T00:00:00").union(calls(labels.filter(F.col("doc_id") % 14 == 0), F.lit(True), "2024-02-02T00:00:00"))
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.latest_results(attempts(spark, sf_dir))
 
-RESULTS = """results AS (SELECT 'j1' AS job_id, CAST(doc_id AS VARCHAR) AS article_id, CASE WHEN quality = 1 THEN 'relevant' ELSE 'irrelevant' END AS label,
- CAST(0.5 AS DOUBLE) + toxic / 4 AS confidence, 'r' || CAST(doc_id AS VARCHAR) AS rationale, doc_id % 7 <> 0 AS success FROM labels)"""
+
+_CALL = "'j1' AS job_id, CAST(doc_id AS VARCHAR) AS article_id, {good} AS success, '{at}' AS called_at, quality, toxic, doc_id FROM labels"
+RESULTS = f"""results AS (SELECT job_id, article_id, CASE WHEN success THEN CASE WHEN quality = 1 THEN 'relevant' ELSE 'irrelevant' END END AS label,
+ CASE WHEN success THEN CAST(0.5 AS DOUBLE) + toxic / 4 END AS confidence, CASE WHEN success THEN 'r' || CAST(doc_id AS VARCHAR) END AS rationale, success, called_at
+ FROM (SELECT *, row_number() OVER (PARTITION BY job_id, article_id ORDER BY called_at DESC) AS place FROM
+ (SELECT {_CALL.format(good='doc_id % 7 <> 0', at='2024-02-01T00:00:00')} UNION ALL SELECT {_CALL.format(good='true', at='2024-02-02T00:00:00')} WHERE doc_id % 14 = 0)) WHERE place = 1)"""
+
+
+@query(f"WITH {RESULTS} SELECT article_id, label, confidence, rationale, success, called_at FROM results")
+def results_latest(spark, sf_dir):
+    """One row for each article of the job: of a failed call and its repetition the later one."""
+    return results(spark, sf_dir).drop("job_id")
 
 
 @query("SELECT page_id, " + _NORMAL.format("regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g')") + " AS body FROM pages")
@@ -87,7 +107,7 @@ def exact_dedup(spark, sf_dir):
 
 
 def _titles(spark, sf_dir):
-    return articles(spark, sf_dir).select(F.col("ingest_seq").alias("id"), (F.col("ingest_seq") % 30).cast("string").alias("block"), F.col("ingest_seq").alias("seq"), "title")
+    return articles(spark, sf_dir).select(F.col("ingest_seq").alias("id"), F.col("date").alias("block"), F.col("ingest_seq").alias("seq"), "title")
 
 
 _GREEDY = f"""titles AS (SELECT id, block, lower({_NORMAL.format('title')}) AS x FROM candidates),
@@ -100,12 +120,12 @@ scan AS (SELECT block, rn, CASE WHEN true THEN [id] END AS kept FROM lists WHERE
 greedy AS (SELECT unnest(kept) AS id FROM scan s WHERE rn = (SELECT max(rn) FROM lists l WHERE l.block = s.block))"""
 
 
-@query(f"WITH RECURSIVE {ARTICLES}, candidates AS (SELECT ingest_seq AS id, ingest_seq % 30 AS block, title FROM articles), {_GREEDY} SELECT id FROM greedy")
+@query(f"WITH RECURSIVE {ARTICLES}, candidates AS (SELECT ingest_seq AS id, date AS block, title FROM articles), {_GREEDY} SELECT id FROM greedy")
 def fuzzy_dedup(spark, sf_dir):
     return clean.fuzzy_kept(_titles(spark, sf_dir))
 
 
-_TITLE_K = "CASE doc_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN '[AD] ' || substr(text, 1, 30) WHEN 2 THEN '[광고] x' ELSE substr(text, 1, 30) END"
+_TITLE_K = "CASE doc_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN '[AD] ' || text WHEN 2 THEN '[광고] x' ELSE text END"
 
 
 @query(f"""SELECT doc_id, coalesce(CASE WHEN {_STRIP.format('title')} = '' THEN 'no_title' WHEN length({_STRIP.format('text')}) < 400 THEN 'short'
@@ -175,12 +195,12 @@ def crosstab_publisher(spark, sf_dir):
     return analyze.cross_tab(_labelled(spark, sf_dir), t.or_unknown(F.col("label")), t.or_unknown(F.col("publisher")))
 
 
-@query(f"WITH {ARTICLES}, {RESULTS} SELECT article_id, date, publisher, title, body_excerpt, url, label, confidence, rationale FROM results JOIN articles USING (article_id)")
+@query(f"WITH {ARTICLES}, {RESULTS} SELECT article_id, date, publisher, title, body_excerpt, label, confidence, rationale, called_at FROM results JOIN articles USING (article_id) WHERE success AND is_active")
 def results_export(spark, sf_dir):
-    return store.safe_results(results(spark, sf_dir), articles(spark, sf_dir), "j1")
+    return store.safe_results(attempts(spark, sf_dir), articles(spark, sf_dir), "j1")
 
 
-@query(f"WITH {ARTICLES} SELECT article_id, project_id, source, date, publisher, title, body_excerpt, array_to_string(keywords, ' ') AS keywords, url, is_active FROM articles WHERE is_active")
+@query(f"WITH {ARTICLES} SELECT article_id, source, date, publisher, title, body_excerpt, array_to_string(keywords, ' ') AS keywords, url, cleaned_at, is_active FROM articles WHERE is_active")
 def articles_export(spark, sf_dir):
     return store.safe_articles(articles(spark, sf_dir)).withColumn("keywords", F.array_join("keywords", " "))
 
@@ -233,14 +253,17 @@ def recent_activity(spark, sf_dir):
     return store.recent_activity(events, orders)
 
 
-_REPLIES = """CASE (conv_id + turn) % 4 WHEN 0 THEN concat('{"label": "yes", "confidence": 0.25, "rationale": "r', conv_id, '"}')
- WHEN 1 THEN concat('Sure: {"category": "no", "confidence": "0.5", "reason": ""} done') WHEN 2 THEN concat(' plain ', conv_id, chr(10), 'more') ELSE '{broken' END"""
+_REPLIES = """CASE (conv_id + turn) % 10 WHEN 0 THEN concat('{"label": "yes", "confidence": 0.25, "rationale": "r', conv_id, '"}')
+ WHEN 1 THEN concat('Sure: {"category": "no", "confidence": "0.5", "reason": ""} done') WHEN 2 THEN concat(' plain ', conv_id, chr(10), 'more') WHEN 3 THEN '{broken'
+ WHEN 4 THEN '{"foo": 1}' WHEN 5 THEN '{}' WHEN 6 THEN '{"label": null}' WHEN 7 THEN concat('{"label": "x", "confidence": "abc"}', chr(10), 'y') WHEN 8 THEN '{"label": 5, "confidence": null}'
+ ELSE concat(chr(10), '{"label": "a"} {"label": "b"}') END"""
 
 
-@query(f"""WITH x AS (SELECT conv_id, turn, {_REPLIES} AS reply FROM conversations),
- y AS (SELECT *, CASE WHEN (conv_id + turn) % 4 < 2 THEN substr(reply, strpos(reply, '{{'), length(reply) - strpos(reverse(reply), '}}') + 2 - strpos(reply, '{{')) END AS j FROM x)
- SELECT conv_id, turn, CASE WHEN j IS NULL THEN trim(string_split(reply, chr(10))[1]) ELSE coalesce(nullif(json_extract_string(j, '$.label'), ''), nullif(json_extract_string(j, '$.category'), '')) END AS label,
- TRY_CAST(json_extract_string(j, '$.confidence') AS DOUBLE) AS confidence, coalesce(nullif(json_extract_string(j, '$.rationale'), ''), nullif(json_extract_string(j, '$.reason'), '')) AS rationale FROM y""")
+@query(f"""WITH x AS (SELECT conv_id, turn, (conv_id + turn) % 10 AS kind, {_REPLIES} AS reply FROM conversations),
+ y AS (SELECT *, trim(string_split(trim(reply, chr(10) || ' '), chr(10))[1]) AS line, CASE WHEN kind NOT IN (2, 3, 9) THEN substr(reply, strpos(reply, '{{'), length(reply) - strpos(reverse(reply), '}}') + 2 - strpos(reply, '{{')) END AS j FROM x),
+ z AS (SELECT *, CASE WHEN j IS NOT NULL AND (json_extract_string(j, '$.confidence') IS NULL OR TRY_CAST(json_extract_string(j, '$.confidence') AS DOUBLE) IS NOT NULL) THEN j END AS good FROM y)
+ SELECT conv_id, turn, CASE WHEN good IS NULL THEN line ELSE coalesce(nullif(json_extract_string(good, '$.label'), ''), nullif(json_extract_string(good, '$.category'), '')) END AS label,
+ TRY_CAST(json_extract_string(good, '$.confidence') AS DOUBLE) AS confidence, coalesce(nullif(json_extract_string(good, '$.rationale'), ''), nullif(json_extract_string(good, '$.reason'), '')) AS rationale FROM z""")
 def parse_response(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations").withColumn("x", t.parse_reply(F.expr(_REPLIES)))
     return rows.select("conv_id", "turn", "x.label", "x.confidence", "x.rationale")
@@ -249,18 +272,21 @@ def parse_response(spark, sf_dir):
 _CALLS = "SELECT CASE WHEN conv_id % 2 = 0 THEN 'm-flash' ELSE 'm-pro' END AS model, conv_id, length(text) AS p, turn + 1 AS c, (conv_id + turn) % 9 <> 0 AS success FROM conversations"
 
 
+def _calls(spark, sf_dir):
+    chosen = "turn", "CASE WHEN conv_id % 2 = 0 THEN 'm-flash' ELSE 'm-pro' END AS model", "conv_id", "length(text) AS p", "turn + 1 AS c", "(conv_id + turn) % 9 <> 0 AS success"
+    return _table(spark, sf_dir, "conversations").selectExpr(*chosen)
+
+
 @query(f"""WITH x AS ({_CALLS}) SELECT model, CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(c) AS BIGINT) AS output_tokens,
  CASE WHEN model LIKE '%flash%' THEN (CAST(sum(p) AS BIGINT) * CAST(0.15 AS DOUBLE) + CAST(sum(c) AS BIGINT) * CAST(0.60 AS DOUBLE)) / 1000000 ELSE (CAST(sum(p) AS BIGINT) * CAST(1.0 AS DOUBLE) + CAST(sum(c) AS BIGINT) * CAST(2.0 AS DOUBLE)) / 1000000 END AS cost FROM x GROUP BY model""")
 def cost_estimate(spark, sf_dir):
-    _table(spark, sf_dir, "conversations").createOrReplaceTempView("conversations")
-    sums = spark.sql(_CALLS).groupBy("model").agg(F.sum("p").alias("prompt_tokens"), F.sum("c").alias("output_tokens"))
+    sums = _calls(spark, sf_dir).groupBy("model").agg(F.sum("p").alias("prompt_tokens"), F.sum("c").alias("output_tokens"))
     return sums.withColumn("cost", t.cost_usd(F.col("model"), F.col("prompt_tokens"), F.col("output_tokens")))
 
 
 @query(f"WITH x AS ({_CALLS}) SELECT model AS job_id, count(*) AS n_processed, count(*) FILTER (NOT success) AS n_errors, CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(c) AS BIGINT) AS output_tokens FROM x GROUP BY model")
 def job_metrics(spark, sf_dir):
-    _table(spark, sf_dir, "conversations").createOrReplaceTempView("conversations")
-    calls = spark.sql(_CALLS).select(F.col("model").alias("job_id"), "success", F.col("p").alias("prompt_tokens"), F.col("c").alias("output_tokens"))
+    calls = _calls(spark, sf_dir).select(F.col("model").alias("job_id"), "success", F.col("p").alias("prompt_tokens"), F.col("c").alias("output_tokens"))
     return store.job_metrics(calls)
 
 
@@ -376,8 +402,7 @@ def answer_extraction(spark, sf_dir):
 @query(f"""WITH x AS ({_CALLS.replace('SELECT ', 'SELECT turn, ', 1)}) SELECT model AS job_id, conv_id, turn, count(*) OVER w AS processed, count(*) FILTER (NOT success) OVER w AS errors,
  100 * (count(*) OVER w) / CAST(count(*) OVER (PARTITION BY model) AS DOUBLE) AS percent FROM x WINDOW w AS (PARTITION BY model ORDER BY conv_id, turn ROWS UNBOUNDED PRECEDING)""")
 def job_progress(spark, sf_dir):
-    _table(spark, sf_dir, "conversations").createOrReplaceTempView("conversations")
-    calls = spark.sql(_CALLS.replace("SELECT ", "SELECT turn, ", 1)).withColumnRenamed("model", "job_id")
+    calls = _calls(spark, sf_dir).withColumnRenamed("model", "job_id")
     return analyze.progress(calls, "job_id", ["conv_id", "turn"]).select("job_id", "conv_id", "turn", "processed", "errors", "percent")
 
 

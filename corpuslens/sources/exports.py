@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpuslens.operators.store import safe_articles, safe_results
 
@@ -21,8 +22,13 @@ def export_articles_parquet(articles: DataFrame, path: str, active_only: bool =
     safe_articles(articles, active_only).write.mode("overwrite").parquet(path)
 
 
-def export_csv(rows: DataFrame, path: str) -> None:
-    """CSV part files in UTF-8; quotes are doubled and empty strings are nothing."""
+def export_csv(rows: DataFrame, path: str, parts: int = 1) -> None:
+    """CSV files in UTF-8, one unless more are asked for, each with a byte order mark before its headings; quotes are doubled,
+    empty strings are nothing, arrays are joined by commas."""
+    for column, kind in rows.dtypes:
+        if kind.startswith("array"):
+            rows = rows.withColumn(column, F.array_join(column, ","))
+    rows = rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0]).coalesce(parts)
     rows.write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
 
 
@@ -40,14 +46,18 @@ def chart_spec(kind: str, counts: DataFrame) -> dict:
 
 
 def methodology_html(title: str, overview: DataFrame, publishers: DataFrame, months: DataFrame, keywords: DataFrame, agreement: DataFrame | None = None) -> str:
-    """A report of small aggregates; every value is escaped, and bodies are not among them."""
+    """A report of small aggregates: the first 20 publishers and 30 keywords, and every month in order.  Every value is
+    escaped, fractions have four decimals and counts separators of thousands; bodies are not among them."""
 
-    def section(name: str, df: DataFrame, most: int) -> str:
+    def shown(value) -> str:
+        return html.escape(f"{value:.4f}" if isinstance(value, float) else f"{value:,}" if isinstance(value, int) else str(value))
+
+    def section(name: str, df: DataFrame, most: int | None) -> str:
         head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-        body = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in row) + "</tr>" for row in df.limit(most).collect())
+        body = "".join("<tr>" + "".join(f"<td>{shown(v)}</td>" for v in row) + "</tr>" for row in (df if most is None else df.limit(most)).collect())
         return f"<h2>{html.escape(name)}</h2><table><tr>{head}</tr>{body}</table>"
 
-    parts = [section("Overview", overview, 1), section("Publishers", publishers, 20), section("Months", months, 1000), section("Keywords", keywords, 30)]
+    parts = [section("Overview", overview, 1), section("Publishers", publishers, 20), section("Months", months.orderBy("period"), None), section("Keywords", keywords, 30)]
     if agreement is not None:
         parts.append(section("Agreement", agreement, 1))
     return f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{''.join(parts)}"
@@ -101,7 +111,5 @@ def read_package(spark: SparkSession, source: str, folder: str, project_id: str
         package.extractall(base)
     tables = {p.name: spark.read.parquet(str(p)) for p in sorted((base / "data").iterdir()) if p.is_dir() and p.name != "raw"}
     if project_id:
-        from pyspark.sql import functions as F
-
         tables = {n: df.withColumn("project_id", F.lit(project_id)) if "project_id" in df.columns else df for n, df in tables.items()}
     return tables, manifest, warnings

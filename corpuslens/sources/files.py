@@ -19,7 +19,7 @@ FIELDS = ("title", "date", "body", "publisher", "keywords", "url")
 # Headings of the news archive's spreadsheets.
 ARCHIVE_HEADINGS = {
     "뉴스 식별자": "news_id", "일자": "date", "언론사": "publisher", "기고자": "author", "제목": "title", "본문": "body",
-    "키워드": "keywords", "URL": "url",
+    "키워드": "keywords", "URL": "url", "통합 분류1": "category1", "통합 분류2": "category2", "통합 분류3": "category3", "사건/사고 분류1": "event_category",
 }
 
 
@@ -85,7 +85,8 @@ def spreadsheet_rows(raw: bytes) -> list[dict[str, str]]:
         if "xl/sharedStrings.xml" in names:
             root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
             shared = ["".join(x.text or "" for x in item.iter(f"{_NS}t")) for item in root.iter(f"{_NS}si")]
-        sheet = sorted(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))[0]
+        sheets = [n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
+        sheet = min(sheets, key=lambda n: int(re.search(r"\d+", n)[0]))
         table = []
         for row in ElementTree.fromstring(book.read(sheet)).iter(f"{_NS}row"):
             cells: dict[int, str] = {}
