@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,16 +47,49 @@ def excerpt(c: Column, most: int = 200) -> Column:
     return F.when(F.length(c) <= most, c).otherwise(cut)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is computed once for a row, also where inner lambdas refer to it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _lower_characters(c: Column) -> Column:
+    """Characters of the normalised lower-case text; an empty text is one empty string."""
+    return F.split(F.lower(normalize_whitespace(c)), "")
+
+
 def trigrams(c: Column) -> Column:
     """Distinct character trigrams of the normalised lower-case text; a shorter text is its only one."""
-    t = F.lower(normalize_whitespace(c))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3))))
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) < 3, F.array(t)).otherwise(grams)
+
+    def grams(x: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(x) - 3), lambda i: F.concat(F.get(x, i), F.get(x, i + 1), F.get(x, i + 2)))
+        short = F.filter(F.array(F.array_join(x, "")), lambda whole: whole != "")
+        return F.when(F.size(x) < 3, short).otherwise(F.array_distinct(each))
+
+    return _once(_lower_characters(c), grams)
+
+
+#: Stands for a character that a short text lacks; above all code points.
+_NO_CHARACTER = (1 << 21) - 1
+
+
+def trigram_codes(c: Column) -> Column:
+    """The trigrams as sorted longs: three code points of 21 bits each, so different trigrams have different codes."""
+
+    def code(first: Column, second: Column, third: Column) -> Column:
+        return F.shiftleft(first, 42).bitwiseOR(F.shiftleft(second, 21)).bitwiseOR(third)
+
+    def codes(x: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(x) - 3), lambda i: code(F.get(x, i), F.get(x, i + 1), F.get(x, i + 2)))
+        short = F.array(code(F.get(x, F.lit(0)), F.coalesce(F.get(x, F.lit(1)), F.lit(_NO_CHARACTER).cast("long")), F.lit(_NO_CHARACTER).cast("long")))
+        return F.when(F.size(x) == 0, F.array().cast("array<bigint>")).when(F.size(x) < 3, short).otherwise(F.sort_array(F.array_distinct(each)))
+
+    points = F.transform(F.filter(_lower_characters(c), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
+    return _once(points, codes)
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
+    share = lambda both: both / (F.size(a) + F.size(b) - both)
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(_once(F.size(F.array_intersect(a, b)), share))
 
 
 def keywords(c: Column) -> Column:

@@ -38,6 +38,24 @@ def test_greedy_is_not_transitive(spark):
         assert sorted(r["id"] for r in way(df, 0.7).collect()) == [1, 3, 4, 5]
 
 
+def test_fuzzy_titles_of_one_template(spark):
+    """Dense groups take the way by leaders; a fold over the block gives the same rows."""
+    line = "breaking news of the long day from the northern valley station {}"
+    rows = [(i, "d", i, line.format(i * 7919 % 1000) if i % 3 else f"{i * 31 % 17} short {i * 57 % 23} titles {i}") for i in range(240)]
+    rows += [(900, "d", 900, None), (901, "d", 901, " \t"), (902, "d", 902, "x\U0001f600"), (903, "e", 903, line.format(7)), (904, "e", 904, line.format(7))]
+    df = spark.createDataFrame(rows, "id int, block string, seq int, title string")
+    found = [sorted(r["id"] for r in way(df).collect()) for way in (clean.fuzzy_kept, clean.fuzzy_kept_fold)]
+    assert found[0] == found[1] and {900, 901, 902, 903} <= set(found[0]) and 904 not in found[0]
+    assert clean.fuzzy_kept(df.limit(0)).count() == 0
+
+
+def test_trigram_codes(spark):
+    for title in ("", "a", "Ab", "a\U0001f600b c", "banana banana", "İx  Y"):
+        whole = value(spark, t.trigrams, title)
+        codes = value(spark, t.trigram_codes, title)
+        assert codes == sorted(sum(ord(c) << 42 - 21 * i for i, c in enumerate(gram.ljust(3, chr(0)))) + sum((1 << 21) - 1 << 42 - 21 * i for i in range(len(gram), 3)) for gram in whole)
+
+
 def test_greedy_ways_agree_on_copies(spark):
     """Copies of a title, titles close to each other and titles without a letter, in two blocks."""
     base = "the quick brown fox jumps over the lazy dog"
