@@ -35,9 +35,18 @@ def period_counts(df: DataFrame, period: Column) -> DataFrame:
     return df.groupBy(period.alias("period")).agg(F.count("*").alias("n")).orderBy("period")
 
 
-def label_periods(labelled: DataFrame, period: Column) -> DataFrame:
-    """(period, label, n) of articles with labels; null and empty labels are one."""
-    return labelled.groupBy(period.alias("period"), t.or_unknown(F.col("label")).alias("label")).agg(F.count("*").alias("n")).orderBy("period", "label")
+def _dense(rows: DataFrame, columns: DataFrame, counts: DataFrame) -> DataFrame:
+    """``counts`` with zeros: every row label with every column label.  Both are distinct and small by nature."""
+    every = rows.withColumn("_one", F.lit(1)).join(columns.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return every.join(counts, every.columns, "left").na.fill(0, ["n"])
+
+
+def label_periods(labelled: DataFrame, period: Column, articles: DataFrame | None = None) -> DataFrame:
+    """(period, label, n) of articles with labels; null and empty labels are one.  Every period of ``articles`` (without
+    them: of ``labelled``) is there with every label, with zeros."""
+    counts = labelled.groupBy(period.alias("period"), t.or_unknown(F.col("label")).alias("label")).agg(F.count("*").alias("n"))
+    periods = (labelled if articles is None else articles).select(period.alias("period")).distinct()
+    return _dense(periods, counts.select("label").distinct(), counts).orderBy("period", "label")
 
 
 def progress(calls: DataFrame, job: str, order: list[str]) -> DataFrame:
@@ -57,9 +66,7 @@ def overview(articles: DataFrame, results: DataFrame) -> DataFrame:
 def cross_tab(df: DataFrame, row: Column, column: Column) -> DataFrame:
     """Long form with zeros: every row label with every column label that occurs.  Both label sets are small by nature."""
     counts = df.groupBy(row.alias("row_label"), column.alias("col_label")).agg(F.count("*").alias("n"))
-    rows, columns = counts.select("row_label").distinct(), counts.select("col_label").distinct()
-    dense = rows.withColumn("one", F.lit(1)).join(columns.withColumn("one", F.lit(1)), "one").drop("one")
-    return dense.join(counts, ["row_label", "col_label"], "left").na.fill(0, ["n"])
+    return _dense(counts.select("row_label").distinct(), counts.select("col_label").distinct(), counts)
 
 
 def agreement(raters: DataFrame) -> DataFrame:
@@ -90,6 +97,11 @@ def agreement_by_label(raters: DataFrame) -> DataFrame:
 
 
 def quota_use(calls: DataFrame, seconds: int = 60) -> DataFrame:
-    """For each call (slot, ts_sec, call_id) how many calls its slot made in the last ``seconds``, itself included."""
-    window = Window.partitionBy("slot").orderBy("ts_sec").rangeBetween(1 - seconds, 0)
-    return calls.withColumn("in_window", F.count("*").over(window))
+    """For each call (slot, ts_sec, call_id, tokens) how many calls its slot made, and how many tokens they took, in the last
+    ``seconds``, itself included.  Calls are windowed by stretches of that length, each with a copy of the one before, so that
+    a slot is not one task."""
+    window = Window.partitionBy("slot", "_stretch").orderBy("ts_sec").rangeBetween(1 - seconds, 0)
+    stretch = F.floor(F.col("ts_sec") / seconds)
+    copies = calls.withColumn("_later", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_stretch", stretch + F.col("_later"))
+    used = copies.withColumns({"in_window": F.count("*").over(window), "tokens_in_window": F.sum("tokens").over(window)})
+    return used.filter("_later = 0").drop("_later", "_stretch")

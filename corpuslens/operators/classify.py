@@ -13,10 +13,11 @@ from datetime import datetime, time, timedelta, timezone
 from zoneinfo import ZoneInfo
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import parse_reply
+from corpuslens.sources.settings import mask
 
 # Default quotas of a slot, and the most slots at once.
 REQUESTS_PER_MINUTE, TOKENS_PER_MINUTE, REQUESTS_PER_DAY, MOST_SLOTS = 15, 1_000_000, 1500, 3
@@ -69,47 +70,93 @@ class Limiter:
         return 0.0
 
 
+#: prompt -> (reply, or null if it failed; tokens in; tokens out; what went wrong, which may be left out)
+Provider = Callable[[str], tuple]
+# The error of a call that was refused, and what is added to it where the day's quota is used up.
+REFUSED, OF_DAY = "rate_limit_429", ":day"
+
+
+@dataclass
+class Slot:
+    """One quota.  Its calls go through its own provider, made with its key; without one, through the job's."""
+
+    name: str
+    limiter: Limiter = field(default_factory=Limiter)
+    key: str = field(default="", repr=False)
+    provider: Provider | None = field(default=None, repr=False)
+    enabled: bool = True
+
+    def open(self, now: datetime, tokens_each: int = 0) -> bool:
+        return self.enabled and self.limiter.room(now, tokens_each) > 0
+
+    def status(self, now: datetime) -> dict:
+        """What may be shown and logged; the key is masked."""
+        return {"name": self.name, "key": mask(self.key), "enabled": self.enabled, "open": self.open(now), "wait_seconds": self.limiter.wait_seconds(now)}
+
+
 class Slots:
-    def __init__(self, limiters: list[Limiter]):
-        if len(limiters) > MOST_SLOTS:
+    """Slots that take turns; bare limiters are slots without a key."""
+
+    def __init__(self, slots: list[Slot | Limiter]):
+        if len(slots) > MOST_SLOTS:
             raise ValueError(f"at most {MOST_SLOTS} slots")
-        self.limiters = limiters
-
-    def admit(self, now: datetime, wanted: int, tokens_each: int) -> int:
-        """Takes turns over the slots that have room; returns how many requests were admitted."""
-        left = wanted
-        while left:
-            open_ = [x for x in self.limiters if x.room(now, tokens_each)]
-            if not open_:
-                break
-            for limiter in open_[:left]:
-                limiter.record(now, 1, tokens_each)
-            left -= min(left, len(open_))
-        return wanted - left
+        self.slots = [x if isinstance(x, Slot) else Slot(f"slot{i}", x) for i, x in enumerate(slots, 1)]
+        self._turn = 0
+
+    @classmethod
+    def of_keys(cls, keys: dict[int, str], make: Callable[[str], Provider], **quota) -> Slots:
+        """A slot for each key, with a provider made from it."""
+        return cls([Slot(f"slot{n}", Limiter(**quota), key, make(key)) for n, key in sorted(keys.items())])
+
+    def admit(self, now: datetime, wanted: int, tokens_each: int) -> list[int]:
+        """The slot of each request that is admitted: in turn, those without room left out."""
+        taken, passed = [], 0
+        while len(taken) < wanted and passed < len(self.slots):
+            passed += 1
+            if self.slots[self._turn].open(now, tokens_each):
+                self.slots[self._turn].limiter.record(now, 1, tokens_each)
+                taken.append(self._turn)
+                passed = 0
+            self._turn = (self._turn + 1) % len(self.slots)
+        return taken
+
+    def all_exhausted(self, now: datetime) -> bool:
+        return bool(self.slots) and not any(x.open(now) for x in self.slots)
 
     def wait_seconds(self, now: datetime) -> float:
-        return min((x.wait_seconds(now) for x in self.limiters), default=0.0)
+        return min((x.limiter.wait_seconds(now) for x in self.slots if x.enabled), default=0.0)
+
+    def status(self, now: datetime) -> list[dict]:
+        return [x.status(now) for x in self.slots]
 
 
-#: prompt -> (reply, or null if it failed; tokens in; tokens out; what went wrong, which may be left out)
-Provider = Callable[[str], tuple]
 # Fixed value: what stands between the prompt and the article.
 _BETWEEN = "\n\n---\n\n기사:\n"
 RESULTS = "article_id string, success boolean, label string, confidence double, rationale string, raw_response string, error string, prompt_tokens long, output_tokens long, job_id string, called_at string"
 
 
-def call_provider(batch: DataFrame, provider: Provider, prompt: str, tasks: int = 2) -> DataFrame:
-    """Results without job_id and called_at: one call for each row."""
+def call_provider(batch: DataFrame, providers: list[Provider], prompt: str, tasks: int = 2) -> DataFrame:
+    """Results without job_id and called_at, and the slot: one call for each row, by the provider of its ``slot``."""
 
     def run(frames):
         for frame in frames:
-            replies = [provider(x) for x in frame["prompt"]]
-            yield pd.DataFrame({"article_id": frame["article_id"], "reply": [r[0] for r in replies], "prompt_tokens": [r[1] for r in replies], "output_tokens": [r[2] for r in replies], "error": [r[3] if len(r) > 3 else None for r in replies]})
+            replies = [providers[slot](x) for slot, x in zip(frame["slot"], frame["prompt"])]
+            yield pd.DataFrame({"article_id": frame["article_id"], "slot": frame["slot"], "reply": [r[0] for r in replies], "prompt_tokens": [r[1] for r in replies], "output_tokens": [r[2] for r in replies], "error": [r[3] if len(r) > 3 else None for r in replies]})
 
     asked = F.concat(F.lit(prompt + _BETWEEN + "제목: "), F.coalesce("title", F.lit("")), F.lit("\n본문: "), F.coalesce("body_internal", F.lit("")))
-    answered = batch.select("article_id", asked.alias("prompt")).repartition(tasks).mapInPandas(run, "article_id string, reply string, prompt_tokens long, output_tokens long, error string")
+    answered = batch.select("article_id", "slot", asked.alias("prompt")).repartition(tasks).mapInPandas(run, "article_id string, slot int, reply string, prompt_tokens long, output_tokens long, error string")
     parsed = answered.withColumn("x", parse_reply(F.col("reply")))
-    return parsed.select("article_id", F.col("reply").isNotNull().alias("success"), "x.label", "x.confidence", "x.rationale", F.col("reply").alias("raw_response"), "error", "prompt_tokens", "output_tokens")
+    return parsed.select("article_id", "slot", F.col("reply").isNotNull().alias("success"), "x.label", "x.confidence", "x.rationale", F.col("reply").alias("raw_response"), "error", "prompt_tokens", "output_tokens")
+
+
+def numbered(rows: DataFrame, *order: str) -> tuple[DataFrame, int]:
+    """Rows with their ``place`` in that order, from 0, and their number.  One distributed sort; a count a partition reaches the driver."""
+    ordered = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).cache()
+    part, base, total = F.shiftright("_at", 33), {}, 0  # these ids are partition << 33 | row
+    for row in ordered.groupBy(part.alias("part")).count().orderBy("part").collect():
+        base[row["part"]], total = total, total + row["count"]
+    before = F.create_map(*[F.lit(x).cast("long") for pair in base.items() for x in pair])[part.cast("long")] if base else F.lit(0)
+    return ordered.withColumn("place", before + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at"), total
 
 
 def classify(
@@ -118,24 +165,30 @@ def classify(
     sleep: Callable[[float], None] = clock.sleep,
 ) -> str:
     """Writes results until nothing is pending (success) or no slot has room (cancelled).  Where a slot has room again within the
-    hour, it is waited for, a minute at most, and asked once more.  Failed calls of this run aren't repeated in it, but come again
-    when the job is resumed."""
+    hour, it is waited for, a minute at most, and asked once more.  Calls that a slot's service refused are told to its
+    limiter.  Failed calls of this run aren't repeated in it, but come again when the job is resumed."""
     from corpuslens.operators.store import pending
 
     spark.createDataFrame([], RESULTS).write.mode("append").parquet(results_path)
-    todo = pending(articles, spark.read.schema(RESULTS).parquet(results_path), job_id).cache()
-    left, done = todo.count(), 0
-    ordered = todo.orderBy("date", "article_id")
+    todo, left = numbered(pending(articles, spark.read.schema(RESULTS).parquet(results_path), job_id), "date", "article_id")
+    providers, done = [x.provider or provider for x in slots.slots], 0
     while done < left:
-        n = slots.admit(now(), left - done, tokens_each)
-        if not n and 0 < (wait := slots.wait_seconds(now())) < 3600:
+        turns = slots.admit(now(), left - done, tokens_each)
+        if not turns and 0 < (wait := slots.wait_seconds(now())) < 3600:
             sleep(min(wait + 1, 60))
-            n = slots.admit(now(), left - done, tokens_each)
-        if not n:
+            turns = slots.admit(now(), left - done, tokens_each)
+        if not turns:
             return "cancelled"
-        answered = call_provider(ordered.offset(done).limit(n), provider, prompt)
+        mine = todo.filter(F.col("place").between(done, done + len(turns) - 1))
+        mine = mine.withColumn("slot", F.element_at(F.array(*map(F.lit, turns)), (F.col("place") - done + 1).cast("int")))
+        refused = Observation()
+        counts = [F.count_if((F.col("slot") == i) & (F.col("error") == error)).alias(f"{kind}{i}") for i in range(len(providers)) for kind, error in (("rpm", REFUSED), ("rpd", REFUSED + OF_DAY))]
+        answered = call_provider(mine, providers, prompt).observe(refused, *counts).drop("slot").withColumn("error", F.when(F.startswith("error", F.lit(REFUSED)), REFUSED).otherwise(F.col("error")))
         answered.withColumns({"job_id": F.lit(job_id), "called_at": F.lit(now().isoformat())}).write.mode("append").parquet(results_path)
-        done += n
+        for name, n in refused.get.items():
+            if n:
+                slots.slots[int(name[3:])].limiter.report_429(name[:3], now())
+        done += len(turns)
         if progress:
             progress(done)
     return "success"

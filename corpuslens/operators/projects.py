@@ -114,6 +114,20 @@ class Projects:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    @classmethod
+    def discover(cls, spark: SparkSession, folder: str) -> list[Projects]:
+        """The roots below ``folder``, by name; what is incomplete or can't be read is left out."""
+        found = []
+        for name in cls(spark, folder)._list(""):
+            root = cls(spark, f"{folder.rstrip('/')}/{name}")
+            try:
+                if not root.missing():
+                    root.table("projects").count()
+                    found.append(root)
+            except Exception:  # a root that can't be read is not one
+                continue
+        return found
+
     # Tables
 
     def _list(self, folder: str) -> list[str]:
@@ -275,7 +289,7 @@ class Projects:
         if job_id:
             labelled = self.results(job_id).filter("success").select("article_id", "label").join(live.select("article_id", "date", "publisher"), "article_id")
             label = t.or_unknown(F.col("label"))
-            found["labels_monthly"] = analyze.label_periods(labelled, month)
+            found["labels_monthly"] = analyze.label_periods(labelled, month, live)
             found["by_publisher"] = analyze.cross_tab(labelled, label, t.or_unknown(F.col("publisher")))
             found["by_month"] = analyze.cross_tab(labelled, label, t.or_unknown(month))
         if output:

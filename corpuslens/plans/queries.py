@@ -290,11 +290,12 @@ def job_metrics(spark, sf_dir):
     return store.job_metrics(calls)
 
 
-@query("""SELECT event_id AS call_id, user_id % 3 AS slot, count(*) OVER (PARTITION BY user_id % 3 ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS in_window FROM events""")
+@query("""SELECT event_id AS call_id, user_id % 3 AS slot, count(*) OVER w AS in_window, CAST(sum(event_id % 97 + 1) OVER w AS BIGINT) AS tokens_in_window
+ FROM events WINDOW w AS (PARTITION BY user_id % 3 ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 59 PRECEDING AND CURRENT ROW)""")
 def quota_window(spark, sf_dir):
     seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    calls = _table(spark, sf_dir, "events").select(F.col("event_id").alias("call_id"), (F.col("user_id") % 3).alias("slot"), seconds.alias("ts_sec"))
-    return analyze.quota_use(calls).select("call_id", "slot", "in_window")
+    calls = _table(spark, sf_dir, "events").select(F.col("event_id").alias("call_id"), (F.col("user_id") % 3).alias("slot"), seconds.alias("ts_sec"), (F.col("event_id") % 97 + 1).alias("tokens"))
+    return analyze.quota_use(calls).select("call_id", "slot", "in_window", "tokens_in_window")
 
 
 @query("""SELECT round(avg(value) FILTER (t = 1 AND p = 1) - avg(value) FILTER (t = 1 AND p = 0) - avg(value) FILTER (t = 0 AND p = 1) + avg(value) FILTER (t = 0 AND p = 0), 6) AS coefficient, count(*) AS n
@@ -352,10 +353,11 @@ def upsert_latest(spark, sf_dir):
     return merged.withColumn("updated_at", F.col("updated_at.ts"))
 
 
-@query(f"""WITH {ARTICLES}, {RESULTS} SELECT substr(date, 1, 7) AS period, coalesce(nullif(label, ''), 'unknown') AS label, count(*) AS n
- FROM results JOIN articles USING (article_id) GROUP BY 1, 2""")
+@query(f"""WITH {ARTICLES}, {RESULTS}, c AS (SELECT substr(date, 1, 7) AS period, coalesce(nullif(label, ''), 'unknown') AS label, count(*) AS n
+ FROM results JOIN articles USING (article_id) GROUP BY 1, 2), every AS (SELECT * FROM (SELECT DISTINCT substr(date, 1, 7) AS period FROM articles), (SELECT DISTINCT label FROM c))
+ SELECT period, label, coalesce(n, 0) AS n FROM every LEFT JOIN c USING (period, label)""")
 def label_months(spark, sf_dir):
-    return analyze.label_periods(_labelled(spark, sf_dir), t.month_of(F.col("date")))
+    return analyze.label_periods(_labelled(spark, sf_dir), t.month_of(F.col("date")), articles(spark, sf_dir))
 
 
 _RAW_DATE = "CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN replace({d}, '-', '/') WHEN 2 THEN replace({d}, '-', '') WHEN 3 THEN concat(' ', {d}) ELSE 'n.d.' END"

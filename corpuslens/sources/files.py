@@ -113,7 +113,8 @@ def read_xlsx(spark: SparkSession, path: str, headings: dict[str, str] | None =
     def run(frames):
         for frame in frames:
             rows = [(p, i, r) for p, c in zip(frame["path"], frame["content"]) for i, r in enumerate(spreadsheet_rows(c))]
-            yield pd.DataFrame({"path": [x[0] for x in rows], "line": [x[1] for x in rows], "cells": [x[2] for x in rows]})
+            if rows:  # an empty column of maps has no type that Arrow takes
+                yield pd.DataFrame({"path": [x[0] for x in rows], "line": [x[1] for x in rows], "cells": [x[2] for x in rows]})
 
     raw = files.mapInPandas(run, "path string, line int, cells map<string,string>")
     known = headings or ARCHIVE_HEADINGS

@@ -7,13 +7,15 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable
 
+from corpuslens.operators.classify import OF_DAY, REFUSED
+
 Answer = tuple[str | None, int, int, str | None]
 
 
 def answer_of(status: int, body: bytes) -> Answer:
-    """What an HTTP answer with a list of candidates says."""
+    """What an HTTP answer with a list of candidates says; a refusal that names a quota of the day is told apart."""
     if status == 429:
-        return None, 0, 0, "rate_limit_429"
+        return None, 0, 0, REFUSED + OF_DAY if b"PerDay" in body else REFUSED
     if status != 200:
         return None, 0, 0, f"http_{status}"
     data = json.loads(body)
@@ -34,7 +36,7 @@ def gemini(endpoint: str, key: str, temperature: float = 0.0, most_tokens: int =
             with urllib.request.urlopen(request, timeout=timeout) as response:
                 return answer_of(response.status, response.read())
         except urllib.error.HTTPError as refused:
-            return answer_of(refused.code, b"")
+            return answer_of(refused.code, refused.read())
         except TimeoutError:
             return None, 0, 0, "timeout"
         except Exception as failed:  # a row's failure is its result
@@ -43,7 +45,13 @@ def gemini(endpoint: str, key: str, temperature: float = 0.0, most_tokens: int =
     return call
 
 
-PROVIDERS = {"gemini": gemini}
+def absent(name: str) -> Callable[..., Callable[[str], Answer]]:
+    """A provider whose calls all fail, as it isn't there yet."""
+    return lambda *args, **options: lambda prompt: (None, 0, 0, f"{name}_provider_not_yet_implemented")
+
+
+# The names of providers.
+PROVIDERS = {"gemini": gemini, "claude": absent("claude"), "openai": absent("openai")}
 
 
 def provider(name: str, *args, **options) -> Callable[[str], Answer]:

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslens.operators.classify import Limiter, Slots
+from corpuslens.operators.classify import Limiter, Slots, classify, numbered
 from corpuslens.operators.projects import IngestParams, Label, LabelSchema, Projects
 from corpuslens.sources import files, providers, settings
 
@@ -67,6 +67,8 @@ def test_project_from_ingest_to_package(project):
 
     found = projects.analyse("p", job, str(folder / "out"))
     assert [tuple(r) for r in found.monthly.collect()] == [("2024-01", 1), ("2024-02", 1)]
+    assert [x.root for x in Projects.discover(projects.spark, str(folder))] == [projects.root]
+    assert Projects.discover(projects.spark, str(folder / "none")) == []
     assert [tuple(r) for r in found.labels_monthly.collect()] == [("2024-01", "yes", 1), ("2024-02", "yes", 1)]
     assert found.descriptive.head()["total"] == 5 and found.by_publisher.agg(F.sum("n")).head()[0] == 2
     assert projects.status("p")["step"] == 4 and projects.counts("p") == {"total": 5, "active": 2, "classified": 2, "artifacts": 2}
@@ -108,11 +110,48 @@ def test_waiting():
     assert limiter.wait_seconds(at) == 8 * 3600
 
 
+def test_slots_take_turns():
+    at = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    slots = Slots.of_keys({1: "key-of-one", 3: "key-of-three"}, lambda key: lambda prompt: (key, 1, 1), rpm=2, rpd=3)
+    assert slots.admit(at, 3, 10) == [0, 1, 0] and slots.admit(at, 3, 10) == [1] and slots.all_exhausted(at)
+    later = at + timedelta(seconds=61)
+    slots.slots[0].enabled = False
+    assert slots.admit(later, 3, 10) == [1] and slots.wait_seconds(later) > 3600
+    assert [x["open"] for x in slots.status(later)] == [False, False] and "key-of" not in repr(slots.status(later)) + repr(slots.slots[0])
+    assert Slots([]).admit(at, 1, 1) == [] and not Slots([]).all_exhausted(at)
+    with pytest.raises(ValueError):
+        Slots([Limiter() for _ in range(4)])
+
+
+def test_slots_use_their_keys_and_hear_of_refusals(spark, tmp_path):
+    at = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    make = lambda key: lambda prompt: (None, 0, 0, "rate_limit_429:day") if key == "b" else ('{"label": "%s"}' % key, 1, 1, None)
+    slots = Slots.of_keys({1: "a", 2: "b"}, make, rpm=3)
+    articles = spark.createDataFrame([(str(i), "d", "t", "b") for i in range(6)], "article_id string, date string, title string, body_internal string")
+    run = lambda: classify(spark, articles, str(tmp_path / "r"), "j", None, slots, "p", lambda: at + timedelta(seconds=61 * len(rounds)))
+    rounds = []
+    assert run() == "success" and not slots.slots[1].open(at + timedelta(seconds=61)) and slots.slots[0].limiter.wait_seconds(at) == 60
+    rounds.append(1)
+    assert run() == "success"
+    rows = spark.read.parquet(str(tmp_path / "r"))
+    assert "slot" not in rows.columns and {r["error"] for r in rows.filter("not success").collect()} == {"rate_limit_429"}
+    assert rows.filter("label = 'a'").select("article_id").distinct().count() == 6 and rows.count() == 9
+
+
+def test_places_are_dense(spark):
+    rows = spark.range(1000).selectExpr("id % 10 AS a", "id AS b").repartition(7)
+    found, total = numbered(rows, "a", "b")
+    assert total == 1000 and [r["b"] for r in found.orderBy("place").collect()] == sorted(range(1000), key=lambda i: (i % 10, i))
+    assert sorted(r["place"] for r in found.collect()) == list(range(1000)) and numbered(rows.limit(0), "a")[1] == 0
+
+
 def test_answers():
     good = b'{"candidates": [{"content": {"parts": [{"text": "x"}]}}], "usageMetadata": {"promptTokenCount": 3}}'
     assert providers.answer_of(200, good) == ("x", 3, 0, None)
     assert [providers.answer_of(*x)[3] for x in ((429, b""), (500, b""), (200, b"{}"))] == ["rate_limit_429", "http_500", "no_candidates"]
     assert providers.provider("gemini", "http://127.0.0.1:9/", "k")("p")[0] is None
+    assert providers.answer_of(429, b'{"quotaId": "GenerateRequestsPerDayPerProject"}')[3] == "rate_limit_429:day"
+    assert providers.provider("claude", "k")("p") == (None, 0, 0, "claude_provider_not_yet_implemented")
     with pytest.raises(ValueError):
         providers.provider("other")
 
@@ -124,6 +163,12 @@ def test_settings(tmp_path):
     assert settings.read_settings(file)["A"] == "b" and settings.read_keys(file) == {1: "old"}
     settings.save_keys(file, {2: "new", 3: " "})
     assert settings.read_keys(file) == {2: "new"} and settings.read_settings(file)["A"] == "b"
+    assert file.stat().st_mode & 0o777 == 0o600 and [x.name for x in tmp_path.iterdir()] == [".env"]
+    file.write_text("# A=1\n=2\n\nB = \"x = 'y'\"\r\nC='\nD=\nB=last\n E =a#b", newline="")
+    assert settings.read_settings(file) == {"B": "last", "C": "'", "D": "", "E": "a#b"}
+    settings.save_keys(file, {1: "k"})
+    assert settings.read_settings(file)["E"] == "a#b" and settings.read_keys(file) == {1: "k"}
+    assert [settings.mask(x) for x in ("short", "test-key-12345", "a" * 39)] == ["****", "tes****45", "aaaa****aa"]
     file.write_bytes("A=b".encode("utf-16"))
     assert settings.read_settings(file) == {"A": "b"}
 
