@@ -78,6 +78,15 @@ def test_agreement(spark):
     assert analyze.agreement(spark.createDataFrame([("A", "A")], "a string, b string")).head()["kappa"] == 1.0
 
 
+def test_label_periods_have_zeros(spark):
+    articles = spark.createDataFrame([("1", "2024-01-01"), ("2", "2024-02-01"), ("3", "2024-03-01")], "article_id string, date string")
+    labelled = spark.createDataFrame([("1", "x"), ("2", "")], "article_id string, label string").join(articles, "article_id")
+    month = F.substring("date", 1, 7)
+    found = [tuple(r) for r in analyze.label_periods(labelled, month, articles).collect()]
+    assert found == [(f"2024-0{i}", label, int((i, label) in ((2, "unknown"), (1, "x")))) for i in (1, 2, 3) for label in ("unknown", "x")]
+    assert analyze.label_periods(labelled, month).count() == 4 and analyze.label_periods(labelled.limit(0), month, articles).count() == 0
+
+
 def test_regressions(spark):
     rows = [(1, 0, 0), (2, 0, 0), (2, 0, 1), (3, 0, 1), (2, 1, 0), (3, 1, 0), (5, 1, 1), (7, 1, 1)]
     found = stats.run_did(spark.createDataFrame(rows, "y int, t int, p int"), "y", "t", "p")
