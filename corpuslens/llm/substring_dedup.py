@@ -115,7 +115,7 @@ def _lists(docs: np.ndarray, texts: np.ndarray, values: np.ndarray, parts: int)
     return out
 
 
-def _assemble(batches):
+def _assemble(batches, kind: str):
     """(doc, text_key, found): all values of each document of this partition, once."""
     docs, texts, values = [], [], []
     for batch in batches:
@@ -123,7 +123,7 @@ def _assemble(batches):
             count = _whole(count)
             docs.append(np.repeat(np.frombuffer(doc, np.int64), count))
             texts.append(np.repeat(np.frombuffer(text, np.int64), count))
-            values.append(np.frombuffer(found, "<u4"))
+            values.append(np.frombuffer(found, kind))
     if not docs:
         return
     docs, texts, values = map(np.concatenate, (docs, texts, values))
@@ -166,13 +166,13 @@ def _shared(kinds: np.ndarray, docs: np.ndarray, first: np.ndarray) -> np.ndarra
     return np.logical_or.reduceat(kinds == _SEVERAL, first) | (some & (none | (least != most)))
 
 
-def _write_run(batches, window: int, gram: int, buckets: int):
+def _write_run(batches, window: int, gram: int, buckets: int, windows: type = Windows):
     for batch in _chunks(batches):
         docs = np.array(batch.column(0).to_pylist(), np.int64)
         kinds = np.where(np.array(batch.column(1).to_pylist(), bool), _NONE, _OWN).astype(np.uint8)
         prints, owners = [], []
         for a, b in slices(batch.column(2), 1 << 20):
-            w = Windows(batch.column(2).slice(a, b - a), window, gram)
+            w = windows(batch.column(2).slice(a, b - a), window, gram)
             doc = w.doc[w.at]
             new = _first(w.print, doc)
             prints.append(w.print[new])
@@ -390,8 +390,8 @@ class FingerprintIndex:
             delete(self.spark, path)
 
 
-def assembled(lists: DataFrame, parts: int) -> DataFrame:
-    return lists.repartition(parts, "part").mapInArrow(_assemble, "doc long, text_key long, found binary")
+def assembled(lists: DataFrame, parts: int, kind: str = "<u4") -> DataFrame:
+    return lists.repartition(parts, "part").mapInArrow(lambda b: _assemble(b, kind), "doc long, text_key long, found binary")
 
 
 def _compacted(batches, buckets: int):
@@ -420,6 +420,13 @@ def _compacted(batches, buckets: int):
         yield _table(_RUN_ARROW, [(bucket, *_packed(prints, buckets, owner, held_docs, held_kinds), None, None)])
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Rows with what tells them apart: ``doc`` is doc_id, or where that is null (``none``) the hash of the text."""
+    text = F.coalesce("text", F.lit(""))
+    key, doc = F.xxhash64(text), F.col("doc_id").cast("long")
+    return docs.select("doc_id", F.coalesce(doc, key).alias("doc"), doc.isNull().alias("none"), key.alias("text_key"), text.alias("text"))
+
+
 def remove_repeats(
     docs: DataFrame, index: FingerprintIndex | None = None, history: DataFrame | None = None, batches: int = 3
 ) -> DataFrame:
@@ -434,12 +441,6 @@ def remove_repeats(
     spark = docs.sparkSession
     ship(spark)
     index = index or FingerprintIndex(spark)
-
-    def keyed(rows: DataFrame) -> DataFrame:
-        text = F.coalesce("text", F.lit(""))
-        key, doc = F.xxhash64(text), F.col("doc_id").cast("long")
-        return rows.select("doc_id", F.coalesce(doc, key).alias("doc"), doc.isNull().alias("none"), key.alias("text_key"), text.alias("text"))
-
     source = keyed(docs)
     wanted = [i / batches for i in range(1, batches)]
     cuts = source.filter("not none").approxQuantile("doc", wanted, 0.05) if wanted else []
