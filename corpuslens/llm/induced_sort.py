@@ -111,8 +111,9 @@ class Alphabet:
         self.of = np.repeat(np.arange(self.n, dtype=np.uint16 if self.n < 1 << 16 else np.int64), np.diff(self.low))
 
 
-def _dense(values: np.ndarray) -> np.ndarray:
-    return np.unique(values, return_inverse=True)[1].astype(np.int64)
+def _first_places(new: np.ndarray) -> np.ndarray:
+    """For each place the last one up to it where something new begins."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
 
 class Shared:
@@ -205,7 +206,7 @@ class Sorter:
                 lcp = np.zeros(len(pos), np.uint8)
                 out(b, base + rank, pos, lcp, induced)
                 send(base + rank, pos, char(pos.astype(np.int64)), induced, lcp, high)
-                base += int(rank[-1]) + 1
+                base += len(pos)
         self.spilled += queue.spilled
 
     def _block(self, waiting: tuple, seeds: Iterator[tuple], char: Callable, high: int) -> tuple:
@@ -228,14 +229,22 @@ class Sorter:
             way.append(at + go)
             at += len(p)
         key, pos, induced = (np.concatenate(x) for x in zip(*parts))
-        way = np.concatenate(way)
-        rank = _dense(key)
-        way = np.where(way < 0, len(rank), way)
-        while (way < len(rank)).any():
-            further = np.append(rank + 1, 0)
-            rank = _dense(rank * (len(rank) + 2) + further[way])
-            way = np.append(way, len(rank))[way]
-        order = np.argsort(rank, kind="stable")
+        way, m = np.concatenate(way), len(key)
+        order = np.argsort(key, kind="stable")
+        # The rank of a suffix is the first place of those like it.
+        rank = np.empty(m, np.int64)
+        rank[order] = _first_places(np.append(True, key[order][1:] != key[order][:-1])[:m])
+        way = np.where(way < 0, np.arange(m), way)
+        places = np.flatnonzero(order >= n)  # of what the range itself led to; each step compares twice as far back
+        while len(places):
+            own = order[places]
+            both = rank[own] * (m + 1) + rank[way[own]]
+            by = np.argsort(both, kind="stable")
+            order[places] = own = own[by]
+            rank[own] = places[_first_places(np.append(True, both[by][1:] != both[by][:-1]))]
+            if (way[own] < n).all():
+                break
+            way[own] = way[way[own]]
         return rank[order], pos[order], induced[order]
 
     # The levels.
@@ -307,7 +316,7 @@ class Sorter:
 
     def _named(self, text, alphabet: Alphabet, stars: np.ndarray) -> tuple[np.ndarray, int]:
         """Names of the substrings between S* positions, in the order of the text, ascending with the substrings, and their number."""
-        names, top = room(len(stars), np.uint32, self.bound), [0, -1]
+        found, top = room(len(text) // 2 + 1, np.uint32, self.bound), [0, -1]  # S* positions are two apart at least
 
         def out(rank, pos, lcp, induced):
             mine = np.flatnonzero(np.broadcast_to(induced, len(pos)))
@@ -317,12 +326,14 @@ class Sorter:
             if len(p):
                 new = np.append(rank[0] != top[1], rank[1:] != rank[:-1])
                 name = top[0] + np.cumsum(new)
-                names[np.searchsorted(stars, p)] = name
+                found[p >> 1] = name
                 top[:] = int(name[-1]), int(rank[-1])
 
         self._induce(text, alphabet, self._by_block(text, alphabet, stars, False, False), out, False)
+        names = room(len(stars), np.uint32, self.bound)
         for at in range(0, len(names), self.most):  # they came in descending order; the last character stays the smallest
-            part = names[at : at + self.most]
+            part = found[stars[at : at + self.most] >> 1]
+            part[stars[at : at + self.most] == len(text) - 1] = 0
             names[at : at + self.most] = np.where(part, top[0] + 1 - part, 0)
         return names, top[0] + 1
 

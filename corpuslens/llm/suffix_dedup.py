@@ -7,7 +7,7 @@ put in order by external induced sorting (``induced_sort``), and neighbours that
 marked if its group has a document with a smaller doc_id, and the bytes under marked windows go.
 
 The hashes only decide what is compared, never whether it is equal: results are exact.  Equal stretches of a chunk of documents
-are settled in the chunk, which sends one of them on.  Where very many documents share a passage, the stretches at its ends all
+are settled in the chunk, which sends one of them on, and those of a shard are in its text once.  Where very many documents share a passage, the stretches at its ends all
 differ but share their hash; windows of hashes that very many chunks have are therefore dealt one by one, by all their bytes."""
 
 from __future__ import annotations
@@ -34,6 +34,10 @@ _GRAM = 20
 #: A hash that so many chunks or single documents of different chunks have may be hot; so many of the most frequent are.
 _HOT_ENTRIES, _MOST_HOT = 64, 1000
 _U = np.uint64
+#: Texts of stretches, many alike, are packed for the exchange.
+_CODEC = pa.Codec("zstd", compression_level=1)
+#: Shards for each task's share of the input: stretches overlap, so a shard of their text is to fit in memory several times over.
+_SHARDS = 4
 
 _PIECES = "bucket int, texts binary, sizes binary, starts binary, owners binary, docs binary, nones binary, keys binary, part_docs binary, part_texts binary, counts binary, found binary"
 _PIECES_ARROW = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in _PIECES.replace(",", "").split()[2::2]]])
@@ -73,8 +77,10 @@ def _merge_prints(batches, parts: int):
     often = first[size >= _HOT_ENTRIES]
     if len(often):
         rows.append((-1, None, None, size[size >= _HOT_ENTRIES].astype("<i8").tobytes(), prints[often].astype("<u8").tobytes()))
+    del runs, prints, docs, kinds, shared
     if rows:
         yield _table(_LISTS_ARROW, rows)
+    release()
 
 
 def _hot(lists: DataFrame) -> np.ndarray:
@@ -89,7 +95,7 @@ def _hot(lists: DataFrame) -> np.ndarray:
     return np.array(sorted(np.uint64(r["print"] & (2**64 - 1)) for r in rows), np.uint64)
 
 
-def _stretches(batches, window: int, hot: np.ndarray, parts: int):
+def _stretches(batches, window: int, hot: np.ndarray, shards: int, parts: int):
     """Stretches of windows that may repeat, dealt by their hash; lists of what this chunk has settled: (start << 32 | windows)."""
     for batch in _chunks(batches):
         docs, keys = (np.array(batch.column(i).to_pylist(), np.int64) for i in (0, 2))
@@ -116,11 +122,11 @@ def _stretches(batches, window: int, hot: np.ndarray, parts: int):
             owner = doc[at[first]] + a
             start = w.at[at[first]]
             raw = w.texts.data.tobytes()
-            bucket = (w.print[at[first]] % _U(parts)).astype(np.int64).tolist()
+            bucket = (w.print[at[first]] % _U(shards)).astype(np.int64).tolist()
             inner = (start - w.texts.bounds[doc[at[first]]]).tolist()
             for r, o, s, n, k, alone, x in zip(rank[owner].tolist(), owner.tolist(), inner, count, bucket, lone[first].tolist(), start.tolist()):
                 text = raw[x : x + n + window - 1]
-                found.append((r, o, s, n, zlib.crc32(text) % parts if alone else k, text))
+                found.append((r, o, s, n, zlib.crc32(text) % shards if alone else k, text))
         found.sort(key=lambda x: x[0])  # the smallest doc_id first, rows without one last
         holder: dict[bytes, int] = {}
         sent: dict[int, list] = {}
@@ -139,59 +145,82 @@ def _stretches(batches, window: int, hot: np.ndarray, parts: int):
             who, owners = np.unique([x[1] for x in items], return_inverse=True)
             columns = [x[5] for x in items], [len(x[5]) for x in items], [x[2] for x in items], owners
             rows.append(
-                (k, b"".join(columns[0]), *(np.asarray(x, "<u4").tobytes() for x in columns[1:]), docs[who].tobytes(), nones[who].tobytes(), keys[who].tobytes(), *[None] * 4)
+                (k, _CODEC.compress(b"".join(columns[0]), asbytes=True), *(np.asarray(x, "<u4").tobytes() for x in columns[1:]), docs[who].tobytes(), nones[who].tobytes(), keys[who].tobytes(), *[None] * 4)
             )
+        del found, holder, sent
         if rows:
             yield _table(_PIECES_ARROW, rows)
+        release()
+
+
+def _ranges(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... of each count, one after another."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 class Shard:
-    """Stretches of one shard as one text on disk, and the documents that hold them."""
+    """The stretches of one shard as one text on disk, each once as far as ``bound`` bytes of them are remembered, and who holds them."""
 
-    def __init__(self, window: int):
-        self.window, self.file = window, tempfile.TemporaryFile()
-        self.sizes, self.starts, self.owners, self.docs, self.nones, self.keys, self.n_docs = [], [], [], [], [], [], 0
+    def __init__(self, window: int, bound: int):
+        self.window, self.bound, self.file = window, bound, tempfile.TemporaryFile()
+        self.known: dict[bytes, int] = {}
+        self.sizes: list[int] = []
+        self.held = [[] for _ in range(6)]  # of each row: stretch, start and owner of every holder; doc, none and key of every owner
+        self.n_docs = self.n_bytes = 0
 
     def add(self, texts: bytes, sizes: bytes, starts: bytes, owners: bytes, docs: bytes, nones: bytes, keys: bytes) -> None:
-        sizes, starts, owners = (np.frombuffer(x, "<u4") for x in (sizes, starts, owners))
+        coded = _CODEC.decompress(texts, int(np.frombuffer(sizes, "<u4").sum()), asbytes=True).translate(_CODES)
+        at, number, new = 0, [], []
+        for size in np.frombuffer(sizes, "<u4").tolist():
+            text = coded[at : at + size]
+            at += size
+            found = self.known.get(text)
+            if found is None:
+                found = len(self.sizes)
+                self.sizes.append(size)
+                new.append(text)
+                if self.n_bytes < self.bound:
+                    self.known[text] = found
+                    self.n_bytes += size
+            number.append(found)
+        self.file.write(b"".join(x + b"\x01" for x in new))
         docs = np.frombuffer(docs, np.int64)
-        ends = np.cumsum(sizes).tolist()
-        coded = texts.translate(_CODES)
-        self.file.write(b"".join(coded[a:b] + b"\x01" for a, b in zip([0, *ends[:-1]], ends)))
-        self.sizes.append(sizes)
-        self.starts.append(starts)
-        self.owners.append(owners + np.uint32(self.n_docs))
-        self.docs.append(docs)
-        self.nones.append(np.frombuffer(nones, bool))
-        self.keys.append(np.frombuffer(keys, np.int64))
+        columns = np.array(number, np.int64), np.frombuffer(starts, "<u4"), np.frombuffer(owners, "<u4") + np.int64(self.n_docs), docs, np.frombuffer(nones, bool), np.frombuffer(keys, np.int64)
+        for column, values in zip(self.held, columns):
+            column.append(values)
         self.n_docs += len(docs)
 
     def marked(self, most: int, bound: int):
         """(docs, keys, start << 32 | windows) of windows that a document with a smaller doc_id has too."""
-        sizes, starts, owners = (np.concatenate(x) for x in (self.sizes, self.starts, self.owners))
-        docs, nones, keys = (np.concatenate(x) for x in (self.docs, self.nones, self.keys))
+        self.known.clear()
+        stretch, starts, owners, docs, nones, keys = (np.concatenate(x) for x in self.held)
+        sizes = np.array(self.sizes, np.int64)
         order = np.lexsort((docs, nones))
-        rank = np.empty(len(docs), np.int64)
+        rank = np.empty(len(docs), np.int32)
         rank[order] = np.cumsum(_first(docs[order], nones[order]))
-        least_none = int(rank[nones].min()) if nones.any() else 1 << 62
-        bounds = np.concatenate([[0], np.cumsum(sizes.astype(np.int64) + 1)])
+        least_none = int(rank[nones].min()) if nones.any() else np.iinfo(np.int32).max
+        smallest = np.full(len(sizes), np.iinfo(np.int32).max, np.int32)  # of each stretch, the least rank of its holders
+        np.minimum.at(smallest, stretch, rank[owners])
+        bounds = np.concatenate([[0], np.cumsum(sizes + 1)])
         self.file.write(b"\0" * (1 + self.window))
         self.file.flush()
         text = np.memmap(self.file, np.uint8, "r", shape=(int(bounds[-1]) + 1 + self.window,))
+        first = room(int(bounds[-1]), np.int32, bound)  # of each window, the least rank of all that have it
+        for a in range(0, len(sizes), 1 << 16):
+            b = min(len(sizes), a + (1 << 16))
+            first[bounds[a] : bounds[b]] = np.repeat(smallest[a:b], sizes[a:b] + 1)
         groups, minima, state = Buckets(1, bound), [], {"group": -1, "held": None}
 
         def keep(pos, group):
-            part = np.searchsorted(bounds, pos, side="right") - 1
-            inside = pos + self.window < bounds[part + 1]  # else the window holds the end of its stretch
-            pos, group, part = pos[inside], group[inside], part[inside]
+            inside = pos + self.window < bounds[np.searchsorted(bounds, pos, side="right")]  # else the window holds the end of its stretch
+            pos, group = pos[inside], group[inside]
             if not len(pos):
                 return
-            first = np.flatnonzero(_first(group))
-            least = np.minimum.reduceat(rank[owners[part]], first)
+            begin = np.flatnonzero(_first(group))
+            least = np.minimum.reduceat(first[pos], begin)
             if minima and minima[-1][0][-1] == group[0]:  # a group that the last piece began
                 least[0] = min(least[0], minima[-1][1][-1])
-                minima[-1][1][-1] = least[0]
-            minima.append((group[first], least))
+            minima.append((group[begin], least))
             groups.put(0, pos.astype(np.uint32), group.astype(np.uint32), np.zeros(len(pos), np.uint8))
 
         def out(pos, shared):
@@ -208,25 +237,22 @@ class Shard:
         Sorter(self.window, most, bound).descending(text, 256, out)
         if state["held"] is not None and state["held"][1][0]:
             keep(state["held"][0], np.array([state["group"]]))
-        if not minima:
-            return
-        number, least = (np.concatenate(x) for x in zip(*minima))
-        marks = room(int(bounds[-1]) + 1, np.uint8, bound)
-        for pos, group, _ in groups.take(0, most):
-            low = least[np.searchsorted(number, group, side="right") - 1]  # of a group in several pieces, the last one has its least
-            later = (rank[owners[np.searchsorted(bounds, pos, side="right") - 1]] > low) & (low < least_none)
-            marks[pos[later]] = 1
-        for a in range(0, len(sizes), 1 << 16):
-            b = min(len(sizes), a + (1 << 16))
-            on = np.flatnonzero(marks[bounds[a] : bounds[b]]) + bounds[a]
-            if not len(on):
+        if minima:
+            number, least = (np.concatenate(x) for x in zip(*minima))
+            for pos, group, _ in groups.take(0, most):  # of a group in several pieces, the last one has its least
+                first[pos] = least[np.searchsorted(number, group, side="right") - 1]
+        first[first >= least_none] = np.iinfo(np.int32).max  # what has no doc_id removes nothing
+        for a in range(0, len(stretch), 1 << 16):  # holders of stretches; of most all windows go, or none
+            k, who, start = stretch[a : a + (1 << 16)], owners[a : a + (1 << 16)], starts[a : a + (1 << 16)].astype(np.int64)
+            count = sizes[k] - self.window + 1
+            row, inner = np.repeat(np.arange(len(k)), count), _ranges(count)
+            gone = np.flatnonzero(first[bounds[k][row] + inner] < rank[who][row])
+            if not len(gone):
                 continue
-            new = np.ones(len(on), bool)
-            new[1:] = on[1:] != on[:-1] + 1  # a separator parts stretches, so a run lies in one
-            first = np.flatnonzero(new)
-            part = np.searchsorted(bounds, on[first], side="right") - 1
-            start = starts[part].astype(np.int64) + on[first] - bounds[part]
-            yield docs[owners[part]], keys[owners[part]], (start.astype(np.uint64) << _U(32)) | np.diff(np.append(first, len(on))).astype(np.uint64)
+            row, inner = row[gone], inner[gone]
+            begin = np.flatnonzero(_first(row, inner - np.arange(len(inner))))
+            places = start[row[begin]] + inner[begin]
+            yield docs[who[row[begin]]], keys[who[row[begin]]], (places.astype(np.uint64) << _U(32)) | np.diff(np.append(begin, len(inner))).astype(np.uint64)
 
 
 def _sort_shards(batches, window: int, lists: int, most: int, bound: int):
@@ -237,7 +263,7 @@ def _sort_shards(batches, window: int, lists: int, most: int, bound: int):
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(settled), *[batch.column(c).filter(settled) for c in range(8, 12)]], schema=_LISTS_ARROW)
         for row in zip(*(batch.column(i).to_pylist() for i in range(1, 8))):
             if row[0] is not None:
-                shard = shard or Shard(window)
+                shard = shard or Shard(window, bound)
                 shard.add(*row)
     if shard:
         for docs, keys, values in shard.marked(most, bound):
@@ -267,6 +293,7 @@ def _cut(batches, window: int):
                 [part.column(0), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string()), pa.array(out[4], pa.binary())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
+    release()
 
 
 def remove_repeated_bytes(docs: DataFrame, window: int = 50, most: int = 1 << 18, bound: int = 64 << 20) -> DataFrame:
@@ -290,8 +317,9 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50, most: int = 1 << 18
     # With the same columns on both ways, the exchange of the texts by doc is made once for this and for the removal.
     by_doc = source.repartition(parts, "doc", "none")
     wanted = by_doc.join(shared.repartition(parts, "doc", "none"), ["doc", "none"]).select("doc", "none", "text_key", "text", "found", "doc_id")
-    pieces = wanted.mapInArrow(lambda b: _stretches(b, window, hot, parts), _PIECES)
-    marked = pieces.repartition(parts, "bucket").mapInArrow(lambda b: _sort_shards(b, window, parts, most, bound), _LISTS)
+    shards = _SHARDS * parts
+    pieces = wanted.mapInArrow(lambda b: _stretches(b, window, hot, shards, parts), _PIECES)
+    marked = pieces.repartition(shards, "bucket").mapInArrow(lambda b: _sort_shards(b, window, parts, most, bound), _LISTS)
     marks = assembled(marked, parts, "<u8").withColumn("none", F.col("doc") == F.col("text_key"))
     marks = marks.repartition(parts, "doc", "none").groupBy("doc", "none").agg(F.collect_list(F.struct("text_key", "found")).alias("marks"))
     joined = source.repartition(parts, "doc", "none").join(marks, ["doc", "none"], "left")

@@ -218,3 +218,67 @@ def taken(rows, seed=8):
             rest -= extra
             out[i] = size[i], whole[source], target[source], times * size[i] + extra
     return out
+
+
+def removed_bytes(rows, window=50):
+    """For each row (doc_id, text): n_bytes, n_removed, n_spans, kept bytes."""
+    least, raws = {}, [(doc, (text or "").encode()) for doc, text in rows]
+    for doc, raw in raws:
+        if doc is not None:
+            for i in range(len(raw) - window + 1):
+                w = raw[i : i + window]
+                least[w] = min(least.get(w, doc), doc)
+    out = []
+    for doc, raw in raws:
+        gone = [False] * len(raw)
+        for i in range(len(raw) - window + 1):
+            first = least.get(raw[i : i + window])
+            if first is not None and (doc is None or first < doc):
+                gone[i : i + window] = [True] * window
+        spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
+        out.append((len(raw), sum(gone), spans, bytes(b for b, g in zip(raw, gone) if not g)))
+    return out
+
+
+def runs_of(w, least_length=6, times=4):
+    """(start, length, period) of every run of the words ``w``, and the words that are left."""
+    found = {}
+    for q in range(1, len(w) // times + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(least_length, times * q):
+                found.setdefault((i, j - i + q), q)
+            i = j + 1
+    runs = sorted((s, n, q) for (s, n), q in found.items())
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    return runs, [x for i, x in enumerate(w) if i not in gone]
+
+
+def one_edit(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    short, long = sorted((a, b), key=len)
+    return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+def variants(counts, times=5):
+    """For each word of ``counts``: form, root, n, n_near, form_n."""
+    near = {a: [b for b in counts if one_edit(a, b)] for a in counts}
+    form = {}
+    for a, others in near.items():
+        if others:
+            best = min(others, key=lambda b: (-counts[b], b))
+            if counts[best] >= times * counts[a]:
+                form[a] = best
+
+    def root(a):
+        while a in form:
+            a = form[a]
+        return a
+
+    return {a: (form.get(a), root(a), counts[a], len(near[a]), counts[form[a]] if a in form else None) for a in counts}
