@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import html
-import io
-import tomllib
-import zipfile
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.operators.store import safe_articles, safe_results
-
-#: Files that never go into a package.
-_SECRET_NAMES, _SECRET_FOLDERS = (".env", "secrets.toml"), (".streamlit",)
+from corpuslens.sources.packages import read_package, write_package  # noqa: F401  what leaves a project
 
 
 def export_articles_parquet(articles: DataFrame, path: str, active_only: bool = True) -> None:
@@ -45,71 +38,30 @@ def chart_spec(kind: str, counts: DataFrame) -> dict:
     return {"type": "bar", "period_type": kind, "x": [r["period"] for r in rows], "y": [r["n"] for r in rows]}
 
 
-def methodology_html(title: str, overview: DataFrame, publishers: DataFrame, months: DataFrame, keywords: DataFrame, agreement: DataFrame | None = None) -> str:
-    """A report of small aggregates: the first 20 publishers and 30 keywords, and every month in order.  Every value is
-    escaped, fractions have four decimals and counts separators of thousands; bodies are not among them."""
+def methodology_html(
+    title: str, overview: DataFrame, publishers: DataFrame, months: DataFrame, keywords: DataFrame, agreement: DataFrame | None = None,
+    sources: DataFrame | None = None, job_id: str | None = None,
+) -> str:
+    """A report of small aggregates: what the project holds, the names of its ``sources`` (a value each), the number of its publishers
+    and the job, the first 20 publishers and 30 keywords, and every month in order.  Parts without rows are left out.  Every value
+    is escaped, fractions have four decimals and counts separators of thousands; bodies are not among them."""
 
     def shown(value) -> str:
         return html.escape(f"{value:.4f}" if isinstance(value, float) else f"{value:,}" if isinstance(value, int) else str(value))
 
-    def section(name: str, df: DataFrame, most: int | None) -> str:
-        head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-        body = "".join("<tr>" + "".join(f"<td>{shown(v)}</td>" for v in row) + "</tr>" for row in (df if most is None else df.limit(most)).collect())
-        return f"<h2>{html.escape(name)}</h2><table><tr>{head}</tr>{body}</table>"
+    def table(rows: list, head: list[str] = ()) -> str:
+        first = "<tr>" + "".join(f"<th>{html.escape(c)}</th>" for c in head) + "</tr>" if head else ""
+        return "<table>" + first + "".join("<tr>" + "".join(f"<td>{shown(v)}</td>" for v in row) + "</tr>" for row in rows) + "</table>"
 
-    parts = [section("Overview", overview, 1), section("Publishers", publishers, 20), section("Months", months.orderBy("period"), None), section("Keywords", keywords, 30)]
+    def section(name: str, df: DataFrame, most: int | None) -> str:
+        rows = (df if most is None else df.limit(most)).collect()
+        return f"<h2>{html.escape(name)}</h2>{table(rows, df.columns)}" if rows else ""
+
+    facts = list(overview.head().asDict().items())
+    if sources is not None:
+        facts.append(("sources", ", ".join(r[0] for r in sources.select(sources.columns[0]).orderBy(sources.columns[0]).collect()) or "n/a"))  # a name a source
+    facts += [("publishers", publishers.count()), *([("job", job_id)] if job_id else [])]
+    parts = [f"<h2>Overview</h2>{table(facts)}", section("Publishers", publishers, 20), section("Months", months.orderBy("period"), None), section("Keywords", keywords, 30)]
     if agreement is not None:
         parts.append(section("Agreement", agreement, 1))
     return f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{''.join(parts)}"
-
-
-def _quoted(value: str) -> str:
-    return '"' + value.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"'
-
-
-def write_package(tables: dict[str, DataFrame], project: dict[str, str], target: str, work: str, raw_folder: str | None = None) -> None:
-    """A zip of Parquet tables, a manifest, checksums and, if asked for, raw files without secrets.
-
-    ``work`` is a folder that the driver can read; the tables are written there by the cluster first."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{work}/{name}")
-    members: dict[str, Path] = {f"data/{p.relative_to(work)}": p for p in sorted(Path(work).rglob("*.parquet")) if p.is_file()}
-    if raw_folder:
-        for p in sorted(Path(raw_folder).rglob("*")):
-            if p.is_file() and p.name not in _SECRET_NAMES and not set(p.relative_to(raw_folder).parts) & set(_SECRET_FOLDERS):
-                members[f"data/raw/{p.relative_to(raw_folder)}"] = p
-    manifest = "[project]\n" + "".join(f"{k} = {_quoted(v)}\n" for k, v in project.items())
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
-        sums = []
-        for name, p in members.items():
-            raw = p.read_bytes()
-            out.writestr(name, raw)
-            sums.append(f"{hashlib.sha256(raw).hexdigest()}  {name}\n")
-        out.writestr("manifest.toml", manifest)
-        out.writestr("checksums.sha256", "".join(sums))
-        out.writestr("README_IMPORT.md", "Unpack with read_package; checksums.sha256 lists every data file.\n")
-
-
-def read_package(spark: SparkSession, source: str, folder: str, project_id: str | None = None) -> tuple[dict[str, DataFrame], dict, list[str]]:
-    """(tables, manifest, warnings).  Members that would leave ``folder`` are refused; wrong checksums are warnings."""
-    base = Path(folder).resolve()
-    with zipfile.ZipFile(source) as package:
-        names = package.namelist()
-        if "manifest.toml" not in names or not any(n.startswith("data/") and n.endswith(".parquet") for n in names):
-            raise ValueError("not a package: manifest or data are missing")
-        for name in names:
-            if not (base / name).resolve().is_relative_to(base):
-                raise ValueError(f"unsafe member {name}")
-        manifest = tomllib.load(io.BytesIO(package.read("manifest.toml")))
-        warnings = []
-        for line in package.read("checksums.sha256").decode().splitlines() if "checksums.sha256" in names else []:
-            digest, name = line.split("  ", 1)
-            if name not in names:
-                warnings.append(f"missing: {name}")
-            elif hashlib.sha256(package.read(name)).hexdigest() != digest:
-                warnings.append(f"mismatch: {name}")
-        package.extractall(base)
-    tables = {p.name: spark.read.parquet(str(p)) for p in sorted((base / "data").iterdir()) if p.is_dir() and p.name != "raw"}
-    if project_id:
-        tables = {n: df.withColumn("project_id", F.lit(project_id)) if "project_id" in df.columns else df for n, df in tables.items()}
-    return tables, manifest, warnings

@@ -4,25 +4,19 @@ from __future__ import annotations
 
 import csv
 import io
-import re
-import zipfile
-from xml.etree import ElementTree
+import json
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as t
+from corpuslens.sources.archive import HEADINGS, register, spreadsheet_rows
+from corpuslens.sources.csv_ranges import read_ranges
 
 FIELDS = ("title", "date", "body", "publisher", "keywords", "url")
 
-# Headings of the news archive's spreadsheets.
-ARCHIVE_HEADINGS = {
-    "뉴스 식별자": "news_id", "일자": "date", "언론사": "publisher", "기고자": "author", "제목": "title", "본문": "body",
-    "키워드": "keywords", "URL": "url", "통합 분류1": "category1", "통합 분류2": "category2", "통합 분류3": "category3", "사건/사고 분류1": "event_category",
-}
-
-
 #: Bytes of a file that are read to find its encoding and headings.
 _HEAD_BYTES = 1 << 16
 # Byte order marks; what has none is UTF-8.
@@ -49,88 +43,67 @@ def format_of(head: bytes) -> tuple[str, tuple[str, ...] | None]:
     return encoding, tuple(headings) if ended else None
 
 
-def read_csv(spark: SparkSession, path: str, columns: dict[str, str] | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: dict[str, str] | None = None, seen: Observation | None = None) -> DataFrame:
     """Strings alone: nothing is inferred.  Files of one encoding with the same headings are one scan; scans are matched by
-    name.  The driver reads only the head of each file."""
+    name.  The driver reads only the head of each file.  UTF-8 files are read in ranges of bytes, side by side; others, and those whose
+    headings are longer than the head, are a task each."""
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path").orderBy("path").collect()
     scans: dict[tuple, list[str]] = {}
     for file in (r["path"] for r in listed):
         encoding, headings = format_of(_head(spark, file))
-        scans.setdefault((encoding, headings if headings is not None else file), []).append(file)
+        scans.setdefault((encoding, headings if headings is not None else (file, None)), []).append(file)
     out = None
-    for (encoding, _), files in scans.items():
-        raw = spark.read.csv(files, header=True, multiLine=True, escape='"', inferSchema=False, encoding=encoding)
+    for (encoding, headings), files in scans.items():
+        if encoding == "UTF-8" and headings and None not in headings:
+            raw = read_ranges(spark, files, headings)
+        else:
+            raw = spark.read.csv(files, header=True, multiLine=True, escape='"', inferSchema=False, encoding=encoding)
         out = raw if out is None else out.unionByName(raw, allowMissingColumns=True)
     if out is None:
         raise FileNotFoundError(path)
-    return to_articles(out, columns or {}, "csv", keep_undated=True)
-
-
-_CELL = re.compile("([A-Z]+)")
-_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-
-
-def _column_number(ref: str) -> int:
-    n = 0
-    for letter in _CELL.match(ref)[1]:
-        n = n * 26 + ord(letter) - 64
-    return n - 1
-
-
-def spreadsheet_rows(raw: bytes) -> list[dict[str, str]]:
-    """Rows of the first sheet as {heading: text}; blank rows are skipped, missing cells are empty."""
-    with zipfile.ZipFile(io.BytesIO(raw)) as book:
-        names = book.namelist()
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
-            shared = ["".join(x.text or "" for x in item.iter(f"{_NS}t")) for item in root.iter(f"{_NS}si")]
-        sheets = [n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
-        sheet = min(sheets, key=lambda n: int(re.search(r"\d+", n)[0]))
-        table = []
-        for row in ElementTree.fromstring(book.read(sheet)).iter(f"{_NS}row"):
-            cells: dict[int, str] = {}
-            for i, cell in enumerate(row.iter(f"{_NS}c")):
-                kind, value = cell.get("t"), cell.find(f"{_NS}v")
-                if kind == "inlineStr":
-                    found = "".join(x.text or "" for x in cell.iter(f"{_NS}t"))
-                elif value is None or value.text is None:
-                    found = ""
-                else:
-                    found = shared[int(value.text)] if kind == "s" else re.sub(r"^(\d+)\.0$", r"\1", value.text)
-                cells[_column_number(cell.get("r")) if cell.get("r") else i] = found.strip()
-            table.append(cells)
-    if not table:
-        return []
-    headings = {i: h for i, h in table[0].items() if h}
-    return [{h: row.get(i, "") for i, h in headings.items()} for row in table[1:] if any(row.values())]
-
-
-def read_xlsx(spark: SparkSession, path: str, headings: dict[str, str] | None = None) -> DataFrame:
-    """One spreadsheet or the spreadsheets of a folder; each file is parsed where its bytes are."""
+    return to_articles(out, columns or {}, "csv", keep_undated=True, seen=seen)
+
+
+def read_xlsx(spark: SparkSession, path: str, headings: dict[str, str] | None = None, seen: Observation | None = None) -> DataFrame:
+    """One spreadsheet or the spreadsheets of a folder, on any store that Spark reads; each file is parsed where its bytes are."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
 
     def run(frames):
         for frame in frames:
-            rows = [(p, i, r) for p, c in zip(frame["path"], frame["content"]) for i, r in enumerate(spreadsheet_rows(c))]
-            if rows:  # an empty column of maps has no type that Arrow takes
-                yield pd.DataFrame({"path": [x[0] for x in rows], "line": [x[1] for x in rows], "cells": [x[2] for x in rows]})
+            for path, content in zip(frame["path"], frame["content"]):
+                rows = enumerate(spreadsheet_rows(io.BytesIO(content)))
+                while part := list(islice(rows, 1000)):
+                    yield pd.DataFrame({"path": [path] * len(part), "line": [i for i, _ in part], "cells": [r for _, r in part]})
 
     raw = files.mapInPandas(run, "path string, line int, cells map<string,string>")
-    known = headings or ARCHIVE_HEADINGS
+    known = headings or HEADINGS
     raw = raw.select("path", "line", "cells", *[F.col("cells")[h].alias(name) for h, name in known.items()])
+    return to_articles(raw, {}, "archive", keep_undated=False, seen=seen)
+
+
+def read_archive(spark: SparkSession, path: str, headings: dict[str, str] | None = None, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+    """The same through the ``news_archive`` data source, for stores that Python can open.  The dates reach the reader: rows
+    outside, and undated ones where a start is set, never leave it."""
+    register(spark)
+    source = spark.read.format("news_archive")
+    raw = (source.option("headings", json.dumps(headings)) if headings else source).load(path)
+    for test, bound in ((F.col("date") >= date_from, date_from), (F.col("date") <= date_to, date_to)):
+        raw = raw.filter(test) if bound else raw
     return to_articles(raw, {}, "archive", keep_undated=False)
 
 
-def to_articles(raw: DataFrame, columns: dict[str, str], source: str, keep_undated: bool) -> DataFrame:
-    """Maps, strips and normalises; rows without a title go.  ``undated_kept`` tells the date filter what to do."""
+def to_articles(raw: DataFrame, columns: dict[str, str], source: str, keep_undated: bool, seen: Observation | None = None) -> DataFrame:
+    """Maps, strips and normalises; rows without a title go.  ``undated_kept`` tells the date filter what to do.  ``seen`` gets the
+    number of rows, those without a title included, as ``raw``, from whatever pass reads them."""
+    if seen is not None:
+        raw = raw.observe(seen, F.count(F.lit(1)).alias("raw"))
 
     def of(field: str) -> Column:
         names = [n for n in dict.fromkeys([columns.get(field, field), field]) if n in raw.columns]
         return t.strip(F.coalesce(*[F.col(f"`{n}`").cast("string") for n in names], F.lit("")))
 
-    rows = raw.select(*[of(f).alias(f) for f in FIELDS], F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw.columns])).alias("raw_json"))
-    rows = rows.filter("title <> ''").withColumn("date_raw", F.col("date")).withColumn("date", t.normalize_date(F.col("date")))
+    rows = raw.select(*[of(f).alias(f) for f in FIELDS], (of("date_raw") if "date_raw" in raw.columns else of("date")).alias("date_raw"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw.columns])).alias("raw_json"))
+    rows = rows.filter("title <> ''").withColumn("date", t.normalize_date(F.col("date")))
     key = t.article_id(F.lit(source), F.col("title"), F.col("date"), F.col("publisher"))
     body = t.normalize_whitespace(F.col("body"))
     return rows.select(
@@ -139,14 +112,18 @@ def to_articles(raw: DataFrame, columns: dict[str, str], source: str, keep_undat
     )
 
 
-def in_range(articles: DataFrame, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+def in_range_test(date_from: str | None = None, date_to: str | None = None) -> Column:
     """Inclusive, by text order.  Undated rows of spreadsheets go where a start is set; those of CSV files stay."""
     keep = F.lit(True)
     if date_from:
         keep &= F.when(F.col("date") == "", F.col("undated_kept")).otherwise(F.col("date") >= date_from)
     if date_to:
         keep &= (F.col("date") == "") | (F.col("date") <= date_to)
-    return articles.filter(keep)
+    return keep
+
+
+def in_range(articles: DataFrame, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+    return articles.filter(in_range_test(date_from, date_to))
 
 
 def read_news_api(*_: object) -> DataFrame:

@@ -2,11 +2,13 @@
 
 import csv
 import zipfile
+import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.operators import analyze, store
-from corpuslens.sources import exports, files
+from corpuslens.sources import archive, csv_ranges, exports, files, packages
 from corpuslens.streaming.ingest import ingest_stream
 
 _MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -113,3 +115,158 @@ def test_window_of_calls_over_stretches(spark):
     found = {r["call_id"]: (r["in_window"], r["tokens_in_window"]) for r in analyze.quota_use(calls).collect()}
     within = {c: [x for x in rows if x[1] == s and at - 60 < x[2] <= at] for c, s, at, _ in rows}
     assert found == {c: (len(x), sum(r[3] for r in x)) for c, x in within.items()}
+
+
+def many_workbooks(folder, active="rId7"):
+    """A workbook whose sheets were moved: the second tab, which is shown, lies in sheet1.xml."""
+    rows = [[("A1", "inlineStr", "일자"), ("B1", "inlineStr", "제목")], [("A2", "inlineStr", "20240105"), ("B2", "inlineStr", "shown")]]
+    other = [[("A1", "inlineStr", "제목")], [("A2", "inlineStr", "hidden")]]
+    workbook(folder / "moved.xlsx", {1: other, 2: rows} if active == "rId7" else {1: rows, 2: other})
+    links = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(folder / "moved.xlsx", "a") as out:
+        out.writestr("xl/workbook.xml", f'<workbook {_MAIN} xmlns:r="{links}"><bookViews><workbookView activeTab="1"/></bookViews><sheets><sheet name="a" sheetId="1" r:id="rId3"/><sheet name="b" sheetId="2" r:id="{active}"/></sheets></workbook>')
+        out.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId3" Target="worksheets/sheet1.xml"/><Relationship Id="rId7" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+
+
+def test_the_active_sheet_is_read(spark, tmp_path):
+    many_workbooks(tmp_path)
+    assert [(r["title"], r["date"], r["date_raw"]) for r in files.read_archive(spark, str(tmp_path)).collect()] == [("shown", "2024-01-05", "20240105")]
+    assert [r["title"] for r in files.read_xlsx(spark, str(tmp_path)).collect()] == ["shown"]
+
+
+def test_archive_is_a_data_source(spark, tmp_path, capsys):
+    """Written by tasks, read again by partitions; dates are compared by the reader, other filters by Spark."""
+    archive.register(spark)
+    rows = [(f"n{i}", f"2024-{i % 12 + 1:02d}-{i % 28 + 1:02d}" if i % 9 else "", f"title <{i}> & \"q\"\n line", f"본문 {i}\x0b" * (i % 5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "news_id string, date string, title string, body string").repartition(3)
+    folder = f"file://{tmp_path}/books"
+    df.write.format("news_archive").mode("overwrite").save(folder)
+    assert len([p for p in (tmp_path / "books").iterdir() if p.suffix == ".xlsx"]) == 3 and not [p for p in (tmp_path / "books").iterdir() if p.suffix != ".xlsx"]
+    read = spark.read.format("news_archive").load(folder)
+    found = {r["news_id"]: (r["date"], r["title"], r["body"]) for r in read.collect()}
+    assert found == {i: (d, t, b.replace("\x0b", " ").strip()) for i, d, t, b in rows}
+    late = read.filter("date >= '2024-07-01' and date < '2024-09-01' and title like '%1%'")
+    late.explain("formatted")
+    assert "PushedFilters: [GreaterThanOrEqual(date,2024-07-01), LessThan(date,2024-09-01)]" in capsys.readouterr().out
+    assert {r["news_id"] for r in late.collect()} == {i for i, d, t, _ in rows if "2024-07-01" <= d < "2024-09-01" and "1" in t}
+    ranged = files.read_archive(spark, folder, date_from="2024-07-01", date_to="2024-08-31")
+    assert ranged.count() == files.in_range(files.read_xlsx(spark, folder), "2024-07-01", "2024-08-31").count() > 0
+    df.limit(5).write.format("news_archive").mode("overwrite").save(folder)
+    assert spark.read.format("news_archive").load(folder).count() == 5
+
+
+def test_a_sheet_of_many_rows_takes_little_memory(tmp_path):
+    """Shared strings in a file, rows one at a time: memory stays far below the sheet."""
+    import tracemalloc
+
+    with zipfile.ZipFile(tmp_path / "long.xlsx", "w", zipfile.ZIP_DEFLATED) as out:
+        with out.open("xl/sharedStrings.xml", "w") as part:
+            part.write(f"<sst {_MAIN}><si><t>제목</t></si>".encode() + b"".join(f"<si><t>{'text ' * 20}{i}</t></si>".encode() for i in range(60_000)) + b"</sst>")
+        with out.open("xl/worksheets/sheet1.xml", "w") as part:
+            part.write(f'<worksheet {_MAIN}><sheetData><row><c t="s"><v>0</v></c></row>'.encode())
+            part.write(b"".join(f'<row><c t="s"><v>{i + 1}</v></c></row>'.encode() for i in range(60_000)) + b"</sheetData></worksheet>")
+    tracemalloc.start()
+    with open(tmp_path / "long.xlsx", "rb") as file:
+        n = sum(1 for _ in archive.spreadsheet_rows(file))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 60_000 and peak < 4_000_000  # the strings alone are 6.4 MB
+
+
+def csv_text(rng, rows, end):
+    words = ["", "plain", 'say "so"', "a,b", "line\nbreak", "carriage\r\nreturn", '"', '""', "\n\n", ' "odd', "x" * 30, 'a"b"c', "é漢"]
+    out = ["id,title,body,body"]
+    for i in range(rows):
+        cells = [str(i), *(rng.choice(words) for _ in range(rng.choice([0, 2, 3, 3, 3, 5])))]
+        quoted = [c if rng.random() < 0.5 and not set(c) & set(',"\r\n') or c in (' "odd', 'a"b"c') else '"' + c.replace('"', '""') + '"' + ("tail" if rng.random() < 0.05 else "") for c in cells]
+        out.append(",".join(quoted) if rng.random() > 0.05 else "")
+    return end.join(out)
+
+
+def test_csv_of_any_ranges(spark, tmp_path):
+    """Cut at any byte, a file has the rows of Python's reader; line ends, quotes and commas in fields, ragged rows, blank lines, no last line end."""
+    import io
+    import random
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    rng = random.Random(2)
+    try:
+        for trial, (size, end) in enumerate([(37, "\n"), (150, "\r\n"), (1000, "\n"), (64, "\r")]):
+            text = csv_text(rng, 60, end) + (end if trial % 2 else "") + ('\n9,"never closed\nat all' if trial == 2 else "")
+            path = tmp_path / f"t{trial}.csv"
+            path.write_bytes((("﻿" if trial == 1 else "") + text).encode())
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            found = csv_ranges.read_ranges(spark, [str(path)], ("id", "title", "body", "body"))
+            assert found.columns == ["id", "title", "body"]
+            if trial != 2:
+                assert found.rdd.getNumPartitions() >= min(len(text.encode()) // size, 50)
+            expected = [(r["id"], r["title"], r["body"]) for r in csv.DictReader(io.StringIO(text, newline=""))]
+            assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, expected))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_state_of_lines():
+    inside = csv_ranges.ends_inside
+    assert not inside("a,b", False) and inside('a,"b', False) and not inside('a,"b"', False) and inside('a,"b""', False)
+    assert not inside('a"b,c', False) and not inside('"a"b"c,d', False) and inside('"a"b,"c', False)
+    assert inside("a,b", True) and not inside('a",b', True) and inside('a","b', True) and inside('a""', True) and inside('""', True) and not inside('"', True)
+
+
+def test_package_of_any_store(spark, tmp_path):
+    """Written and read through a file system that only Spark knows; members are stored, checked by executors; secrets stay out."""
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.packages.link./p", f"file://{tmp_path}")
+    root = "viewfs://packages/p"
+    (tmp_path / "raw" / "sub").mkdir(parents=True)
+    (tmp_path / "raw" / ".streamlit").mkdir()
+    for name in ("a.csv", "sub/b.csv", ".env", "sub/secrets.toml", ".streamlit/config"):
+        (tmp_path / "raw" / name).write_text(name)
+    big = spark.range(20_000).selectExpr("id", "sha2(cast(id as string), 256) AS text", "'p' AS project_id").repartition(3)
+    project = {"name": 'a "b" \\ \t\x07é', "schema_version": "1.0"}
+    exports.write_package({"big": big, "small": spark.range(0).selectExpr("id")}, project, f"{root}/p.zip", f"{root}/work", f"{root}/raw")
+    with zipfile.ZipFile(tmp_path / "p.zip") as package:
+        assert package.testzip() is None and {x.compress_type for x in package.infolist()} == {zipfile.ZIP_STORED}
+        names = package.namelist()
+        assert {n for n in names if n.startswith("data/raw/")} == {"data/raw/a.csv", "data/raw/sub/b.csv"} and sum(n.startswith("data/big/") for n in names) == 3
+    tables, manifest, warnings = exports.read_package(spark, f"{root}/p.zip", f"{root}/out", "q")
+    assert manifest["project"] == project and warnings == [] and set(tables) == {"big", "small"}
+    assert tables["big"].exceptAll(big.withColumn("project_id", F.lit("q"))).isEmpty() and tables["big"].count() == 20_000
+    # Deflated by other tools, with a file missing and one that was changed.
+    with zipfile.ZipFile(tmp_path / "p.zip") as package, zipfile.ZipFile(tmp_path / "again.zip", "w", zipfile.ZIP_DEFLATED) as out:
+        for name in names:
+            if name != "data/raw/a.csv":
+                out.writestr(name, b"other" if name == "data/raw/sub/b.csv" else package.read(name))
+    tables, _, warnings = exports.read_package(spark, f"{root}/again.zip", f"{root}/out2")
+    assert warnings == ["missing: data/raw/a.csv", "mismatch: data/raw/sub/b.csv"] and tables["big"].count() == 20_000
+    for bad, error in (({"manifest.toml": "[project]"}, "not a package"), ({"manifest.toml": "", "data/x/p.parquet": "", "../../x": ""}, "unsafe member"), ({"manifest.toml": "", "data/x/p.parquet": "", "/etc/x": ""}, "unsafe member")):
+        with zipfile.ZipFile(tmp_path / "bad.zip", "w") as out:
+            for name, text in bad.items():
+                out.writestr(name, text)
+        with pytest.raises(ValueError, match=error):
+            exports.read_package(spark, f"{root}/bad.zip", f"{root}/never")
+    assert not (tmp_path / "never").exists()
+
+
+def test_members_beyond_four_gigabytes(spark, tmp_path, monkeypatch):
+    """The directory of large members, far offsets and very many members; the limits are lowered instead of writing so much."""
+    (tmp_path / "x.bin").write_bytes(b"x" * 500)
+    monkeypatch.setattr(packages, "_MOST_MEMBERS", 2)
+    out = packages.StoredZip(spark, str(tmp_path / "many.zip"))
+    for i in range(4):
+        out.add_file(f"m{i}", str(tmp_path / "x.bin"), 500, zlib.crc32(b"x" * 500))
+    out.close()
+    with zipfile.ZipFile(tmp_path / "many.zip") as found:
+        assert found.namelist() == ["m0", "m1", "m2", "m3"] and found.testzip() is None
+
+
+def test_secret_files():
+    assert [packages.secret(p) for p in ("a.csv", ".env", "x/.env", "secrets.toml", "a/.streamlit/b", "env", "x.env")] == [False, True, True, True, True, False, False]
+
+
+def test_report_names_sources_publishers_and_job(spark):
+    every = articles(spark)
+    months, none = analyze.period_counts(every, F.col("date")), spark.createDataFrame([], "keyword string, n long")
+    text = exports.methodology_html("T", analyze.descriptive(every), analyze.group_counts(every, "publisher"), months, none, sources=analyze.group_counts(every, "source"), job_id="j<1>")
+    assert "<td>sources</td><td>csv</td>" in text and "<td>publishers</td><td>1</td>" in text and "<td>job</td><td>j&lt;1&gt;</td>" in text and "Keywords" not in text
