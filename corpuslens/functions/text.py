@@ -145,10 +145,12 @@ def mask_key(c: Column) -> Column:
     return F.when(empty(c) == "", "(not set)").when(F.length(c) < 8, "****").otherwise(long)
 
 
+# Dollars for a million prompt and output tokens, of models whose name has "flash" in it and of all others.
+FLASH_PRICES, PRICES = (0.15, 0.60), (1.0, 2.0)
+
+
 def cost_usd(model: Column, prompt: Column, output: Column) -> Column:
-    # Prices in dollars for a million tokens.
-    flash = (prompt * 0.15 + output * 0.60) / 1_000_000
-    other = (prompt * 1.0 + output * 2.0) / 1_000_000
+    flash, other = ((prompt * a + output * b) / 1_000_000 for a, b in (FLASH_PRICES, PRICES))
     return F.when(F.lower(model).contains("flash"), flash).otherwise(other)
 
 
@@ -166,22 +168,36 @@ def extract_answer(c: Column) -> Column:
     )
 
 
-_REPLY = "label string, classification string, category string, confidence string, rationale string, reason string, explanation string, broken string"
+def _truthy_text(x: Column) -> Column:
+    """A JSON value as text: null where it is missing, null, false, zero or empty.  Lists and objects are JSON text."""
+    kind = F.schema_of_variant(x)
+    number, raw = F.try_variant_get(x, "$", "double"), F.try_variant_get(x, "$", "string")
+    return (
+        F.when(x.isNull() | (kind == "VOID"), None)
+        .when(kind == "STRING", F.nullif(raw, F.lit("")))
+        .when(kind == "BOOLEAN", F.when(raw == "true", F.lit("True")))
+        .when(kind == "BIGINT", F.nullif(raw, F.lit("0")))
+        .when((kind == "DOUBLE") | kind.startswith("DECIMAL"), F.when(number != 0, number.cast("string")))
+        .otherwise(F.nullif(F.nullif(F.to_json(x), F.lit("[]")), F.lit("{}")))
+    )
 
 
 def parse_reply(c: Column) -> Column:
     """label, confidence and rationale of a model's reply: of the JSON object from its first to its last brace, whatever names
-    that has.  Where there is none, where it is no single object, or where its confidence is no number, the label is
-    the first line that isn't blank."""
+    that has.  A name whose value is null, false, zero or empty gives way to the next one.  Where there is no object, where it is no
+    single one, or where its confidence is no number (true is 1), the label is the first line that isn't blank."""
     end = F.length(c) - F.instr(F.reverse(c), "}") + 1
     start = F.instr(c, "{")
     inner = F.when((start > 0) & (end > start), F.substring(c, start, end - start + 1))
     # An object that is followed by another one is broken as the only item of an array.
-    one = F.size(F.from_json(F.concat(F.lit("["), inner, F.lit("]")), "array<string>", {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})) == 1
-    found = F.from_json(inner, _REPLY, {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "broken"})
-    number = found["confidence"].try_cast("double")
-    ok = F.coalesce(one & found["broken"].isNull() & (found["confidence"].isNull() | number.isNotNull()), F.lit(False))
-    pick = lambda *names: F.coalesce(*[F.nullif(found[n], F.lit("")) for n in names])
+    found = F.get(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), inner, F.lit("]"))), "$", "array<variant>"), F.lit(0))
+    one = F.size(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), inner, F.lit("]"))), "$", "array<variant>")) == 1
+    value = lambda name: F.try_variant_get(found, f"$.{name}", "variant")
+    kind = F.coalesce(F.schema_of_variant(value("confidence")), F.lit("VOID"))
+    raw = F.try_variant_get(found, "$.confidence", "string")
+    number = F.when(kind == "BOOLEAN", (raw == "true").cast("double")).when(kind == "STRING", strip(raw).try_cast("double")).otherwise(F.try_variant_get(found, "$.confidence", "double"))
+    ok = F.coalesce(one & ((kind == "VOID") | number.isNotNull()), F.lit(False))
+    pick = lambda *names: F.coalesce(*[_truthy_text(value(n)) for n in names])
     line = F.get(F.filter(F.transform(F.split(empty(c), "\n"), strip), lambda x: x != ""), F.lit(0))
     return F.struct(
         F.when(ok, pick("label", "classification", "category")).otherwise(F.substring(line, 1, 100)).alias("label"),

@@ -16,8 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.functions.text import parse_reply
+from corpuslens.functions.text import FLASH_PRICES, PRICES, parse_reply
+from corpuslens.operators.stats import numbered
 from corpuslens.sources.settings import mask
+from corpuslens.sources.shared import remove, shared_folder
 
 # Default quotas of a slot, and the most slots at once.
 REQUESTS_PER_MINUTE, TOKENS_PER_MINUTE, REQUESTS_PER_DAY, MOST_SLOTS = 15, 1_000_000, 1500, 3
@@ -149,46 +151,88 @@ def call_provider(batch: DataFrame, providers: list[Provider], prompt: str, task
     return parsed.select("article_id", "slot", F.col("reply").isNotNull().alias("success"), "x.label", "x.confidence", "x.rationale", F.col("reply").alias("raw_response"), "error", "prompt_tokens", "output_tokens")
 
 
-def numbered(rows: DataFrame, *order: str) -> tuple[DataFrame, int]:
-    """Rows with their ``place`` in that order, from 0, and their number.  One distributed sort; a count a partition reaches the driver."""
-    ordered = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).cache()
-    part, base, total = F.shiftright("_at", 33), {}, 0  # these ids are partition << 33 | row
-    for row in ordered.groupBy(part.alias("part")).count().orderBy("part").collect():
-        base[row["part"]], total = total, total + row["count"]
-    before = F.create_map(*[F.lit(x).cast("long") for pair in base.items() for x in pair])[part.cast("long")] if base else F.lit(0)
-    return ordered.withColumn("place", before + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at"), total
+@dataclass(frozen=True)
+class Progress:
+    """Where a job stands: calls of this run and of earlier ones that it went on with."""
+
+    job_id: str
+    total: int
+    processed: int
+    errors: int
+    prompt_tokens: int
+    output_tokens: int
+    estimated_cost_usd: float
+    status: str
+
+    @property
+    def percent(self) -> float:
+        return 100 * self.processed / self.total if self.total else 0.0
+
+
+def cost(model: str, prompt_tokens: int, output_tokens: int) -> float:
+    """Estimated dollars."""
+    prompt, output = FLASH_PRICES if "flash" in model.lower() else PRICES
+    return (prompt_tokens * prompt + output_tokens * output) / 1_000_000
+
+
+def in_turn(rows: DataFrame, *order: str) -> tuple[DataFrame, int, str]:
+    """Rows with their ``place`` in that order, from 0, their number, and the folder where they lie in files by place: a stretch of
+    places is read from the files that hold it alone."""
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "in-turn")
+    numbered(rows, list(order), "place").write.mode("overwrite").parquet(folder)
+    placed = spark.read.parquet(folder)
+    return placed, placed.count(), folder
 
 
 def classify(
     spark: SparkSession, articles: DataFrame, results_path: str, job_id: str, provider: Provider, slots: Slots, prompt: str,
-    now: Callable[[], datetime] = lambda: datetime.now(timezone.utc), tokens_each: int = 1000, progress: Callable[[int], None] | None = None,
-    sleep: Callable[[float], None] = clock.sleep,
+    now: Callable[[], datetime] = lambda: datetime.now(timezone.utc), tokens_each: int = 1000, progress: Callable[[Progress], None] | None = None,
+    sleep: Callable[[float], None] = clock.sleep, model: str = "",
 ) -> str:
     """Writes results until nothing is pending (success) or no slot has room (cancelled).  Where a slot has room again within the
     hour, it is waited for, a minute at most, and asked once more.  Calls that a slot's service refused are told to its
-    limiter.  Failed calls of this run aren't repeated in it, but come again when the job is resumed."""
+    limiter.  Failed calls of this run aren't repeated in it, but come again when the job is resumed.  ``progress`` hears of every
+    stretch of calls."""
     from corpuslens.operators.store import pending
 
     spark.createDataFrame([], RESULTS).write.mode("append").parquet(results_path)
-    todo, left = numbered(pending(articles, spark.read.schema(RESULTS).parquet(results_path), job_id), "date", "article_id")
+    before = spark.read.schema(RESULTS).parquet(results_path)
+    todo, left, folder = in_turn(pending(articles, before, job_id), "date", "article_id")
     providers, done = [x.provider or provider for x in slots.slots], 0
+    sums = before.filter((F.col("job_id") == job_id) & F.col("success")).agg(F.countDistinct("article_id"), F.sum("prompt_tokens"), F.sum("output_tokens")).head()
+    known, used = sums[0], [0, sums[1] or 0, sums[2] or 0]
+    try:
+        return _calls(spark, todo, left, known, used, results_path, job_id, providers, slots, prompt, now, tokens_each, progress, sleep, model)
+    finally:
+        remove(spark, folder)
+
+
+def _calls(spark, todo, left, known, used, results_path, job_id, providers, slots, prompt, now, tokens_each, progress, sleep, model) -> str:
+    def tell(status: str) -> str:
+        if progress:
+            progress(Progress(job_id, known + left, known + done, *used, cost(model, used[1], used[2]), status))
+        return status
+
+    done = 0
     while done < left:
         turns = slots.admit(now(), left - done, tokens_each)
         if not turns and 0 < (wait := slots.wait_seconds(now())) < 3600:
             sleep(min(wait + 1, 60))
             turns = slots.admit(now(), left - done, tokens_each)
         if not turns:
-            return "cancelled"
+            return tell("cancelled")
         mine = todo.filter(F.col("place").between(done, done + len(turns) - 1))
         mine = mine.withColumn("slot", F.element_at(F.array(*map(F.lit, turns)), (F.col("place") - done + 1).cast("int")))
         refused = Observation()
         counts = [F.count_if((F.col("slot") == i) & (F.col("error") == error)).alias(f"{kind}{i}") for i in range(len(providers)) for kind, error in (("rpm", REFUSED), ("rpd", REFUSED + OF_DAY))]
+        counts += [F.count_if(~F.col("success")).alias("errors"), F.sum("prompt_tokens").alias("prompt"), F.sum("output_tokens").alias("output")]
         answered = call_provider(mine, providers, prompt).observe(refused, *counts).drop("slot").withColumn("error", F.when(F.startswith("error", F.lit(REFUSED)), REFUSED).otherwise(F.col("error")))
         answered.withColumns({"job_id": F.lit(job_id), "called_at": F.lit(now().isoformat())}).write.mode("append").parquet(results_path)
-        for name, n in refused.get.items():
+        found = refused.get
+        used[:] = [n + (found.pop(name) or 0) for n, name in zip(used, ("errors", "prompt", "output"))]
+        for name, n in found.items():
             if n:
                 slots.slots[int(name[3:])].limiter.report_429(name[:3], now())
         done += len(turns)
-        if progress:
-            progress(done)
-    return "success"
+        tell("running")
+    return tell("success")

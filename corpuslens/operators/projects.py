@@ -10,11 +10,11 @@ import json
 import time
 import uuid
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field, fields
+from dataclasses import asdict, dataclass, field, fields, replace
 from datetime import datetime, timezone
 from hashlib import sha256
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as t
@@ -78,6 +78,80 @@ class LabelSchema:
         return cls(row["schema_id"], row["name"], row["schema_type"], labels, row["description"] or "")
 
 
+@dataclass(frozen=True)
+class Prompt:
+    """A version of a prompt's text, which must not change any more."""
+
+    version_id: str
+    schema_id: str
+    prompt_text: str
+    created_at: str
+    sha256: str
+
+    @classmethod
+    def new(cls, version_id: str, schema_id: str, text: str) -> Prompt:
+        return cls(version_id, schema_id, text, _now(), sha256(text.encode()).hexdigest())
+
+    @classmethod
+    def of(cls, row: dict) -> Prompt:
+        return cls(**{f.name: row[f.name] for f in fields(cls)})
+
+    def row(self) -> dict:
+        return asdict(self)
+
+    def verified(self) -> bool:
+        return sha256(self.prompt_text.encode()).hexdigest() == self.sha256
+
+
+@dataclass(frozen=True)
+class Job:
+    """A classification job as its row has it."""
+
+    job_id: str
+    project_id: str
+    schema_id: str
+    prompt_version_id: str
+    provider: str
+    model: str
+    temperature: float = 0.0
+    sample_size: int = 0
+    started_at: str = ""
+    finished_at: str | None = None
+    status: str = "running"
+    n_processed: int = 0
+    n_errors: int = 0
+    prompt_tokens: int = 0
+    candidates_tokens: int = 0
+    estimated_cost_usd: float = 0.0
+
+    @classmethod
+    def of(cls, row: dict) -> Job:
+        return cls(**{f.name: row[f.name] for f in fields(cls) if row.get(f.name) is not None})
+
+    def row(self) -> dict:
+        return asdict(self)
+
+    def finished(self, status: str = "success", **counts) -> Job:
+        if status not in FINAL:
+            raise ValueError(f"no final status: {status!r}")
+        return replace(self, status=status, finished_at=_now(), **counts)
+
+
+# Fixed value: how a job can end.
+FINAL = ("success", "failed", "cancelled")
+
+
+def to_flat(articles: DataFrame) -> DataFrame:
+    """Articles as flat rows: keywords joined by a comma and a space, empty text for what is missing."""
+    empty = {c: "" for c in ("publisher", "body_internal", "body_excerpt", "url", "cleaned_at")}
+    return articles.withColumn("keywords", F.coalesce(F.array_join("keywords", ", "), F.lit(""))).na.fill(empty).withColumn("raw_json", F.coalesce(F.nullif("raw_json", F.lit("")), F.lit("{}")))
+
+
+def from_flat(rows: DataFrame) -> DataFrame:
+    """The other way round: keywords cut at commas, empty ones left out; empty raw JSON is an empty object."""
+    return to_flat(rows.withColumn("keywords", t.keywords(F.col("keywords")))).withColumn("keywords", t.keywords(F.col("keywords")))
+
+
 @dataclass(frozen=True)
 class IngestParams:
     project_id: str
@@ -88,10 +162,10 @@ class IngestParams:
     columns: dict[str, str] | None = None
 
 
-#: Readers by source name: (spark, params) -> articles of any date.
-SOURCES: dict[str, Callable[[SparkSession, IngestParams], DataFrame]] = {
-    "csv": lambda spark, p: files.read_csv(spark, p.input_path, p.columns),
-    "archive": lambda spark, p: files.read_xlsx(spark, p.input_path, p.columns),
+#: Readers by source name: (spark, params, seen) -> articles of any date; ``seen`` gets how many rows there were before any filter.
+SOURCES: dict[str, Callable[[SparkSession, IngestParams, Observation], DataFrame]] = {
+    "csv": lambda spark, p, seen: files.read_csv(spark, p.input_path, p.columns, seen),
+    "archive": lambda spark, p, seen: files.read_xlsx(spark, p.input_path, p.columns, seen),
     "news_search": files.read_news_api,
     "blog_search": files.read_news_api,
 }
@@ -178,7 +252,7 @@ class Projects:
         self.put("projects", project_id=project_id, name=name, description=description, created_at=_now(), updated_at=_now(), schema_version=SCHEMA_VERSION)
 
     def put_prompt(self, version_id: str, schema_id: str, text: str) -> None:
-        self.put("prompt_versions", version_id=version_id, schema_id=schema_id, prompt_text=text, created_at=_now(), sha256=sha256(text.encode()).hexdigest())
+        self.put("prompt_versions", **Prompt.new(version_id, schema_id, text).row())
 
     def _generation(self, project_id: str) -> int:
         """The newest complete generation of a project's articles; 0 where there is none."""
@@ -206,17 +280,19 @@ class Projects:
         try:
             if params.source not in SOURCES:
                 raise ValueError(f"no source {params.source!r}")
-            read = SOURCES[params.source](self.spark, params)
-            raw, wanted = read.count(), files.in_range(read, params.date_from, params.date_to)
-            in_range, stored = wanted.count(), self.articles(params.project_id)
-            before, last = stored.count(), stored.agg(F.coalesce(F.max("ingest_seq"), F.lit(-1))).head()[0]
-            rows = wanted.withColumns({
+            stored, (seen, wanted, written) = self.articles(params.project_id), (Observation(x) for x in ("seen", "wanted", "written"))
+            # All three counts come from the one pass that writes.
+            read = files.in_range(SOURCES[params.source](self.spark, params, seen), params.date_from, params.date_to)
+            read = read.observe(wanted, F.count(F.lit(1)).alias("n"))
+            last = stored.agg(F.coalesce(F.max("ingest_seq"), F.lit(-1))).head()[0]
+            rows = read.withColumns({
                 "project_id": F.lit(params.project_id), "ingest_run_id": F.lit(run_id), "cleaned_at": F.lit(None).cast("string"),
                 "is_active": F.lit(True), "ingest_seq": F.monotonically_increasing_id() + last + 1,
             }).select(*stored.columns)
             path = self._generation_path(params.project_id, max(1, self._generation(params.project_id)))
-            store.first_write(rows, stored, ["article_id"], ["ingest_seq"]).write.mode("append").parquet(path)
-            done = {"raw_count": raw, "in_range_count": in_range, "inserted_count": self.articles(params.project_id).count() - before}
+            new = store.first_write(rows, stored, ["article_id"], ["ingest_seq"])
+            new.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+            done = {"raw_count": seen.get["raw"], "in_range_count": wanted.get["n"], "inserted_count": written.get["n"]}
             self.put(log, run_id=run_id, status="success", finished_at=_now(), **done)
         except Exception as failed:
             self.put(log, run_id=run_id, status="failed", finished_at=_now(), error=str(failed)[:1000])
@@ -256,18 +332,18 @@ class Projects:
             model=model, temperature=temperature, sample_size=sample_size, started_at=_now(), status="running",
         )
         prompt = self.get("prompt_versions", prompt_version_id)
-        if sha256(prompt["prompt_text"].encode()).hexdigest() != prompt["sha256"]:
+        if not Prompt.of(prompt).verified():
             raise ValueError(f"the text of prompt {prompt_version_id} has changed")
         sample, status = store.sample_first(self.articles(project_id, active_only=True), sample_size), "failed"
         try:
-            status = classify(self.spark, sample, f"{self.root}/llm_results/{job_id}", job_id, provider, slots, prompt["prompt_text"], **options)
+            status = classify(self.spark, sample, f"{self.root}/llm_results/{job_id}", job_id, provider, slots, prompt["prompt_text"], model=model, **options)
         finally:
             self.finish_job(job_id, model, status)
         return job_id
 
     def finish_job(self, job_id: str, model: str, status: str) -> None:
         """Sums up a job's results in its row."""
-        if status not in ("success", "failed", "cancelled"):
+        if status not in FINAL:
             raise ValueError(f"no final status: {status!r}")
         counts = {}
         if "_SUCCESS" in self._list(f"llm_results/{job_id}"):
@@ -279,24 +355,22 @@ class Projects:
     def analyse(self, project_id: str, job_id: str | None = None, output: str | None = None) -> Analysis:
         """All analyses that project and job allow; with ``output``, articles and results are exported there and logged."""
         every = self.articles(project_id)
-        live = every.filter("is_active")
-        month = t.month_of(F.col("date"))
+        results = self.results(job_id) if job_id else None
+        sets = clean.cut_lineage(analyze.analysis_sets(every, results))
+        by_count = lambda part: analyze.of_part(sets, part, "value").orderBy(F.desc("n"), "value")
+        by_period = lambda part: analyze.of_part(sets, part, "period").orderBy("period")
         found = {
-            "descriptive": analyze.descriptive(every), "publishers": analyze.group_counts(live, "publisher"), "sources": analyze.group_counts(live, "source"),
-            "keywords": analyze.keyword_counts(live, F.col("keywords")), "monthly": analyze.period_counts(live, month),
-            "weekly": analyze.period_counts(live, t.week_of(F.col("date"))),
+            "descriptive": analyze.descriptive_of(sets), "publishers": by_count("publisher"), "sources": by_count("source"),
+            "keywords": analyze.keyword_counts(every.filter("is_active"), F.col("keywords")), "monthly": by_period("month"), "weekly": by_period("week"),
         }
         if job_id:
-            labelled = self.results(job_id).filter("success").select("article_id", "label").join(live.select("article_id", "date", "publisher"), "article_id")
-            label = t.or_unknown(F.col("label"))
-            found["labels_monthly"] = analyze.label_periods(labelled, month, live)
-            found["by_publisher"] = analyze.cross_tab(labelled, label, t.or_unknown(F.col("publisher")))
-            found["by_month"] = analyze.cross_tab(labelled, label, t.or_unknown(month))
+            found["labels_monthly"] = analyze.label_periods_of(sets)
+            found["by_publisher"], found["by_month"] = (analyze.label_tab_of(sets, c) for c in ("publisher", "month"))
         if output:
             exports.export_articles_parquet(every, f"{output}/articles.parquet")
             self.log_artifact(project_id, "articles", f"{output}/articles.parquet")
             if job_id:
-                exports.export_results_csv(self.results(job_id), every, job_id, f"{output}/results.csv")
+                exports.export_results_csv(results, every, job_id, f"{output}/results.csv")
                 self.log_artifact(project_id, "results", f"{output}/results.csv")
         return Analysis(**found)
 

@@ -32,6 +32,16 @@ def pending(sample: DataFrame, results: DataFrame, job_id: str) -> DataFrame:
     return sample.join(done, "article_id", "left_anti")
 
 
+def surviving(articles: DataFrame, kept: DataFrame) -> DataFrame:
+    """The articles whose article_id is among those kept; each once, however often ``kept`` has it."""
+    return articles.join(kept.select("article_id"), "article_id", "left_semi")
+
+
+def with_verified(texts: DataFrame, text: str = "prompt_text", sha256: str = "sha256") -> DataFrame:
+    """Adds ``verified``: whether the stored hash is that of the text; without either it is not."""
+    return texts.withColumn("verified", F.coalesce(F.sha2(F.col(text).cast("binary"), 256) == F.col(sha256), F.lit(False)))
+
+
 def sample_first(articles: DataFrame, n: int) -> DataFrame:
     ordered = articles.orderBy("date", "article_id")
     return ordered.limit(n) if n else ordered

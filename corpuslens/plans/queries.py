@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import text as t
 from corpuslens.operators import analyze, clean, stats, store
-from corpuslens.sources import files
+from corpuslens.sources import archive, files
+from corpuslens.sources.shared import shared_folder
 
 _FOUND: dict = {}
 _SQL: dict[str, str] = {}
@@ -178,21 +179,29 @@ def weekly_counts(spark, sf_dir):
     return analyze.period_counts(_table(spark, sf_dir, "orders"), t.week_of(date))
 
 
-_DENSE = "counts AS (SELECT {row} AS row_label, {col} AS col_label, count(*) AS n FROM results r JOIN articles a USING (article_id) GROUP BY 1, 2) SELECT r.row_label, c.col_label, coalesce(n, 0) AS n FROM (SELECT DISTINCT row_label FROM counts) r CROSS JOIN (SELECT DISTINCT col_label FROM counts) c LEFT JOIN counts USING (row_label, col_label)"
+_DENSE = "counts AS (SELECT {row} AS row_label, {col} AS col_label, count(*) AS n FROM results r JOIN articles a USING (article_id) WHERE is_active GROUP BY 1, 2) SELECT r.row_label, c.col_label, coalesce(n, 0) AS n FROM (SELECT DISTINCT row_label FROM counts) r CROSS JOIN (SELECT DISTINCT col_label FROM counts) c LEFT JOIN counts USING (row_label, col_label)"
 
 
 def _labelled(spark, sf_dir):
-    return results(spark, sf_dir).join(articles(spark, sf_dir), "article_id")
+    return analyze.labelled(results(spark, sf_dir), _dated(articles(spark, sf_dir)))
 
 
-@query(f"WITH {ARTICLES}, {RESULTS}, " + _DENSE.format(row="coalesce(nullif(label, ''), 'unknown')", col="substr(date, 1, 7)"))
+def _dated(rows: DataFrame) -> DataFrame:
+    """Every thirteenth article has no date."""
+    return rows.withColumn("date", F.when(F.col("ingest_seq") % 13 != 0, F.col("date")))
+
+
+_DATED = ARTICLES.replace("strftime(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER), '%Y-%m-%d') AS date", "CASE WHEN doc_id % 13 <> 0 THEN strftime(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER), '%Y-%m-%d') END AS date")
+
+
+@query(f"WITH {_DATED}, {RESULTS}, " + _DENSE.format(row="coalesce(nullif(label, ''), 'unknown')", col="coalesce(nullif(substr(date, 1, 7), ''), 'unknown')"))
 def crosstab_month(spark, sf_dir):
-    return analyze.cross_tab(_labelled(spark, sf_dir), t.or_unknown(F.col("label")), t.month_of(F.col("date")))
+    return analyze.label_tab(_labelled(spark, sf_dir), "month")
 
 
 @query(f"WITH {ARTICLES}, {RESULTS}, " + _DENSE.format(row="coalesce(nullif(label, ''), 'unknown')", col="coalesce(nullif(publisher, ''), 'unknown')"))
 def crosstab_publisher(spark, sf_dir):
-    return analyze.cross_tab(_labelled(spark, sf_dir), t.or_unknown(F.col("label")), t.or_unknown(F.col("publisher")))
+    return analyze.label_tab(_labelled(spark, sf_dir), "publisher")
 
 
 @query(f"WITH {ARTICLES}, {RESULTS} SELECT article_id, date, publisher, title, body_excerpt, label, confidence, rationale, called_at FROM results JOIN articles USING (article_id) WHERE success AND is_active")
@@ -210,10 +219,11 @@ def pending_anti(spark, sf_dir):
     return store.pending(articles(spark, sf_dir), results(spark, sf_dir), "j1").select("article_id")
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+@query(f"WITH {ARTICLES}, {RESULTS} SELECT article_id, title FROM articles WHERE article_id IN (SELECT article_id FROM results WHERE label = 'relevant')")
 def kept_semi(spark, sf_dir):
-    kept = _table(spark, sf_dir, "labels").filter("quality = 1")
-    return _table(spark, sf_dir, "documents").join(kept, "doc_id", "left_semi").select("doc_id", "n_chars")
+    """Articles with a result that keeps them, from all calls of the job: some articles were called twice."""
+    kept = attempts(spark, sf_dir).filter("label = 'relevant'")
+    return store.surviving(articles(spark, sf_dir), kept).select("article_id", "title")
 
 
 def _raters(spark, sf_dir):
@@ -235,9 +245,9 @@ def agreement_per_label(spark, sf_dir):
     return analyze.agreement_by_label(_raters(spark, sf_dir))
 
 
-@query("SELECT count(DISTINCT doc_id) AS n FROM labels")
+@query(f"WITH {ARTICLES}, {RESULTS} SELECT count(DISTINCT article_id) AS n FROM results JOIN articles USING (article_id) WHERE is_active")
 def distinct_classified(spark, sf_dir):
-    return _table(spark, sf_dir, "labels").agg(F.countDistinct("doc_id").alias("n"))
+    return analyze.classified(attempts(spark, sf_dir), articles(spark, sf_dir).filter("is_active"))
 
 
 @query(f"WITH {ARTICLES} SELECT article_id, date FROM articles ORDER BY date, article_id LIMIT 25")
@@ -253,17 +263,27 @@ def recent_activity(spark, sf_dir):
     return store.recent_activity(events, orders)
 
 
-_REPLIES = """CASE (conv_id + turn) % 10 WHEN 0 THEN concat('{"label": "yes", "confidence": 0.25, "rationale": "r', conv_id, '"}')
+_REPLIES = """CASE (conv_id + turn) % 16 WHEN 0 THEN concat('{"label": "yes", "confidence": 0.25, "rationale": "r', conv_id, '"}')
  WHEN 1 THEN concat('Sure: {"category": "no", "confidence": "0.5", "reason": ""} done') WHEN 2 THEN concat(' plain ', conv_id, chr(10), 'more') WHEN 3 THEN '{broken'
  WHEN 4 THEN '{"foo": 1}' WHEN 5 THEN '{}' WHEN 6 THEN '{"label": null}' WHEN 7 THEN concat('{"label": "x", "confidence": "abc"}', chr(10), 'y') WHEN 8 THEN '{"label": 5, "confidence": null}'
- ELSE concat(chr(10), '{"label": "a"} {"label": "b"}') END"""
+ WHEN 9 THEN concat(chr(10), '{"label": "a"} {"label": "b"}') WHEN 10 THEN '{"label": 0, "category": "c"}' WHEN 11 THEN '{"label": true, "confidence": 1}'
+ WHEN 12 THEN '{"label": "x", "confidence": true}' WHEN 13 THEN '{"label": [], "classification": {}, "category": "k", "rationale": false, "reason": 0.5}'
+ WHEN 14 THEN '{"label": "x", "confidence": [1]}' ELSE '{"label": false, "confidence": "0.25", "explanation": "e"}' END"""
+
+
+def _truthy(name: str) -> str:
+    """A JSON value as text, null where it is null, false, zero or empty."""
+    kind, raw = f"json_type(good, '$.{name}')", f"json_extract_string(good, '$.{name}')"
+    return f"CASE WHEN {kind} = 'BOOLEAN' THEN CASE WHEN {raw} = 'true' THEN 'True' END WHEN {kind} IN ('ARRAY', 'OBJECT') THEN nullif(nullif({raw}, '[]'), '{{}}') WHEN {kind} = 'VARCHAR' THEN nullif({raw}, '') WHEN TRY_CAST({raw} AS DOUBLE) <> 0 THEN {raw} END"
 
 
-@query(f"""WITH x AS (SELECT conv_id, turn, (conv_id + turn) % 10 AS kind, {_REPLIES} AS reply FROM conversations),
+@query(f"""WITH x AS (SELECT conv_id, turn, (conv_id + turn) % 16 AS kind, {_REPLIES} AS reply FROM conversations),
  y AS (SELECT *, trim(string_split(trim(reply, chr(10) || ' '), chr(10))[1]) AS line, CASE WHEN kind NOT IN (2, 3, 9) THEN substr(reply, strpos(reply, '{{'), length(reply) - strpos(reverse(reply), '}}') + 2 - strpos(reply, '{{')) END AS j FROM x),
- z AS (SELECT *, CASE WHEN j IS NOT NULL AND (json_extract_string(j, '$.confidence') IS NULL OR TRY_CAST(json_extract_string(j, '$.confidence') AS DOUBLE) IS NOT NULL) THEN j END AS good FROM y)
- SELECT conv_id, turn, CASE WHEN good IS NULL THEN line ELSE coalesce(nullif(json_extract_string(good, '$.label'), ''), nullif(json_extract_string(good, '$.category'), '')) END AS label,
- TRY_CAST(json_extract_string(good, '$.confidence') AS DOUBLE) AS confidence, coalesce(nullif(json_extract_string(good, '$.rationale'), ''), nullif(json_extract_string(good, '$.reason'), '')) AS rationale FROM z""")
+ n AS (SELECT *, coalesce(json_type(j, '$.confidence'), 'NULL') AS ckind, CASE WHEN json_type(j, '$.confidence') = 'BOOLEAN' THEN CASE WHEN json_extract_string(j, '$.confidence') = 'true' THEN 1.0 ELSE 0.0 END
+  ELSE TRY_CAST(json_extract_string(j, '$.confidence') AS DOUBLE) END AS c FROM y),
+ z AS (SELECT *, CASE WHEN j IS NOT NULL AND (ckind = 'NULL' OR c IS NOT NULL) THEN j END AS good FROM n)
+ SELECT conv_id, turn, CASE WHEN good IS NULL THEN line ELSE coalesce({_truthy('label')}, {_truthy('classification')}, {_truthy('category')}) END AS label,
+ CASE WHEN good IS NOT NULL THEN CAST(c AS DOUBLE) END AS confidence, CASE WHEN good IS NOT NULL THEN coalesce({_truthy('rationale')}, {_truthy('reason')}, {_truthy('explanation')}) END AS rationale FROM z""")
 def parse_response(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations").withColumn("x", t.parse_reply(F.expr(_REPLIES)))
     return rows.select("conv_id", "turn", "x.label", "x.confidence", "x.rationale")
@@ -298,12 +318,23 @@ def quota_window(spark, sf_dir):
     return analyze.quota_use(calls).select("call_id", "slot", "in_window", "tokens_in_window")
 
 
-@query("""SELECT round(avg(value) FILTER (t = 1 AND p = 1) - avg(value) FILTER (t = 1 AND p = 0) - avg(value) FILTER (t = 0 AND p = 1) + avg(value) FILTER (t = 0 AND p = 0), 6) AS coefficient, count(*) AS n
- FROM (SELECT value, user_id % 2 AS t, CASE WHEN ts >= TIMESTAMP '2024-01-16' THEN 1 ELSE 0 END AS p FROM events WHERE value IS NOT NULL)""")
+def _t_test(t: str, freedom: str) -> str:
+    """Two-sided p of a t-distributed number, by Simpson's rule over its density from 0 to |t|."""
+    step = f"least(abs({t}), 40.0) / 2000"
+    density = f"exp(lgamma(({freedom} + 1) / 2.0) - lgamma({freedom} / 2.0)) / sqrt({freedom} * pi()) * pow(1 + pow(i * {step}, 2) / {freedom}, -({freedom} + 1) / 2.0)"
+    return f"1 - 2 * {step} / 3 * list_sum(list_transform(range(2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {density}))"
+
+
+@query(f"""WITH x AS (SELECT value AS y, user_id % 2 AS t, CASE WHEN ts >= TIMESTAMP '2024-01-16' THEN 1 ELSE 0 END AS p FROM events WHERE value IS NOT NULL),
+ c AS (SELECT t, p, avg(y) AS m, count(*) AS n, var_pop(y) * count(*) AS s FROM x GROUP BY t, p),
+ f AS (SELECT sum(m * CASE WHEN t = p THEN 1 ELSE -1 END) AS b, sum(s) AS left_, CAST(sum(n) AS BIGINT) AS n, sum(1.0 / n) AS inv FROM c),
+ e AS (SELECT b, n, left_, b / sqrt(left_ / (n - 4) * inv) AS t FROM f)
+ SELECT round(b, 6) AS coefficient, round({_t_test('t', '(n - 4)')}, 6) AS p_value, round(1 - left_ / (SELECT var_pop(y) * count(*) FROM x), 6) AS r_squared, n, CAST(4 AS BIGINT) AS rank FROM e""")
 def did_cell(spark, sf_dir):
     rows = _table(spark, sf_dir, "events").select("value", (F.col("user_id") % 2).alias("t"), F.when(F.col("ts") >= F.expr("TIMESTAMP_NTZ '2024-01-16'"), 1).otherwise(0).alias("p"))
     found = stats.run_did(rows, "value", "t", "p").summary
-    return spark.createDataFrame([(round(found["coefficient"], 6), found["n"])], "coefficient double, n long")
+    shown = [round(found[k], 6) for k in ("coefficient", "p_value", "r_squared")]
+    return spark.createDataFrame([(*shown, found["n"], found["rank"])], "coefficient double, p_value double, r_squared double, n long, rank long")
 
 
 def _daily(spark, sf_dir):
@@ -311,24 +342,54 @@ def _daily(spark, sf_dir):
     return _table(spark, sf_dir, "events").groupBy(day.alias("day")).agg(F.count("*").alias("n")).withColumn("after", (F.col("day") >= "2024-01-16").cast("int"))
 
 
-@query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1), i AS (SELECT n, row_number() OVER (ORDER BY day) - 1 AS i, day >= DATE '2024-01-16' AS after FROM d)
- SELECT round(regr_slope(n, i) FILTER (after) - regr_slope(n, i) FILTER (NOT after), 4) AS slope_change, round(regr_intercept(n, i) FILTER (after) - regr_intercept(n, i) FILTER (NOT after), 4) AS level_change, count(*) AS n FROM i""")
+@query(f"""WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS y FROM events GROUP BY 1), i AS (SELECT y, row_number() OVER (ORDER BY day) - 1 AS i, day >= DATE '2024-01-16' AS after FROM d),
+ h AS (SELECT after, count(*) AS m, avg(i) AS mi, var_pop(i) * count(*) AS sxx, regr_slope(y, i) AS b, regr_intercept(y, i) AS a, regr_syy(y, i) - pow(regr_sxy(y, i), 2) / regr_sxx(y, i) AS s FROM i GROUP BY after),
+ f AS (SELECT sum(CASE WHEN after THEN a ELSE -a END) AS level, sum(CASE WHEN after THEN b ELSE -b END) AS slope, sum(s) AS s, CAST(sum(m) AS BIGINT) AS n, sum(1.0 / m + mi * mi / sxx) AS level_v, sum(1 / sxx) AS slope_v FROM h),
+ e AS (SELECT *, level / sqrt(s / (n - 4) * level_v) AS level_t, slope / sqrt(s / (n - 4) * slope_v) AS slope_t FROM f)
+ SELECT round(level, 4) AS level_change, round({_t_test('level_t', '(n - 4)')}, 6) AS level_p, round(slope, 4) AS slope_change, round({_t_test('slope_t', '(n - 4)')}, 6) AS slope_p,
+ round(1 - s / (SELECT var_pop(y) * count(*) FROM i), 6) AS r_squared, n, CAST(4 AS BIGINT) AS rank FROM e""")
 def its_series(spark, sf_dir):
     found = stats.run_its(_daily(spark, sf_dir), "n", "day", "after").summary
-    return spark.createDataFrame([(round(found["slope_change"], 4), round(found["level_change"], 4), found["n"])], "slope_change double, level_change double, n long")
-
-
-@query()
+    places = {"level_change": 4, "level_p": 6, "slope_change": 4, "slope_p": 6, "r_squared": 6}
+    shown = [round(found[k], n) for k, n in places.items()]
+    return spark.createDataFrame([(*shown, found["n"], found["rank"])], ", ".join(f"{k} double" for k in places) + ", n long, rank long")
+
+
+@query("""WITH RECURSIVE d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS y FROM events GROUP BY 1),
+ x AS (SELECT CAST(y AS DOUBLE) AS y, CASE WHEN day >= DATE '2024-01-16' THEN 1.0 ELSE 0.0 END AS a, CASE WHEN dayofweek(day) IN (0, 6) THEN 1.0 ELSE 0.0 END AS w FROM d),
+ cells AS (SELECT a, w, CAST(count(*) AS DOUBLE) AS n, sum(y) AS s FROM x GROUP BY a, w),
+ rounds(k, b0, b1, b2) AS (
+  SELECT 0, ln((SELECT avg(y) FROM x)), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
+  UNION ALL
+  SELECT k + 1, b0 + (u0 * (g11 * g22 - g12 * g12) - u1 * (g01 * g22 - g12 * g02) + u2 * (g01 * g12 - g11 * g02)) / det,
+   b1 + (-u0 * (g01 * g22 - g02 * g12) + u1 * (g00 * g22 - g02 * g02) - u2 * (g00 * g12 - g01 * g02)) / det,
+   b2 + (u0 * (g01 * g12 - g02 * g11) - u1 * (g00 * g12 - g02 * g01) + u2 * (g00 * g11 - g01 * g01)) / det
+  FROM (SELECT *, g00 * (g11 * g22 - g12 * g12) - g01 * (g01 * g22 - g12 * g02) + g02 * (g01 * g12 - g11 * g02) AS det
+   FROM (SELECT k, b0, b1, b2, sum(n * mu) AS g00, sum(n * mu * a) AS g01, sum(n * mu * w) AS g02, sum(n * mu * a) AS g11, sum(n * mu * a * w) AS g12, sum(n * mu * w) AS g22,
+     sum(s - n * mu) AS u0, sum((s - n * mu) * a) AS u1, sum((s - n * mu) * w) AS u2
+    FROM (SELECT k, b0, b1, b2, a, w, n, s, exp(b0 + b1 * a + b2 * w) AS mu FROM rounds, cells WHERE k < 30) GROUP BY k, b0, b1, b2))),
+ last AS (SELECT * FROM rounds WHERE k = 30),
+ g AS (SELECT b0, b1, b2, sum(n * mu) AS g00, sum(n * mu * a) AS g01, sum(n * mu * w) AS g02, sum(n * mu * a * w) AS g12 FROM (SELECT *, exp(b0 + b1 * a + b2 * w) AS mu FROM last, cells) GROUP BY b0, b1, b2),
+ v AS (SELECT *, g00 * (g01 * g02 - g12 * g12) - g01 * (g01 * g02 - g12 * g02) + g02 * (g01 * g12 - g01 * g02) AS det FROM g),
+ z AS (SELECT *, abs(b0) / sqrt((g01 * g02 - g12 * g12) / det) AS z0, abs(b1) / sqrt((g00 * g02 - g02 * g02) / det) AS z1, abs(b2) / sqrt((g00 * g01 - g01 * g01) / det) AS z2 FROM v),
+ p AS (SELECT *, 2 * (SELECT sum(y * (b0 + b1 * a + b2 * w) - exp(b0 + b1 * a + b2 * w) - lgamma(y + 1)) FROM x) AS twice FROM z),
+ normal AS (SELECT z, 1 - 2 * least(z, 12.0) / 6000 * list_sum(list_transform(range(2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(i * least(z, 12.0) / 2000, 2) / 2) / sqrt(2 * pi()))) AS p
+  FROM (SELECT unnest([z0, z1, z2]) AS z FROM z))
+ SELECT round(b1, 6) AS after_, round(b2, 6) AS weekend, round(b0, 6) AS intercept, round((SELECT p FROM normal WHERE z = z1 LIMIT 1), 6) AS p_after, round((SELECT p FROM normal WHERE z = z2 LIMIT 1), 6) AS p_weekend,
+  round((SELECT p FROM normal WHERE z = z0 LIMIT 1), 6) AS p_intercept, round(6 - twice, 4) AS aic, (SELECT count(*) FROM x) AS n, false AS separated FROM p""")
 def ppml(spark, sf_dir):
     rows = _daily(spark, sf_dir).withColumn("weekend", (F.dayofweek("day").isin(1, 7)).cast("int"))
     found = stats.run_ppml(rows, "n", ["after", "weekend"]).summary
-    return spark.createDataFrame([(k, float(v) if v is not None else None) for k, v in found.items()], "name string, value double")
+    places = {"after": 6, "weekend": 6, "intercept": 6, "p_after": 6, "p_weekend": 6, "p_intercept": 6, "aic": 4}
+    shown = [round(found[k], n) for k, n in places.items()]
+    kinds = ", ".join(f"{k}{'_' if k == 'after' else ''} double" for k in places)
+    return spark.createDataFrame([(*shown, found["n"], found["separated"])], f"{kinds}, n long, separated boolean")
 
 
-@query("SELECT doc_id, doc_id % 3 <> 0 AS verified FROM documents")
+@query("SELECT doc_id, text IS NOT NULL AND doc_id % 3 <> 0 AS verified FROM documents")
 def prompt_verify(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").withColumn("sha256", F.when(F.col("doc_id") % 3 != 0, F.sha2("text", 256)).otherwise("stale"))
-    return docs.select("doc_id", (F.sha2("text", 256) == F.col("sha256")).alias("verified"))
+    return store.with_verified(docs, "text").select("doc_id", "verified")
 
 
 @query("SELECT 'f' || CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 5 = 0 THEN 'missing' ELSE 'mismatch' END AS problem FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0")
@@ -353,11 +414,11 @@ def upsert_latest(spark, sf_dir):
     return merged.withColumn("updated_at", F.col("updated_at.ts"))
 
 
-@query(f"""WITH {ARTICLES}, {RESULTS}, c AS (SELECT substr(date, 1, 7) AS period, coalesce(nullif(label, ''), 'unknown') AS label, count(*) AS n
- FROM results JOIN articles USING (article_id) GROUP BY 1, 2), every AS (SELECT * FROM (SELECT DISTINCT substr(date, 1, 7) AS period FROM articles), (SELECT DISTINCT label FROM c))
- SELECT period, label, coalesce(n, 0) AS n FROM every LEFT JOIN c USING (period, label)""")
+@query(f"""WITH {_DATED}, {RESULTS}, c AS (SELECT substr(date, 1, 7) AS period, coalesce(nullif(label, ''), 'unknown') AS label, count(*) AS n
+ FROM results JOIN articles USING (article_id) WHERE is_active GROUP BY 1, 2), every AS (SELECT * FROM (SELECT DISTINCT substr(date, 1, 7) AS period FROM articles), (SELECT DISTINCT label FROM c))
+ SELECT e.period, e.label, coalesce(n, 0) AS n FROM every e LEFT JOIN c ON e.period IS NOT DISTINCT FROM c.period AND e.label = c.label""")
 def label_months(spark, sf_dir):
-    return analyze.label_periods(_labelled(spark, sf_dir), t.month_of(F.col("date")), articles(spark, sf_dir))
+    return analyze.label_periods(_labelled(spark, sf_dir), t.month_of(F.col("date")), _dated(articles(spark, sf_dir)))
 
 
 _RAW_DATE = "CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN replace({d}, '-', '/') WHEN 2 THEN replace({d}, '-', '') WHEN 3 THEN concat(' ', {d}) ELSE 'n.d.' END"
@@ -385,11 +446,12 @@ def keyword_parse(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(t.keywords(joined), "|").alias("words"))
 
 
-@query("SELECT event_id, strftime(date_trunc('day', ts - INTERVAL 8 HOUR) + INTERVAL 32 HOUR, '%Y-%m-%d %H:%M:%S') AS resets FROM events")
+@query("""WITH x AS (SELECT event_id, ts + CASE WHEN event_id % 2 = 0 THEN INTERVAL 0 DAY ELSE INTERVAL 182 DAY END AS ts, CASE WHEN event_id % 2 = 0 THEN 8 ELSE 7 END AS behind FROM events)
+ SELECT event_id, strftime(date_trunc('day', ts - behind * INTERVAL 1 HOUR) + (24 + behind) * INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS resets FROM x""")
 def quota_resets(spark, sf_dir):
-    """The events are of one winter month, in which the zone is eight hours behind."""
-    resets = t.next_reset(F.col("ts").cast("timestamp"))
-    return _table(spark, sf_dir, "events").select("event_id", F.date_format(resets, "yyyy-MM-dd HH:mm:ss").alias("resets"))
+    """The events are of one January, in which the zone is eight hours behind; every other one is moved to July: seven hours."""
+    events = _table(spark, sf_dir, "events").select("event_id", (F.col("ts") + F.expr("CASE WHEN event_id % 2 = 0 THEN INTERVAL '0' DAY ELSE INTERVAL '182' DAY END")).cast("timestamp").alias("ts"))
+    return events.select("event_id", F.date_format(t.next_reset(F.col("ts")), "yyyy-MM-dd HH:mm:ss").alias("resets"))
 
 
 _ANSWERS = """CASE WHEN turn % 3 = 2 THEN '{"candidates": []}' ELSE concat('{"candidates": [{"content": {"parts": [{"text": "t', conv_id, '"}]}}], "usageMetadata": {"promptTokenCount": ', turn, '}}') END"""
@@ -421,6 +483,52 @@ def project_counts(spark, sf_dir):
     return analyze.overview(found, results(spark, sf_dir))
 
 
+def _part(name: str, value: str, rows: str = "r", label: str = "CAST(NULL AS VARCHAR)", keep: str = "true") -> str:
+    return f"SELECT '{name}' AS part, CAST({value} AS VARCHAR) AS value, {label} AS label, count(*) AS total, count(*) FILTER (is_active) AS n, count(*) FILTER (is_active AND has) AS n_labelled FROM {rows} WHERE {keep} GROUP BY ALL"
+
+
+@query(f"""WITH {_DATED}, {RESULTS}, r AS (SELECT a.*, x.article_id IS NOT NULL AS has, CASE WHEN x.article_id IS NOT NULL THEN coalesce(nullif(label, ''), 'unknown') END AS l, coalesce(nullif(publisher, ''), 'unknown') AS p,
+ substr(date, 1, 7) AS m, strftime(TRY_CAST(date AS DATE), '%Y-W%W') AS w FROM articles a LEFT JOIN results x ON a.article_id = x.article_id)
+ """ + " UNION ALL ".join([_part("all", "NULL"), _part("publisher", "p"), _part("source", "coalesce(nullif(source, ''), 'unknown')"), _part("month", "m"), _part("week", "w"),
+ _part("size", "length(body_internal)"), _part("label_month", "m", label="l"), _part("label_publisher", "p", label="l")]))
+def analysis_sets(spark, sf_dir):
+    found = analyze.analysis_sets(_dated(articles(spark, sf_dir)), results(spark, sf_dir))
+    return found.select("part", "value", "label", "total", "n", "n_labelled")
+
+
+@query(f"""WITH {ARTICLES} SELECT date, publisher, {_STRIP.format('title')} AS title, length({_STRIP.format('body_internal')}) AS n FROM articles
+ WHERE date BETWEEN '2024-03-01' AND '2024-06-30' AND {_STRIP.format('title')} <> ''""")
+def archive_scan(spark, sf_dir):
+    """The articles as spreadsheets that tasks write, and read again by the data source, which compares the dates."""
+    archive.register(spark)
+    folder = shared_folder(spark, "archive")
+    rows = articles(spark, sf_dir).select(F.col("article_id").alias("news_id"), "date", "publisher", "title", F.col("body_internal").alias("body"))
+    rows.write.format("news_archive").mode("overwrite").save(folder)
+    found = files.read_archive(spark, folder, date_from="2024-03-01", date_to="2024-06-30")
+    return found.select("date", "publisher", "title", F.length(t.strip(F.col("body_internal"))).cast("long").alias("n"))
+
+
+@query(f"""WITH {ARTICLES} SELECT date, publisher, {_STRIP.format('title')} AS title, sha256({_STRIP.format('body_internal')}) AS body FROM articles WHERE {_STRIP.format('title')} <> ''""")
+def csv_scan(spark, sf_dir):
+    """The articles as CSV files, their texts with line ends and quotes, read in ranges of bytes."""
+    folder = shared_folder(spark, "csv")
+    rows = articles(spark, sf_dir).select("date", "publisher", "title", F.col("body_internal").alias("body"))
+    rows.write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder, mode="overwrite")
+    found = files.read_csv(spark, folder)
+    return found.select("date", "publisher", "title", F.sha2(t.strip(F.col("body_internal")), 256).alias("body"))
+
+
+@query(f"WITH RECURSIVE {ARTICLES}, candidates AS (SELECT ingest_seq AS id, date AS block, title FROM articles), {_GREEDY} SELECT id FROM greedy")
+def fuzzy_batches(spark, sf_dir):
+    """The titles in three batches by id, each against what was kept before it: the ids of one run over all."""
+    rows = _titles(spark, sf_dir)
+    bounds = [-(2**62), *rows.approxQuantile("seq", [1 / 3, 2 / 3], 0.05), 2**62]
+    titles, kept = clean.KeptTitles(spark, shared_folder(spark, "titles")), []
+    for low, high in zip(bounds[:-1], bounds[1:]):
+        kept.append(titles.add(rows.filter((F.col("seq") >= F.lit(int(low))) & (F.col("seq") < F.lit(int(high))))))
+    return kept[0].union(kept[1]).union(kept[2])
+
+
 def queries() -> dict:
     return dict(_FOUND)
 

@@ -1,7 +1,10 @@
 """Behaviour of expressions and operators on small fixtures."""
 
+import math
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as t
@@ -87,12 +90,119 @@ def test_label_periods_have_zeros(spark):
     assert analyze.label_periods(labelled, month).count() == 4 and analyze.label_periods(labelled.limit(0), month, articles).count() == 0
 
 
-def test_regressions(spark):
-    rows = [(1, 0, 0), (2, 0, 0), (2, 0, 1), (3, 0, 1), (2, 1, 0), (3, 1, 0), (5, 1, 1), (7, 1, 1)]
-    found = stats.run_did(spark.createDataFrame(rows, "y int, t int, p int"), "y", "t", "p")
-    assert abs(found.summary["coefficient"] - 2.5) < 1e-9 and found.summary["n"] == 8
-    collinear = spark.createDataFrame([(1, 1, 1), (2, 1, 1), (3, 0, 0)], "y int, t int, p int")
-    assert stats.run_did(collinear, "y", "t", "p").summary["p_value"] is None
+def by_pseudo_inverse(x, y):
+    """Coefficients, p-values by numeric integration, R squared and rank."""
+    x, y = np.column_stack([np.ones(len(y)), x]).astype(float), np.asarray(y, float)
+    inverse, rank = np.linalg.pinv(x), np.linalg.matrix_rank(x)
+    beta, freedom = inverse @ y, len(y) - rank
+    left = ((y - x @ beta) ** 2).sum()
+    t_ = beta / np.sqrt(np.diag(inverse @ inverse.T) * left / freedom)
+    grid = (np.arange(400_000) + 0.5) / 400_000  # of s in t = |t| + s / (1 - s)
+    density = lambda t: np.exp(math.lgamma((freedom + 1) / 2) - math.lgamma(freedom / 2)) / math.sqrt(freedom * math.pi) * (1 + t * t / freedom) ** (-(freedom + 1) / 2)
+    p = [2 * (density(abs(v) + grid / (1 - grid)) / (1 - grid) ** 2).mean() for v in t_]
+    return beta, p, 1 - left / ((y - y.mean()) ** 2).sum(), rank
+
+
+def test_difference_in_differences(spark):
+    rows = [(1, 0, 0), (2, 0, 0), (2, 0, 1), (3, 0, 1), (2, 1, 0), (3, 1, 0), (5, 1, 1), (7, 1, 1), (None, 1, 1)]
+    for data in (rows, [(1, 1, 1), (2, 1, 1), (3, 0, 0), (2, 0, 0)], [(1, 0.5, 2), (4, 1.5, -1), (2, 2.5, 0.5), (3, 0, 1), (9, -3, 2), (1, 1, 1)]):
+        found = stats.run_did(spark.createDataFrame([tuple(map(lambda v: None if v is None else float(v), r)) for r in data], "y double, t double, p double"), "y", "t", "p")
+        y, t_, p_ = (np.array(c, float) for c in zip(*[r for r in data if r[0] is not None]))
+        beta, p, r_squared, rank = by_pseudo_inverse(np.column_stack([t_, p_, t_ * p_]), y)
+        s = found.summary
+        assert (s["n"], s["rank"]) == (len(y), rank)
+        assert np.allclose([s["coefficient"], s["p_value"], s["r_squared"]], [beta[3], p[3], r_squared], atol=1e-6)
+        assert found.significant == (p[3] < 0.05)
+    exact = stats.run_did(spark.createDataFrame([(1.0, 0, 0), (2.0, 1, 1)], "y double, t int, p int"), "y", "t", "p")
+    assert exact.summary["rank"] == 2 and exact.summary["p_value"] is None and not exact.significant
+    with pytest.raises(ValueError, match="no complete rows"):
+        stats.run_did(spark.createDataFrame([], "y double, t int, p int"), "y", "t", "p")
+
+
+def test_interrupted_time_series(spark):
+    """Numbered by time, ties by outcome, over many ranges; a series without an intervention is collinear."""
+    rng = np.random.default_rng(1)
+    at = rng.permutation(np.repeat(np.arange(150), 2))
+    y = 3 + 0.2 * at + (at >= 90) * (4 - 0.1 * at) + rng.normal(size=300)
+    df = spark.createDataFrame([(float(v), int(a), int(a >= 90)) for v, a in zip(y, at)], "y double, at int, x int").repartition(5)
+    order = np.lexsort((y, at))
+    i, x = np.arange(300), at[order] >= 90
+    beta, p, r_squared, _ = by_pseudo_inverse(np.column_stack([i, x, i * x]), y[order])
+    s = stats.run_its(df, "y", "at", "x").summary
+    assert np.allclose([s[k] for k in ("level_change", "slope_change", "level_p", "slope_p", "r_squared")], [*beta[2:], *p[2:], r_squared], atol=1e-6)
+    flat = stats.run_its(df.withColumn("x", F.lit(0)), "y", "at", "x").summary
+    assert flat["rank"] == 2 and abs(flat["level_change"]) < 1e-9
+
+
+def test_poisson_by_scoring(spark):
+    """The gradient vanishes, errors are those of the information matrix, AIC by log-factorials; separation is named."""
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.normal(size=500), rng.integers(0, 2, 500)])
+    y = rng.poisson(np.exp(0.5 + 0.3 * x[:, 0] - 0.7 * x[:, 1]))
+    s = stats.run_ppml(spark.createDataFrame([(int(v), *map(float, r)) for v, r in zip(y, x)], "y int, a double, b double"), "y", ["a", "b"]).summary
+    beta, full = np.array([s["intercept"], s["a"], s["b"]]), np.column_stack([np.ones(500), x])
+    mu = np.exp(full @ beta)
+    assert np.abs(full.T @ (y - mu)).max() < 1e-6 and not s["separated"]
+    z = beta / np.sqrt(np.diag(np.linalg.inv(full.T @ (full * mu[:, None]))))
+    assert np.allclose([s["p_intercept"], s["p_a"], s["p_b"]], [math.erfc(abs(v) / math.sqrt(2)) for v in z], atol=1e-9)
+    assert abs(s["aic"] + 2 * sum(v * math.log(m) - m - math.lgamma(v + 1) for v, m in zip(y.tolist(), mu.tolist())) - 6) < 1e-6
+    apart = spark.createDataFrame([(0, 1), (0, 1), (3, 0), (4, 0), (2, 0)], "y int, a int")
+    found = stats.run_ppml(apart, "y", ["a"])
+    assert found.summary["separated"] and found.summary["p_a"] is None and not found.significant and abs(found.summary["intercept"] - math.log(3)) < 1e-6
+    with pytest.raises(ValueError, match="nowhere above 0"):
+        stats.run_ppml(apart.filter("y = 0"), "y", ["a"])
+
+
+def test_incomplete_beta():
+    """Known values: the uniform and the arc sine distribution, and t with one and two degrees of freedom."""
+    for x in (0.0, 0.001, 0.3, 0.5, 0.999, 1.0):
+        assert abs(stats.beta_share(x, 1, 1) - x) < 1e-12 and abs(stats.beta_share(x, 0.5, 0.5) - 2 / math.pi * math.asin(math.sqrt(x))) < 1e-12
+    for t_ in (0.0, 0.5, 3.0, 40.0):
+        assert abs(stats.t_two_sided(t_, 1) - (1 - 2 / math.pi * math.atan(t_))) < 1e-12
+        assert abs(stats.t_two_sided(t_, 2) - (1 - t_ / math.sqrt(2 + t_ * t_))) < 1e-12
+        assert abs(stats.t_two_sided(t_, 10**7) - math.erfc(t_ / math.sqrt(2))) < 1e-6
+
+
+def test_kept_titles_batch_after_batch(spark, tmp_path):
+    """Batches in order of seq keep what one run over all rows keeps; a batch that is added again after a failure is decided alike."""
+    line = "breaking news of the long day from the northern valley station {}"
+    rows = [(i, ("a", "b", None)[i % 3], i, line.format(i * 7919 % 50) if i % 4 else f"{i * 31 % 17} short {i * 57 % 23} titles") for i in range(240)]
+    rows += [(900, "a", 900, None), (901, "a", 901, " "), (902, "c", 902, line.format(7)), (903, "c", 903, line.format(7) + "!")]
+    df = spark.createDataFrame(rows, "id int, block string, seq int, title string")
+    expected = {r["id"] for r in clean.fuzzy_kept(df).collect()}
+    titles, found = clean.KeptTitles(spark, str(tmp_path)), []
+    for low, high in ((0, 100), (100, 101), (101, 230), (230, 1000)):
+        batch, n = df.filter((F.col("seq") >= low) & (F.col("seq") < high)), titles.generations()
+        kept = sorted(r["id"] for r in titles.add(batch).collect())
+        if low == 100:
+            (tmp_path / "sets" / f"generation={n}" / "_SUCCESS").unlink()  # as if it had failed
+            assert titles.generations() == n and kept == sorted(r["id"] for r in titles.add(batch).collect())
+        assert titles.generations() == n + 1
+        found += kept
+    assert sorted(found) == sorted(expected) and {900, 901, 902} <= expected and 903 not in expected
+
+
+def test_analysis_from_one_scan(spark, tmp_path):
+    """Each part equals its own query; articles without date, publisher, text or result; one scan of the articles in the plan."""
+    rows = [(str(i), (None, "", "P", "Q")[i % 4], ("s", None)[i % 2], (None, f"2024-0{i % 3 + 1}-1{i % 9}")[i % 5 > 0], "x" * (i % 7), i % 6 > 0) for i in range(60)]
+    rows += [("only", "R", "s", "2025-01-01", "y", False)]
+    spark.createDataFrame(rows, "article_id string, publisher string, source string, date string, body_internal string, is_active boolean").write.parquet(str(tmp_path / "a"))
+    articles = spark.read.parquet(str(tmp_path / "a"))
+    results = spark.createDataFrame([(str(i), ("x", "", None, "y")[i % 4]) for i in range(0, 60, 2)] + [("gone", "z")], "article_id string, label string")
+    sets = analyze.analysis_sets(articles, results)
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    live, labelled, month = articles.filter("is_active"), analyze.labelled(results, articles), t.month_of(F.col("date"))
+    same = lambda a, b: sorted(map(repr, map(tuple, a.collect()))) == sorted(map(repr, map(tuple, b.collect())))
+    for part in ("publisher", "source"):
+        assert same(analyze.of_part(sets, part, "value"), analyze.group_counts(live, part))
+    assert same(analyze.of_part(sets, "month", "period"), analyze.period_counts(live, month))
+    assert same(analyze.of_part(sets, "week", "period"), analyze.period_counts(live, t.week_of(F.col("date"))))
+    assert same(analyze.label_periods_of(sets), analyze.label_periods(labelled, month, live))
+    for column in ("publisher", "month"):
+        assert same(analyze.label_tab_of(sets, column), analyze.label_tab(labelled, column))
+    for some in (articles, articles.limit(0), articles.filter("body_internal = ''"), articles.filter("article_id = '3'")):
+        assert same(analyze.descriptive_of(analyze.analysis_sets(some)), analyze.descriptive(some))
 
 
 def test_store(spark):
@@ -132,3 +242,47 @@ def test_csv_and_package(spark, tmp_path):
     exports.write_package({"articles": found.drop("keywords")}, {"name": 'a "b"'}, str(tmp_path / "p.zip"), str(tmp_path / "w"))
     tables, manifest, warnings = exports.read_package(spark, str(tmp_path / "p.zip"), str(tmp_path / "out"))
     assert tables["articles"].count() == 2 and manifest["project"]["name"] == 'a "b"' and not warnings
+
+
+def test_null_dates_and_blocks_count(spark):
+    """An article without a date has a period, and a column, of its own; titles without a block are one block."""
+    articles = spark.createDataFrame([("1", None, "P", True), ("2", "2024-01-02", "", True), ("3", "2024-01-03", "P", False)], "article_id string, date string, publisher string, is_active boolean")
+    results = spark.createDataFrame([("1", "x"), ("2", None), ("3", "x")], "article_id string, label string")
+    labelled = analyze.labelled(results, articles)
+    found = {tuple(r) for r in analyze.label_periods(labelled, t.month_of(F.col("date"))).collect()}
+    assert found == {(None, "x", 1), (None, "unknown", 0), ("2024-01", "x", 0), ("2024-01", "unknown", 1)}
+    assert {tuple(r) for r in analyze.label_tab(labelled, "month").collect()} == {("x", "unknown", 1), ("unknown", "unknown", 0), ("x", "2024-01", 0), ("unknown", "2024-01", 1)}
+    assert {tuple(r) for r in analyze.label_tab(labelled, "publisher").collect()} == {("x", "P", 1), ("unknown", "P", 0), ("x", "unknown", 0), ("unknown", "unknown", 1)}
+    for wrong in (lambda: analyze.label_tab(labelled, "title"), lambda: analyze.group_counts(articles, "title")):
+        with pytest.raises(ValueError, match="unsupported column: title"):
+            wrong()
+    rows = [(1, None, 1, "the same title here"), (2, None, 2, "the same title here!"), (3, "", 3, "the same title here"), (4, "", 4, "the same title here"), (5, None, 5, None)]
+    df = spark.createDataFrame(rows, "id int, block string, seq int, title string")
+    for way in (clean.fuzzy_kept, clean.fuzzy_kept_fold):
+        assert sorted(r["id"] for r in way(df, 0.85).collect()) == [1, 3, 5]
+
+
+def test_labels_beyond_the_bound_get_no_zeros(spark, monkeypatch):
+    monkeypatch.setattr(analyze, "MOST_DENSE", 3)
+    df = spark.createDataFrame([(str(i), f"l{i}", f"2024-0{i % 2 + 1}-01") for i in range(4)], "article_id string, label string, date string")
+    assert analyze.label_periods(df, t.month_of(F.col("date"))).count() == 4
+    assert analyze.label_periods(df.limit(3), t.month_of(F.col("date"))).count() == 6
+
+
+def test_typed_replies(spark):
+    """Values that count as empty give way to the next name; other types are put as text; a list is no confidence."""
+    reply = lambda x: tuple(value(spark, t.parse_reply, x))
+    assert reply('{"label": 0, "category": "c"}') == ("c", None, None)
+    assert reply('{"label": [], "classification": {}, "category": false}') == (None, None, None)
+    assert reply('{"label": true, "confidence": true}') == ("True", 1.0, None)
+    assert reply('{"label": 1.5, "confidence": " 0.5 ", "reason": 7}') == ("1.5", 0.5, "7")
+    assert reply('{"label": 0.0, "classification": "", "category": "k"}')[0] == "k"
+    assert reply('{"label": "x", "confidence": [1]}')[0] == '{"label": "x", "confidence": [1]}'
+    assert reply('{"label": "x"} and {"label": "y"}')[0] == '{"label": "x"} and {"label": "y"}'
+    assert reply('{"label": "x", "confidence": false}') == ("x", 0.0, None)
+
+
+def test_progress_of_one_job_over_many_tasks(spark):
+    calls = spark.createDataFrame([("j", i, i % 7 != 0) for i in range(500)] + [("k", 1, True), (None, 4, False)], "job_id string, at int, success boolean").repartition(7)
+    found = {(r["job_id"], r["at"]): (r["processed"], r["errors"], round(r["percent"], 6)) for r in analyze.progress(calls, "job_id", ["at"], 16).collect()}
+    assert found == {("j", i): (i + 1, i // 7 + 1, round((i + 1) / 5, 6)) for i in range(500)} | {("k", 1): (1, 0, 100.0), (None, 4): (1, 1, 100.0)}

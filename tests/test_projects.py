@@ -6,8 +6,8 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslens.operators.classify import Limiter, Slots, classify, numbered
-from corpuslens.operators.projects import IngestParams, Label, LabelSchema, Projects
+from corpuslens.operators.classify import Limiter, Slots, classify, in_turn
+from corpuslens.operators.projects import IngestParams, Job, Label, LabelSchema, Projects, Prompt, from_flat, to_flat
 from corpuslens.sources import files, providers, settings
 
 ROWS = """title,date,body,publisher,keywords,url
@@ -16,6 +16,7 @@ First title here!,20240101,Another body that is long enough,P2,a,u2
 [AD] Buy,2024-01-02,A body that is long enough to stay,P1,c,u3
 Short,2024-01-03,tiny,,c,u4
 Last one,2024-02-01,A body that is long enough to stay too,P2,,u5
+ ,2024-01-05,a row without a title counts as read,P2,,u6
 """
 
 
@@ -37,7 +38,7 @@ def test_project_from_ingest_to_package(project):
     assert projects.status("p")["step"] == 0
     ingest = lambda **x: projects.get("ingest_runs", projects.run_ingest(IngestParams("p", **x)))
     first = ingest(source="csv", input_path=str(folder / "in.csv"), date_to="2024-01-31")
-    assert (first["status"], first["raw_count"], first["in_range_count"], first["inserted_count"]) == ("success", 5, 4, 4)
+    assert (first["status"], first["raw_count"], first["in_range_count"], first["inserted_count"]) == ("success", 6, 4, 4)
     again = ingest(source="csv", input_path=str(folder / "in.csv"))
     assert (again["in_range_count"], again["inserted_count"]) == (5, 1)
     assert ingest(source="news_search", input_path="x")["status"] == "failed" and ingest(source="nothing", input_path="x")["status"] == "failed"
@@ -140,9 +141,9 @@ def test_slots_use_their_keys_and_hear_of_refusals(spark, tmp_path):
 
 def test_places_are_dense(spark):
     rows = spark.range(1000).selectExpr("id % 10 AS a", "id AS b").repartition(7)
-    found, total = numbered(rows, "a", "b")
+    found, total, folder = in_turn(rows, "a", "b")
     assert total == 1000 and [r["b"] for r in found.orderBy("place").collect()] == sorted(range(1000), key=lambda i: (i % 10, i))
-    assert sorted(r["place"] for r in found.collect()) == list(range(1000)) and numbered(rows.limit(0), "a")[1] == 0
+    assert sorted(r["place"] for r in found.collect()) == list(range(1000)) and in_turn(rows.limit(0), "a")[1] == 0 and "in-turn" in folder
 
 
 def test_answers():
@@ -178,3 +179,31 @@ def test_raters(spark, tmp_path):
     (tmp_path / "b.csv").write_text("article_id,label\n2,y\n1,z\n")
     found = files.read_raters(spark, str(tmp_path / "a.csv"), str(tmp_path / "b.csv"))
     assert sorted(map(tuple, found.collect())) == [("x", "z"), ("y", "y")]
+
+
+def test_codecs(spark):
+    """Rows there and back: prompts that changed are told, jobs end in a final status, articles are flat rows."""
+    prompt = Prompt.new("v", "s", "Text é")
+    assert Prompt.of(prompt.row()) == prompt and prompt.verified() and not Prompt.of(prompt.row() | {"prompt_text": "other"}).verified()
+    job = Job("j", "p", "s", "v", "gemini", "m-flash", sample_size=3)
+    done = job.finished("cancelled", n_processed=2)
+    assert Job.of(done.row()) == done and (done.status, done.n_processed) == ("cancelled", 2) and done.finished_at and Job.of(job.row() | {"n_errors": None}) == job
+    with pytest.raises(ValueError, match="no final status"):
+        job.finished("running")
+    schema = "article_id string, publisher string, body_internal string, body_excerpt string, url string, cleaned_at string, keywords array<string>, raw_json string"
+    articles = spark.createDataFrame([("1", None, "b", "", None, None, ["a", "b c"], None), ("2", "P", "", "", "u", "2024", None, '{"x": 1}')], schema)
+    flat = to_flat(articles)
+    assert [tuple(r) for r in flat.orderBy("article_id").collect()] == [("1", "", "b", "", "", "", "a, b c", "{}"), ("2", "P", "", "", "u", "2024", "", '{"x": 1}')]
+    assert [r["keywords"] for r in from_flat(flat).orderBy("article_id").collect()] == [["a", "b c"], []]
+
+
+def test_progress_is_a_record(spark, tmp_path):
+    """Calls, errors, tokens, cost and percent, of a run and of the one that goes on with it."""
+    at, said = datetime(2024, 1, 1, tzinfo=timezone.utc), []
+    articles = spark.createDataFrame([(str(i), "d", "t", "b") for i in range(5)], "article_id string, date string, title string, body_internal string")
+    answer = lambda prompt: ('{"label": "x"}', 10, 2)
+    run = lambda slots: classify(spark, articles, str(tmp_path / "r"), "j", answer, slots, "p", lambda: at, progress=said.append, sleep=lambda s: None, model="a-Flash")
+    assert run(Slots([Limiter(rpm=2, rpd=2)])) == "cancelled" and run(Slots([Limiter()])) == "success"
+    assert [(x.processed, x.total, x.errors, x.prompt_tokens, x.output_tokens, x.status, x.percent) for x in said] == [
+        (2, 5, 0, 20, 4, "running", 40.0), (2, 5, 0, 20, 4, "cancelled", 40.0), (5, 5, 0, 50, 10, "running", 100.0), (5, 5, 0, 50, 10, "success", 100.0)]
+    assert abs(said[-1].estimated_cost_usd - (50 * 0.15 + 10 * 0.6) / 1e6) < 1e-15
