@@ -3,6 +3,7 @@
 import csv
 import zipfile
 import zlib
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +110,38 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     assert take() == [("1", "a"), ("2", "b"), ("3", "c")]
 
 
+def test_stream_that_is_stopped_goes_on(spark, tmp_path):
+    """First by file time, then file and row, also within a micro-batch; a query that stops in the middle gives the rows of one run."""
+    import os
+    import threading
+
+    schema = "article_id string, n long, at timestamp, words array<string>, x double"
+    made = lambda *rows: spark.createDataFrame([(k, n, datetime(2024, 1, 1, 2, 3, 4, n), [k, None] if k else None, n / 7) for k, n in rows], schema)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    batches = [(("a", 5), ("b", 1), (None, 2**53 + 1 - 2**53)), (("a", 1), ("c", 7), ("c", 8), (None, 3)), (("b", 9), ("d", 4)), (("e", 6), ("d", 5))]
+    for i, rows in enumerate(batches):
+        made(*rows).coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
+        (file,) = (tmp_path / f"part{i}").glob("*.parquet")
+        file.rename(folder / f"{9 - i}.parquet")
+        os.utime(folder / f"{9 - i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    expected = sorted(map(repr, map(tuple, made(("a", 5), ("b", 1), (None, 1), ("c", 7), ("d", 4), ("e", 6)).collect())))
+    found = lambda target: sorted(map(repr, map(tuple, spark.read.parquet(target).collect())))
+    for each in (None, 1):
+        heard, target = [], str(tmp_path / f"out{each}")
+        query = ingest_stream(spark, str(folder), made().schema, target, str(tmp_path / f"checkpoint{each}"), report=heard.append, files_each=each)
+        query.awaitTermination()
+        assert found(target) == expected
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        assert sum(x.rows for x in heard) == 11 and sum(x.new_keys for x in heard) == 6 and len({x.batch for x in heard if x.rows}) == (4 if each else 1)
+    target, stopped = str(tmp_path / "stopped"), threading.Event()
+    query = ingest_stream(spark, str(folder), made().schema, target, str(tmp_path / "checkpoint"), report=lambda x: stopped.set(), files_each=1)
+    stopped.wait(60)
+    query.stop()
+    ingest_stream(spark, str(folder), made().schema, target, str(tmp_path / "checkpoint"), files_each=1).awaitTermination()
+    assert found(target) == expected
+
+
 def test_window_of_calls_over_stretches(spark):
     rows = [(i, i % 2, second, i + 1) for i, second in enumerate([0, 0, 5, 59, 60, 60, 61, 119, 120, 500, -1])]
     calls = spark.createDataFrame(rows, "call_id int, slot int, ts_sec long, tokens long")
