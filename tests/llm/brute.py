@@ -282,3 +282,23 @@ def variants(counts, times=5):
         return a
 
     return {a: (form.get(a), root(a), counts[a], len(near[a]), counts[form[a]] if a in form else None) for a in counts}
+
+
+def repeated(rows, seed=8):
+    """For each row (doc_id, text, source) how often the mix has it whole: the last one drawn counts if at least half of it is wanted."""
+    size, by_source = [len(words(t)) for _, t, _ in rows], defaultdict(list)
+    for i, (_, _, source) in enumerate(rows):
+        by_source[source].append(i)
+    whole = {s: sum(size[i] for i in m) for s, m in by_source.items()}
+    target, out = targets(whole), [0] * len(rows)
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    place = lambda d, t: int(md5(f"{seed}-" + (str(d) if d is not None else "null-" + md5(t or "")))[:10], 16)
+    for source, members in by_source.items():
+        if whole[source]:
+            times = int(target[source] // whole[source])
+            rest = round(target[source] - times * whole[source])
+            for i in sorted(members, key=lambda i: (place(rows[i][0], rows[i][1]), rows[i][0] is not None, rows[i][0] or 0, size[i])):
+                part = max(0, min(size[i], rest))
+                rest -= size[i]
+                out[i] = times + (2 * part >= size[i]) if size[i] else 0
+    return out
