@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 from corpuslens.llm._common import ship, stored, table
 
 
+#: Rows that are compared with all centroids at once: 32 MB of distances to the 4096 lists that there are at most.
+_SLICE = 1024
+
+
 def kmeans(rows: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = rows[rng.choice(len(rows), min(k, len(rows)), replace=False)].copy()
@@ -41,7 +45,7 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.argmin(squared(rows[i : i + 4096], centres), axis=1) for i in range(0, len(rows), 4096)])
+    return np.concatenate([np.argmin(squared(rows[i : i + _SLICE], centres), axis=1) for i in range(0, len(rows), _SLICE)])
 
 
 @dataclass
@@ -85,17 +89,57 @@ def fit_quantizer(sample: np.ndarray, lists: int, slices: int, words: int = 256,
 def probes_for(sample: np.ndarray, coarse: np.ndarray, k: int, recall: float, asked: int = 512, seed: int = 10) -> int:
     """Lists to probe so that a share ``recall`` of the ``k`` nearest rows of the sample lies in them, measured on ``asked`` rows
     of the sample, each without itself."""
+    own, near = _asked(sample, k, asked, seed)
+    if not near.shape[1]:
+        return 1
+    lists, at = nearest(sample, coarse), []
+    for i in range(0, len(own), _FEW):
+        rank = np.argsort(np.argsort(squared(sample[own[i : i + _FEW]], coarse), axis=1, kind="stable"), axis=1, kind="stable")
+        at.append(np.take_along_axis(rank, lists[near[i : i + _FEW]], axis=1).ravel())
+    return int(_at_share(np.concatenate(at), recall)) + 1
+
+
+#: Rows that are compared with the whole sample at once.
+_FEW = 32
+
+
+def _asked(sample: np.ndarray, k: int, asked: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Some rows of the sample, and for each the places of its ``k`` nearest others."""
     rng = np.random.default_rng(seed)
-    own = rng.choice(len(sample), min(asked, len(sample)), replace=False)
-    apart = squared(sample[own], sample)
-    apart[np.arange(len(own)), own] = np.inf
-    k = min(k, len(sample) - 1)
-    if not k:
+    own, k = rng.choice(len(sample), min(asked, len(sample)), replace=False), min(k, len(sample) - 1)
+    near = [np.empty((0, max(k, 0)), np.int64)]
+    for i in range(0, len(own) if k > 0 else 0, _FEW):
+        apart = squared(sample[own[i : i + _FEW]], sample)
+        apart[np.arange(len(apart)), own[i : i + _FEW]] = np.inf
+        near.append(np.argpartition(apart, k - 1, axis=1)[:, :k])
+    return own, np.concatenate(near)
+
+
+def _at_share(places: np.ndarray, share: float) -> int:
+    """The place at or before which so large a share of ``places`` lies."""
+    at = np.sort(places)
+    return at[min(len(at) - 1, int(np.ceil(share * len(at))) - 1)]
+
+
+def rerank_for(sample: np.ndarray, quantizer: Quantizer, k: int, recall: float, asked: int = 256, seed: int = 10) -> int:
+    """Candidates to rank anew so that a share ``recall`` of the ``k`` nearest rows of the sample is among them by their estimated
+    distance, measured on ``asked`` rows of the sample: what quantisation costs is made good by exact distances."""
+    own, near = _asked(sample, k, asked, seed)
+    if not near.shape[1]:
         return 1
-    near = np.argpartition(apart, k - 1, axis=1)[:, :k]
-    rank = np.argsort(np.argsort(squared(sample[own], coarse), axis=1, kind="stable"), axis=1, kind="stable")
-    at = np.sort(np.take_along_axis(rank, nearest(sample, coarse)[near], axis=1).ravel())
-    return int(at[min(len(at) - 1, int(np.ceil(recall * len(at))) - 1)]) + 1
+    lists, codes = quantizer.encode(sample)
+    constant = quantizer.constants(lists, codes)
+    flat = codes + np.arange(codes.shape[1], dtype=np.int64) * quantizer.words.shape[1]
+    places = []
+    for row, others in zip(own, near):
+        query, estimate = sample[row], constant.copy()
+        of_list = ((query - quantizer.coarse) ** 2).sum(axis=1)
+        table = quantizer.table(query).ravel()
+        for i in range(0, len(sample), 1 << 14):
+            estimate[i : i + (1 << 14)] += of_list[lists[i : i + (1 << 14)]] + table[flat[i : i + (1 << 14)]].sum(axis=1)
+        estimate[row] = np.inf
+        places.append(np.searchsorted(np.sort(estimate), estimate[others]))
+    return int(_at_share(np.concatenate(places), recall)) + 1
 
 
 def _padded(words: np.ndarray, n: int) -> np.ndarray:
@@ -187,6 +231,10 @@ def _once(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min("v").alias("v"))
 
 
+#: Bytes that code a vector of that many numbers or more.
+_SLICES = 16
+
+
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None, probes: int | None = None, rerank: int = 200,
     recall: float = 0.96, sample_rows: int = 16384, most_lists: int = 4096, block_rows: int = 16384, chunk_queries: int = 16384,
@@ -195,9 +243,10 @@ def search(
 
     The quantizer is fitted on a sample of about ``sample_rows`` rows, or 32 for each list, and 64 MB at most; every usable
     row is indexed.  Without other numbers there are as many ``lists`` as the square root of the rows, ``most_lists`` at most,
-    and ``probes`` is measured on the sample, for ``recall`` before quantisation.  A query looks through its nearest lists
+    and ``probes`` is measured on the sample, for ``recall``.  A query looks through its nearest lists
     and as many more as hold ``rerank`` rows, so that it gets all candidates where there are fewer than ``k``; ``rerank``
-    is four times ``k`` at least.  A task holds about ``block_rows`` codes and ``chunk_queries`` queries.
+    is four times ``k`` at least, and more where as many candidates are needed on the sample for a share of 1 - (1 - ``recall``) / 4
+    of the neighbours.  Vectors are filled with zeros to a multiple of 16 numbers, which changes no distance.  A task holds about ``block_rows`` codes and ``chunk_queries`` queries.
 
     Vectors null, zero, or with null or non-finite components take no part, neither do null ids; a query's own id isn't a
     candidate; of repeated ids the smallest vector counts, once.  Vectors of another length have no distance: each
@@ -217,16 +266,19 @@ def search(
 
 
 def _search_width(rows, asked, width, total, n_asked, k, lists, probes, rerank, recall, sample_rows, most_lists, block_rows, chunk_queries) -> DataFrame:
-    spark = rows.sparkSession
+    if width > _SLICES and width % _SLICES:
+        fill = F.array_repeat(F.lit(0.0), _SLICES - width % _SLICES)
+        rows, asked = (x.withColumn("v", F.concat("v", fill)) for x in (rows, asked))
+        width += _SLICES - width % _SLICES
     lists = lists or max(16, min(most_lists, round(total**0.5)))
     sample_rows = min(max(sample_rows, 32 * lists), max(1024, _SAMPLE_BYTES // (4 * width)))
     sample = rows.filter(F.rand(10) < min(1.0, sample_rows / total)).select(F.col("v").cast("array<float>").alias("v")).toPandas()
     fitted = np.array(sample["v"].tolist(), np.float64)
     if not len(fitted):
         fitted = np.array(rows.limit(1).toPandas()["v"].tolist(), np.float64)
-    slices = max(s for s in range(1, min(16, width) + 1) if width % s == 0)
-    quantizer = fit_quantizer(fitted, lists, slices)
+    quantizer = fit_quantizer(fitted, lists, min(_SLICES, width))
     probes = probes or probes_for(fitted, quantizer.coarse, k, recall)
+    rerank = max(rerank, rerank_for(fitted, quantizer, k, 1 - (1 - recall) / 4))
     index = stored(build_index(rows, quantizer), "vector-index")
     sizes = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}
     blocks, _ = plan_blocks(sizes, block_rows)
@@ -240,10 +292,15 @@ def _search_width(rows, asked, width, total, n_asked, k, lists, probes, rerank,
 
     def choose(batches):
         for batch in batches:
-            own = _matrix(batch.column(1), width)
-            order = np.argsort(squared(own, quantizer.coarse[filled]), axis=1, kind="stable")
+            yield from (chosen for low in range(0, batch.num_rows, _SLICE) for chosen in choose_lists(batch.slice(low, _SLICE)))
+
+    def choose_lists(batch):
+        own, distances = _matrix(batch.column(1), width), quantizer.coarse[filled]
+        for low in range(0, len(own), _FEW * 4):
+            order = np.argsort(squared(own[low : low + _FEW * 4], distances), axis=1, kind="stable")
             out = ([], [], [], [], [])
-            for i, (query_id, chunk, near) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), order)):
+            ids, numbers = (batch.column(c).slice(low, _FEW * 4).to_pylist() for c in (0, 2))
+            for i, (query_id, chunk, near) in enumerate(zip(ids, numbers, order), low):
                 enough = int(np.searchsorted(np.cumsum(counts[near]), rerank + 1)) + 1
                 chosen = filled[near[: max(probes, enough)]].tolist()
                 of: dict[int, list[int]] = {}
