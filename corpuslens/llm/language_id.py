@@ -9,12 +9,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslens.llm._common import ship, slices, table
 from corpuslens.llm._vectors import Texts
 
 UNDETERMINED = "und"
 _BUCKETS = 4096
+#: Texts that a model is fitted on, at most about; the matrix of their counts is on the driver.
+_MOST_ROWS = 8192
 _ASCII_LETTER = re.compile("[A-Za-z]")
 
 #: Letters in lower case and all bytes of other characters stay; whatever else is a space.
@@ -101,25 +104,28 @@ def id_hash() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary"))
 
 
-def bounded_sample(rows: DataFrame, by: str, most: int, most_values: int = 1000) -> DataFrame:
+def bounded_sample(rows: DataFrame, by: str, most: int, most_values: int = 1000, most_rows: int = 1 << 30) -> DataFrame:
     """About ``most`` rows of ``rows`` (doc_id, ``by``, others) for each value of ``by``, all of them where there are no more:
     those whose seeded hash (of all their columns) lies below the share of the value's rows that is wanted.  Rows that
     repeat in full count once.  Values are counted first, which sends one row a task and value; nothing is ranked or sorted.  More than
-    ``most_values`` different values are an error, as a model can't be bounded then."""
+    ``most_values`` different values are an error, as a model can't be bounded then; where there are so many that they have more
+    than about ``most_rows`` together, each has fewer."""
     counts = rows.groupBy(F.col(by).alias("value")).count().limit(most_values + 1).collect()
     if len(counts) > most_values:
         raise ValueError(f"{by} has more than {most_values} values")
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col(by) == F.lit(row["value"]), F.lit(min(1.0, most / row["count"]))).otherwise(share)
+    most = min(most, max(1, most_rows // max(1, len(counts))))
+    shares = [(row["value"], min(1.0, most / row["count"])) for row in counts if row["value"] is not None]
+    kind = T.StructType([T.StructField("value", rows.schema[by].dataType), T.StructField("share", T.DoubleType())])
+    shares = F.broadcast(rows.sparkSession.createDataFrame(shares, kind))  # a row for each of at most ``most_values``
     place = F.pmod(F.xxhash64(*rows.columns, F.lit(5)), F.lit(1 << 30)) / F.lit(1 << 30)
-    return rows.filter(F.col(by).isNotNull() & (place < share)).distinct()
+    whole = rows.select(F.struct(*rows.columns).alias("row"), place.alias("place"))
+    return whole.join(shares, F.col("row")[by] == F.col("value")).filter("place < share").select("row.*").distinct()
 
 
 def fit_language_model(labelled: DataFrame, most_per_language: int = 400, per_language: int = 4) -> CentroidModel:
     """Fits on a bounded sample of ``labelled`` (doc_id, text, lang): about ``most_per_language`` whole texts of each of up to
-    1000 languages; rows without a language are left out, null texts are empty.  What reaches the driver is the hashed counts
-    of these texts, of fixed width."""
+    1000 languages, and of 8192 in all; rows without a language are left out, null texts are empty.  What reaches the driver is
+    the hashed counts of these texts, of fixed width."""
     ship(labelled.sparkSession)
 
     def run(batches):
@@ -136,7 +142,7 @@ def fit_language_model(labelled: DataFrame, most_per_language: int = 400, per_la
                     ["lang", "at", "n"],
                 )
 
-    sample = bounded_sample(labelled.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang"), "lang", most_per_language)
+    sample = bounded_sample(labelled.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang"), "lang", most_per_language, most_rows=_MOST_ROWS)
     rows = sample.select("text", "lang").mapInArrow(run, "lang string, at binary, n binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["at"], r["n"]))
     counts = np.zeros((len(rows), _BUCKETS), np.float32)
