@@ -2,9 +2,10 @@
 
 A window of 13 words holds nine runs of five words; the smallest of their hashes is the window's fingerprint.  Equal
 windows have equal fingerprints, wherever they start, and windows side by side mostly share theirs, so the index holds
-about a fifth of an entry for each word.  Every batch of documents adds an immutable run: for each bucket of hashes
-sorted arrays of fingerprints with the documents that have them.  Runs beyond a number are compacted: merged in
-order of their fingerprints into one.  The runs that are left are merge-joined by bucket.
+about a fifth of an entry for each word.  A run is immutable: for each bucket of hashes sorted arrays of fingerprints with the
+documents that have them.  A new batch of documents is merge-joined with the runs of all earlier ones, bucket by bucket, which gives
+the fingerprints that the batch shares with them or within itself.  The same pass writes the batch's own run, or, where there are
+as many runs as there may be, one that all of them are compacted into.
 
 Fingerprints found in two or more documents only propose.  The windows they stand for are then verified by 96 further bits
 of two independent hashes of all 13 words, and a word is removed if a window that covers it also starts in a
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -236,19 +238,52 @@ def _passed_on(batch: pa.RecordBatch, columns: list[int]) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(settled), *[batch.column(c).filter(settled) for c in columns]], schema=_LISTS_ARROW)
 
 
-def _merge_runs(batches, parts: int):
-    """Lists of the fingerprints of each document that another one has as well."""
-    runs = []
+def _run_row(bucket: int, buckets: int, prints: np.ndarray, docs: np.ndarray, kinds: np.ndarray) -> tuple:
+    """A run's row of one bucket, without repeated entries."""
+    order = np.lexsort((docs, kinds, prints))  # prints ascend already: only owners of one fingerprint change places
+    prints, docs, kinds = prints[order], docs[order], kinds[order]
+    new = _first(prints, docs, kinds)
+    prints, docs, kinds = prints[new], docs[new], kinds[new]
+    owned = kinds != _SEVERAL
+    owner = np.full(len(docs), _SHARED, np.uint32)
+    by_doc = np.lexsort((kinds[owned], docs[owned]))
+    fresh = _first(docs[owned][by_doc], kinds[owned][by_doc])
+    inner = np.empty(len(by_doc), np.uint32)
+    inner[by_doc] = (np.cumsum(fresh) - 1).astype(np.uint32)
+    owner[owned] = inner
+    held_docs, held_kinds = (x[owned][by_doc][fresh] for x in (docs, kinds))
+    return bucket, *_packed(prints, buckets, owner, held_docs, held_kinds), None, None
+
+
+def _join_batch(batches, buckets: int, compact: bool):
+    """Lists of the fingerprints that the new batch (``fresh`` rows) shares, of all documents that have them, and the rows of the
+    run to be written: of the batch, or (``compact``) of all runs."""
+    held: dict[int, list] = {}
     for batch in batches:
-        runs += [_entries(parts, *x) for x in zip(*(batch.column(i).to_pylist() for i in range(5))) if x[1] is not None]
-        yield from _passed_on(batch, [3, 4, 5, 6])
-    if not runs:
-        return
-    prints, docs, kinds = _merged(runs)
-    first = _starts_of_groups(prints)
-    shared = np.repeat(_shared(kinds, docs, first), np.diff(np.append(first, len(prints)))) & (kinds != _SEVERAL)
-    if shared.any():
-        yield _table(_LISTS_ARROW, _lists(docs[shared], kinds[shared].astype(np.int64), _proposed(prints[shared]), parts))
+        settled = batch.column(1).is_null()
+        if settled.true_count:
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(settled) for c in range(7)], schema=_RUN_ARROW)
+        for bucket, *entries, fresh in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 7))):
+            if entries[0] is not None:
+                prints, docs, kinds = _entries(buckets, bucket, *entries)
+                held.setdefault(bucket, []).append((prints, docs, kinds, np.full(len(prints), fresh)))
+    for bucket in list(held):
+        # Each run is sorted, so the stable sort, which looks for ascending stretches and merges them, is a merge.
+        prints, docs, kinds, fresh = (np.concatenate(x) for x in zip(*held.pop(bucket)))
+        order = np.argsort(prints, kind="stable")
+        prints, docs, kinds, fresh = prints[order], docs[order], kinds[order], fresh[order]
+        first = _starts_of_groups(prints)
+        wanted = _shared(kinds, docs, first) & np.logical_or.reduceat(fresh, first)
+        wanted = np.repeat(wanted, np.diff(np.append(first, len(prints)))) & (kinds != _SEVERAL)
+        rows = []
+        if wanted.any():
+            lists = _lists(docs[wanted], kinds[wanted].astype(np.int64), _proposed(prints[wanted]), buckets)
+            rows += [(part, None, None, *rest) for part, *rest in lists]
+        if compact or fresh.any():
+            kept = slice(None) if compact else fresh
+            rows.append(_run_row(bucket, buckets, prints[kept], docs[kept], kinds[kept]))
+        if rows:
+            yield _table(_RUN_ARROW, rows)
 
 
 def _later(new: np.ndarray, docs: np.ndarray, none: np.ndarray) -> np.ndarray:
@@ -343,83 +378,51 @@ _BYTES_A_TASK = 8 << 20
 
 
 class FingerprintIndex:
-    """Immutable runs below one folder.  ``append`` adds a batch's run and compacts the older ones where there are more than
-    ``most_runs``; ``matches`` merge-joins those that are left.  ``buckets`` is set by the first batch and stays."""
+    """Immutable runs below one folder, ``most_runs`` at most.  ``buckets`` is set by the first batch and stays."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, window: int = 13, gram: int = 5, buckets: int | None = None, most_runs: int = 2):
+    def __init__(self, spark: SparkSession, path: str | None = None, window: int = 13, gram: int = 5, buckets: int | None = None, most_runs: int = 1):
         self.spark, self.path, self.window, self.gram = spark, path or scratch(spark, "fingerprints"), window, gram
         self.buckets, self.most_runs = buckets, most_runs
         self.runs: list[str] = []
         self._written = 0
 
-    def append(self, docs: DataFrame) -> None:
-        """``docs``: doc (not null), none (whether doc stands for a null) and text."""
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Adds a batch of ``docs``: doc (not null), none (whether doc stands for a null) and text; its doc_ids may lie before or
+        behind those of earlier batches.  Lists of the fingerprints that it shares with documents of any batch, of both."""
         self.buckets = self.buckets or tasks_for(docs, _BYTES_A_TASK)
         window, gram, buckets = self.window, self.gram, self.buckets
-        self._write(docs.select("doc", "none", "text").mapInArrow(lambda b: _write_run(b, window, gram, buckets), _RUN))
-        if len(self.runs) > self.most_runs:
-            self.compact(len(self.runs) - 1)
+        new = docs.select("doc", "none", "text").mapInArrow(lambda b: _write_run(b, window, gram, buckets), _RUN)
+        return self._pass(new, len(self.runs) >= self.most_runs)
 
-    def _write(self, run: DataFrame) -> None:
-        path = f"{self.path}/run-{self._written:06d}"
-        run.write.parquet(path)
+    def compact(self) -> None:
+        """Merges all runs into one."""
+        if len(self.runs) > 1:
+            self._pass(None, True)
+
+    def _pass(self, new: DataFrame | None, compact: bool) -> DataFrame:
+        path, buckets, old = f"{self.path}/run-{self._written:06d}", self.buckets, self.runs
         self._written += 1
-        self.runs.append(path)
-
-    def _dealt(self, runs: list[str]) -> DataFrame:
-        if not runs:
-            return self.spark.createDataFrame([], _RUN)
-        return self.spark.read.schema(_RUN).parquet(*runs).repartition(self.buckets or 1, "bucket")
-
-    def matches(self) -> DataFrame:
-        """(doc, none, found): for every document the 32 lower bits of the fingerprints that other documents of any run have too."""
-        parts = self.buckets or 1
-        lists = self._dealt(self.runs).mapInArrow(lambda b: _merge_runs(b, parts), _LISTS)
-        return assembled(lists, parts).select("doc", (F.col("text_key") == _NONE).alias("none"), "found")
-
-    def compact(self, oldest: int | None = None) -> None:
-        """Merges the oldest runs (all, if no number is given) into one, without repeated entries, and deletes them."""
-        old = self.runs[:oldest]
-        if len(old) < 2:
-            return
-        newer = self.runs[len(old) :]
-        buckets = self.buckets
-        self._write(self._dealt(old).mapInArrow(lambda b: _compacted(b, buckets), _RUN))
-        self.runs = [self.runs[-1], *newer]
-        for path in old:
-            delete(self.spark, path)
+        both = None if new is None else new.withColumn("fresh", F.lit(True))
+        if old:
+            rows = self._read(*old).filter("kind = 'entries'").drop("kind").withColumn("fresh", F.lit(False))
+            both = rows if both is None else both.unionByName(rows)
+        joined = both.repartition(buckets, "bucket").mapInArrow(lambda b: _join_batch(b, buckets, compact), _RUN)
+        kind = F.when(F.col("prints").isNull(), "lists").otherwise("entries")
+        joined.withColumn("kind", kind).write.partitionBy("kind").parquet(path)
+        self.runs = [path] if compact else [*old, path]
+        for replaced in old if compact else []:
+            delete(self.spark, f"{replaced}/kind=entries")
+        return self._read(path).filter("kind = 'lists'").select(F.col("bucket").alias("part"), "docs", F.col("texts"), "counts", "found")
+
+    def _read(self, *paths: str) -> DataFrame:
+        tables = [self.spark.read.schema(f"{_RUN}, kind string").parquet(p) for p in paths]
+        return reduce(DataFrame.unionByName, tables)
 
 
 def assembled(lists: DataFrame, parts: int, kind: str = "<u4") -> DataFrame:
     return lists.repartition(parts, "part").mapInArrow(lambda b: _assemble(b, kind), "doc long, text_key long, found binary")
 
 
-def _compacted(batches, buckets: int):
-    held: dict[int, list] = {}
-    for batch in batches:
-        settled = batch.column(1).is_null()
-        if settled.true_count:
-            yield batch.filter(settled)
-        for bucket, *entries in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if entries[0] is not None:
-                held.setdefault(bucket, []).append(_entries(buckets, bucket, *entries))
-    for bucket, runs in held.items():
-        prints, docs, kinds = _merged(runs)
-        order = np.lexsort((docs, kinds, prints))  # only owners of one fingerprint still change places
-        prints, docs, kinds = prints[order], docs[order], kinds[order]
-        new = _first(prints, docs, kinds)
-        prints, docs, kinds = prints[new], docs[new], kinds[new]
-        owned = kinds != _SEVERAL
-        owner = np.full(len(docs), _SHARED, np.uint32)
-        by_doc = np.lexsort((kinds[owned], docs[owned]))
-        fresh = _first(docs[owned][by_doc], kinds[owned][by_doc])
-        inner = np.empty(len(by_doc), np.uint32)
-        inner[by_doc] = (np.cumsum(fresh) - 1).astype(np.uint32)
-        owner[owned] = inner
-        held_docs, held_kinds = (x[owned][by_doc][fresh] for x in (docs, kinds))
-        yield _table(_RUN_ARROW, [(bucket, *_packed(prints, buckets, owner, held_docs, held_kinds), None, None)])
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """Rows with what tells them apart: ``doc`` is doc_id, or where that is null (``none``) the hash of the text."""
     text = F.coalesce("text", F.lit(""))
@@ -428,13 +431,13 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(
-    docs: DataFrame, index: FingerprintIndex | None = None, history: DataFrame | None = None, batches: int = 3
+    docs: DataFrame, index: FingerprintIndex | None = None, history: DataFrame | None = None, batches: int = 2
 ) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text of every row of ``docs`` (doc_id, text).
 
     ``index`` holds the runs of earlier batches and ``history`` their documents, which are read again only where a
-    fingerprint matches; ``docs`` is added to the index in ``batches`` runs by ranges of doc_id, and older runs are
-    compacted on the way.  Null texts have no words.  A null doc_id is smaller than none, so its words can be removed
+    fingerprint matches; ``docs`` is added to the index in ``batches`` by ranges of doc_id, each merge-joined with the runs
+    before it, which are compacted on the way.  Null texts have no words.  A null doc_id is smaller than none, so its words can be removed
     but remove no others; rows with one doc_id don't remove each other's words (they share a task, as a doc_id is meant
     for one row; rows without one are spread by their text).  Windows are judged on the input, not on what is left.
     Other columns are ignored, whatever their names; an empty table gives no rows."""
@@ -445,14 +448,17 @@ def remove_repeats(
     wanted = [i / batches for i in range(1, batches)]
     cuts = source.filter("not none").approxQuantile("doc", wanted, 0.05) if wanted else []
     bounds = [None, *sorted({min(int(c), 2**63 - 1) for c in cuts}), None]
+    lists = None
     for low, high in zip(bounds[:-1], bounds[1:]):
         part = source if low is None else source.filter(F.col("doc") >= low)
-        index.append(part if high is None else part.filter(F.col("doc") < high))
+        found = index.add(part if high is None else part.filter(F.col("doc") < high))
+        lists = found if lists is None else lists.unionByName(found)
     everything = source if history is None else source.unionByName(keyed(history))
     window, gram, parts = index.window, index.gram, index.buckets
     # With the same columns on both ways, the exchange of the texts by doc is made once for this and for the removal.
     by_doc = everything.repartition(parts, "doc", "none")
-    marked = by_doc.join(index.matches().repartition(parts, "doc", "none"), ["doc", "none"]).select("doc", "none", "text_key", "text", "found", "doc_id")
+    matches = assembled(lists, parts).select("doc", (F.col("text_key") == _NONE).alias("none"), "found")
+    marked = by_doc.join(matches.repartition(parts, "doc", "none"), ["doc", "none"]).select("doc", "none", "text_key", "text", "found", "doc_id")
     marked = marked.mapInArrow(lambda b: _mark_windows(b, window, gram, parts), _MARKS)
     settled = marked.repartition(parts, "bucket").mapInArrow(lambda b: _settle_windows(b, parts), _LISTS)
     # Grouped and joined by doc alone, so that the texts stay where they are; rows of one doc_id are told apart afterwards.
