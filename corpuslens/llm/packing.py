@@ -186,4 +186,6 @@ def pack_documents(
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece of every document, by ``pack_documents``: null and empty texts are their end token alone, rows that
+    repeat are packed one by one, an empty table gives no rows."""
     return pack_documents(table(spark, sf_dir, "documents"), added_tokens=True)

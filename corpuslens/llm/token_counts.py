@@ -111,6 +111,7 @@ def count_tokens(
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every line of every document; a token that crosses lines counts for the line of its first byte."""
+    """Tokens of every line of every document; a token that crosses lines counts for the line of its first byte.  Null texts are one
+    empty line without tokens, null and repeated doc_ids are counted row by row, an empty table gives no rows."""
     found = count_tokens(table(spark, sf_dir, "documents"), added_tokens=True)
     return found.select("doc_id", F.col("section").alias("line"), "start", "end", F.col("n_tokens").cast("long").alias("n_tokens"), "doc_tokens")

@@ -347,6 +347,6 @@ def _search_width(rows, asked, width, total, n_asked, k, lists, probes, rerank,
 
 def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest rows of each row whose vec_id is divisible by 100, by ``search``: null ids and vectors that are null,
-    zero or not finite take no part, an empty table gives no rows."""
+    zero or not finite take no part, of a repeated id the smallest vector counts, ties go to the smaller id, an empty table gives no rows."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     return search(rows, rows.filter(F.col("vec_id") % 100 == 0).withColumnRenamed("vec_id", "query_id"))
