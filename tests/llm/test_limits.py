@@ -176,3 +176,34 @@ def test_scores_by_value():
     assert score(f"{near} {number}") == score(f"{number} {near}") == clipped(base + pii.CONTEXT_BONUS)
     assert score(f"{against} {number}") == clipped(base - pii.COUNTER_MALUS) and score(f"{number} {against}") == clipped(base)
     assert score(f"{near} {'x ' * 30}{number}") == clipped(base)
+
+
+def test_keys_of_many_buckets_take_few_bytes():
+    """With very many buckets a set has one key in most of them, so that its name and size go with each key."""
+    rng = random.Random(8)
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(300)])], ["text"])
+    sets = {jaccard_join.class_of(x): x for x in jaccard_join.shingle_sets(batch.column(0), 5)}
+    n_keys = sum(len(jaccard_join.join_keys(x, np.empty(0, np.uint64))[0]) for x in sets.values())
+    rows = list(jaccard_join._compact(jaccard_join._emit_keys([batch], 5, 4096, np.empty(0, np.uint64), 24), 4096))
+    sent = sum(len(x or b"") for out in rows for i in range(1, 6) for x in out.column(i).to_pylist())
+    n_rows = sum(out.num_rows for out in rows)
+    assert sent - 2 * n_rows <= 14 * n_keys  # 24 bytes a key with whole names, keys and numbers
+    found = [x for out in jaccard_join._propose(iter(rows), 4096, 24) for x in out.to_pylist()]
+    assert not [x for x in found if x["a"] == x["b"]]
+
+
+@pytest.mark.parametrize("small_group", [2, 24])
+def test_pairs_that_share_a_passage_alone_are_not_compared(spark, monkeypatch, small_group):
+    """Of pairs with a key in common those go on that share more keys than the smaller set has spare ones."""
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, base = words(60), words(400)
+    texts = [passage + words(340) for _ in range(12)] + [base, base[:380] + words(20), base[20:] + words(15)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    kept, stored = {}, jaccard_join.stored
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, label: kept.setdefault(label, stored(df, label)) if label in ("pairs", "proposed") else stored(df, label))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df, small_group=small_group).collect()}
+    assert found == {d: tuple(x[:2]) for (d, _), x in zip(rows, brute.classes(rows))}
+    if small_group == 24:
+        assert kept["proposed"].filter("key is null").select("a", "b").distinct().count() > 50 >= 10 > kept["pairs"].count()
