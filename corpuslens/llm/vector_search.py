@@ -5,8 +5,10 @@ byte for each slice of the vector.  A query looks through the lists nearest to i
 (unquantised) residual to all code words; the best by these sums are ranked anew by exact distance in double precision.
 
 The number of lists grows with the square root of the rows.  How many lists a query looks through is measured: the
-true neighbours of some rows of the sample are looked up in the lists nearest to these rows, and as many are probed as
-hold the recall asked for.  Vectors that form clusters need few, isotropic ones most.
+true neighbours of some rows of the sample, and of some queries among all rows, are looked up in the lists nearest to
+these, and as many are probed as hold the recall asked for.  Vectors that form clusters need few, isotropic ones most.
+How many candidates are ranked anew is measured so as well: the sample is thinner than the rows, so in a group of
+near copies many more lie before a true neighbour than it shows.
 
 Lists are cut into blocks of bounded size, so that a list with a third of all rows is many blocks; each block passes on
 a bounded number of candidates per query before anything is shuffled by query.  Queries are dealt by their nearest
@@ -142,6 +144,70 @@ def rerank_for(sample: np.ndarray, quantizer: Quantizer, k: int, recall: float,
     return int(_at_share(np.concatenate(places), recall)) + 1
 
 
+#: Queries whose true neighbours are looked up among all rows.
+_MEASURED = 128
+
+
+def _measured(rows: DataFrame, asked: DataFrame, index: DataFrame, quantizer: Quantizer, filled: np.ndarray, k: int, probes: int | None, least: int, recall: float) -> tuple[int, int]:
+    """Lists to probe and candidates to rank anew, so that of the true neighbours of some queries among all rows a share
+    ``recall`` lies in these lists, and nearly all of those among the candidates.  ``least`` lists are probed; with ``probes``
+    their number is given."""
+    some = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(_MEASURED).toPandas()
+    ids, queries = some["query_id"].to_numpy(np.int64), np.array(some["v"].tolist(), np.float64).reshape(len(some), -1)
+    centre = quantizer.coarse.mean(axis=0)  # less is lost in differences of squares about it
+
+    def brute(batches):
+        apart, found = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            for low in range(0, len(own), _SLICE):
+                here = own[low : low + _SLICE]
+                new = squared(queries - centre, _matrix(batch.column(1).slice(low, _SLICE), quantizer.width) - centre)
+                new[ids[:, None] == here[None]] = np.inf
+                apart, found = np.hstack([apart, new]), np.hstack([found, np.broadcast_to(here, new.shape)])
+                if apart.shape[1] > k:
+                    best = np.argpartition(apart, k - 1, axis=1)[:, :k]
+                    apart, found = np.take_along_axis(apart, best, axis=1), np.take_along_axis(found, best, axis=1)
+        i, j = np.nonzero(np.isfinite(apart))
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(found[i, j]), pa.array(apart[i, j])], ["i", "vec_id", "apart"])
+
+    place = F.row_number().over(Window.partitionBy("i").orderBy("apart", "vec_id"))
+    true = rows.select("vec_id", "v").mapInArrow(brute, "i int, vec_id long, apart double").withColumn("place", place).filter(F.col("place") <= k)
+    true = F.broadcast(true.select("i", "vec_id")).join(index, "vec_id").toPandas()
+    if not len(true):
+        return max(least, probes or 1), 1
+    of, lists = true["i"].to_numpy(), true["list"].to_numpy()
+    apart = np.concatenate([squared(queries[i : i + _FEW], quantizer.coarse[filled]) for i in range(0, len(queries), _FEW)])
+    rank = np.argsort(np.argsort(apart, axis=1, kind="stable"), axis=1, kind="stable")
+    at = rank[of, np.searchsorted(filled, lists)]
+    probes = probes or max(least, int(_at_share(at, recall)) + 1)
+    codes = np.frombuffer(b"".join(true["codes"]), np.uint8).reshape(len(true), -1).astype(np.int64)
+    step = np.arange(codes.shape[1]) * quantizer.words.shape[1]
+    base = np.full((len(queries), len(quantizer.coarse)), np.inf)
+    for i, query in enumerate(queries):
+        near = filled[rank[i] < probes]
+        base[i, near] = ((query - quantizer.coarse[near]) ** 2).sum(axis=1)
+    inside = np.flatnonzero(at < probes)
+    estimate = np.array([base[of[t], lists[t]] + true["constant"][t] + quantizer.table(queries[of[t]]).ravel()[codes[t] + step].sum() for t in inside])
+    # Sums of the same numbers may differ in their last bits by the way they are added up.
+    estimate += 1e-12 * (np.abs(estimate) + np.abs(true["constant"].to_numpy()[inside]))
+
+    def before(batches):
+        n = np.zeros(len(inside), np.int64)
+        for batch in batches:
+            lists, constant = batch.column(1).to_numpy(), batch.column(3).to_numpy()
+            flat = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(lists), -1) + step
+            for i in np.unique(of[inside]).tolist():
+                here = np.flatnonzero(np.isfinite(base[i, lists]))
+                sums = np.sort(base[i, lists[here]] + constant[here] + quantizer.table(queries[i]).ravel()[flat[here]].sum(axis=1))
+                mine = np.flatnonzero(of[inside] == i)
+                n[mine] += np.searchsorted(sums, estimate[mine], side="right")
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["t", "n"])
+
+    counts = index.select("vec_id", "list", "codes", "constant").mapInArrow(before, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()
+    return probes, int(_at_share(counts["n"].to_numpy(), 1 - (1 - recall) / 4)) if len(counts) else 1
+
+
 def _padded(words: np.ndarray, n: int) -> np.ndarray:
     return words if len(words) == n else np.vstack([words, np.repeat(words[:1], n - len(words), axis=0)])
 
@@ -245,8 +311,8 @@ def search(
     row is indexed.  Without other numbers there are as many ``lists`` as the square root of the rows, ``most_lists`` at most,
     and ``probes`` is measured on the sample, for ``recall``.  A query looks through its nearest lists
     and as many more as hold ``rerank`` rows, so that it gets all candidates where there are fewer than ``k``; ``rerank``
-    is four times ``k`` at least, and more where as many candidates are needed on the sample for a share of 1 - (1 - ``recall``) / 4
-    of the neighbours.  Vectors are filled with zeros to a multiple of 16 numbers, which changes no distance.  A task holds about ``block_rows`` codes and ``chunk_queries`` queries.
+    is four times ``k`` at least, and more where as many candidates are needed, on the sample or for some queries among all
+    rows, for a share of 1 - (1 - ``recall``) / 4 of the neighbours.  Vectors are filled with zeros to a multiple of 16 numbers, which changes no distance.  A task holds about ``block_rows`` codes and ``chunk_queries`` queries.
 
     Vectors null, zero, or with null or non-finite components take no part, neither do null ids; a query's own id isn't a
     candidate; of repeated ids the smallest vector counts, once.  Vectors of another length have no distance: each
@@ -277,13 +343,15 @@ def _search_width(rows, asked, width, total, n_asked, k, lists, probes, rerank,
     if not len(fitted):
         fitted = np.array(rows.limit(1).toPandas()["v"].tolist(), np.float64)
     quantizer = fit_quantizer(fitted, lists, min(_SLICES, width))
-    probes = probes or probes_for(fitted, quantizer.coarse, k, recall)
+    least = probes or probes_for(fitted, quantizer.coarse, k, recall)
     rerank = max(rerank, rerank_for(fitted, quantizer, k, 1 - (1 - recall) / 4))
     index = stored(build_index(rows, quantizer), "vector-index")
     sizes = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}
     blocks, _ = plan_blocks(sizes, block_rows)
     filled = np.array(sorted(sizes))
     counts = np.array([sizes[i] for i in filled])
+    probes, places = _measured(rows, asked, index, quantizer, filled, k, probes, least, recall)
+    rerank = max(rerank, places)
 
     def place(batches):
         for batch in batches:

@@ -207,3 +207,18 @@ def test_pairs_that_share_a_passage_alone_are_not_compared(spark, monkeypatch, s
     assert found == {d: tuple(x[:2]) for (d, _), x in zip(rows, brute.classes(rows))}
     if small_group == 24:
         assert kept["proposed"].filter("key is null").select("a", "b").distinct().count() > 50 >= 10 > kept["pairs"].count()
+
+
+def test_recall_where_the_sample_is_thin(spark):
+    """Wide vectors that form no groups, many more than the sample has: its own rows are coded better than others, and fewer lie
+    before a true neighbour among them."""
+    x = np.random.default_rng(1).normal(size=(5000, 192))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, v array<double>").repartition(4)
+    queries = df.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    found = {(r["query_id"], r["vec_id"]) for r in vector_search.search(df, queries, sample_rows=512, lists=16).collect()}
+    hits = 0
+    for q in range(0, len(x), 50):
+        apart = ((x - x[q]) ** 2).sum(axis=1)
+        apart[q] = np.inf
+        hits += sum((q, int(i)) in found for i in np.argsort(apart, kind="stable")[:10])
+    assert hits >= 900  # of 1000
