@@ -2,9 +2,10 @@
 
 Shards are cut by content, so that all copies of a string meet in one: every window of 50 bytes belongs to the smallest hash of its
 grams of 20 bytes, and windows side by side that share it form one stretch of text.  Only windows whose hash two
-documents have can repeat; their stretches are dealt to shards by that hash.  There the stretches are one text, whose suffixes are
-put in order by external induced sorting (``induced_sort``), and neighbours that share 50 bytes or more are one group.  A window is
-marked if its group has a document with a smaller doc_id, and the bytes under marked windows go.
+documents have can repeat; their stretches are dealt to shards by that hash.  A shard first discards the windows whose own hash its
+stretches have once.  Stretches of what is left are one text, whose suffixes are put in order by external induced sorting
+(``induced_sort``), and neighbours that share 50 bytes or more are one group.  A window is marked if its group has a document with
+a smaller doc_id, and the bytes under marked windows go.
 
 The hashes only decide what is compared, never whether it is equal: results are exact.  Equal stretches of a chunk of documents
 are settled in the chunk, which sends one of them on, and those of a shard are in its text once.  Where very many documents share a passage, the stretches at its ends all
@@ -13,6 +14,7 @@ differ but share their hash; windows of hashes that very many chunks have are th
 from __future__ import annotations
 
 import hashlib
+import itertools
 import tempfile
 import zlib
 
@@ -22,22 +24,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm._common import release, ship, slices, stored, table, tasks_for
-from corpuslens.llm._vectors import Texts, sliding_min
+from corpuslens.llm._vectors import Texts, gram_hashes, sliding_min, span_hashes
 from corpuslens.llm.induced_sort import Buckets, Sorter, room
 from corpuslens.llm.substring_dedup import (
-    _BYTES_A_TASK, _LISTS, _LISTS_ARROW, _NONE, _RUN, _SEVERAL, _chunks, _entries, _first, _lists, _merged, _passed_on, _proposed, _shared, _table, _write_run,
+    _BYTES_A_TASK, _LISTS, _LISTS_ARROW, _NONE, _RUN, _SEVERAL, _by_owner, _chunks, _entries, _first, _lists, _merged, _passed_on, _proposed, _shared, _table, _write_run,
     assembled, keyed,
 )
 
 #: Bytes of a hashed gram.  Shorter ones are shared by chance more often, longer ones cut stretches shorter.
 _GRAM = 20
+#: Places whose grams are hashed at once.
+_BLOCK = 1 << 15
 #: A hash that so many chunks or single documents of different chunks have may be hot; so many of the most frequent are.
 _HOT_ENTRIES, _MOST_HOT = 64, 1000
 _U = np.uint64
 #: Texts of stretches, many alike, are packed for the exchange.
 _CODEC = pa.Codec("zstd", compression_level=1)
-#: Shards for each task's share of the input: stretches overlap, so a shard of their text is to fit in memory several times over.
-_SHARDS = 4
+#: Bytes of a shard's text that are hashed at once; slots of a table of hashes are 2 ** _MOST_BITS at most.
+_SLICE, _MOST_BITS = 1 << 20, 25
+#: Shards for each task's share of the input.  Each chunk of text sends a row to each shard, so fewer shards are fewer rows.
+_SHARDS = 1
 
 _PIECES = "bucket int, texts binary, sizes binary, starts binary, owners binary, docs binary, nones binary, keys binary, part_docs binary, part_texts binary, counts binary, found binary"
 _PIECES_ARROW = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in _PIECES.replace(",", "").split()[2::2]]])
@@ -55,8 +61,10 @@ class ByteWindows:
         if n <= 0:
             self.at, self.print = np.empty(0, np.int64), np.empty(0, np.uint64)
             return
-        at = np.arange(len(self.texts.data) - gram + 1)
-        least = sliding_min(self.texts.hashes(at, at + gram), window - gram + 1)
+        least = np.empty(n, np.uint64)
+        for a in range(0, n, _BLOCK):  # small enough for the processor's cache
+            b = min(n, a + _BLOCK)
+            least[a:b] = sliding_min(gram_hashes(self.texts.data[a : b + window - 1], gram), window - gram + 1)
         self.at = np.flatnonzero(self.doc[:n] == self.doc[window - 1 :])
         self.print = least[self.at]
 
@@ -100,59 +108,67 @@ def _stretches(batches, window: int, hot: np.ndarray, shards: int, parts: int):
     for batch in _chunks(batches):
         docs, keys = (np.array(batch.column(i).to_pylist(), np.int64) for i in (0, 2))
         nones = np.array(batch.column(1).to_pylist(), bool)
-        found = []  # (order of the owner, owner, first byte in its text, windows, bucket, bytes)
+        found, texts = [], []  # of each stretch (owner, first byte in its text, windows, bucket), and its bytes
         rank = np.empty(len(docs), np.int64)
         order = np.lexsort((docs, nones))
         rank[order] = np.cumsum(_first(docs[order], nones[order]))
         least_none = int(rank[nones].min()) if nones.any() else 1 << 62
         for a, b in slices(batch.column(3), 1 << 20):
             w = ByteWindows(batch.column(3).slice(a, b - a), window, _GRAM)
-            bounds, doc = np.searchsorted(w.at, w.texts.bounds), w.doc[w.at]
-            wanted = [np.empty(0, np.int64)]
-            for i, shared in enumerate(batch.column(4).slice(a, b - a).to_pylist()):
-                own = slice(bounds[i], bounds[i + 1])
-                wanted.append(bounds[i] + np.flatnonzero(np.isin(_proposed(w.print[own]), np.frombuffer(shared, "<u4"))))
-            at = np.concatenate(wanted)
-            if not len(at):
+            if not len(w.at):
                 continue
-            lone = np.isin(w.print[at], hot)
-            new = _first(w.print[at], doc[at], w.at[at] - np.arange(len(at))) | lone
-            first = np.flatnonzero(new)
-            count = np.diff(np.append(first, len(at))).tolist()
-            owner = doc[at[first]] + a
-            start = w.at[at[first]]
-            raw = w.texts.data.tobytes()
-            bucket = (w.print[at[first]] % _U(shards)).astype(np.int64).tolist()
-            inner = (start - w.texts.bounds[doc[at[first]]]).tolist()
-            for r, o, s, n, k, alone, x in zip(rank[owner].tolist(), owner.tolist(), inner, count, bucket, lone[first].tolist(), start.tolist()):
-                text = raw[x : x + n + window - 1]
-                found.append((r, o, s, n, zlib.crc32(text) % shards if alone else k, text))
-        found.sort(key=lambda x: x[0])  # the smallest doc_id first, rows without one last
-        holder: dict[bytes, int] = {}
-        sent: dict[int, list] = {}
-        settled = []
-        for item in found:
-            held = holder.setdefault(item[5], item[0])
-            if held < item[0] and held < least_none:
-                settled.append((item[1], item[2] << 32 | item[3]))
-            else:
-                sent.setdefault(item[4], []).append(item)
+            doc = w.doc[w.at]
+            first = np.flatnonzero(_first(w.print, doc))
+            shared = batch.column(4).slice(a, b - a).to_pylist()
+            keys_of = np.repeat(np.arange(b - a, dtype=np.uint64), [len(x) // 4 for x in shared]) << _U(32) | np.frombuffer(b"".join(shared), "<u4")
+            wanted = np.isin(doc[first].astype(np.uint64) << _U(32) | _proposed(w.print[first]), keys_of)
+            count = np.diff(np.append(first, len(doc)))[wanted]
+            first = first[wanted]
+            lone = np.isin(w.print[first], hot)
+            row = np.repeat(np.arange(len(first)), np.where(lone, count, 1))
+            inner = _ranges(np.where(lone, count, 1))
+            first, count, lone = first[row] + inner, np.where(lone, 1, count)[row], lone[row]
+            owner, start, raw = doc[first], w.at[first], w.texts.data.tobytes()
+            mine = [raw[x:y] for x, y in zip(start.tolist(), (start + count + window - 1).tolist())]
+            bucket = (w.print[first] % _U(shards)).astype(np.int64)
+            bucket[lone] = [zlib.crc32(mine[i]) % shards for i in np.flatnonzero(lone).tolist()]
+            texts += mine
+            found.append((owner + a, start - w.texts.bounds[owner], count, bucket))
+        if not texts:
+            continue
+        owner, start, count, bucket = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(rank[owner], kind="stable")  # the smallest doc_id first, rows without one last
+        known: dict[bytes, int] = {}
+        number = np.array([known.setdefault(texts[i], len(known)) for i in order.tolist()])
+        del known
+        ranks = rank[owner[order]]
+        held = ranks[np.unique(number, return_index=True)[1]][number]  # the first that has the same bytes
+        alone = (held < ranks) & (held < least_none)
+        settled, order = order[alone], order[~alone]
         rows = []
-        if settled:
-            who, values = np.array([x[0] for x in settled]), np.array([x[1] for x in settled], np.uint64)
+        if len(settled):
+            who, values = owner[settled], start[settled].astype(np.uint64) << _U(32) | count[settled].astype(np.uint64)
             rows += [(part, *[None] * 7, *rest) for part, *rest in _lists(docs[who], keys[who], values, parts)]
-        for k, items in sent.items():
-            who, owners = np.unique([x[1] for x in items], return_inverse=True)
-            columns = [x[5] for x in items], [len(x[5]) for x in items], [x[2] for x in items], owners
-            rows.append(
-                (k, _CODEC.compress(b"".join(columns[0]), asbytes=True), *(np.asarray(x, "<u4").tobytes() for x in columns[1:]), docs[who].tobytes(), nones[who].tobytes(), keys[who].tobytes(), *[None] * 4)
-            )
-        del found, holder, sent
+        for k, at in _by_owner(bucket[order], order):
+            who, owners = np.unique(owner[at], return_inverse=True)
+            text = _CODEC.compress(b"".join([texts[i] for i in at.tolist()]), asbytes=True)
+            columns = count[at] + window - 1, start[at], owners
+            rows.append((k, text, *(x.astype("<u4").tobytes() for x in columns), docs[who].tobytes(), nones[who].tobytes(), keys[who].tobytes(), *[None] * 4))
+        del found, texts
         if rows:
             yield _table(_PIECES_ARROW, rows)
         release()
 
 
+def _pieces(bounds: np.ndarray, most: int):
+    """Ranges (a, b) of parts that lie between ``bounds``, of about ``most`` in all, or one part."""
+    a = 0
+    while a < len(bounds) - 1:
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + most, side="right")) - 1)
+        yield a, b
+        a = b
+
+
 def _ranges(counts: np.ndarray) -> np.ndarray:
     """0, 1, ... of each count, one after another."""
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -169,31 +185,59 @@ class Shard:
         self.n_docs = self.n_bytes = 0
 
     def add(self, texts: bytes, sizes: bytes, starts: bytes, owners: bytes, docs: bytes, nones: bytes, keys: bytes) -> None:
-        coded = _CODEC.decompress(texts, int(np.frombuffer(sizes, "<u4").sum()), asbytes=True).translate(_CODES)
-        at, number, new = 0, [], []
-        for size in np.frombuffer(sizes, "<u4").tolist():
-            text = coded[at : at + size]
-            at += size
-            found = self.known.get(text)
-            if found is None:
-                found = len(self.sizes)
-                self.sizes.append(size)
-                new.append(text)
-                if self.n_bytes < self.bound:
-                    self.known[text] = found
-                    self.n_bytes += size
-            number.append(found)
-        self.file.write(b"".join(x + b"\x01" for x in new))
+        size = np.frombuffer(sizes, "<u4").astype(np.int64)
+        ends, known, before = np.cumsum(size), self.known, len(self.sizes)
+        coded = _CODEC.decompress(texts, int(ends[-1]), asbytes=True).translate(_CODES)
+        stretches = [coded[a:b] for a, b in zip((ends - size).tolist(), ends.tolist())]
+        if self.n_bytes < self.bound:
+            number = np.array([known.setdefault(x, len(known)) for x in stretches])
+        else:
+            fresh = itertools.count(before)
+            number = np.array([next(fresh) if (found := known.get(x)) is None else found for x in stretches])
+        at, first = np.unique(number, return_index=True)
+        new = first[np.searchsorted(at, before) :]
+        self.file.write(b"".join([stretches[i] + b"\x01" for i in new.tolist()]))
+        self.sizes += size[new].tolist()
+        self.n_bytes += int(size[new].sum())
         docs = np.frombuffer(docs, np.int64)
-        columns = np.array(number, np.int64), np.frombuffer(starts, "<u4"), np.frombuffer(owners, "<u4") + np.int64(self.n_docs), docs, np.frombuffer(nones, bool), np.frombuffer(keys, np.int64)
+        columns = number, np.frombuffer(starts, "<u4"), np.frombuffer(owners, "<u4") + np.int64(self.n_docs), docs, np.frombuffer(nones, bool), np.frombuffer(keys, np.int64)
         for column, values in zip(self.held, columns):
             column.append(values)
         self.n_docs += len(docs)
 
+    def _repeated(self, text: np.ndarray, bounds: np.ndarray, bound: int) -> np.ndarray:
+        """Places of the windows whose hash the shard's text has more than once, ascending; a few others may be among them."""
+        total, n, done = int((bounds[1:] - bounds[:-1] - self.window).sum()), int(bounds[-1]), 0
+        places, hashes = room(total, np.uint32, bound), room(total, np.uint64, bound)
+        for a in range(0, n, _SLICE):
+            part = np.asarray(text[a : min(n, a + _SLICE) + self.window - 1])
+            ends = np.concatenate([[0], np.cumsum(part == 1, dtype=np.int32)])
+            at = np.flatnonzero(ends[self.window :] == ends[: -self.window])
+            places[done : done + len(at)], hashes[done : done + len(at)] = at + a, span_hashes(part, at, at + self.window)
+            done += len(at)
+        bits = min((2 * total).bit_length(), _MOST_BITS)
+        for shift in (64 - bits, (64 - bits) // 2, 0):  # each time other bits of what is left
+            seen, again = (np.zeros(1 << bits, bool) for _ in range(2))
+            slot = lambda a: ((hashes[a : min(done, a + _SLICE)] >> _U(shift)) & _U((1 << bits) - 1)).astype(np.uint32)  # noqa: B023, E731
+            for a in range(0, done, _SLICE):
+                mine = slot(a)
+                order = np.sort(mine)
+                again[order[1:][order[1:] == order[:-1]]] = True
+                again[mine[seen[mine]]] = True
+                seen[mine] = True
+            left = 0
+            for a in range(0, done, _SLICE):
+                kept = a + np.flatnonzero(again[slot(a)])
+                places[left : left + len(kept)], hashes[left : left + len(kept)] = places[kept], hashes[kept]
+                left += len(kept)
+            done = left
+        return places[:done]
+
     def marked(self, most: int, bound: int):
         """(docs, keys, start << 32 | windows) of windows that a document with a smaller doc_id has too."""
         self.known.clear()
         stretch, starts, owners, docs, nones, keys = (np.concatenate(x) for x in self.held)
+        self.held.clear()
         sizes = np.array(self.sizes, np.int64)
         order = np.lexsort((docs, nones))
         rank = np.empty(len(docs), np.int32)
@@ -201,18 +245,55 @@ class Shard:
         least_none = int(rank[nones].min()) if nones.any() else np.iinfo(np.int32).max
         smallest = np.full(len(sizes), np.iinfo(np.int32).max, np.int32)  # of each stretch, the least rank of its holders
         np.minimum.at(smallest, stretch, rank[owners])
+        places, counts = self._lowered(sizes, smallest, least_none, most, bound)
+        bounds = np.concatenate([[0], np.cumsum(sizes + 1)])
+        low = np.searchsorted(places, bounds)  # spans of each stretch
+        for a in range(0, len(stretch), 1 << 16):
+            k, who, start = stretch[a : a + (1 << 16)], owners[a : a + (1 << 16)], starts[a : a + (1 << 16)].astype(np.int64)
+            whole = (rank[who] > smallest[k]) & (smallest[k] < least_none)  # another holder removes all windows
+            rest = np.flatnonzero(~whole & (low[k + 1] > low[k]))
+            number = low[k[rest] + 1] - low[k[rest]]
+            row = np.repeat(rest, number)
+            span = low[k[row]] + _ranges(number)
+            at = np.concatenate([np.flatnonzero(whole), row])
+            if not len(at):
+                continue
+            first = np.concatenate([start[whole], start[row] + places[span] - bounds[k[row]]])
+            count = np.concatenate([sizes[k[whole]] - self.window + 1, counts[span]])
+            yield docs[who[at]], keys[who[at]], (first.astype(np.uint64) << _U(32)) | count.astype(np.uint64)
+
+    def _lowered(self, sizes: np.ndarray, smallest: np.ndarray, least_none: int, most: int, bound: int) -> tuple[np.ndarray, np.ndarray]:
+        """Spans of windows (first place in the shard's text, windows; ascending) that a document of smaller rank has in another stretch
+        than those that hold them.  Only windows whose hash the text has more than once are sorted: the others are alone, as equal
+        windows have equal hashes."""
         bounds = np.concatenate([[0], np.cumsum(sizes + 1)])
         self.file.write(b"\0" * (1 + self.window))
         self.file.flush()
         text = np.memmap(self.file, np.uint8, "r", shape=(int(bounds[-1]) + 1 + self.window,))
-        first = room(int(bounds[-1]), np.int32, bound)  # of each window, the least rank of all that have it
-        for a in range(0, len(sizes), 1 << 16):
-            b = min(len(sizes), a + (1 << 16))
-            first[bounds[a] : bounds[b]] = np.repeat(smallest[a:b], sizes[a:b] + 1)
+        places = self._repeated(text, bounds, bound)
+        nothing = np.empty(0, np.int64), np.empty(0, np.int64)
+        if not len(places):
+            return nothing
+        # Windows side by side are one run; runs that touch the end of a slice may be cut, as any stretch may.
+        begin = np.flatnonzero(_first(places - np.arange(len(places), dtype=np.uint32)))
+        runs, windows = places[begin].astype(np.int64), np.diff(np.append(begin, len(places)))
+        del places
+        run_bounds = np.concatenate([[0], np.cumsum(windows + self.window)])
+        holder = np.searchsorted(bounds, runs, side="right") - 1
+        file, first = tempfile.TemporaryFile(), room(int(run_bounds[-1]), np.int32, bound)  # of each window, the least rank of all that have it
+        for a, b in _pieces(run_bounds, _SLICE):
+            size = windows[a:b] + self.window
+            part = text[np.repeat(runs[a:b] - run_bounds[a:b], size) + np.arange(run_bounds[a], run_bounds[b])]
+            part[run_bounds[a + 1 : b + 1] - run_bounds[a] - 1] = 1
+            file.write(part.tobytes())
+            first[run_bounds[a] : run_bounds[b]] = np.repeat(smallest[holder[a:b]], size)
+        file.write(b"\0" * (1 + self.window))
+        file.flush()
+        text = np.memmap(file, np.uint8, "r", shape=(int(run_bounds[-1]) + 1 + self.window,))
         groups, minima, state = Buckets(1, bound), [], {"group": -1, "held": None}
 
         def keep(pos, group):
-            inside = pos + self.window < bounds[np.searchsorted(bounds, pos, side="right")]  # else the window holds the end of its stretch
+            inside = pos + self.window < run_bounds[np.searchsorted(run_bounds, pos, side="right")]  # else the window holds the end of its run
             pos, group = pos[inside], group[inside]
             if not len(pos):
                 return
@@ -237,22 +318,18 @@ class Shard:
         Sorter(self.window, most, bound).descending(text, 256, out)
         if state["held"] is not None and state["held"][1][0]:
             keep(state["held"][0], np.array([state["group"]]))
-        if minima:
-            number, least = (np.concatenate(x) for x in zip(*minima))
-            for pos, group, _ in groups.take(0, most):  # of a group in several pieces, the last one has its least
-                first[pos] = least[np.searchsorted(number, group, side="right") - 1]
-        first[first >= least_none] = np.iinfo(np.int32).max  # what has no doc_id removes nothing
-        for a in range(0, len(stretch), 1 << 16):  # holders of stretches; of most all windows go, or none
-            k, who, start = stretch[a : a + (1 << 16)], owners[a : a + (1 << 16)], starts[a : a + (1 << 16)].astype(np.int64)
-            count = sizes[k] - self.window + 1
-            row, inner = np.repeat(np.arange(len(k)), count), _ranges(count)
-            gone = np.flatnonzero(first[bounds[k][row] + inner] < rank[who][row])
-            if not len(gone):
-                continue
-            row, inner = row[gone], inner[gone]
-            begin = np.flatnonzero(_first(row, inner - np.arange(len(inner))))
-            places = start[row[begin]] + inner[begin]
-            yield docs[who[row[begin]]], keys[who[row[begin]]], (places.astype(np.uint64) << _U(32)) | np.diff(np.append(begin, len(inner))).astype(np.uint64)
+        if not minima:
+            return nothing
+        number, least = (np.concatenate(x) for x in zip(*minima))
+        found = []
+        for pos, group, _ in groups.take(0, most):  # of a group in several pieces, the last one has its least
+            pos = pos.astype(np.int64)
+            run = np.searchsorted(run_bounds, pos, side="right") - 1
+            lower = least[np.searchsorted(number, group, side="right") - 1] < np.minimum(smallest[holder[run]], least_none)
+            found.append((runs[run] + pos - run_bounds[run])[lower])
+        places = np.sort(np.concatenate(found))
+        begin = np.flatnonzero(_first(places - np.arange(len(places))))
+        return places[begin], np.diff(np.append(begin, len(places)))
 
 
 def _sort_shards(batches, window: int, lists: int, most: int, bound: int):

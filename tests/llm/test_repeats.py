@@ -112,6 +112,36 @@ def test_repeated_bytes_of_a_hot_passage(spark):
     assert 1 <= len(hot) <= 90 and (np.diff(hot.astype(object)) > 0).all()
 
 
+@pytest.mark.parametrize("most, bound, bits", [(1 << 18, 64 << 20, 25), (50, 500, 25), (50, 500, 3)])
+def test_shards_sort_only_windows_that_may_repeat(monkeypatch, most, bound, bits):
+    """Of stretches that have one passage in common only the passage is sorted; small memory and crowded tables change no result."""
+    monkeypatch.setattr(suffix_dedup, "_MOST_BITS", bits, raising=False)
+    monkeypatch.setattr(suffix_dedup, "_SLICE", 1 << 20 if most > 50 else 700, raising=False)
+    rng, sorted_bytes = random.Random(5), []
+    noise = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    passage = noise(90)
+    texts = [noise(80) + passage + noise(70) for _ in range(60)] + [noise(300) for _ in range(20)]
+    texts += [texts[70], passage]  # an equal stretch, and one that has nothing but the passage
+    docs = np.arange(len(texts))[::-1]  # the last row has the smallest doc_id
+    shard = suffix_dedup.Shard(50, bound)
+    for at in (slice(0, 50), slice(50, None)):
+        size = np.array([len(x) for x in texts[at]], "<u4")
+        packed = suffix_dedup._CODEC.compress(b"".join(texts[at]), asbytes=True)
+        who = docs[at].astype(np.int64)
+        shard.add(packed, size.tobytes(), np.zeros(len(size), "<u4").tobytes(), np.arange(len(size), dtype="<u4").tobytes(), who.tobytes(), np.zeros(len(size), bool).tobytes(), who.tobytes())
+    descending = Sorter.descending
+    monkeypatch.setattr(Sorter, "descending", lambda self, text, *x: (sorted_bytes.append(len(text)), descending(self, text, *x)))
+    gone = {(int(d), (int(v) >> 32) + i) for found, _, values in shard.marked(most, bound) for d, v in zip(found, values) for i in range(int(v) & 0xFFFFFFFF)}
+    first = {}
+    for doc, text in sorted(zip(docs.tolist(), texts)):
+        for i in range(len(text) - 49):
+            first.setdefault(text[i : i + 50], doc)
+    assert gone == {(doc, i) for doc, text in zip(docs.tolist(), texts) for i in range(len(text) - 49) if first[text[i : i + 50]] < doc}
+    assert len(gone) >= 60 * 41 + 251
+    if bits == 25:
+        assert sum(sorted_bytes) < 0.5 * sum(map(len, texts)), "what the shard has once was sorted"
+
+
 def test_op12_removes_what_brute_force_does(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
     found = queries.queries()["op12_suffix_dedup"](spark, DATA)
