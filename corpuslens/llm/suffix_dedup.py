@@ -388,7 +388,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50, most: int = 1 << 18
     ship(spark)
     source, parts = keyed(docs), tasks_for(docs, _BYTES_A_TASK)
     prints = source.select("doc", "none", "text").mapInArrow(lambda b: _write_run(b, window, _GRAM, parts, ByteWindows), _RUN)
-    lists = stored(prints.repartition(parts, "bucket").mapInArrow(lambda b: _merge_prints(b, parts), _LISTS), "prints")
+    lists = stored(prints.repartitionById(parts, F.col("bucket")).mapInArrow(lambda b: _merge_prints(b, parts), _LISTS), "prints")
     hot = _hot(lists)
     shared = assembled(lists.filter("part >= 0"), parts).select("doc", (F.col("text_key") == _NONE).alias("none"), "found")
     # With the same columns on both ways, the exchange of the texts by doc is made once for this and for the removal.
@@ -396,7 +396,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50, most: int = 1 << 18
     wanted = by_doc.join(shared.repartition(parts, "doc", "none"), ["doc", "none"]).select("doc", "none", "text_key", "text", "found", "doc_id")
     shards = _SHARDS * parts
     pieces = wanted.mapInArrow(lambda b: _stretches(b, window, hot, shards, parts), _PIECES)
-    marked = pieces.repartition(shards, "bucket").mapInArrow(lambda b: _sort_shards(b, window, parts, most, bound), _LISTS)
+    marked = pieces.repartitionById(shards, F.col("bucket")).mapInArrow(lambda b: _sort_shards(b, window, parts, most, bound), _LISTS)
     marks = assembled(marked, parts, "<u8").withColumn("none", F.col("doc") == F.col("text_key"))
     marks = marks.repartition(parts, "doc", "none").groupBy("doc", "none").agg(F.collect_list(F.struct("text_key", "found")).alias("marks"))
     joined = source.repartition(parts, "doc", "none").join(marks, ["doc", "none"], "left")

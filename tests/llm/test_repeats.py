@@ -142,6 +142,13 @@ def test_shards_sort_only_windows_that_may_repeat(monkeypatch, most, bound, bits
         assert sum(sorted_bytes) < 0.5 * sum(map(len, texts)), "what the shard has once was sorted"
 
 
+def test_shards_have_a_partition_each(spark):
+    """Hashes of a few bucket numbers leave some partitions empty and put several shards into others."""
+    df = spark.createDataFrame([(1, "a" * 60), (2, "a" * 60)], "doc_id long, text string")
+    plan = suffix_dedup.remove_repeated_bytes(df)._jdf.queryExecution().toString()
+    assert "hashpartitioning(bucket" not in plan and "bucket" in plan
+
+
 def test_op12_removes_what_brute_force_does(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
     found = queries.queries()["op12_suffix_dedup"](spark, DATA)
